@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +18,8 @@ TABLES = (
     "bug_history eval_items license_refs"
 ).split()
 
+_shipped: set[str] = set()
+
 
 def local_session(app: str = "tracewright", cores: int | str = "*", memory: str = "4g") -> SparkSession:
     """A single-node session with the settings that the operators expect of any session.
@@ -35,8 +39,24 @@ def local_session(app: str = "tracewright", cores: int | str = "*", memory: str
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, for clusters that lack it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="tracewright-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/{root.name}_src.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, str(file.relative_to(root.parent)))
+    sc.addPyFile(f"{folder}/{root.name}_src.zip")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     """Read one table; the column list keeps wide columns out of the scan."""
+    ship_package(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
