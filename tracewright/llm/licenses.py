@@ -102,7 +102,15 @@ class Reader:
                     for pair in pairs:
                         self.of_bigram.setdefault(pair, []).append(len(self.templates))
                     self.templates.append((license_id, len(words), pairs))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "statements"}  # the cache stays at home
+
+    def __getattr__(self, name: str):
+        if name != "statements":
+            raise AttributeError(name)
         self.statements = lru_cache(maxsize=20_000)(self._statements)
+        return self.statements
 
     def name_at(self, text: str, at: int) -> tuple[str | None, int] | None:
         """The licence named at a place: its id (None if it isn't listed) and where the name ends."""
