@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .source_text import LICENSE_FILE_NAMES, comment_text, opening_comment, suffix
 
 #: Least Dice coefficient at which wording counts as a template's.
@@ -245,7 +246,8 @@ def licenses(files: DataFrame, sources: DataFrame, license_refs: DataFrame, dice
     A null project or path names no file and gives no row; empty files and folders without any
     statement give 'unknown'; repeated rows count once; extra columns are ignored.
     """
-    read = read_statements(files, reader(license_refs, dice))
+    # Three branches read the statements; the table spares two more scans of all file contents.
+    read = cut_lineage(read_statements(files, reader(license_refs, dice)))
     union = F.array_distinct(F.flatten(F.collect_list("statements")))
     own = read.where("not is_license").groupBy("project", "relpath").agg(union.alias("statements"))
     own = own.withColumn("dir", folder(F.col("relpath")))
@@ -260,7 +262,7 @@ def licenses(files: DataFrame, sources: DataFrame, license_refs: DataFrame, dice
     steps = F.when(F.col("dir") == "", F.array(F.lit(""))).otherwise(
         F.transform(F.sequence(F.lit(0), F.size(F.split("dir", "/"))), lambda n: F.array_join(F.slice(F.split("dir", "/"), F.lit(1), n), "/"))
     )
-    dirs = files.select("project", folder(F.col("relpath")).alias("dir")).where("project is not null and dir is not null").distinct()
+    dirs = read.where("not is_license").select("project", folder(F.col("relpath")).alias("dir")).distinct()
     nearest = (
         dirs.select("project", "dir", F.explode(steps).alias("up"))
         .join(stated.withColumnRenamed("dir", "up"), ["project", "up"])
