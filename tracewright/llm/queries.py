@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
+from .components import finding_groups
 from .handwritten import not_handwritten
 from .licenses import licenses
+from .near_duplicates import similar_files
+from .shared_spans import passages, shared_shares, spans
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -21,6 +24,26 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return licenses(table(spark, sf, "corpus_files"), table(spark, sf, "corpus_sources"), table(spark, sf, "license_refs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kinds, p2_found)}
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return finding_groups(table(spark, sf, "downstream_findings"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return spans(table(spark, sf, "files")).select("file_id", "first_pos", "last_pos")
+
+
+def p5_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return passages(table(spark, sf, "files"))
+
+
+def p5_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return shared_shares(table(spark, sf, "files"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return similar_files(table(spark, sf, "files"), table(spark, sf, "corpus_files"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_kinds, p2_found, p4_found, p5_found, p5_passages, p5_shares, p6_found)}
 
 SQL: dict[str, str] = {}
