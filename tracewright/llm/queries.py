@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import table
 from .components import finding_groups
 from .handwritten import not_handwritten
+from .languages import mislabelled, segments
+from .leaks import leaks
 from .licenses import licenses
 from .near_duplicates import similar_files
+from .packing import containers
 from .shared_spans import passages, shared_shares, spans
 
 
@@ -44,6 +47,25 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return similar_files(table(spark, sf, "files"), table(spark, sf, "corpus_files"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kinds, p2_found, p4_found, p5_found, p5_passages, p5_shares, p6_found)}
+def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return containers(table(spark, sf, "documents"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return mislabelled(table(spark, sf, "documents")).select("doc_id", "seg_no", "lang")
+
+
+def p9_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return segments(table(spark, sf, "documents")).select("doc_id", "seg_no", "lang", "confidence")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_kinds, p2_found, p4_found, p5_found, p5_passages, p5_shares, p6_found, p7_containers, p8_found, p9_found, p9_segments)
+}
 
 SQL: dict[str, str] = {}
