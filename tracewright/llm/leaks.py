@@ -33,6 +33,8 @@ PART = 0.5
 EDIT, REACH = 3.0, 4
 #: Least alignment score of a stretch for each word it spans: about 15 words in 100 edited.
 DENSITY = 0.4
+#: Features of a text whose windows are worked out together.
+STRIDE = 4096
 #: Most characters of item text sent to every task at once; more items are taken in several blocks.
 BLOCK_CHARS = 8 << 20
 
@@ -116,6 +118,8 @@ class Items:
     def candidates(self, coded: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """Items whose fingerprint and weighted features a window of the text comes near, with the
         places of the item's features in the text."""
+        if not len(self.pairs):
+            return []
         both = coded[:-1] * self.base + coded[1:]
         at = np.searchsorted(self.pairs, both)
         at[at == len(self.pairs)] = 0
@@ -123,11 +127,20 @@ class Items:
         feature = at[place]
         if self.weight[feature].sum() < self.least:
             return []
-        sums = np.concatenate([np.zeros((1, BITS), np.float32), np.cumsum(self.vector[feature], axis=0)])
         found: set[int] = set()
+        for first in range(0, len(place), STRIDE):  # long texts in stretches that overlap by a window
+            last = min(first + STRIDE, len(place))
+            end = int(np.searchsorted(place, place[last - 1] + self.sizes[-1]))
+            begin = int(np.searchsorted(place, place[first] - self.sizes[-1]))
+            self._windows(place[begin:end], feature[begin:end], place[first:last], found)
+        return [(i, place[np.isin(feature, self.features[i])]) for i in sorted(found)]
+
+    def _windows(self, place: np.ndarray, feature: np.ndarray, anchors: np.ndarray, found: set[int]) -> None:
+        """Add the items that windows around the anchors come near."""
+        sums = np.concatenate([np.zeros((1, BITS), np.float32), np.cumsum(self.vector[feature], axis=0)])
         for size in self.sizes.tolist():
             step = max(4, size // 6)
-            starts = np.unique(np.concatenate([np.maximum(0, place - size + 2), place]) // step) * step
+            starts = np.unique(np.concatenate([np.maximum(0, anchors - size + 2), anchors]) // step) * step
             lo, hi = np.searchsorted(place, starts), np.searchsorted(place, starts + size)
             full = hi - lo >= 3
             lo, hi = lo[full], hi[full]
@@ -140,7 +153,6 @@ class Items:
                     shared = np.intersect1d(feature[lo[w] : hi[w]], self.features[i])
                     if self.weight[shared].sum() >= SHARE * self.total[i]:
                         found.add(i)
-        return [(i, place[np.isin(feature, self.features[i])]) for i in sorted(found)]
 
     def part(self, item: int, coded: np.ndarray, places: np.ndarray) -> float:
         """Share of the item's words that at most two stretches of the text span, in order.

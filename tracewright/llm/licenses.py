@@ -55,7 +55,7 @@ SPELLINGS = (
     ("Zlib", r"zlib(?:\s*/\s*(?:lib)?png)?(?:\s+licen[sc]e)?"),
 )
 _END = r"(?![\w+]|-\w|\.\d)"
-_ARTICLE = re.compile(r"(?:the\s+)?(?:terms\s+of\s+(?:the\s+)?)?", re.I)
+_ARTICLE = re.compile(r"\(?\s*(?:the\s+)?(?:terms\s+of\s+(?:the\s+)?)?", re.I)
 _TAG = re.compile(r"\bspdx-licen[sc]e-identifier\s*:\s*|(?<![\w-])licen[sc]e\s*:\s*|(?<![\w-])terms\s*:\s*", re.I)
 _GRANT = re.compile(
     r"\b(?:distributed|released|licen[sc]ed|governed|covered|available|provided|supplied|offered|used|published|redistributed|"
@@ -115,11 +115,13 @@ class Reader:
 
     def name_at(self, text: str, at: int) -> tuple[str | None, int] | None:
         """The licence named at a place: its id (None if it isn't listed) and where the name ends."""
-        at = _ARTICLE.match(text, at).end()
-        for license_id, pattern in self.names:
-            if m := pattern.match(text, at):
-                return license_id, m.end()
-        return None
+        best: tuple[str | None, int] | None = None
+        for start in {at, _ARTICLE.match(text, at).end()}:
+            for license_id, pattern in self.names:
+                m = pattern.match(text, start)
+                if m and (best is None or m.end() > best[1]):
+                    best = license_id, m.end()
+        return best
 
     def _choice_at(self, text: str, at: int, joint: re.Pattern = _OR) -> tuple[Choice, int] | None:
         found, ids = self.name_at(text, at), []
