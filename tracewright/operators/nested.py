@@ -167,57 +167,44 @@ def _only(condition: Column, value: Column) -> Column:
     return F.max(F.when(condition, value))
 
 
-def backport_branches(found: DataFrame) -> DataFrame:
-    """record_id, ancestor, branch, branch_commit: one row for each branch object of a record."""
-    leaf = (F.size("rest") == 0) & (F.col("kind") == "string")
-    sha = (F.size("rest") == 1) & (F.element_at("rest", F.when(F.size("rest") > 0, 1).otherwise(None))["name"] == "sha") & (F.col("kind") == "string")
-    return (
-        found.groupBy("record_id", "ancestor")
-        .agg(
-            _only((F.col("field") == "branch") & leaf, F.trim("value")).alias("given"),
-            F.max("ancestor_name").alias("key"),
-            _only((F.col("field") == "branch_commit") & (leaf | sha), F.trim("value")).alias("branch_commit"),
-        )
-        .select("record_id", "ancestor", F.coalesce("given", "key").alias("branch"), F.coalesce("branch_commit", F.lit("")).alias("branch_commit"))
-        .where("branch is not null")
-    )
+WRAPPERS = ("branches", "open", "closed")
 
 
-def backport_notes(found: DataFrame) -> DataFrame:
-    """record_id, ancestor, place, note: one row for each note that isn't empty.
+def branch_objects(found: DataFrame) -> DataFrame:
+    """record_id, ancestor, branch, branch_commit, notes: one row for each branch object of a record.
 
-    ``place`` orders a record's notes as they are read: numbered members by number, and a reply
-    behind the note that it answers, wherever the text stands in its object.
+    ``notes`` are the notes that aren't empty, in reading order: numbered members by number, and a
+    reply behind the note that it answers, wherever the text stands in its object. They are pivoted
+    into the row with the rest, so that a record is parsed and moved once.
     """
     last = F.element_at("rest", F.when(F.size("rest") > 0, -1).otherwise(None))
     numbered = lambda s: s["element"] | s["name"].rlike("^[0-9]+$")
-    is_note = (F.size("rest") == 0) | numbered(last) | (last["name"] == "text")
+    text = F.col("kind") == "string"
+    leaf = (F.size("rest") == 0) & text
+    sha = (F.size("rest") == 1) & (last["name"] == "sha") & text
+    is_note = (F.col("field") == "notes") & text & ((F.size("rest") == 0) | numbered(last) | (last["name"] == "text")) & (F.length(F.trim("value")) > 0)
     place = F.transform(F.filter("rest", lambda s: s["element"] | ~s["name"].isin("text", "replies")), lambda s: s["no"])
-    return (
-        found.where((F.col("field") == "notes") & (F.col("kind") == "string")).where(is_note)
-        .where(F.length(F.trim("value")) > 0).select("record_id", "ancestor", place.alias("place"), F.col("value").alias("note"))
+    rows = found.groupBy("record_id", "ancestor").agg(
+        _only((F.col("field") == "branch") & leaf, F.trim("value")).alias("given"),
+        F.max("ancestor_name").alias("key"),
+        _only((F.col("field") == "branch_commit") & (leaf | sha), F.trim("value")).alias("branch_commit"),
+        F.collect_list(F.when(is_note, F.struct(place.alias("place"), F.col("value").alias("note")))).alias("notes"),
     )
-
-
-WRAPPERS = ("branches", "open", "closed")
+    named = rows.select("record_id", "ancestor", F.coalesce("given", "key").alias("branch"), F.coalesce("branch_commit", F.lit("")).alias("branch_commit"), F.array_sort("notes").alias("notes"))
+    return named.where("branch is not null")
 
 
 def backport_rows(status: DataFrame) -> DataFrame:
     """record_id, branch, item_no, note, branch_commit of the backports of every status record.
 
     Notes are counted from 1 per branch; a branch without notes has one row with item_no 0. A branch
-    named by several objects of one record is one branch.
+    named by several objects of one record is one branch. Nothing gathered is larger than a record.
     """
-    from pyspark.sql import Window
-
-    found = below(triples(status, "status_id", "backports"), WRAPPERS)
-    branch = backport_branches(found)
-    note = backport_notes(found)
-    whole = branch.groupBy("record_id", "branch").agg(F.max("branch_commit").alias("branch_commit"))
-    order = Window.partitionBy("record_id", "branch").orderBy("ancestor", "place")
-    counted = note.join(branch.select("record_id", "ancestor", "branch"), ["record_id", "ancestor"]).select("record_id", "branch", "note", F.row_number().over(order).cast("bigint").alias("item_no"))
-    joined = whole.join(counted, ["record_id", "branch"], "left")
-    return joined.select("record_id", "branch", F.coalesce("item_no", F.lit(0).cast("bigint")).alias("item_no"), "note", "branch_commit")
+    found = below(triples(status, "status_id", "backports"), WRAPPERS).repartition("record_id")
+    whole = branch_objects(found).groupBy("record_id", "branch").agg(F.max("branch_commit").alias("branch_commit"), F.array_sort(F.collect_list(F.struct("ancestor", "notes"))).alias("parts"))
+    notes = F.flatten(F.transform("parts", lambda p: F.transform(p["notes"], lambda n: n["note"])))
+    each = whole.select("record_id", "branch", "branch_commit", F.posexplode_outer(notes).alias("at", "note"))
+    return each.select("record_id", "branch", F.coalesce(F.col("at") + 1, F.lit(0)).cast("bigint").alias("item_no"), "note", "branch_commit")
 
 
 def element_triples(records: DataFrame, record_id: str, array: str, fields: tuple[str, ...]) -> DataFrame:
