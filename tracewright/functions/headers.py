@@ -32,6 +32,14 @@ ATTRIBUTIONS = (
     r"(?i)Runtime\s+Library\s+Exception", r"(?i)gcc\.gnu\.org", r"(?i)sourceware\.org/gcc",
 )
 
+INTERNAL = r"(?i)(?:copied|adapted|derived|based)[^\n]{0,120}(?:gcc/testsuite/|libgomp/testsuite/|gfortran\.dg/|libgomp\.|['\"]\.\.?/|\.\./|\./)"
+GNU = r"(?i)gnu\.org/licenses|Free Software Foundation"
+# Points of origin markers in a header.
+ORIGIN_POINTS = {
+    "go authors": 85, "lapack": 55, "blas": 50, "sollve_vv": 45, "sarif": 35, "json example": 30, "specification": 25, "example document": 30,
+}
+EXTERNAL_MARKERS = ("the go authors", "lapack", "blas", "sarif", "sollve_vv")
+
 
 def is_text_candidate(path: Column) -> Column:
     """Source files by name: suffix in the list, not a change log, a readme, a licence or a patch."""
@@ -100,3 +108,27 @@ def snippet_quality(line: Column) -> Column:
     letters = F.length(F.regexp_replace(line, r"[^A-Za-z]", ""))
     variety = F.size(F.array_distinct(F.split(bare, "")))
     return F.when((length < 24) | (length > 180) | (letters < 12) | bad, -1).otherwise(variety + F.length(bare))
+
+
+def header_score(header: Column, nearby: Column, tree: Column) -> Column:
+    """Points that a header and the licence files around a file give for an origin elsewhere.
+
+    ``nearby``: a licence file in the file's folder or above; ``tree``: one in the project's root.
+    """
+    low = F.lower(header)
+    has = lambda phrase: F.contains(low, F.lit(phrase))
+    either = lambda p, yes, a, b: F.when(p, F.when(yes, a).otherwise(b)).otherwise(0)
+    holder = F.filter(F.regexp_extract_all(header, F.lit(HOLDER), F.lit(1)), lambda h: (F.trim(h) != "") & ~F.lower(h).contains("free software foundation"))
+    spdx, gnu = header.rlike(SPDX), header.rlike(GNU)
+    trail = spdx | gnu | nearby | tree
+    marker = F.lit(False)
+    for m in EXTERNAL_MARKERS:
+        marker = marker | has(m)
+    points = F.when(spdx, -35).otherwise(0) + F.when(gnu, -30).otherwise(0) + F.when(nearby, -20).when(tree, -15).otherwise(0)
+    points = points + either(header.rlike(ORIGIN), header.rlike(INTERNAL), -35, 55)
+    for m, n in ORIGIN_POINTS.items():
+        points = points + F.when(has(m), n).otherwise(0)
+    points = points + either(has("license that can be found in the license file"), tree, -35, 35)
+    points = points + either(has("all rights reserved"), trail, -10, 20) + either(has("bsd-style"), tree, -20, 20)
+    points = points + either(F.size(holder) > 0, trail, 20, 70)
+    return points + F.when(marker, F.when(tree, -20).when(~nearby, 15).otherwise(0)).otherwise(0)

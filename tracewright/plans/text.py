@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.headers import attributed, clone_language, evidence, snippet_quality
+from ..functions.headers import EXTERNAL_MARKERS, GNU, HOLDER, HOST_SITES, INLINE_LICENSES, INTERNAL, ORIGIN, ORIGIN_POINTS, SPDX, CANONICAL, URL_TAIL, attributed, clone_language, evidence, header_score, snippet_quality
 from ..functions.text import KGRAM, SHINGLE, WINDOW, ascii_text, first_lines, jaccard, runs_of, strip_leading_comment, stripped_lines, tokens
 from ..operators.similarity import kgrams, longest_run, one_row_a_file, posting_matches, top_k, winnow, winnow_density
 from ..session import cut_lineage, table
 from .common import ASCII, CORPUS, TOKENS, jaccard_sql, runs_sql
+from .findings import SQL as _FINDING_SQL, j18_ancestor_licenses
 from .scan import _ONE_FILE, corpus
 
 
@@ -134,6 +135,26 @@ def j2_posting_join(spark, sf):
     return hits.where("density >= 0.10").select("query_id", "file_id", "matched", F.round("density", 6).alias("density"))
 
 
+BANDS = 28  # of two rows each: what a threshold of 0.2 over 128 permutations comes to
+
+
+def j1_band_candidates(spark, sf):
+    """For each file whose id is divisible by 100, the ten files that share the most MinHash bands."""
+    f = one_row_a_file(table(spark, sf, "files", ["file_id", "minhash", "sha256", "indexed_at"]))
+    key = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.concat_ws("-", b, F.element_at("minhash", 2 * b + 1), F.element_at("minhash", 2 * b + 2)))
+    keyed = f.select("file_id", F.explode(key).alias("band"))
+    hits = keyed.where("file_id % 100 = 0").withColumnRenamed("file_id", "query_id").join(keyed, "band").where("query_id <> file_id").groupBy("query_id", "file_id").agg(F.count(F.lit(1)).alias("bands"))
+    return top_k(hits, ["query_id"], [F.col("bands").desc(), F.col("file_id")], 10).select("query_id", "file_id", "bands", F.col("rank").cast("bigint").alias("rank"))
+
+
+def x10_header_scores(spark, sf):
+    """Points of every source file's first 80 lines and of the licence files around it."""
+    around = j18_ancestor_licenses(spark, sf)
+    head = corpus(spark, sf).select("file_id", first_lines(F.col("text"), 80).alias("head"))
+    score = header_score(F.col("head"), F.col("licences") > 0, F.coalesce(F.col("root"), F.lit(False)))
+    return head.join(around.withColumn("root", F.col("nearest").isNotNull() & (F.col("nearest") == "")), "file_id").select("file_id", score.cast("bigint").alias("score"))
+
+
 def m0_near_duplicates(spark, sf):
     """Every match of every finding with its recomputed density, best first within the finding."""
     d = a3_pair_density(spark, sf).where("density >= 0.25")
@@ -144,7 +165,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         x1_tokens, x2_stripped, x3_kgrams, x4_shingles, w1_winnow, x5_evidence, x6_attributed, x12_snippets, x14_languages, x15_digests,
-        a1_pair_similarity, a3_pair_density, a4_minhash_estimate, a5_file_sizes, w2_longest_run, j2_posting_join, m0_near_duplicates,
+        a1_pair_similarity, a3_pair_density, a4_minhash_estimate, a5_file_sizes, w2_longest_run, j1_band_candidates, j2_posting_join, x10_header_scores, m0_near_duplicates,
     )
 }
 
@@ -158,6 +179,22 @@ _CLAIMED = f"""named AS (SELECT finding_id, split_part(p, '/', 1) AS p, regexp_r
 _DENSITY = f"""{_CLAIMED}, density AS (SELECT finding_id, place, len(list_intersect(a.winnow_hashes, b.winnow_hashes))::BIGINT AS matched,
     round(len(list_intersect(a.winnow_hashes, b.winnow_hashes))::DOUBLE / len(list_distinct(a.winnow_hashes)), 6) AS density FROM claimed JOIN one_file a ON a.file_id = own JOIN one_file b ON b.file_id = other)"""
 _HEAD80 = "array_to_string(string_split(text, chr(10))[1:80], chr(10))"
+_AROUND = _FINDING_SQL["j18_ancestor_licenses"]
+_INLINE = "(" + " OR ".join("contains(lower(h), '" + p.replace("'", "''") + "')" for p in INLINE_LICENSES) + ")"
+_HOLDERS = "list_filter(regexp_extract_all(h, '" + HOLDER + "', 1), lambda x: trim(x) <> '' AND NOT contains(lower(x), 'free software foundation') {more})"
+_ANY_MARKER = "(" + " OR ".join(f"contains(low, '{m}')" for m in EXTERNAL_MARKERS) + ")"
+_POINTS = " + ".join(
+    [
+        "CASE WHEN spdx THEN -35 ELSE 0 END", "CASE WHEN gnu THEN -30 ELSE 0 END", "CASE WHEN nearby THEN -20 WHEN tree THEN -15 ELSE 0 END",
+        f"CASE WHEN regexp_matches(h, '{ORIGIN}') THEN CASE WHEN regexp_matches(h, '" + INTERNAL.replace("'", "''") + "') THEN -35 ELSE 55 END ELSE 0 END",
+        *(f"CASE WHEN contains(low, '{m}') THEN {n} ELSE 0 END" for m, n in ORIGIN_POINTS.items()),
+        "CASE WHEN contains(low, 'license that can be found in the license file') THEN CASE WHEN tree THEN -35 ELSE 35 END ELSE 0 END",
+        "CASE WHEN contains(low, 'all rights reserved') THEN CASE WHEN trail THEN -10 ELSE 20 END ELSE 0 END",
+        "CASE WHEN contains(low, 'bsd-style') THEN CASE WHEN tree THEN -20 ELSE 20 END ELSE 0 END",
+        f"CASE WHEN len({_HOLDERS.format(more='')}) > 0 THEN CASE WHEN trail THEN 20 ELSE 70 END ELSE 0 END",
+        f"CASE WHEN {_ANY_MARKER} THEN CASE WHEN tree THEN -20 WHEN NOT nearby THEN 15 ELSE 0 END ELSE 0 END",
+    ]
+)
 _SNIP = (
     "CASE WHEN length(line) < 24 OR length(line) > 180 OR length(regexp_replace(line, '[^A-Za-z]', '', 'g')) < 12 OR "
     + " OR ".join(f"starts_with(bare, '{b}')" for b in ("/*", "*", "//", "#", "! { dg-"))
@@ -173,6 +210,16 @@ SQL = {
     "x4_shingles": f"WITH {CORPUS} SELECT file_id, len(list_distinct({runs_sql('t', SHINGLE)}))::BIGINT AS shingles FROM (SELECT file_id, {TOKENS} AS t FROM corpus)",
     "w1_winnow": f"""WITH {_GRAMS}, w AS (SELECT file_id, n, pos, min({{'h': hash, 'b': -pos}}) OVER (PARTITION BY file_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS m FROM grams WHERE n > {WINDOW})
         SELECT DISTINCT file_id, (-m.b)::BIGINT AS pos, m.h AS hash FROM w WHERE pos <= n - {WINDOW} UNION ALL SELECT file_id, min({{'h': hash, 'p': pos}}).p::BIGINT, min(hash) FROM grams WHERE n <= {WINDOW} GROUP BY file_id""",
+    "x5_evidence": f"""WITH {CORPUS}, h AS (SELECT file_id, {_HEAD80} AS h FROM corpus), e AS (SELECT file_id, list_filter([CASE WHEN regexp_matches(h, '{SPDX}') THEN 'SPDX' END, CASE WHEN regexp_matches(h, '{ORIGIN}') THEN 'origin-phrase' END,
+        CASE WHEN regexp_matches(h, '{CANONICAL}') THEN 'canonical-source' END, CASE WHEN len(list_filter(regexp_extract_all(h, '{URL_TAIL}'), lambda u: NOT regexp_matches(u, '{HOST_SITES}'))) > 0 THEN 'external-url' END,
+        CASE WHEN {_INLINE} THEN 'inline-license' END, 'copyright:' || trim(substr(trim({_HOLDERS.format(more="AND NOT (contains(lower(x), 'gnu') AND contains(lower(x), 'org'))")}[1]), 1, 40))], lambda x: x IS NOT NULL) AS e FROM h)
+        SELECT file_id, array_to_string(e, '|') AS evidence, CASE WHEN len(e) > 0 THEN 'marked' ELSE 'silent' END AS header_class FROM e""",
+    "x10_header_scores": f"""WITH {CORPUS}, around AS ({_AROUND}), h AS (SELECT file_id, {_HEAD80} AS h, licences > 0 AS nearby, coalesce(nearest = '', false) AS tree FROM corpus JOIN around USING (file_id)),
+        f AS (SELECT *, lower(h) AS low, regexp_matches(h, '{SPDX}') AS spdx, regexp_matches(h, '{GNU}') AS gnu, regexp_matches(h, '{SPDX}') OR regexp_matches(h, '{GNU}') OR nearby OR tree AS trail FROM h)
+        SELECT file_id, ({_POINTS})::BIGINT AS score FROM f""",
+    "j1_band_candidates": f"""WITH o AS {_ONE_FILE}, k AS (SELECT file_id, b, minhash[2 * b + 1] AS x, minhash[2 * b + 2] AS y FROM (SELECT file_id, minhash, unnest(range(0, {BANDS})) AS b FROM o)),
+        h AS (SELECT q.file_id AS query_id, k.file_id, count(*)::BIGINT AS bands FROM k q JOIN k USING (b, x, y) WHERE q.file_id % 100 = 0 AND q.file_id <> k.file_id GROUP BY 1, 2)
+        SELECT query_id, file_id, bands, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bands DESC, file_id) AS rank FROM h) WHERE rank <= 10""",
     "x6_attributed": rf"WITH {CORPUS} SELECT file_id, regexp_matches(text, '(?:^|[^A-Za-z0-9_])GCC(?:$|[^A-Za-z0-9_])') OR regexp_matches(text, '(?i)GNU\s+Compiler\s+Collection|Free\s+Software\s+Foundation|Runtime\s+Library\s+Exception|gcc\.gnu\.org|sourceware\.org/gcc') AS attributed FROM corpus",
     "x12_snippets": rf"""WITH {CORPUS}, lines AS (SELECT DISTINCT file_id, replace(unnest(string_split(text, chr(10))), chr(13), '') AS line FROM corpus), scored AS (SELECT file_id, line, ({_SNIP})::BIGINT AS quality FROM (SELECT *, trim(line) AS bare FROM lines))
         SELECT file_id, rank, quality, md5(line) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY quality DESC, line) AS rank FROM scored WHERE quality >= 0) WHERE rank <= 3""",
