@@ -36,7 +36,7 @@ DENSITY = 0.4
 #: Features of a text whose windows are worked out together.
 STRIDE = 4096
 #: Most characters of item text sent to every task at once; more items are taken in several blocks.
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 1 << 18
 
 _HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐‑][ \t]*\r?\n[ \t>*+#/!|-]*(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
@@ -111,6 +111,12 @@ class Items:
                 at.setdefault(w, []).append(i)
             self.of_word.append(at)
 
+    def __getstate__(self) -> dict:
+        return {"ids": self.ids, "texts": self.texts}  # the tables are built again where they are used
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(state["ids"], state["texts"])
+
     @staticmethod
     def _bits(sums: np.ndarray) -> np.ndarray:
         return np.packbits(sums > 0, axis=-1, bitorder="little").view(np.uint64)

@@ -250,7 +250,7 @@ def licenses(files: DataFrame, sources: DataFrame, license_refs: DataFrame, dice
     """
     # Three branches read the statements; the table spares two more scans of all file contents.
     read = cut_lineage(read_statements(files, reader(license_refs, dice)))
-    union = F.array_distinct(F.flatten(F.collect_list("statements")))
+    union = F.array_distinct(F.flatten(F.collect_set("statements")))  # repeated rows combine before the shuffle
     own = read.where("not is_license").groupBy("project", "relpath").agg(union.alias("statements"))
     own = own.withColumn("dir", folder(F.col("relpath")))
     # Licence files are few and small; one row a folder after this.
