@@ -126,3 +126,14 @@ def test_postings(spark):
     rows = [(1, "a", "2020-01-01"), (1, "b", "2021-01-01"), (1, "c", None), (None, "d", "2020-01-01")]
     one = one_row_a_file(spark.createDataFrame(rows, "file_id long, sha256 string, indexed_at string"))
     assert [r.sha256 for r in one.collect()] == ["b"]
+
+
+def test_digest_distance(spark):
+    from tracewright.functions.text import tlsh_distance
+
+    base = "T1" + "A5" + "21" + "37" + "0123456789ABCDEF" * 4
+    other = "T1" + "A6" + "F0" + "95" + "F123456789ABCDEF" * 4
+    rows = [(base, base), (base, other), (base, None), (base, "T1xx"), (other, base)]
+    got = [r[0] for r in spark.createDataFrame(rows, "a string, b string").select(tlsh_distance(F.col("a"), F.col("b"))).collect()]
+    # length 0x12 to 0x0F differs by 3; ratios 3 to 9 by 6 and 7 to 5 by 2; checksum; four times two codes from 0 to 3
+    assert got == [0, 3 * 12 + 5 * 12 + 1 * 12 + 1 + 4 * 12, -1, -1, got[1]]

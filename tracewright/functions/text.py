@@ -67,3 +67,35 @@ def glob_pattern(glob: str) -> str:
     for c in glob:
         out += {"*": ".*", "?": "."}.get(c) or (c if c.isalnum() or c in "_/-" else "\\" + c)
     return f"^{out}$"
+
+
+def tlsh_distance(a: Column, b: Column) -> Column:
+    """Distance of two locality-sensitive digests (T1 and 70 hexadecimal digits); -1 if either is none.
+
+    Header differences (length, quartile ratios, checksum) and the differences of the 128 two-bit
+    codes of the body, where the greatest counts double.
+    """
+    form = "^T1[0-9A-F]{70}$"
+    digit = lambda c, i: F.instr(F.lit("0123456789ABCDEF"), F.substring(c, i, 1)) - 1
+
+    def around(x: Column, y: Column, size: int) -> Column:
+        return F.least(F.abs(x - y), size - F.abs(x - y))
+
+    def step(d: Column, less: int) -> Column:
+        return F.when(d <= 1, d).otherwise((d - less) * 12)
+
+    length = around(16 * digit(a, 6) + digit(a, 5), 16 * digit(b, 6) + digit(b, 5), 256)
+    header = step(length, 0) + step(around(digit(a, 7), digit(b, 7), 16), 1) + step(around(digit(a, 8), digit(b, 8), 16), 1)
+    header = header + F.when(F.substring(a, 3, 2) != F.substring(b, 3, 2), 1).otherwise(0)
+
+    def code(x: Column, y: Column) -> Column:
+        d = F.abs(x - y)
+        return F.when(d == 3, 6).otherwise(d)
+
+    def pair(i: Column) -> Column:
+        x = F.instr(F.lit("0123456789ABCDEF"), a.substr(i, F.lit(1))) - 1
+        y = F.instr(F.lit("0123456789ABCDEF"), b.substr(i, F.lit(1))) - 1
+        return code(F.floor(x / 4), F.floor(y / 4)) + code(x % 4, y % 4)
+
+    body = F.aggregate(F.sequence(F.lit(9), F.lit(72)), F.lit(0).cast("bigint"), lambda acc, i: acc + pair(i).cast("bigint"))
+    return F.when(a.rlike(form) & b.rlike(form), header + body).otherwise(-1).cast("bigint")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import KGRAM, WINDOW, portable_hash, runs_of
+from ..session import cut_lineage
 
 
 def kgrams(tokenised: DataFrame, key: str, k: int = KGRAM) -> DataFrame:
@@ -36,6 +37,18 @@ def one_row_a_file(files: DataFrame) -> DataFrame:
     return files.where("file_id is not null").withColumn("rank_", F.row_number().over(order)).where("rank_ = 1").drop("rank_")
 
 
+def once(df: DataFrame, key: str) -> DataFrame:
+    """One row for each key of a table whose rows of equal key are copies, moving only the copies.
+
+    The keys are counted first, from their column alone; rows of other keys stay where they are.
+    Rows without a key are left out.
+    """
+    counted = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n_")).where("n_ > 1").select(key)
+    repeated = cut_lineage(counted)
+    copies = df.join(repeated, key, "left_semi").dropDuplicates([key])
+    return df.where(F.col(key).isNotNull()).join(repeated, key, "left_anti").unionByName(copies)
+
+
 def posting_matches(queries: DataFrame, files: DataFrame) -> DataFrame:
     """query_id, file_id, matched, density: files that share winnow hashes with each query file.
 
@@ -44,9 +57,9 @@ def posting_matches(queries: DataFrame, files: DataFrame) -> DataFrame:
     """
     q = queries.select(F.col("file_id").alias("query_id"), F.explode(F.array_distinct("winnow_hashes")).alias("hash")).distinct()
     size = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("hashes"))
-    # Only hashes that some query has reach the join.
-    p = files.select("file_id", F.explode(F.array_distinct("winnow_hashes")).alias("hash")).distinct()
-    hits = q.join(p, "hash").where("query_id <> file_id").groupBy("query_id", "file_id").agg(F.count(F.lit(1)).alias("matched"))
+    # Postings meet the queries' hashes as they are scanned; repeated rows fall out of the hits.
+    p = files.select("file_id", F.explode(F.array_distinct("winnow_hashes")).alias("hash"))
+    hits = p.join(q, "hash").where("query_id <> file_id").distinct().groupBy("query_id", "file_id").agg(F.count(F.lit(1)).alias("matched"))
     return hits.join(size, "query_id").select("query_id", "file_id", "matched", (F.col("matched") / F.col("hashes")).alias("density"))
 
 

@@ -50,14 +50,14 @@ def a8_totals(spark, sf):
 
 def j11_bug_documents(spark, sf):
     """Documents about each bug: an inner join, one to many."""
-    d = table(spark, sf, "documents", ["doc_id", "pr", "kind"]).distinct()
+    d = table(spark, sf, "documents", ["doc_id", "pr", "kind"])
     b = table(spark, sf, "bug_history", ["bug_id", "component"]).distinct()
     return d.join(b, F.col("pr") == F.col("bug_id")).groupBy("bug_id", "component", "kind").agg(F.count(F.lit(1)).alias("documents"))
 
 
 def j12_first_commit(spark, sf):
     """Bugs that some commit message is about, with the earliest one."""
-    d = table(spark, sf, "documents", ["doc_id", "pr", "kind", "created_at"]).distinct().where("kind = 'commit_message' and pr is not null")
+    d = table(spark, sf, "documents", ["doc_id", "pr", "kind", "created_at"]).where("kind = 'commit_message' and pr is not null")
     b = table(spark, sf, "bug_history", ["bug_id"]).distinct()
     return first_of(d.join(b, F.col("pr") == F.col("bug_id"), "left_semi"), ["pr"], [F.col("created_at").asc_nulls_last(), F.col("doc_id")]).select(F.col("pr").alias("bug_id"), "doc_id")
 
@@ -70,7 +70,7 @@ def j13_untracked(spark, sf):
 
 def j16_new_failures(spark, sf):
     """Failing tests in texts from a day on that no earlier text has."""
-    line = table(spark, sf, "documents", ["doc_id", "text", "created_at"]).distinct().select("created_at", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").startswith("FAIL: "))
+    line = table(spark, sf, "documents", ["doc_id", "text", "created_at"]).select("created_at", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").startswith("FAIL: "))
     name = line.select("created_at", F.regexp_extract("line", r"^FAIL: (\S+)", 1).alias("test"))
     day = F.lit("2025-01-01").cast("timestamp")
     return name.where(F.col("created_at") >= day).select("test").distinct().join(name.where(F.col("created_at") < day).select("test"), "test", "left_anti")

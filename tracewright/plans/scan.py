@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.headers import CANDIDATE_MARKERS, has_candidate_marker, is_text_candidate
 from ..functions.text import ascii_text, file_name, first_lines, glob_pattern
-from ..operators.similarity import first_of, one_row_a_file
+from ..operators.similarity import first_of, once, one_row_a_file
 from ..session import table
 from .common import CORPUS, IS_TEXT, NAME, quoted
 
@@ -17,8 +17,14 @@ ONLY = ("*.c", "*.h", "*.f90")
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct corpus files with their ASCII text."""
-    return table(spark, sf, "corpus_files").distinct().withColumn("text", ascii_text(F.col("bytes")))
+    """Corpus files with their ASCII text. Repeated rows are still there: queries drop them from
+    their narrow results, so that no text is moved for it."""
+    return table(spark, sf, "corpus_files").withColumn("text", ascii_text(F.col("bytes")))
+
+
+def corpus_once(spark: SparkSession, sf: str) -> DataFrame:
+    """The same without repeated rows, for queries that explode texts. Only texts of repeated files move."""
+    return once(table(spark, sf, "corpus_files", ["file_id", "relpath", "bytes"]), "file_id").withColumn("text", ascii_text(F.col("bytes")))
 
 
 def s1_corpus_files(spark, sf):
@@ -44,7 +50,7 @@ def s3_scoped_files(spark, sf):
 
 
 def s5_marked_files(spark, sf):
-    return corpus(spark, sf).where(is_text_candidate(F.col("relpath")) & has_candidate_marker(F.col("text"))).select("file_id", "project", "relpath")
+    return corpus(spark, sf).where(is_text_candidate(F.col("relpath")) & has_candidate_marker(F.col("text"))).select("file_id", "project", "relpath").distinct()
 
 
 def s6_changed_files(spark, sf):
@@ -58,7 +64,7 @@ def s6_changed_files(spark, sf):
 
 def s7_header_read(spark, sf):
     head = corpus(spark, sf).select("file_id", first_lines(F.col("text"), 80).alias("head"))
-    return head.select("file_id", F.length("head").cast("bigint").alias("chars"), F.md5("head").alias("digest"))
+    return head.select("file_id", F.length("head").cast("bigint").alias("chars"), F.md5("head").alias("digest")).distinct()
 
 
 def s10_header_rename(spark, sf):
@@ -66,7 +72,7 @@ def s10_header_rename(spark, sf):
     looks = F.substring("text", 1, 4096).rlike(r"(?m)^\s*(#|//|/\*|namespace|template|class|struct|inline|constexpr|typedef|using|enum)")
     bare = ~file_name(F.col("relpath")).contains(".")
     keep = ~file_name(F.col("relpath")).rlike(r"(?i)^(license|copying|copyright|readme|authors|news|makefile)")
-    return corpus(spark, sf).select("file_id", F.when(bare & keep & looks, F.concat("relpath", F.lit(".hpp"))).otherwise(F.col("relpath")).alias("name"))
+    return corpus(spark, sf).select("file_id", F.when(bare & keep & looks, F.concat("relpath", F.lit(".hpp"))).otherwise(F.col("relpath")).alias("name")).distinct()
 
 
 def s11_index_read(spark, sf):
@@ -84,31 +90,31 @@ def s13_report_matches(spark, sf):
 def s20_commit_names(spark, sf):
     """Commit names in texts: release commits and hash-like words with a digit."""
     found = F.regexp_extract_all("text", F.lit(r"r[0-9]{1,2}-[0-9]{1,5}"), F.lit(0))
-    return table(spark, sf, "documents", ["doc_id", "text"]).distinct().select("doc_id", F.explode(F.array_distinct(found)).alias("commit_name"))
+    return table(spark, sf, "documents", ["doc_id", "text"]).select("doc_id", F.explode(F.array_distinct(found)).alias("commit_name"))
 
 
 def s21_commit_order(spark, sf):
     """Commit names over all sources, each kept where it is first named."""
-    docs = table(spark, sf, "documents", ["doc_id", "text"]).distinct()
+    docs = table(spark, sf, "documents", ["doc_id", "text"])
     found = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"r[0-9]{1,2}-[0-9]{1,5}"), F.lit(0))).alias("at", "commit_name"))
     return found.groupBy("commit_name").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("times"))
 
 
 def s23_named_paths(spark, sf):
     found = F.regexp_extract_all("text", F.lit(r"[a-z]+_[a-z0-9]+\.(?:c|cc|h|py|f90)"), F.lit(0))
-    return table(spark, sf, "documents", ["doc_id", "text", "kind"]).distinct().where("kind = 'pr_readme' or kind = 'commit_message'").select("doc_id", F.explode(F.array_distinct(found)).alias("path"))
+    return table(spark, sf, "documents", ["doc_id", "text", "kind"]).where("kind = 'pr_readme' or kind = 'commit_message'").select("doc_id", F.explode(F.array_distinct(found)).alias("path"))
 
 
 def s25_test_results(spark, sf):
     """Result lines of test logs in texts, counted by outcome; texts without any have no row."""
-    line = table(spark, sf, "documents", ["doc_id", "text"]).distinct().select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    line = table(spark, sf, "documents", ["doc_id", "text"]).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     outcome = F.regexp_extract("line", r"^(FAIL|XPASS|UNRESOLVED|ERROR): ", 1)
     return line.where(outcome != "").groupBy("doc_id", outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("lines"))
 
 
 def s26_diff_lines(spark, sf):
     """Added and deleted lines of the diffs that texts hold."""
-    line = table(spark, sf, "documents", ["doc_id", "text"]).distinct().select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    line = table(spark, sf, "documents", ["doc_id", "text"]).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     added = F.col("line").rlike(r"^\+[^+]")
     deleted = F.col("line").rlike(r"^-[^-]")
     return line.groupBy("doc_id").agg(F.count_if(added).alias("added"), F.count_if(deleted).alias("deleted")).where("added > 0 or deleted > 0")
@@ -117,7 +123,7 @@ def s26_diff_lines(spark, sf):
 def s27_first_years(spark, sf):
     """The first year in a file's first 30 lines."""
     year = F.regexp_extract(first_lines(F.col("text"), 30), r"(?:19|20)[0-9]{2}", 0)
-    return corpus(spark, sf).select("file_id", F.when(year != "", year.cast("bigint")).alias("year")).where("year is not null")
+    return corpus(spark, sf).select("file_id", F.when(year != "", year.cast("bigint")).alias("year")).where("year is not null").distinct()
 
 
 def f2_body_gate(spark, sf):
@@ -147,24 +153,24 @@ def f11_open_bugs(spark, sf):
 
 def f14_expectations(spark, sf):
     """Texts that contain any of some phrases, all of others and none of a third set."""
-    rows = table(spark, sf, "documents", ["doc_id", "text"]).distinct()
+    rows = table(spark, sf, "documents", ["doc_id", "text"])
     has = lambda s: F.contains(F.col("text"), F.lit(s))
     return rows.where((has("regression") | has("crash")) & has("the ") & has("branch") & ~(has("FAIL:") | has("XPASS:"))).select("doc_id")
 
 
 def f15_status_like(spark, sf):
-    rows = table(spark, sf, "documents", ["doc_id", "text", "source"]).distinct()
+    rows = table(spark, sf, "documents", ["doc_id", "text", "source"])
     return rows.where(F.col("text").rlike(r"(?i)(unexpected failures|has been merged|not reproduced)") & ~F.col("source").rlike("^(wiki|mirror)-")).select("doc_id")
 
 
 def f16_secrets(spark, sf):
-    rows = table(spark, sf, "documents", ["doc_id", "text"]).distinct()
+    rows = table(spark, sf, "documents", ["doc_id", "text"])
     return rows.where(F.col("text").rlike(r"(?i)(api[_-]?key|api[_-]?token|secret[_-]?key|password\s*=|BEGIN (RSA|OPENSSH|PGP|EC) PRIVATE|ghp_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,})")).select("doc_id")
 
 
 def f18_message_policy(spark, sf):
     """Messages that name no address or run over fifteen lines."""
-    rows = table(spark, sf, "documents", ["doc_id", "text", "kind"]).distinct().where("kind = 'commit_message'")
+    rows = table(spark, sf, "documents", ["doc_id", "text", "kind"]).where("kind = 'commit_message'")
     lines = F.size(F.split("text", "\n"))
     return rows.select("doc_id", F.col("text").rlike("https?://").alias("has_url"), (lines <= 15).alias("short")).where("not (has_url and short)")
 

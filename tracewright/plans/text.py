@@ -5,27 +5,27 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.headers import EXTERNAL_MARKERS, GNU, HOLDER, HOST_SITES, INLINE_LICENSES, INTERNAL, ORIGIN, ORIGIN_POINTS, SPDX, CANONICAL, URL_TAIL, attributed, clone_language, evidence, header_score, snippet_quality
-from ..functions.text import KGRAM, SHINGLE, WINDOW, ascii_text, first_lines, jaccard, runs_of, strip_leading_comment, stripped_lines, tokens
-from ..operators.similarity import kgrams, longest_run, one_row_a_file, posting_matches, top_k, winnow, winnow_density
+from ..functions.text import KGRAM, SHINGLE, WINDOW, ascii_text, first_lines, jaccard, runs_of, strip_leading_comment, stripped_lines, tlsh_distance, tokens
+from ..operators.similarity import kgrams, longest_run, once, one_row_a_file, posting_matches, top_k, winnow, winnow_density
 from ..session import cut_lineage, table
 from .common import ASCII, CORPUS, TOKENS, jaccard_sql, runs_sql
 from .findings import SQL as _FINDING_SQL, j18_ancestor_licenses
-from .scan import _ONE_FILE, corpus
+from .scan import _ONE_FILE, corpus, corpus_once
 
 
 def x1_tokens(spark, sf):
     t = corpus(spark, sf).select("file_id", tokens(F.col("text")).alias("t"))
-    return t.select("file_id", F.size("t").cast("bigint").alias("tokens"), F.md5(F.array_join("t", " ")).alias("digest"))
+    return t.select("file_id", F.size("t").cast("bigint").alias("tokens"), F.md5(F.array_join("t", " ")).alias("digest")).distinct()
 
 
 def x2_stripped(spark, sf):
     s = corpus(spark, sf).select("file_id", strip_leading_comment(F.col("text")).alias("s"))
-    return s.select("file_id", F.length("s").cast("bigint").alias("chars"), F.md5("s").alias("digest"))
+    return s.select("file_id", F.length("s").cast("bigint").alias("chars"), F.md5("s").alias("digest")).distinct()
 
 
 def _tokenised(spark, sf):
     # The table keeps the tokens from being computed again inside each later expression.
-    return cut_lineage(corpus(spark, sf).select("file_id", tokens(strip_leading_comment(F.col("text"))).alias("tokens")))
+    return cut_lineage(corpus_once(spark, sf).select("file_id", tokens(strip_leading_comment(F.col("text"))).alias("tokens")))
 
 
 def x3_kgrams(spark, sf):
@@ -35,7 +35,7 @@ def x3_kgrams(spark, sf):
 
 def x4_shingles(spark, sf):
     full = cut_lineage(corpus(spark, sf).select("file_id", tokens(F.col("text")).alias("tokens")))
-    return full.select("file_id", F.size(F.array_distinct(runs_of(F.col("tokens"), SHINGLE))).cast("bigint").alias("shingles"))
+    return full.select("file_id", F.size(F.array_distinct(runs_of(F.col("tokens"), SHINGLE))).cast("bigint").alias("shingles")).distinct()
 
 
 def w1_winnow(spark, sf):
@@ -44,16 +44,16 @@ def w1_winnow(spark, sf):
 
 def x5_evidence(spark, sf):
     e = corpus(spark, sf).select("file_id", evidence(first_lines(F.col("text"), 80)).alias("e"))
-    return e.select("file_id", F.array_join("e", "|").alias("evidence"), F.when(F.size("e") > 0, "marked").otherwise("silent").alias("header_class"))
+    return e.select("file_id", F.array_join("e", "|").alias("evidence"), F.when(F.size("e") > 0, "marked").otherwise("silent").alias("header_class")).distinct()
 
 
 def x6_attributed(spark, sf):
-    return corpus(spark, sf).select("file_id", attributed(F.col("text")).alias("attributed"))
+    return corpus(spark, sf).select("file_id", attributed(F.col("text")).alias("attributed")).distinct()
 
 
 def x12_snippets(spark, sf):
     """The three best search phrases of every file."""
-    line = corpus(spark, sf).select("file_id", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda l: F.regexp_replace(l, "\r", "")))).alias("line"))
+    line = corpus_once(spark, sf).select("file_id", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda l: F.regexp_replace(l, "\r", "")))).alias("line"))
     scored = line.withColumn("quality", snippet_quality(F.col("line")).cast("bigint")).where("quality >= 0")
     return top_k(scored, ["file_id"], [F.col("quality").desc(), F.col("line")], 3).select("file_id", F.col("rank").cast("bigint").alias("rank"), "quality", F.md5("line").alias("digest"))
 
@@ -81,8 +81,14 @@ def _claimed(spark, sf):
     return named.join(own, ["p", "r"]).join(other, ["mp", "mr"]).select("finding_id", "place", "own", "other")
 
 
-def _with_text(pairs, files, columns):
-    """Pairs with columns of both files; each distinct file is worked out once."""
+def _used(pairs, files):
+    """The files that occur in pairs, once each."""
+    ids = cut_lineage(pairs.select(F.col("own").alias("file_id")).union(pairs.select("other")).distinct())
+    return once(files.join(ids, "file_id", "left_semi"), "file_id")
+
+
+def _with_both(pairs, files, columns):
+    """Pairs with columns of both files."""
     a = files.select(F.col("file_id").alias("own"), *(F.col(c).alias(f"{c}_a") for c in columns))
     b = files.select(F.col("file_id").alias("other"), *(F.col(c).alias(f"{c}_b") for c in columns))
     return pairs.join(a, "own").join(b, "other")
@@ -91,40 +97,49 @@ def _with_text(pairs, files, columns):
 def a1_pair_similarity(spark, sf):
     """Shingle and line similarity, recomputed, of every match of a finding."""
     pairs = _claimed(spark, sf)
-    used = pairs.select(F.col("own").alias("file_id")).union(pairs.select("other")).distinct()
-    text = table(spark, sf, "corpus_files", ["file_id", "bytes"]).join(used, "file_id", "left_semi").dropDuplicates(["file_id"]).select("file_id", ascii_text(F.col("bytes")).alias("text"))
+    text = _used(pairs, table(spark, sf, "corpus_files", ["file_id", "bytes"])).select("file_id", ascii_text(F.col("bytes")).alias("text"))
     tokenised = cut_lineage(text.select("file_id", tokens(F.col("text")).alias("t"), stripped_lines(F.col("text")).alias("lines")))
     sets = tokenised.select("file_id", "lines", F.array_distinct(runs_of(F.col("t"), SHINGLE)).alias("shingles"))
-    both = _with_text(pairs, sets, ["shingles", "lines"])
+    both = _with_both(pairs, sets, ["shingles", "lines"])
     return both.select("finding_id", "place", F.round(jaccard(F.col("shingles_a"), F.col("shingles_b")), 6).alias("shingle"), F.round(jaccard(F.col("lines_a"), F.col("lines_b")), 6).alias("line"))
 
 
 def a3_pair_density(spark, sf):
-    files = one_row_a_file(table(spark, sf, "files", ["file_id", "winnow_hashes", "sha256", "indexed_at"]))
-    both = _with_text(_claimed(spark, sf), files, ["winnow_hashes"])
+    files = table(spark, sf, "files", ["file_id", "winnow_hashes"])
+    pairs = _claimed(spark, sf)
+    both = _with_both(pairs, _used(pairs, files), ["winnow_hashes"])
     return both.select("finding_id", "place", F.size(F.array_intersect("winnow_hashes_a", "winnow_hashes_b")).cast("bigint").alias("matched"), F.round(winnow_density(F.col("winnow_hashes_a"), F.col("winnow_hashes_b")), 6).alias("density"))
 
 
 def a4_minhash_estimate(spark, sf):
-    files = one_row_a_file(table(spark, sf, "files", ["file_id", "minhash", "sha256", "indexed_at"]))
-    both = _with_text(_claimed(spark, sf), files, ["minhash"])
+    files = table(spark, sf, "files", ["file_id", "minhash"])
+    pairs = _claimed(spark, sf)
+    both = _with_both(pairs, _used(pairs, files), ["minhash"])
     same = F.size(F.filter(F.zip_with("minhash_a", "minhash_b", lambda a, b: a == b), lambda x: x))
     return both.select("finding_id", "place", F.round(same / F.size("minhash_a"), 6).alias("estimate"))
 
 
+def x16_digest_distances(spark, sf):
+    pairs = _claimed(spark, sf)
+    both = _with_both(pairs, _used(pairs, table(spark, sf, "files", ["file_id", "tlsh"])), ["tlsh"])
+    return both.select("finding_id", "place", F.coalesce(tlsh_distance(F.col("tlsh_a"), F.col("tlsh_b")), F.lit(-1)).alias("distance"))
+
+
 def a5_file_sizes(spark, sf):
     f = one_row_a_file(table(spark, sf, "files", ["file_id", "project", "tokens", "kgrams", "winnow_hashes", "sha256", "indexed_at"]))
     return f.groupBy("project").agg(F.count(F.lit(1)).alias("files"), F.sum("tokens").alias("tokens"), F.sum("kgrams").alias("kgrams"), F.sum(F.size("winnow_hashes")).cast("bigint").alias("winnows"))
 
 
 def w2_longest_run(spark, sf):
-    files = one_row_a_file(table(spark, sf, "files", ["file_id", "winnow_hashes", "winnow_positions", "sha256", "indexed_at"]))
+    files = once(table(spark, sf, "files", ["file_id", "winnow_hashes", "winnow_positions"]), "file_id")
     pairs = _claimed(spark, sf)
+    used = pairs.select(F.col("own").alias("file_id")).union(pairs.select("other")).distinct()
+    files = once(files.join(used, "file_id", "left_semi"), "file_id")
     a = files.select(F.col("file_id").alias("own"), F.col("winnow_hashes").alias("hashes"), F.col("winnow_positions").alias("positions"))
     b = files.select(F.col("file_id").alias("other_id"), F.col("winnow_hashes").alias("other"))
     # Many findings name the same pair; each is worked out once.
-    once = pairs.select("own", "other").distinct().withColumnRenamed("other", "other_id").join(a, "own").join(b, "other_id").select(F.struct("own", F.col("other_id").alias("other")).alias("pair"), "hashes", "positions", "other")
-    run = longest_run(once, "pair").select("pair.own", "pair.other", "longest_run")
+    each = pairs.select("own", "other").distinct().withColumnRenamed("other", "other_id").join(a, "own").join(b, "other_id").select(F.struct("own", F.col("other_id").alias("other")).alias("pair"), "hashes", "positions", "other")
+    run = longest_run(each, "pair").select("pair.own", "pair.other", "longest_run")
     return pairs.join(run, ["own", "other"], "left").select("finding_id", "place", F.coalesce("longest_run", F.lit(0)).cast("bigint").alias("longest_run"))
 
 
@@ -140,7 +155,7 @@ BANDS = 28  # of two rows each: what a threshold of 0.2 over 128 permutations co
 
 def j1_band_candidates(spark, sf):
     """For each file whose id is divisible by 100, the ten files that share the most MinHash bands."""
-    f = one_row_a_file(table(spark, sf, "files", ["file_id", "minhash", "sha256", "indexed_at"]))
+    f = once(table(spark, sf, "files", ["file_id", "minhash"]), "file_id")
     key = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.concat_ws("-", b, F.element_at("minhash", 2 * b + 1), F.element_at("minhash", 2 * b + 2)))
     keyed = f.select("file_id", F.explode(key).alias("band"))
     hits = keyed.where("file_id % 100 = 0").withColumnRenamed("file_id", "query_id").join(keyed, "band").where("query_id <> file_id").groupBy("query_id", "file_id").agg(F.count(F.lit(1)).alias("bands"))
@@ -152,7 +167,7 @@ def x10_header_scores(spark, sf):
     around = j18_ancestor_licenses(spark, sf)
     head = corpus(spark, sf).select("file_id", first_lines(F.col("text"), 80).alias("head"))
     score = header_score(F.col("head"), F.col("licences") > 0, F.coalesce(F.col("root"), F.lit(False)))
-    return head.join(around.withColumn("root", F.col("nearest").isNotNull() & (F.col("nearest") == "")), "file_id").select("file_id", score.cast("bigint").alias("score"))
+    return head.join(around.withColumn("root", F.col("nearest").isNotNull() & (F.col("nearest") == "")), "file_id").select("file_id", score.cast("bigint").alias("score")).distinct()
 
 
 def m0_near_duplicates(spark, sf):
@@ -164,7 +179,7 @@ def m0_near_duplicates(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        x1_tokens, x2_stripped, x3_kgrams, x4_shingles, w1_winnow, x5_evidence, x6_attributed, x12_snippets, x14_languages, x15_digests,
+        x1_tokens, x2_stripped, x3_kgrams, x4_shingles, w1_winnow, x5_evidence, x6_attributed, x12_snippets, x14_languages, x15_digests, x16_digest_distances,
         a1_pair_similarity, a3_pair_density, a4_minhash_estimate, a5_file_sizes, w2_longest_run, j1_band_candidates, j2_posting_join, x10_header_scores, m0_near_duplicates,
     )
 }
@@ -231,6 +246,11 @@ SQL = {
         SELECT finding_id, place, round({jaccard_sql('a.s', 'b.s')}, 6) AS shingle, round({jaccard_sql('a.lines', 'b.lines')}, 6) AS line FROM claimed JOIN sets a ON a.file_id = own JOIN sets b ON b.file_id = other""",
     "a3_pair_density": f"WITH {_DENSITY} SELECT * FROM density",
     "a4_minhash_estimate": f"WITH {_CLAIMED} SELECT finding_id, place, round(len(list_filter(list_zip(a.minhash, b.minhash), lambda x: x[1] = x[2]))::DOUBLE / len(a.minhash), 6) AS estimate FROM claimed JOIN one_file a ON a.file_id = own JOIN one_file b ON b.file_id = other",
+    "x16_digest_distances": f"""WITH {_CLAIMED}, d AS (SELECT finding_id, place, a.tlsh AS a, b.tlsh AS b FROM claimed JOIN one_file a ON a.file_id = own JOIN one_file b ON b.file_id = other),
+        n AS (SELECT finding_id, place, list_transform(string_split(a[3:], ''), lambda c: instr('0123456789ABCDEF', c) - 1) AS x, list_transform(string_split(b[3:], ''), lambda c: instr('0123456789ABCDEF', c) - 1) AS y, a[3:4] <> b[3:4] AS other FROM d WHERE regexp_matches(a, '^T1[0-9A-F]{{70}}$') AND regexp_matches(b, '^T1[0-9A-F]{{70}}$')),
+        h AS (SELECT *, abs(16 * x[4] + x[3] - 16 * y[4] - y[3]) AS l, abs(x[5] - y[5]) AS q, abs(x[6] - y[6]) AS r, list_sum(list_transform(range(7, 71), lambda i: (CASE WHEN abs(x[i] // 4 - y[i] // 4) = 3 THEN 6 ELSE abs(x[i] // 4 - y[i] // 4) END) + (CASE WHEN abs(x[i] % 4 - y[i] % 4) = 3 THEN 6 ELSE abs(x[i] % 4 - y[i] % 4) END))) AS body FROM n),
+        k AS (SELECT finding_id, place, least(l, 256 - l) AS l, least(q, 16 - q) AS q, least(r, 16 - r) AS r, other, body FROM h)
+        SELECT d.finding_id, d.place, coalesce(body + (CASE WHEN l <= 1 THEN l ELSE l * 12 END) + (CASE WHEN q <= 1 THEN q ELSE (q - 1) * 12 END) + (CASE WHEN r <= 1 THEN r ELSE (r - 1) * 12 END) + (CASE WHEN other THEN 1 ELSE 0 END), -1)::BIGINT AS distance FROM d LEFT JOIN k ON k.finding_id = d.finding_id AND k.place = d.place""",
     "a5_file_sizes": f"SELECT project, count(*)::BIGINT AS files, sum(tokens)::BIGINT AS tokens, sum(kgrams)::BIGINT AS kgrams, sum(len(winnow_hashes))::BIGINT AS winnows FROM {_ONE_FILE} GROUP BY project",
     "w2_longest_run": f"""WITH {_CLAIMED}, pairs AS (SELECT DISTINCT own, other FROM claimed), entry AS (SELECT own, other, unnest(range(0, len(a.winnow_hashes))) AS place, unnest(a.winnow_positions) AS pos, unnest(list_transform(a.winnow_hashes, lambda h: list_contains(b.winnow_hashes, h))) AS hit
             FROM pairs JOIN one_file a ON a.file_id = own JOIN one_file b ON b.file_id = other),
