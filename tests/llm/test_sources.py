@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from tracewright.llm.handwritten import KEYWORDS, not_handwritten, origins
 from tracewright.llm.lexing import bands, minhash, tokenize, windows
 from tracewright.llm.licenses import Reader, licenses, reader, verdict
-from tracewright.llm.near_duplicates import fold, near_duplicates, odd_sketch, similar_files
+from tracewright.llm.near_duplicates import fold, near_duplicates, odd_sketch, similar_files, similar_groups
 from tracewright.llm.source_text import comment_text, opening_comment
 
 TOKEN = re.compile(r"[A-Za-z_][A-Za-z_0-9]*|[0-9]+|==|!=|<=|>=|->|::|&&|\|\||[-+*/%<>&|^~!?=(){}\[\],.;:]")
@@ -173,6 +173,12 @@ def test_similar_files_equal_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
     links, members = near_duplicates(index, files)
     assert members.where("file_id = 91").first()["class"] == 90 or members.where("file_id = 91").first()["class"] == members.where("file_id = 90").first()["class"]
+    groups = {r.file_id: r.group_id for r in similar_groups(index, files).collect()}
+    parent = {i: i for i, s in sets.items() if s}
+    for _ in parent:
+        for a, b in want:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    assert groups == parent
     assert similar_files(index.limit(0), files).count() == 0
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .components import components
 from .lexing import bands, minhash, mix, windows
 from .shingles import WIDTH, token_lists, verified_pairs
 from .source_text import binary_column
@@ -196,3 +197,14 @@ def similar_files(index: DataFrame, files: DataFrame, similarity: float = SIMILA
     b = membership.select(F.col("class").alias("b"), F.col("file_id").alias("y"))
     met = links.select("a", "b").unionByName(same).join(a, "a").join(b, "b").where("a <> b or x < y")
     return met.select(F.least("x", "y").alias("file_id_a"), F.greatest("x", "y").alias("file_id_b"))
+
+
+def similar_groups(index: DataFrame, files: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """file_id, class, group_id: files linked directly or through others, one row for each file.
+
+    ``class`` is the smallest file with the same shingles, ``group_id`` the smallest file of the group;
+    a file like no other is its own group.
+    """
+    links, membership = near_duplicates(index, files, similarity)
+    reached = components(links.select("a", "b")).select(F.col("node").alias("class"), F.col("component").alias("group_id"))
+    return membership.join(reached, "class", "left").select("file_id", "class", F.coalesce("group_id", "class").alias("group_id"))

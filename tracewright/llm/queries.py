@@ -10,7 +10,7 @@ from .handwritten import not_handwritten
 from .languages import mislabelled, segments
 from .leaks import leaks
 from .licenses import licenses
-from .near_duplicates import similar_files
+from .near_duplicates import similar_files, similar_groups
 from .packing import containers
 from .shared_spans import passages, shared_shares, spans
 
@@ -47,6 +47,10 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return similar_files(table(spark, sf, "files"), table(spark, sf, "corpus_files"))
 
 
+def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return similar_groups(table(spark, sf, "files"), table(spark, sf, "corpus_files"))
+
+
 def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
     return containers(table(spark, sf, "documents"))
 
@@ -65,7 +69,7 @@ def p9_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_kinds, p2_found, p4_found, p5_found, p5_passages, p5_shares, p6_found, p7_containers, p8_found, p9_found, p9_segments)
+    for f in (p1_found, p1_kinds, p2_found, p4_found, p5_found, p5_passages, p5_shares, p6_found, p6_groups, p7_containers, p8_found, p9_found, p9_segments)
 }
 
 def _clean(column: str) -> str:
