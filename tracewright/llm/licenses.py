@@ -38,21 +38,22 @@ UNLISTED = (
     rf"{_LGPL}{_VERSION}(?:{_V3}|2\.0|two|second){_PLUS}?",
     rf"{_LGPL}{_VERSION}2\.1{_ONLY}",
     rf"{_GPL}{_VERSION}{_V2}(?:\s+version)?{_PLUS}",
+    rf"{_GPL}\s*\(>=\s*{_V2}\)",
     rf"{_GPL}{_VERSION}{_V3}(?:\s+version)?{_ONLY}",
-    r"bsd[\s-]*(?:2|4|0)(?:[\s-]*clause)?(?:\s+licen[sc]e)?|(?:two|2|four|4|zero|0)[\s-]*clause\s+bsd(?:\s+licen[sc]e)?|simplified\s+bsd",
+    r"bsd[\s-]*(?:2|4|0)(?:[\s-]*clause)?(?:[\s-]+licen[sc]e)?|(?:two|2|four|4|zero|0)[\s-]*clause\s+bsd(?:[\s-]+licen[sc]e)?|simplified\s+bsd",
     r"(?:mpl|mozilla\s+public\s+licen[sc]e)[\s,-]*(?:version\s*|v)?1(?:\.[01])?",
     r"(?:apache(?:\s+(?:software\s+)?licen[sc]e)?|asl|alv?)[\s,-]*(?:version\s*|v)?1(?:\.[01])?",
 )
 SPELLINGS = (
     ("LGPL-2.1-or-later", rf"{_LGPL}(?:{_VERSION}2(?:\.1)?)?{_PLUS}?"),
-    ("GPL-3.0-or-later", rf"{_GPL}{_VERSION}{_V3}(?:\s+(?:version|edition))?{_PLUS}?"),
+    ("GPL-3.0-or-later", rf"{_GPL}(?:\s*\(>=\s*{_V3}\)|{_VERSION}{_V3}(?:\s+(?:version|edition))?{_PLUS}?)"),
     ("GPL-2.0-only", rf"{_GPL}{_VERSION}{_V2}(?:\s+(?:version|edition))?{_ONLY}?"),
     ("MPL-2.0", r"(?:mpl|mozilla\s+public\s+licen[sc]e)(?:[\s,-]*(?:version\s*|v\.?\s*)?(?:2(?:\.0)?|two))?"),
     ("Apache-2.0", r"(?:apache(?:\s+(?:software\s+)?licen[sc]e)?(?:[\s,-]*(?:version\s*|v\.?\s*)?(?:2(?:\.0)?|two))?|(?:asl|al)[\s-]*v?2(?:\.0)?)"),
-    ("BSD-3-Clause", r"(?:(?:three|3)[\s-]*clause\s+bsd|(?:new|modified|revised)\s+bsd|bsd[\s-]*3(?:[\s-]*clause)?|bsd)(?:\s+licen[sc]e)?"),
+    ("BSD-3-Clause", r"(?:(?:three|3)[\s-]*clause\s+bsd|(?:new|modified|revised)\s+bsd|bsd[\s-]*3(?:[\s-]*clause)?|bsd)(?:[\s-]+licen[sc]e)?"),
     ("BSL-1.0", r"(?:bsl|boost(?:\s+software\s+licen[sc]e)?)(?:[\s,-]*(?:version\s*|v\.?\s*)?1(?:\.0)?)?"),
-    ("MIT", r"(?:mit[\s]*/[\s]*x11|mit|expat|x11)(?:\s+licen[sc]e)?"),
-    ("Zlib", r"zlib(?:\s*/\s*(?:lib)?png)?(?:\s+licen[sc]e)?"),
+    ("MIT", r"(?:mit[\s]*/[\s]*x11|mit|expat|x11)(?:[\s-]+licen[sc]e)?"),
+    ("Zlib", r"zlib(?:\s*/\s*(?:lib)?png)?(?:[\s-]+licen[sc]e)?"),
 )
 _END = r"(?![\w+]|-\w|\.\d)"
 _ARTICLE = re.compile(r"\(?\s*(?:the\s+)?(?:terms\s+of\s+(?:the\s+)?)?", re.I)
