@@ -92,7 +92,7 @@ def test_items_are_taken_in_blocks(spark, monkeypatch):
 
 
 def test_label_codes():
-    assert [label_code(x) for x in ("EN", "en-US", "en_GB", "eng", "German", "ger", "pt-BR", "und", "", None, "xx", "n/a")] == ["en", "en", "en", "en", "de", "de", "pt", None, None, None, None, None]
+    assert [label_code(x) for x in ("EN", "en-US", "en_GB", "eng", "German", "ger", "pt-BR", "Brazilian Portuguese", "und", "", None, "xx", "n/a")] == ["en", "en", "en", "en", "de", "de", "pt", "pt", None, None, None, None, None]
 
 
 def test_forward_sums_all_segmentations():

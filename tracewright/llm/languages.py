@@ -70,7 +70,10 @@ def label_code(label: str | None) -> str | None:
     """Two-letter code of a label in a usual spelling (code, region, English name), else None."""
     if not label:
         return None
-    return _NAMED.get(re.split(r"[-_\s(]", label.strip().lower(), maxsplit=1)[0])
+    parts = [p for p in re.split(r"[^a-z]+", label.strip().lower()) if p]
+    if parts and parts[0] in _NAMED:
+        return _NAMED[parts[0]]
+    return next((_NAMED[p] for p in parts if len(p) > 3 and p in _NAMED), None)
 
 
 def fold(word: str) -> str:
