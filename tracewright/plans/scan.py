@@ -183,12 +183,35 @@ def x13_path_rewrite(spark, sf):
     return files.join(home, "project").select("file_id", F.concat(F.regexp_replace("url", "/+$", ""), F.lit("/"), tail).alias("address"))
 
 
+# Fixed value: files that a pruned clone keeps.
+KEPT = r"\.(c|cc|cpp|cxx|c\+\+|C|h|hh|hpp|hxx|H|inc|ipp|tcc|rs|go|d|di|m|mm|py|f|f90|f95|f03|f08|for|fpp|F|F90|S|s|asm)$"
+
+
+def s9_kept_paths(spark, sf):
+    """Files that pruning keeps and drops, by project."""
+    files = table(spark, sf, "corpus_files", ["file_id", "project", "relpath"]).distinct()
+    return files.groupBy("project").agg(F.count_if(F.col("relpath").rlike(KEPT)).alias("kept"), F.count_if(~F.col("relpath").rlike(KEPT)).alias("dropped"))
+
+
+def j14_sparse_paths(spark, sf):
+    """Files below one of the sparse paths of their project: an equal project and a path prefix."""
+    paths = table(spark, sf, "corpus_sources", ["project", "sparse_paths"]).select("project", F.explode("sparse_paths").alias("sparse_path")).distinct()
+    files = table(spark, sf, "corpus_files", ["file_id", "project", "relpath"]).distinct()
+    return files.join(paths, "project").where(F.col("relpath").startswith(F.concat("sparse_path", F.lit("/")))).select("file_id", "sparse_path")
+
+
+def f17_scraped_links(spark, sf):
+    """Texts with links that only a scraped page has, not counting mirrors."""
+    rows = table(spark, sf, "documents", ["doc_id", "text", "source"])
+    return rows.where(F.col("text").rlike(r"(?i)(attachment\.cgi\?id=[0-9]+|logout\?token=|login\.cgi)") & ~F.col("source").rlike("^mirror-")).select("doc_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        s1_corpus_files, s2_scan_files, s3_scoped_files, s5_marked_files, s6_changed_files, s7_header_read, s10_header_rename, s11_index_read,
+        s1_corpus_files, s2_scan_files, s3_scoped_files, s5_marked_files, s6_changed_files, s7_header_read, s9_kept_paths, s10_header_rename, s11_index_read,
         s13_report_matches, s20_commit_names, s21_commit_order, s23_named_paths, s25_test_results, s26_diff_lines, s27_first_years, f2_body_gate,
-        f6_silent_findings, f8_pair_floor, f10_marker_gate, f11_open_bugs, f14_expectations, f15_status_like, f16_secrets, f18_message_policy, x13_path_rewrite,
+        f6_silent_findings, f8_pair_floor, f10_marker_gate, f11_open_bugs, f14_expectations, f15_status_like, f16_secrets, f17_scraped_links, f18_message_policy, j14_sparse_paths, x13_path_rewrite,
     )
 }
 
@@ -203,6 +226,9 @@ SQL = {
     "s6_changed_files": f"""WITH now AS (SELECT DISTINCT project, relpath, sha256(bytes) AS sha FROM corpus_files WHERE {IS_TEXT}), old AS (SELECT DISTINCT project, relpath, sha256 FROM {_ONE_FILE})
         SELECT project, relpath, state FROM (SELECT project, relpath, CASE WHEN sha256 IS NULL THEN 'new' WHEN sha IS NULL THEN 'gone' WHEN sha <> sha256 THEN 'changed' END AS state FROM now FULL JOIN old USING (project, relpath)) WHERE state IS NOT NULL""",
     "s7_header_read": f"WITH {CORPUS} SELECT file_id, length({_HEAD.format(n=80)})::BIGINT AS chars, md5({_HEAD.format(n=80)}) AS digest FROM corpus",
+    "s9_kept_paths": f"SELECT project, count(*) FILTER (k)::BIGINT AS kept, count(*) FILTER (NOT k)::BIGINT AS dropped FROM (SELECT DISTINCT file_id, project, regexp_matches(relpath, '{KEPT}') AS k FROM corpus_files) GROUP BY project",
+    "f17_scraped_links": r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(attachment\.cgi\?id=[0-9]+|logout\?token=|login\.cgi)') AND NOT regexp_matches(source, '^mirror-')",
+    "j14_sparse_paths": "SELECT DISTINCT file_id, sparse_path FROM corpus_files JOIN (SELECT DISTINCT project, unnest(sparse_paths) AS sparse_path FROM corpus_sources) USING (project) WHERE starts_with(relpath, sparse_path || '/')",
     "s10_header_rename": rf"WITH {CORPUS} SELECT file_id, CASE WHEN NOT contains({NAME}, '.') AND NOT regexp_matches({NAME}, '(?i)^(license|copying|copyright|readme|authors|news|makefile)') AND regexp_matches(text[1:4096], '(?m)^\s*(#|//|/\*|namespace|template|class|struct|inline|constexpr|typedef|using|enum)') THEN relpath || '.hpp' ELSE relpath END AS name FROM corpus",
     "s11_index_read": f"SELECT file_id, project, relpath, tokens, kgrams FROM {_ONE_FILE} JOIN (SELECT DISTINCT m.project, m.relpath FROM (SELECT unnest(matches) AS m FROM source_findings)) USING (project, relpath)",
     "s13_report_matches": """SELECT finding_id, place - 1 AS place, m.project AS project, m.relpath AS relpath, m.tokens::BIGINT AS tokens, round(m.winnow_density, 6) AS density, round(m.shingle_jaccard, 6) AS shingle
