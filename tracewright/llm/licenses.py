@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import file_name
 from ..session import cut_lineage
 from .source_text import LICENSE_FILE_NAMES, comment_text, opening_comment, suffix
 
@@ -208,10 +209,6 @@ def reader(license_refs: DataFrame, dice: float = DICE) -> Reader:
     return Reader(sorted((r[0], r[1] or "", r[2] or "", r[3] or "") for r in rows), dice)
 
 
-def file_name(relpath: Column) -> Column:
-    return F.element_at(F.split(relpath, "/"), -1)
-
-
 def folder(relpath: Column) -> Column:
     """Directory part of a path; '' for the root."""
     return F.regexp_replace(relpath, r"/?[^/]*$", "")

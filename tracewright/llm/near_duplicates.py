@@ -188,7 +188,11 @@ def near_duplicates(index: DataFrame, files: DataFrame, similarity: float = SIMI
 
 
 def similar_files(index: DataFrame, files: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """file_id_a, file_id_b of all pairs of different files that reach the similarity."""
+    """file_id_a < file_id_b of all pairs of different files that reach the similarity.
+
+    A file like itself only is in no pair, nor is one without tokens or with null content; of texts
+    shorter than a shingle only equal ones are alike. Repeated rows give a pair once, empty tables none.
+    """
     links, membership = near_duplicates(index, files, similarity)
     membership = cut_lineage(membership)
     crowded = membership.groupBy("class").count().where("count > 1").select("class")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.common import ASCII, TOKENS
 from ..session import table
 from .components import finding_groups
 from .handwritten import not_handwritten
@@ -78,9 +79,6 @@ def _clean(column: str) -> str:
     return f"regexp_replace(regexp_replace({plain}, '/[^/]+/\\.\\./', '/', 'g'), '/[^/]+/\\.\\./', '/', 'g')"
 
 
-_TOKEN = r"[A-Za-z_][A-Za-z_0-9]*|[0-9]+|==|!=|<=|>=|->|::|&&|\|\||[-+*/%<>&|^~!?=(){}\[\],.;:]"
-_ASCII = r"decode(unhex(replace(regexp_replace(regexp_replace(hex(bytes), '(..)', '\1 ', 'g'), '[89A-F]. ', '20 ', 'g'), ' ', '')))"
-
 #: SQL for the problems that it can express; the others are tested against brute force.
 SQL = {
     "p4_found": f"""WITH RECURSIVE k AS (SELECT DISTINCT finding_id, 'o' || {_clean('gcc_path')} AS key FROM downstream_findings WHERE trim(gcc_path) <> ''
@@ -93,7 +91,7 @@ SQL = {
         r AS (SELECT file_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY file_id ORDER BY i) <= 30 THEN 0 ELSE 1 END AS new FROM g WHERE seed IN (FROM s)),
         n AS (SELECT file_id, i, sum(new) OVER (PARTITION BY file_id ORDER BY i) AS run FROM r), b AS (SELECT file_id, min(i) AS a, max(i) + 29 AS z FROM n GROUP BY file_id, run)
         SELECT file_id, p[a] AS first_pos, p[z] AS last_pos FROM b JOIN f USING (file_id)""",
-    "p6_found": f"""WITH c AS (SELECT DISTINCT file_id, {_ASCII} AS text FROM corpus_files WHERE file_id IN (SELECT file_id FROM files)), t AS (SELECT file_id, regexp_extract_all(text, '{_TOKEN}') AS t FROM c),
+    "p6_found": f"""WITH c AS (SELECT DISTINCT file_id, {ASCII} AS text FROM corpus_files WHERE file_id IN (SELECT file_id FROM files)), t AS (SELECT file_id, {TOKENS} AS t FROM c),
         s AS (SELECT DISTINCT file_id, unnest(list_transform(range(1, greatest(len(t) - 4, 1) + 1), lambda i: md5(array_to_string(t[i:i+4], ' ')))) AS s FROM t WHERE len(t) > 0), n AS (SELECT file_id, count(*) AS n FROM s GROUP BY file_id),
         m AS (SELECT a.file_id AS x, b.file_id AS y, count(*) AS common FROM s a JOIN s b ON a.s = b.s AND a.file_id < b.file_id GROUP BY 1, 2)
         SELECT x AS file_id_a, y AS file_id_b FROM m JOIN n a ON a.file_id = x JOIN n b ON b.file_id = y WHERE common >= 0.6 * (a.n + b.n - common)""",

@@ -7,8 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 
-# File names that hold a licence.
-LICENSE_FILE_NAMES = ("LICENSE", "LICENSE.txt", "LICENSE.md", "license.txt", "COPYING", "COPYING3", "COPYRIGHT")
+from ..functions.headers import LICENSE_NAMES as LICENSE_FILE_NAMES  # noqa: F401
 
 _BLANK = b" \t\r\n\f\v"
 _BOM = b"\xef\xbb\xbf"
