@@ -137,3 +137,19 @@ def test_chain_equals_quadratic_dynamic_programming():
             total += w[k] - (0 if last is None else 0.2 * (x0[k] - x1[last] + y0[k] - y1[last]))
             last = k
         assert abs(total - best.max()) < 1e-9
+
+
+def test_a_third_of_all_rows_share_one_file(spark):
+    rows = [(i, "same.c" if i % 3 == 0 else f"f{i}.c", "p", f"u{i}.c") for i in range(3000)]
+    df = spark.createDataFrame(rows, "finding_id long, gcc_path string, upstream_project string, upstream_relpath string")
+    got = finding_groups(df).collect()
+    assert len(got) == 1000 and {r.group_id for r in got} == {0}
+
+
+def test_all_files_share_one_stretch(spark):
+    common = list(range(500, 545))
+    rows = [(i, "p", [10_000 * i + k for k in range(i % 7)] + common + [-i - 1], list(range(46 + i % 7)), 0, "s") for i in range(1, 301)]
+    got = spans(spark.createDataFrame(rows, FILES)).collect()
+    assert {(r.file_id, r.first_pos, r.last_pos) for r in got} == {(i, i % 7, i % 7 + 44) for i in range(1, 301)}
+    links_ = passages(spark.createDataFrame(rows, FILES))
+    assert links_.count() == 300  # linear in the files, not a row for each pair
