@@ -177,3 +177,17 @@ def test_stream_of_scans(spark, tmp_path):
     assert {(r.project, r.relpath) for r in rows} == {("p", "a"), ("p", "b"), ("q", "a")} and len(rows) == 3
     days = daily_arrivals(spark.readStream.schema("at timestamp, kind string").parquet(folder), "at", "kind")
     assert days.isStreaming and days.columns == ["day", "kind", "records"]
+
+
+def test_scan_finds_the_copy_in_another_project(spark):
+    from tracewright.plans.pipelines import scan_sources
+
+    body = "\n".join(f"int f{i} (int a, long b{i}) {{ return a * {i} + g{i} (b{i}); }}" for i in range(30))
+    other = "\n".join(f"long h{i} = k{i} [{i}] - m (x{i}, {i * 7});" for i in range(30))
+    rows = [(1, "p", body), (2, "q", "/* SPDX-License-Identifier: X */\n" + body), (3, "q", other), (4, "p", body + "\nint z;"), (5, "r", ""), (6, "r", "x")]
+    files = spark.createDataFrame(rows, "file_id long, project string, text string")
+    got = {r.query_id: r for r in scan_sources(files, files.select("file_id")).collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 6}
+    assert (got[1].match_id, got[1].severity, got[1].density) == (2, "critical", 1.0)
+    assert (got[2].match_id, got[2].severity, got[2].matches) == (1, "review", 2)
+    assert got[3].match_id is None and got[5].severity == "low" and got[6].score == 0.0
