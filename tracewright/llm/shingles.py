@@ -9,10 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .lexing import tokenize, windows
 from .source_text import batches, binary_column, opening_comment, suffix
 
 WIDTH = 5
+#: Files whose sets one task holds while it verifies pairs.
+CELL = 256
 
 
 def token_lists(texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -45,17 +48,60 @@ def shingle_sets(files: DataFrame, width: int = WIDTH, bodies: bool = False) ->
     return files.select("file_id", "relpath", "bytes").mapInArrow(run, "file_id bigint, shingles array<bigint>")
 
 
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Number of values that two sorted arrays without repeats share."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    if not len(small):
+        return 0
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    return int((large[at] == small).sum())
+
+
+def _verify(least: float):
+    """Compare each row of kind 1 with the sets of kind 0 that its cell began with."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, sets = None, {}
+        for part in parts:
+            values = part.column("shingles").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            borders = np.concatenate([[0], np.cumsum(part.column("shingles").value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+            out: list[tuple[int, int, float]] = []
+            rows = zip(part.column("cell").to_pylist(), part.column("kind").to_pylist(), part.column("file_id").to_pylist(), part.column("others").to_pylist())
+            for k, (where, kind, file, others) in enumerate(rows):
+                own = values[borders[k] : borders[k + 1]]
+                if where != cell:
+                    cell, sets = where, {}
+                if kind == 0:
+                    sets[file] = own.copy()
+                    continue
+                for other in others:
+                    found = sets.get(other)
+                    if found is not None:
+                        common = _shared(own, found)
+                        union = len(own) + len(found) - common
+                        jaccard = common / union if union else 0.0
+                        if jaccard >= least:
+                            out.append((file, other, jaccard))
+            columns = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["a", "b", "jaccard"])
+
+    return run
+
+
 def verified_pairs(pairs: DataFrame, files: DataFrame, least: float, bodies: bool = False) -> DataFrame:
-    """Those of the pairs (a, b) whose shingle Jaccard is at least ``least``, with the value.
+    """Those of the distinct pairs (a, b) whose shingle Jaccard is at least ``least``, with the value.
 
-    Only files that occur in a pair are tokenised; each pair then meets both sets once.
+    Only files that occur in a pair are tokenised. Every b has a cell, with about ``CELL`` others, to
+    which its set goes once; the set of an a goes once to each cell that it has partners in, however
+    many. So a dense group moves its sets a few times, not once for each pair, and no task holds more
+    than one cell. A file without shingles is like none.
     """
-    members = pairs.select(F.col("a").alias("file_id")).unionByName(pairs.select(F.col("b").alias("file_id"))).distinct()
-    wanted = files.join(members, "file_id", "left_semi")
-    sets = shingle_sets(wanted, bodies=bodies).dropDuplicates(["file_id"])
-    left = sets.select(F.col("file_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("file_id").alias("b"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    joined = pairs.join(left, "a").join(right, "b").withColumn("common", common)
-    union = F.size("sa") + F.size("sb") - F.col("common")
-    return joined.select("a", "b", F.when(union > 0, F.col("common") / union).otherwise(0.0).alias("jaccard")).where(F.col("jaccard") >= least)
+    members = cut_lineage(pairs.select(F.col("a").alias("file_id")).unionByName(pairs.select(F.col("b").alias("file_id"))).distinct())
+    cells = max(1, -(-members.count() // CELL))
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(cells)).alias("cell")
+    sets = shingle_sets(files.join(members, "file_id", "left_semi"), bodies=bodies).dropDuplicates(["file_id"])
+    partners = pairs.select("a", "b", cell("b")).groupBy("a", "cell").agg(F.collect_list("b").alias("others"))  # no more than a cell has
+    ask = partners.select(F.col("a").alias("file_id"), "cell", "others").join(sets, "file_id").select("cell", F.lit(1).alias("kind"), "file_id", "others", "shingles")
+    hold = sets.join(pairs.select(F.col("b").alias("file_id")).distinct(), "file_id", "left_semi").select(cell("file_id"), F.lit(0).alias("kind"), "file_id", F.lit(None).cast("array<bigint>").alias("others"), "shingles")
+    placed = hold.unionByName(ask).repartition("cell").sortWithinPartitions("cell", "kind")
+    return placed.mapInArrow(_verify(least), "a bigint, b bigint, jaccard double")
