@@ -99,9 +99,10 @@ def verified_pairs(pairs: DataFrame, files: DataFrame, least: float, bodies: boo
     members = cut_lineage(pairs.select(F.col("a").alias("file_id")).unionByName(pairs.select(F.col("b").alias("file_id"))).distinct())
     cells = max(1, -(-members.count() // CELL))
     cell = lambda c: F.pmod(F.xxhash64(c), F.lit(cells)).alias("cell")
-    sets = shingle_sets(files.join(members, "file_id", "left_semi"), bodies=bodies).dropDuplicates(["file_id"])
+    # Both branches below read the same exchange: neither adds a filter that could be pushed beneath it.
+    sets = shingle_sets(files.join(members, "file_id", "left_semi"), bodies=bodies).where("file_id is not null").dropDuplicates(["file_id"])
     partners = pairs.select("a", "b", cell("b")).groupBy("a", "cell").agg(F.collect_list("b").alias("others"))  # no more than a cell has
     ask = partners.select(F.col("a").alias("file_id"), "cell", "others").join(sets, "file_id").select("cell", F.lit(1).alias("kind"), "file_id", "others", "shingles")
-    hold = sets.join(pairs.select(F.col("b").alias("file_id")).distinct(), "file_id", "left_semi").select(cell("file_id"), F.lit(0).alias("kind"), "file_id", F.lit(None).cast("array<bigint>").alias("others"), "shingles")
+    hold = sets.select(cell("file_id"), F.lit(0).alias("kind"), "file_id", F.lit(None).cast("array<bigint>").alias("others"), "shingles")
     placed = hold.unionByName(ask).repartition("cell").sortWithinPartitions("cell", "kind")
     return placed.mapInArrow(_verify(least), "a bigint, b bigint, jaccard double")
