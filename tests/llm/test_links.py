@@ -153,3 +153,22 @@ def test_all_files_share_one_stretch(spark):
     assert {(r.file_id, r.first_pos, r.last_pos) for r in got} == {(i, i % 7, i % 7 + 44) for i in range(1, 301)}
     links_ = passages(spark.createDataFrame(rows, FILES))
     assert links_.count() == 300  # linear in the files, not a row for each pair
+
+
+def test_every_pair_that_shares_a_stretch_has_its_passages(spark, monkeypatch):
+    from tracewright.llm import shared_spans as module
+
+    monkeypatch.setattr(module, "TILE", 2)
+    common, more = list(range(500, 545)), list(range(900, 940))
+    # File 1 has the smallest id and all that 2, 3 and 4 share; 3 and 5 have equal lists; 6 has a stretch twice.
+    lists = {1: common + [1] + more, 2: [2] * 3 + common + [20, 21] + more, 3: common + [30] + more, 4: [4] + more, 5: common + [30] + more, 6: more + [60, 61] + more, 7: list(range(50))}
+    rows = [(i, "p", h, [10 * k for k in range(len(h))], 0, "s") for i, h in lists.items()]
+    rows += [rows[0], (8, "p", common, [1], 0, "s"), (None, "p", common, list(range(45)), 0, "s"), (9, "p", None, None, 0, "s")]
+    df = spark.createDataFrame(rows, FILES)
+    got = module.pair_passages(df).collect()
+    assert {(r.file_id, r.partner) for r in got} == {(a, b) for a in range(1, 7) for b in range(1, 7) if a != b}
+    of = lambda a, b: sorted((r.first_pos, r.last_pos, r.partner_first, r.partner_last, r.runs, r.exact_entries) for r in got if (r.file_id, r.partner) == (a, b))
+    assert of(2, 3) == [(30, 890, 0, 85, 2, 85)] and of(3, 2) == of(5, 2) == [(0, 850, 3, 89, 2, 85)]
+    assert of(3, 5) == of(5, 3) == [(0, 850, 0, 85, 1, 86)]
+    assert of(4, 6) == [(10, 400, 0, 39, 1, 40), (10, 400, 42, 81, 1, 40)]
+    assert all(0 < r.exact_share <= 1 for r in got) and module.pair_passages(df.limit(0)).count() == 0

@@ -13,7 +13,7 @@ from .leaks import leaks
 from .licenses import licenses
 from .near_duplicates import similar_files, similar_groups
 from .packing import containers
-from .shared_spans import passages, shared_shares, spans
+from .shared_spans import pair_passages, shared_shares, spans
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,7 +37,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_passages(spark: SparkSession, sf: str) -> DataFrame:
-    return passages(table(spark, sf, "files"))
+    return pair_passages(table(spark, sf, "files"))
 
 
 def p5_shares(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,7 +4,7 @@ Every stretch of ``length`` successive entries is a seed. Seeds that occur in mo
 link the files that have them to one representative file each, never all to all. Per file the
 linked seeds are collapsed into unbroken runs, and the runs against one partner are chained in
 both files' order with a gap cost, through a Fenwick tree. Chains give fuzzy passages; the runs
-within them, the exact spans.
+within them, the exact spans. ``pair_passages`` chains every pair of files that share a seed.
 """
 
 from __future__ import annotations
@@ -13,15 +13,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .lexing import windows
 
 #: Entries of a seed.
 LENGTH = 30
 #: Cost of one skipped entry in either file when two runs are chained.
 GAP = 0.1
+#: Places of a seed that one task holds against all others; a seed with more is split over tasks.
+TILE = 512
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -190,8 +193,9 @@ def _chains_of(c: dict[str, np.ndarray], length: int, gap: float):
 
 
 def passages(files: DataFrame, length: int = LENGTH, gap: float = GAP) -> DataFrame:
-    """One row for each chain: the fuzzy passage of a file and its partner's.
+    """One row for each chain: the fuzzy passage of a file and that of the file that stands for its seeds.
 
+    Linear in the files, so not every pair that shares a seed has a row: see ``pair_passages``.
     file_id, partner, partner_first, partner_last (indexes of the partner's entries), runs,
     exact_entries, exact_share (of the passage's entries), first_pos, last_pos.
     """
@@ -213,6 +217,99 @@ def passages(files: DataFrame, length: int = LENGTH, gap: float = GAP) -> DataFr
     return _placed(chained, files)
 
 
+def _matches(files: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """a, b, at, partner_at of every seed that two classes share, in all places; file_id, class.
+
+    Files of equal lists are one class, named by its smallest file; a class of several files also
+    meets itself. Classes a < b meet once. The places of a hot seed are split into tiles, each of
+    which meets all places of the seed.
+    """
+    usable = files.where("file_id is not null and size(winnow_hashes) = size(winnow_positions)").where(F.size("winnow_hashes") >= length)
+    identity = usable.select("file_id", F.md5(F.col("winnow_hashes").cast("string")).alias("list")).distinct()
+    classes = identity.groupBy("list").agg(F.min("file_id").alias("class"), F.count(F.lit(1)).alias("n"))
+    members = cut_lineage(identity.join(classes, "list").select("file_id", "class", "n"))
+    heads = members.where("file_id = class")
+    same_seed = Window.partitionBy("seed")
+    placed = seeds(usable.join(heads.select("file_id"), "file_id", "left_semi"), length)
+    shared = placed.withColumns({"lo": F.min("file_id").over(same_seed), "hi": F.max("file_id").over(same_seed), "n": F.count(F.lit(1)).over(same_seed)})
+    shared = cut_lineage(shared.where("lo < hi").select("seed", "file_id", "at", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")).distinct())
+    left = shared.select("seed", F.pmod(F.xxhash64("file_id", "at"), "tiles").cast("int").alias("tile"), F.col("file_id").alias("a"), "at")
+    right = shared.select("seed", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("file_id").alias("b"), F.col("at").alias("partner_at"))
+    across = left.join(right, ["seed", "tile"]).where("a < b").select("a", "b", "at", "partner_at")
+    own = seeds(usable.join(heads.where("n > 1").select("file_id"), "file_id", "left_semi"), length).distinct()
+    within = own.join(own.withColumnRenamed("at", "partner_at"), ["seed", "file_id"]).select(F.col("file_id").alias("a"), F.col("file_id").alias("b"), "at", "partner_at")
+    return across.unionByName(within), members.select("file_id", "class")
+
+
+def _covered(begins: np.ndarray, ends: np.ndarray) -> int:
+    """Number of places that the stretches begins..ends (exclusive) cover together."""
+    order = np.argsort(begins)
+    begins, ends = begins[order], ends[order]
+    reached = np.maximum.accumulate(np.concatenate([begins[:1], ends[:-1]]))
+    return int(np.maximum(0, ends - np.maximum(begins, reached)).sum())
+
+
+def _chained_pairs(length: int, gap: float, names: list[str], kinds: list[pa.DataType]):
+    """Passages of both sides of each pair, in partitions sorted by a, b, diagonal, at."""
+
+    def make(c: dict[str, np.ndarray]) -> Iterator[tuple]:
+        first, last = runs(c["partner_at"].astype(np.int64) - c["at"], c["at"], c["partner_at"])
+        x0, x1, y0, y1 = c["at"][first], c["at"][last], c["partner_at"][first], c["partner_at"][last]
+        number = chain(x0, x1, y0, y1, (x1 - x0 + length).astype(float), gap) if len(first) > 1 else np.zeros(1, int)
+        a, b = int(c["a"][0]), int(c["b"][0])
+        for k in np.unique(number):
+            mine = number == k
+            sides = [(a, x0[mine], x1[mine] + length), (b, y0[mine], y1[mine] + length)]
+            for (file, begins, ends), (other, others, other_ends) in (sides, sides[::-1]) if a < b else (sides,):
+                exact = _covered(begins, ends)
+                yield (file, other, int(begins.min()), int(ends.max()) - 1, int(others.min()), int(other_ends.max()) - 1, int(mine.sum()), exact, exact / int(ends.max() - begins.min()))
+
+    def flush(t: pa.Table) -> pa.RecordBatch:
+        cols = {c: t.column(c).to_numpy() for c in t.column_names}
+        borders = np.flatnonzero(np.concatenate([[True], (np.diff(cols["a"]) != 0) | (np.diff(cols["b"]) != 0), [True]]))
+        rows = [row for lo, hi in zip(borders[:-1], borders[1:]) for row in make({c: v[lo:hi] for c, v in cols.items()})]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        pair = None
+        for part in parts:  # a pair is whole only where the next one has begun
+            if not part.num_rows:
+                continue
+            a, b = part.column("a").to_numpy(), part.column("b").to_numpy()
+            begun = int(np.argmax((a == a[-1]) & (b == b[-1])))
+            if held and (begun or pair != (a[-1], b[-1])):
+                yield flush(pa.Table.from_batches([*held, part.slice(0, begun)]))
+                held = []
+            elif begun:
+                yield flush(pa.Table.from_batches([part.slice(0, begun)]))
+            held.append(part.slice(begun))
+            pair = a[-1], b[-1]
+        if held:
+            yield flush(pa.Table.from_batches(held))
+
+    return run
+
+
+def pair_passages(files: DataFrame, length: int = LENGTH, gap: float = GAP) -> DataFrame:
+    """The columns of ``passages`` for every ordered pair of different files that share a seed.
+
+    Seeds are matched in all places of both files, so a pair's chains don't depend on other files.
+    Equal lists are chained once and the rows given to all files that have them. Rows are as many
+    as the pairs, quadratic in the files that share a stretch. Null ids, null or short lists and
+    lists of unequal length share nothing; repeated rows count once.
+    """
+    names = ["class", "partner_class", "first_at", "last_at", "partner_first", "partner_last", "runs", "exact_entries", "exact_share"]
+    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 6, pa.float64()]
+    matches, members = _matches(files, length)
+    ordered = matches.repartition("a", "b").sortWithinPartitions("a", "b", F.col("partner_at") - F.col("at"), "at")
+    schema = "class bigint, partner_class bigint, first_at int, last_at int, partner_first int, partner_last int, runs int, exact_entries int, exact_share double"
+    chained = cut_lineage(ordered.mapInArrow(_chained_pairs(length, gap, names, kinds), schema))
+    partners = members.select(F.col("file_id").alias("partner"), F.col("class").alias("partner_class"))
+    found = chained.join(members, "class").join(partners, "partner_class").where("file_id <> partner")
+    return _placed(found.select("file_id", "partner", *names[2:]), files)
+
+
 def spans(files: DataFrame, length: int = LENGTH, gap: float = GAP) -> DataFrame:
     """file_id, entries, first_pos, last_pos: the longest unbroken runs of shared entries.
 
