@@ -194,3 +194,19 @@ def test_tiles_of_a_large_block_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(nd, "SMALL", 1000)
     monkeypatch.setattr(nd, "TILE", 1000)
     assert small == {tuple(r) for r in nd.similar_files(files, files).collect()} and len(small) > 50
+
+
+def test_copies_between_the_ends_of_a_band_meet_their_home(spark, monkeypatch):
+    from tracewright.llm import handwritten as module
+
+    monkeypatch.setattr(module, "TILE", 2)
+    own, edited = code(21), code(22, 120)
+    changed = lambda k: edited.replace("\n", f"\n  unlike_{k} ();\n", 1 + k)
+    rows = [(1, "mmm", "a.c", "/* This file is part of mmm. */\n" + own), (5, "mmm", "b.c", "/* This file is part of mmm. */\n" + edited)]
+    rows += [(k, p, "x/a.c", own) for k, p in ((2, "aaa"), (3, "nnn"), (4, "zzz"))]
+    rows += [(k, p, "x/b.c", changed(k)) for k, p in ((6, "aaa"), (7, "nnn"), (8, "zzz"), (9, "mmm"))]
+    # Without a self-named home none of two like files is a copy; with a foreign one, that one is.
+    rows += [(k, p, "x/c.c", code(23)) for k, p in ((10, "aaa"), (11, "nnn"), (12, "zzz"))]
+    rows += [(13, "aaa", "x/d.c", code(24)), (14, "ppp", "vendor/mmm/d.c", code(24)), (15, "zzz", "x/d.c", code(24)), (16, "ppp", "vendor/mmm/e.c", code(25))]
+    files = spark.createDataFrame([(i, p, path, text.encode(), 0, "k", 1) for i, p, path, text in rows], FILES)
+    assert {r.file_id: r.kind for r in not_handwritten(files).collect()} == dict.fromkeys((2, 3, 4, 6, 7, 8, 14), "copy")

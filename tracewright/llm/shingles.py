@@ -105,20 +105,3 @@ def verified_pairs(pairs: DataFrame, files: DataFrame, least: float, bodies: boo
     hold = sets.join(pairs.select(F.col("b").alias("file_id")).distinct(), "file_id", "left_semi").select(cell("file_id"), F.lit(0).alias("kind"), "file_id", F.lit(None).cast("array<bigint>").alias("others"), "shingles")
     placed = hold.unionByName(ask).repartition("cell").sortWithinPartitions("cell", "kind")
     return placed.mapInArrow(_verify(least), "a bigint, b bigint, jaccard double")
-
-
-def verified_links(pairs: DataFrame, files: DataFrame, least: float, bodies: bool = False) -> DataFrame:
-    """Those of the pairs (a, b) whose shingle Jaccard is at least ``least``, with the value.
-
-    For pairs that are linear in the files: only files that occur in a pair are tokenised, and each
-    pair moves one set. ``verified_pairs`` is for dense pairs.
-    """
-    members = pairs.select(F.col("a").alias("file_id")).unionByName(pairs.select(F.col("b").alias("file_id"))).distinct()
-    wanted = files.join(members, "file_id", "left_semi")
-    sets = shingle_sets(wanted, bodies=bodies).dropDuplicates(["file_id"])
-    left = sets.select(F.col("file_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("file_id").alias("b"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    joined = pairs.join(left, "a").join(right, "b").withColumn("common", common)
-    union = F.size("sa") + F.size("sb") - F.col("common")
-    return joined.select("a", "b", F.when(union > 0, F.col("common") / union).otherwise(0.0).alias("jaccard")).where(F.col("jaccard") >= least)
