@@ -146,3 +146,40 @@ def test_held_out_accuracy(spark, sf):
     found = segments(docs, size=500).where("segments = 1 and label_code is not null")
     agree = found.agg(F.avg((F.col("lang") == F.col("label_code")).cast("double"))).first()[0]
     assert agree > 0.7  # a fifth of the labels are wrong by design
+
+
+def test_a_stretch_pasted_over_and_over_hides_no_other(spark):
+    w = [f"word{k}" for k in range(60)]
+    first, second = " ".join(w[:20]), " ".join(w[40:55])
+    pasted = " and then some more of it that is new here ".join([first] * 60)
+    docs = [(1, pasted + " some other words stand between these two stretches " + second), (2, second + " some other words stand between these " + pasted), (3, pasted)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leaks(df, items).collect()} == {(1, 1)}
+
+
+def test_the_best_pair_of_stretches_equals_all_pairs():
+    rng = np.random.default_rng(5)
+    item = [f"w{k:02}" for k in range(40)]
+    known = Items([1], [item])
+    for _ in range(60):
+        text: list[str] = []
+        for _ in range(int(rng.integers(1, 9))):
+            a = int(rng.integers(0, 34))
+            text += item[a : a + int(rng.integers(4, 12))] + ["other"] * int(rng.integers(5, 9))
+        coded = np.array([known.word_id.get(x, 0) for x in text])
+        # Stretches stand apart from each other, so each is an unbroken diagonal.
+        stretches, j = [], 0
+        while j < len(text):
+            k = j
+            while k + 1 < len(text) and coded[j] and coded[k + 1] == coded[k] + 1:
+                k += 1
+            if coded[j] and k - j >= 3:
+                stretches.append((item.index(text[j]), j, item.index(text[k]), k))
+            j = k + 1
+        most = max((b - a + 1 for a, _, b, _ in stretches), default=0)
+        for i0, j0, i1, j1 in stretches:
+            for a0, b0, a1, b1 in stretches:
+                if i1 < a0 and j1 < b0:
+                    most = max(most, i1 - i0 + 1 + a1 - a0 + 1)
+        assert abs(known.part(0, coded, np.flatnonzero(coded)) - most / 40) < 1e-9

@@ -183,13 +183,25 @@ class Items:
                 cell[i, j] = score, start
                 if start not in best or score > best[start][0]:
                     best[start] = score, i, j
-        stretches = sorted(((s, i0, j0, i1, j1) for (i0, j0), (s, i1, j1) in best.items() if s >= max(4, DENSITY * (i1 - i0 + 1))), reverse=True)[:40]
-        most = 0
-        for k, (_, i0, j0, i1, j1) in enumerate(stretches):
-            most = max(most, i1 - i0 + 1)
-            for _, a0, b0, a1, b1 in stretches[k + 1 :]:
-                if (i1 < a0 and j1 < b0) or (a1 < i0 and b1 < j0):
-                    most = max(most, i1 - i0 + 1 + a1 - a0 + 1)
+        stretches = [(i0, j0, i1, j1) for (i0, j0), (s, i1, j1) in best.items() if s >= max(4, DENSITY * (i1 - i0 + 1))]
+        # The widest pair in order: by begin in the text, after the widest of those that have ended in it, by their end in the item.
+        n = len(self.texts[item])
+        widest = [0] * (n + 1)  # Fenwick tree of prefix maxima
+        ended = sorted(stretches, key=lambda x: x[3])
+        most = e = 0
+        for i0, j0, i1, _ in sorted(stretches, key=lambda x: x[1]):
+            while ended[e][3] < j0:
+                a0, _, a1, _ = ended[e]
+                p = a1 + 1
+                while p <= n:
+                    widest[p] = max(widest[p], a1 - a0 + 1)
+                    p += p & -p
+                e += 1
+            before, p = 0, i0
+            while p:
+                before = max(before, widest[p])
+                p -= p & -p
+            most = max(most, i1 - i0 + 1 + before)
         return most / max(1, len(self.texts[item]))
 
 
