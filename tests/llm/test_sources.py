@@ -210,3 +210,10 @@ def test_copies_between_the_ends_of_a_band_meet_their_home(spark, monkeypatch):
     rows += [(13, "aaa", "x/d.c", code(24)), (14, "ppp", "vendor/mmm/d.c", code(24)), (15, "zzz", "x/d.c", code(24)), (16, "ppp", "vendor/mmm/e.c", code(25))]
     files = spark.createDataFrame([(i, p, path, text.encode(), 0, "k", 1) for i, p, path, text in rows], FILES)
     assert {r.file_id: r.kind for r in not_handwritten(files).collect()} == dict.fromkeys((2, 3, 4, 6, 7, 8, 14), "copy")
+
+
+def test_a_short_member_belongs_to_its_generated_family(spark):
+    record = lambda c: f"int wrapped_function_{c} (context_type *context) {{ return delegate_call (context, {c}77, another_symbol_{c}); }}\n"
+    texts = {k: "".join(record(100 * k + c) for c in range(60)) for k in (1, 2)} | {3: record(301) + record(302), 4: code(31)}
+    files = spark.createDataFrame([(k, "p", f"gen/w{k}.c", t.encode(), 0, "k", 1) for k, t in texts.items()], FILES)
+    assert {r.file_id: r.kind for r in not_handwritten(files).collect()} == dict.fromkeys((1, 2, 3), "generated")
