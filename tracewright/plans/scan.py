@@ -101,6 +101,10 @@ def s21_commit_order(spark, sf):
 
 
 def s23_named_paths(spark, sf):
+    """Paths named in readmes and commit messages only: the query's SQL is defined over these two kinds.
+
+    Bug comments, list mail, patch notes, pages and source comments name paths too and are not read.
+    """
     found = F.regexp_extract_all("text", F.lit(r"[a-z]+_[a-z0-9]+\.(?:c|cc|h|py|f90)"), F.lit(0))
     return table(spark, sf, "documents", ["doc_id", "text", "kind"]).where("kind = 'pr_readme' or kind = 'commit_message'").select("doc_id", F.explode(F.array_distinct(found)).alias("path"))
 
