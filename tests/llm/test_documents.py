@@ -183,3 +183,12 @@ def test_the_best_pair_of_stretches_equals_all_pairs():
                 if i1 < a0 and j1 < b0:
                     most = max(most, i1 - i0 + 1 + a1 - a0 + 1)
         assert abs(known.part(0, coded, np.flatnonzero(coded)) - most / 40) < 1e-9
+
+
+def test_a_semicolon_makes_no_code_of_prose(labelled):
+    rows = [(950, SAYING["fr"] + "\n\n" + SAYING["en"].replace("used although", "used; although"), "fr", "x", 1), (951, SAYING["de"] + "\n\nint x = foo (bar);\nreturn the_loop;", "de", "x", 1)]
+    docs = labelled.unionByName(labelled.sparkSession.createDataFrame(rows, labelled.schema))
+    got = {}
+    for r in segments(docs, size=1000).where("doc_id >= 950").orderBy("seg_no").collect():
+        got.setdefault(r.doc_id, []).append(r.lang)
+    assert got == {950: ["fr", "en"], 951: ["de"]}

@@ -61,8 +61,8 @@ _CODE_MARK = re.compile(r"[{}=;]|::|->|\+\+|&&|\|\||\w\(|\w \(\w*[,)&]|^\s*[)\]}
 _LOG_LINE = re.compile(r"\s*(?:(?:X?FAIL|X?PASS|KFAIL|UNRESOLVED|UNTESTED|UNSUPPORTED|ERROR|WARNING|WARN|INFO|DEBUG|TRACE): \S+[./]|\S+:\d+(?::\d+)?:\s)")
 #: Sentences of fewer words tell no language where a text has longer ones.
 LEAST_WORDS = 3
-#: A paragraph is code if this share of its lines have marks of code, or if its words, with the
-#: lead in log-probability, are likeliest in the code class.
+#: A paragraph is code if its words are likeliest in the code class, with the lead in log-probability
+#: or without it where this share of its lines have marks of code. Before the first fit, marks alone decide.
 CODE_LINES, CODE_LEAD = 0.3, 2.0
 
 
@@ -287,7 +287,8 @@ def judged(reader: Reader, scores: Scores | None, text: str):
         last = np.append(np.diff(paragraph) != 0, True)
         total = np.zeros((len(marks), CODE + 1))
         total[paragraph[last]] = _sums(values, last)
-        is_code |= total[:, CODE] > total[:, :CODE].max(axis=1) + CODE_LEAD
+        lead = total[:, CODE] - total[:, :CODE].max(axis=1)
+        is_code = (is_code & (lead >= 0)) | (lead > CODE_LEAD)
     keep = ~is_code[paragraph]
     code_rows = np.concatenate([code_rows, rows[~keep]])
     rows, ends, paragraph = rows[keep], ends[keep], paragraph[keep]
