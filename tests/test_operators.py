@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tracewright.operators.nested import Malformed, backport_rows, child_rows, match_rows, parse, triples
+from tracewright.operators.nested import Malformed, backport_rows, child_rows, child_tables, match_rows, parse, triples, typed_triples
 from tracewright.operators.reports import json_lines, markdown_issue, markdown_row, ranked_text
 from tracewright.operators.scoring import classify_pair, classify_source, directionality, severity_of_score
 from tracewright.operators.series import backlog, first_resolution
@@ -87,6 +87,38 @@ def test_matches_keep_their_places(spark):
     assert child_rows(empty, df).columns == ["record_table", "record_id", "child_key", "item_no", "child_value"]
 
 
+def test_versions_in_keys_are_no_members():
+    assert [[x[0] for x in t[0]] for t in parse('{"gcc-4.9": {"notes": "x"}, "gcc-13.notes": "y", "gcc-4.9.notes": "z"}')] == [["gcc-4.9", "notes"], ["gcc-13", "notes"], ["gcc-4.9", "notes"]]
+
+
+def test_child_tables_keep_every_member_and_parent(spark):
+    text = '{"open": {"b": {"mode": "m", "n": {"x": 1}, "notes": [{"text": "t", "by": "u", "replies": ["r", {"text": "s"}]}, "v"], "gone": null}}, "top.deep": true}'
+    df = spark.createDataFrame([(1, text, 1), (1, text, 1), (2, "{", 2)], "status_id long, backports string, row int")
+    got = {(r.path, tuple(r.row)): r for r in child_tables(triples(df, "status_id", "backports"), ("open",), ("text",)).collect()}
+    tables = sorted(k[0] for k in got)
+    assert tables == ["*", "open.*", "open.*.notes.*", "open.*.notes.*", "open.*.notes.*.replies.*", "open.*.notes.*.replies.*"]
+    members = {k[0]: {m.field: (m.value, m.kind) for m in r.members} for k, r in got.items() if k[0] in ("*", "open.*")}
+    assert members == {"*": {"deep": ("true", "boolean")}, "open.*": {"mode": ("m", "string"), "n.x": ("1", "number"), "gone": (None, "null")}}
+    rows = sorted((r.row, r.parent, r.plain or r.text) for r in got.values() if "notes" in r.path)
+    assert rows == [([1, 1, 3, 1], [1, 1], "t"), ([1, 1, 3, 1, 3, 1], [1, 1, 3, 1], "r"), ([1, 1, 3, 1, 3, 2], [1, 1, 3, 1], "s"), ([1, 1, 3, 2], [1, 1], "v")]
+    typed = spark.createDataFrame([(1, [("p", 2, None), None])], "finding_id long, matches array<struct<project:string,n:int,l:array<int>>>")
+    row = child_tables(typed_triples(typed, "finding_id", "matches"), ("matches",), ("project",)).first()
+    assert (row.path, row.row, row.project) == ("matches.*", [1, 1], "p") and [tuple(m) for m in row.members] == [("l", None, "null"), ("n", "2", "number"), ("project", "p", "string")]
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from tracewright.session import _shared_folder
+
+    conf = {}
+    made = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None, set=conf.__setitem__), sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: SimpleNamespace(get=lambda k: None)))
+    with pytest.raises(ValueError):
+        _shared_folder(made)
+    made.sparkContext.master = "local[2]"
+    assert _shared_folder(made).startswith("file://") and "spark.checkpoint.dir" in conf
+
+
 def test_series(spark):
     day = lambda s: dt.datetime.fromisoformat(s + "T12:00:00+00:00")
     change = lambda f, a: [(f, a)]

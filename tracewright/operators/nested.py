@@ -1,9 +1,10 @@
 """Deeply nested records turned into flat tables that keep parent and place (problem 3).
 
 Each JSON text is parsed as a stream of tokens into triples: the path from the root, the value, and
-the ordinal of every step. Steps are array elements or object members; both may repeat. The path up
-to a repeated ancestor names a row of a child table, and the triples below it are pivoted into that
-row's columns, or into rows of a table one level down.
+the ordinal of every step; typed columns give the same triples. Steps are array elements or object
+members. Elements, numbered members and the members of a map are repeated ancestors: the path down
+to the last of them names a child table, its ordinals the row and, less the last, the row's parent.
+Every triple below becomes a member of that row, so that nothing of a record is left out.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ _TOKEN = re.compile(
     r"|(?P<number>-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)(?![\w.+-])"
     r"|(?P<word>true|false|null)(?!\w))"
 )
+_DOTTED = re.compile(r"[^.]\.[^\W\d][^.]*\Z")
 _BLANK = re.compile(r"[ \t\r\n]*\Z")
 
 Step = tuple[str, int, bool]
@@ -44,8 +46,8 @@ def parse(text: str, split_dots: bool = True) -> Iterator[Triple]:
     """Triples of one JSON text, leaf by leaf; Malformed if it isn't valid.
 
     Leaves are scalars, nulls and empty containers. A text that is itself a JSON string holding JSON
-    is parsed again. With ``split_dots`` the key ``a.b`` is the member b of the member a. There is no
-    recursion, so depth is bounded by memory alone.
+    is parsed again. With ``split_dots`` the key ``a.b`` is the member b of the member a, unless what
+    follows the last dot is no name (``gcc-4.9``). There is no recursion, so depth is bounded by memory alone.
     """
     stack: list[list] = []  # [is array, steps below the root, members so far, steps of the pending member]
     at, state, found = 0, "value", []
@@ -63,7 +65,7 @@ def parse(text: str, split_dots: bool = True) -> Iterator[Triple]:
             if kind == "text":
                 top = stack[-1]
                 key = _text(m["text"])
-                parts = key.rsplit(".", 1) if split_dots and "." in key else [key]
+                parts = key.rsplit(".", 1) if split_dots and _DOTTED.search(key) else [key]
                 top[2] += 1
                 top[3] = [*top[1], *((p, int(p) if p.isascii() and p.isdigit() and len(p) < 19 else top[2], False) for p in parts)]
                 state = "colon"
@@ -142,88 +144,105 @@ def triples(records: DataFrame, record_id: str, text: str, split_dots: bool = Tr
     return wanted.mapInArrow(run, f"record_id {kind}, {TRIPLE}")
 
 
-def below(found: DataFrame, wrappers: tuple[str, ...]) -> DataFrame:
-    """Triples by their repeated ancestor: the first step that is no wrapper member.
+def typed_triples(records: DataFrame, record_id: str, column: str, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """The triples of a typed column, an array of structs: all members of its elements, or those named.
 
-    Adds ``ancestor`` (its places), ``ancestor_name`` (null for array elements), ``field`` (the member
-    below it, null if there is none) and ``rest`` (the steps below that).
+    Null elements keep their place and give no triple; a null member gives one of kind null.
     """
-    outer = F.filter("steps", lambda s: ~(~s["element"] & s["name"].isin(*wrappers)))
+    element = records.schema[column].dataType.elementType
+    step = lambda name, no, is_element: F.struct(F.lit(name).alias("name"), no.cast("bigint").alias("no"), F.lit(is_element).alias("element"))
+    placed = records.where(F.col(record_id).isNotNull()).select(F.col(record_id).alias("record_id"), F.posexplode(column).alias("at", "e")).where("e is not null")
+    each = []
+    for k, f in enumerate(element.fields):
+        if fields is None or f.name in fields:
+            value = F.col("e")[f.name]
+            text = value.cast("string") if not f.dataType.typeName() in ("array", "struct", "map") else F.to_json(value)
+            kind = {"string": "string", "boolean": "boolean"}.get(f.dataType.typeName(), "number")
+            steps = F.array(step(column, F.lit(1), False), step("", F.col("at") + 1, True), step(f.name, F.lit(k + 1), False))
+            each.append(F.struct(steps.alias("steps"), text.alias("value"), F.when(value.isNull(), "null").otherwise(kind).alias("kind")))
+    return placed.select("record_id", F.explode(F.array(*each)).alias("x")).select("record_id", "x.*")
+
+
+def child_tables(found: DataFrame, wrappers: tuple[str, ...] = (), fields: tuple[str, ...] = ()) -> DataFrame:
+    """All child tables of the triples, one row for each repeated ancestor of a record.
+
+    record_id; ``path``, the names down to the ancestor with a star for each repeated step; ``row``, its
+    ordinals, in reading order; ``parent``, the ``row`` of the ancestor above it (empty at the top);
+    ``depth``, how many of its steps repeat; ``top`` and ``top_key``, row and name of its outermost
+    ancestor; ``key``, its own name (null for elements); ``members``, every triple below it as
+    (field, value, kind); ``plain``, the text of a row that is one itself; and a column for each of ``fields``, its text (the greatest, should a member repeat).
+
+    The members of the record, below the ``wrappers``, are a map, so its keys repeat.
+    """
+    numbered = lambda s: s["element"] | s["name"].rlike("^[0-9]+$")
     first = F.array_position(F.transform("steps", lambda s: s["element"] | ~s["name"].isin(*wrappers)), F.lit(True)).cast("int")
-    top = F.element_at("steps", F.col("first"))
-    return (
-        found.where(F.size(outer) > 0).withColumn("first", first)
-        .select(
-            "record_id", "value", "kind",
-            F.transform(F.slice("steps", F.lit(1), F.col("first")), lambda s: F.struct(s["no"].alias("no"), s["name"].alias("name"))).alias("ancestor"),
-            F.when(~top["element"], top["name"]).alias("ancestor_name"),
-            F.when(F.size("steps") > F.col("first"), F.element_at("steps", F.least(F.col("first") + 1, F.size("steps")))["name"]).alias("field"),
-            F.slice("steps", F.col("first") + 2, F.greatest(F.size("steps") - F.col("first") - 1, F.lit(0))).alias("rest"),
-        )
+    placed = found.withColumn("first", F.nullif(first, F.lit(0))).withColumn("at", F.filter(F.transform("steps", lambda s, i: F.when(numbered(s) | (i + 1 == F.col("first")), i + 1)), lambda x: x.isNotNull()))
+    last = F.coalesce(F.element_at("at", F.when(F.size("at") > 0, -1)), F.lit(0))
+    above = F.coalesce(F.element_at("at", F.when(F.size("at") > 1, -2)), F.lit(0))
+    ordinals = lambda n: F.transform(F.slice("steps", F.lit(1), n), lambda s: s["no"])
+    own = F.element_at("steps", F.when(F.size("at") > 0, last))
+    named = placed.withColumn("last", last).select(
+        "record_id",
+        "value",
+        "kind",
+        ordinals(F.col("last")).alias("row"),
+        ordinals(above).alias("parent"),
+        ordinals(F.coalesce("first", F.lit(0))).alias("top"),
+        F.element_at("steps", F.col("first"))["name"].alias("top_key"),
+        F.size("at").alias("depth"),
+        F.when(~own["element"], own["name"]).alias("key"),
+        F.array_join(F.transform(F.slice("steps", F.lit(1), F.col("last")), lambda s, i: F.when(F.array_contains("at", i + 1), "*").otherwise(s["name"])), ".").alias("path"),
+        F.array_join(F.transform(F.slice("steps", F.col("last") + 1, F.size("steps")), lambda s: s["name"]), ".").alias("field"),
+    )
+    text = lambda f, name: F.max(F.when((F.col("field") == f) & (F.col("kind") == "string"), F.col("value"))).alias(name)
+    return named.groupBy("record_id", "path", "row").agg(
+        *(F.first(c).alias(c) for c in ("parent", "top", "top_key", "depth", "key")), F.array_sort(F.collect_list(F.struct("field", "value", "kind"))).alias("members"), text("", "plain"), *(text(f, f) for f in fields)
     )
-
-
-def _only(condition: Column, value: Column) -> Column:
-    return F.max(F.when(condition, value))
 
 
 WRAPPERS = ("branches", "open", "closed")
 
 
-def branch_objects(found: DataFrame) -> DataFrame:
-    """record_id, ancestor, branch, branch_commit, notes: one row for each branch object of a record.
-
-    ``notes`` are the notes that aren't empty, in reading order: numbered members by number, and a
-    reply behind the note that it answers, wherever the text stands in its object. They are pivoted
-    into the row with the rest, so that a record is parsed and moved once.
-    """
-    last = F.element_at("rest", F.when(F.size("rest") > 0, -1).otherwise(None))
-    numbered = lambda s: s["element"] | s["name"].rlike("^[0-9]+$")
-    text = F.col("kind") == "string"
-    leaf = (F.size("rest") == 0) & text
-    sha = (F.size("rest") == 1) & (last["name"] == "sha") & text
-    is_note = (F.col("field") == "notes") & text & ((F.size("rest") == 0) | numbered(last) | (last["name"] == "text")) & (F.length(F.trim("value")) > 0)
-    place = F.transform(F.filter("rest", lambda s: s["element"] | ~s["name"].isin("text", "replies")), lambda s: s["no"])
-    rows = found.groupBy("record_id", "ancestor").agg(
-        _only((F.col("field") == "branch") & leaf, F.trim("value")).alias("given"),
-        F.max("ancestor_name").alias("key"),
-        _only((F.col("field") == "branch_commit") & (leaf | sha), F.trim("value")).alias("branch_commit"),
-        F.collect_list(F.when(is_note, F.struct(place.alias("place"), F.col("value").alias("note")))).alias("notes"),
-    )
-    named = rows.select("record_id", "ancestor", F.coalesce("given", "key").alias("branch"), F.coalesce("branch_commit", F.lit("")).alias("branch_commit"), F.array_sort("notes").alias("notes"))
-    return named.where("branch is not null")
+def branch_tables(status: DataFrame) -> DataFrame:
+    """The child tables of the backports of every status record: branches, their notes, the notes' replies."""
+    found = triples(status, "status_id", "backports").repartition("record_id")
+    return child_tables(found, WRAPPERS, ("branch", "branch_commit", "branch_commit.sha", "notes", "notes.text", "text"))
 
 
 def backport_rows(status: DataFrame) -> DataFrame:
     """record_id, branch, item_no, note, branch_commit of the backports of every status record.
 
-    Notes are counted from 1 per branch; a branch without notes has one row with item_no 0. A branch
-    named by several objects of one record is one branch. Nothing gathered is larger than a record.
+    Notes are counted from 1 per branch in reading order: numbered members by number, and a reply
+    behind the note that it answers, wherever the text stands in its object. A branch without notes
+    has one row with item_no 0. A branch named by several objects of one record is one branch.
+    Nothing gathered is larger than a record.
     """
-    found = below(triples(status, "status_id", "backports"), WRAPPERS).repartition("record_id")
-    whole = branch_objects(found).groupBy("record_id", "branch").agg(F.max("branch_commit").alias("branch_commit"), F.array_sort(F.collect_list(F.struct("ancestor", "notes"))).alias("parts"))
+    rows = branch_tables(status)
+    below = F.array_join(F.slice(F.split("path", r"\."), F.size("top") + 1, F.size(F.split("path", r"\."))), ".")
+    own = F.col("depth") == 1
+    note = F.when(own, F.coalesce(F.col("notes"), F.col("`notes.text`"))).when(below.rlike(r"^notes(\.|$)"), F.coalesce("text", "plain"))
+    rows = rows.where("depth > 0").withColumn("note", note)
+    some = F.length(F.trim("note")) > 0
+    branch = rows.groupBy("record_id", "top").agg(
+        F.max(F.when(own, F.trim("branch"))).alias("given"),
+        F.max("top_key").alias("key"),
+        F.max(F.when(own, F.trim(F.coalesce("branch_commit", F.col("`branch_commit.sha`"))))).alias("branch_commit"),
+        F.array_sort(F.collect_list(F.when(some, F.struct("row", "note")))).alias("notes"),
+    )
+    named = branch.select("record_id", "top", F.coalesce("given", F.when(F.col("key") != "", F.col("key"))).alias("branch"), F.coalesce("branch_commit", F.lit("")).alias("branch_commit"), "notes").where("branch is not null")
+    whole = named.groupBy("record_id", "branch").agg(F.max("branch_commit").alias("branch_commit"), F.array_sort(F.collect_list(F.struct("top", "notes"))).alias("parts"))
     notes = F.flatten(F.transform("parts", lambda p: F.transform(p["notes"], lambda n: n["note"])))
     each = whole.select("record_id", "branch", "branch_commit", F.posexplode_outer(notes).alias("at", "note"))
     return each.select("record_id", "branch", F.coalesce(F.col("at") + 1, F.lit(0)).cast("bigint").alias("item_no"), "note", "branch_commit")
 
 
-def element_triples(records: DataFrame, record_id: str, array: str, fields: tuple[str, ...]) -> DataFrame:
-    """record_id, no, field, value of the fields of every non-null element of an array of structs.
-
-    The same triples for a typed column; null elements keep their place and give none.
-    """
-    placed = records.where(F.col(record_id).isNotNull()).select(F.col(record_id).alias("record_id"), F.posexplode(array).alias("at", "element")).where("element is not null")
-    each = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"element.{f}").cast("string").alias("value")) for f in fields))
-    return placed.select("record_id", (F.col("at") + 1).cast("bigint").alias("no"), F.explode(each).alias("x")).select("record_id", "no", "x.field", "x.value")
-
-
 def match_rows(findings: DataFrame, fields: tuple[str, ...] = ("project", "relpath")) -> DataFrame:
-    """record_id, no and the fields of every non-null match of every finding, pivoted from triples.
+    """record_id, no and the named fields of every non-null match of every finding, pivoted from triples.
 
     Null and empty arrays give no row; repeated rows count once.
     """
-    found = element_triples(findings, "finding_id", "matches", fields)
-    return found.groupBy("record_id", "no").agg(*(_only(F.col("field") == f, F.col("value")).alias(f) for f in fields))
+    found = child_tables(typed_triples(findings, "finding_id", "matches", fields), ("matches",), fields)
+    return found.select("record_id", F.element_at("row", -1).alias("no"), *fields)
 
 
 def child_rows(status: DataFrame, findings: DataFrame) -> DataFrame:

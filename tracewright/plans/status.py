@@ -21,17 +21,18 @@ def p3_notes(spark, sf):
 
 
 def a11_branch_matrix(spark, sf):
-    """One row for each record, one column for each branch: how many notes it has, null without it."""
+    """One row for each record: how many notes each of the known branches has, null without it, and the others together."""
     rows = backport_rows(table(spark, sf, "pr_status"))
-    wide = rows.groupBy("record_id").pivot("branch", list(BRANCHES)).agg(F.count("note"))
-    return wide.select("record_id", *(F.col(f"`{b}`").alias(b.replace("-", "_")) for b in BRANCHES))
+    known = F.col("branch").isin(*BRANCHES)
+    wide = rows.groupBy("record_id").agg(*(F.sum(F.when(F.col("branch") == b, F.col("note").isNotNull().cast("bigint"))).alias(b.replace("-", "_")) for b in BRANCHES), F.sum(F.when(~known, F.col("note").isNotNull().cast("bigint"))).alias("others"))
+    return wide.select("record_id", *(b.replace("-", "_") for b in BRANCHES), "others")
 
 
 def o2_branch_fill(spark, sf):
-    """A row for each record and each of the known branches; those that a record lacks say so."""
+    """A row for each record and each of the known branches, and one for any other branch of a record; those that it lacks say so."""
     rows = backport_rows(table(spark, sf, "pr_status")).select("record_id", "branch", "branch_commit").distinct()
     every = table(spark, sf, "pr_status").select(F.col("status_id").alias("record_id")).where("record_id is not null").distinct().withColumn("branch", F.explode(F.array(*(F.lit(b) for b in BRANCHES))))
-    return every.join(rows, ["record_id", "branch"], "left").select("record_id", "branch", F.when(F.col("branch_commit").isNull(), "absent").when(F.col("branch_commit") == "", "no-commit").otherwise("committed").alias("state"))
+    return every.join(rows, ["record_id", "branch"], "full_outer").select("record_id", "branch", F.when(F.col("branch_commit").isNull(), "absent").when(F.col("branch_commit") == "", "no-commit").otherwise("committed").alias("state"))
 
 
 def _status(spark, sf, *columns):

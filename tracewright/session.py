@@ -21,13 +21,15 @@ TABLES = (
 _shipped: set[str] = set()
 
 
-def local_session(app: str = "tracewright", cores: int | str = "*", memory: str = "4g") -> SparkSession:
+def local_session(app: str = "tracewright", cores: int | str = "*", memory: str = "4g", folder: str | None = None) -> SparkSession:
     """A single-node session with the settings that the operators expect of any session.
 
-    Only the time zone matters for results; the rest are the adaptive defaults.
+    Only the time zone matters for results; the rest are the adaptive defaults. ``folder`` takes the
+    intermediate tables; without it a single-node session makes one when it first needs it.
     """
+    builder = SparkSession.builder if folder is None else SparkSession.builder.config("spark.checkpoint.dir", folder)
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
@@ -62,9 +64,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The folder of ``spark.checkpoint.dir``. Where none is set, a single-node session makes a temporary
+    one; a cluster, whose machines don't see each other's folders, is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         folder = "file://" + tempfile.mkdtemp(prefix="tracewright-")
         spark.conf.set("spark.checkpoint.dir", folder)
         atexit.register(shutil.rmtree, folder[len("file://") :], ignore_errors=True)
@@ -84,6 +90,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffle_parts(df: DataFrame, times: float = 1.0, each: int = 48 << 20) -> int:
+    """Partitions for a shuffle of ``times`` the size of a scan, so that none outgrows ``each`` bytes as tables grow."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(df.sparkSession.sparkContext.defaultParallelism, int(size * times) // each + 1)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete the table behind a frame that ``cut_lineage`` returned, once nothing reads it."""
     spark = df.sparkSession

@@ -5,6 +5,7 @@ Every reader has a fixed schema. Missing registries are empty, rows without thei
 
 from __future__ import annotations
 
+import re
 import tomllib
 from pathlib import Path
 
@@ -35,7 +36,7 @@ def source_tree(spark: SparkSession, root: str, least: int = 256, most: int | No
     """project, relpath, bytes, size of the files below ``root``/<project>/; size limits apply at the scan."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").removeprefix("file://").removeprefix("file:")
-    inside = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), f"^{base}/", "")
+    inside = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), f"^{re.escape(base)}/", "")
     kept = files.where(F.col("length") >= least)
     if most is not None:
         kept = kept.where(F.col("length") <= most)
