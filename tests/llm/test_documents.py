@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import packing
 from tracewright.llm.languages import LANGUAGES, fit, label_code, mislabelled, pieces_of, segments
-from tracewright.llm.leaks import HammingIndex, Items, leaks, words
+from tracewright.llm.leaks import RADIUS, HammingIndex, Items, item_words, leaks, words
 from tracewright.llm.packing import containers, crossover, evolve
 
 
@@ -57,12 +57,51 @@ def test_words_lose_their_dress():
     assert words("a​b­c") == ["abc"] and words("") == []
 
 
-def test_hamming_index_finds_all_within_radius():
+def test_hamming_index_finds_all_within_radius_and_little_else():
     rng = np.random.default_rng(3)
     stored = rng.integers(0, 1 << 63, (40, 4)).astype(np.uint64)
-    query = stored[:10] ^ (np.uint64(1) << rng.integers(0, 63, (10, 4)).astype(np.uint64))
-    near = {(q, s) for q in range(10) for s in range(40) if np.bitwise_count(query[q] ^ stored[s]).sum() <= 104}
-    assert set(zip(*(x.tolist() for x in HammingIndex(stored, 104).query(query)))) == near
+    query = stored[:10].copy()
+    for k in range(10):
+        for bit in rng.choice(256, 3 * k + 4, replace=False):
+            query[k, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    near = {(q, s) for q in range(10) for s in range(40) if np.bitwise_count(query[q] ^ stored[s]).sum() <= RADIUS}
+    index = HammingIndex(stored, RADIUS)
+    assert set(zip(*(x.tolist() for x in index.query(query)))) == near and len(near) == 10
+    reached = len(index.reached(rng.integers(0, 1 << 63, (2000, 4)).astype(np.uint64))[0]) / 2000 / 40
+    assert reached < 0.01  # of the pieces, by a random window
+
+
+def test_weights_count_over_all_blocks(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma delta", 3), (2, "alpha beta other words", 3), (3, "one", 3), (3, "one", 3), (4, "- -", 3)], "item_id long, text string, words int")
+    got = {r.item_id: (r.words, r.counts) for r in item_words(items).collect()}
+    assert got[1] == (["alpha", "beta", "gamma", "delta"], [2, 1, 1]) and got[2][1] == [2, 1, 1] and set(got) == {1, 2, 3} and not got[3][1]
+    alone = Items([1], [got[1][0]], [np.array(got[1][1])], 3)
+    both = Items([1, 2], [got[1][0], got[2][0]], [np.array(got[k][1]) for k in (1, 2)], 3)
+    prints = [x.pieces[0][4].prints[x.pieces[0][1] == 0].tolist() for x in (alone, both)]
+    assert prints[0] == prints[1] and alone.whole[0] == pytest.approx(both.whole[0])
+
+
+def test_short_items(spark):
+    items = spark.createDataFrame([(1, "quanpo vumer tihod lasgo"), (2, "Zebraword"), (3, "of the"), (4, "")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "before quanpo vumer tihod after"), (2, "a zebraword; quanpo lasgo"), (3, "the of"), (4, "zebraword")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.part) for r in leaks(docs, items).collect()} == {(1, 1, 0.75), (2, 2, 1.0), (4, 2, 1.0)}
+
+
+def test_every_planted_half_is_found():
+    """Halves of items with one word in ten changed, in one stretch or two: recall against aligning all."""
+    rng = np.random.default_rng(11)
+    texts = [[f"w{rng.integers(0, 400)}" for _ in range(int(rng.integers(40, 130)))] for _ in range(60)]
+    known = Items(list(range(60)), texts)
+    hit = 0
+    for i, t in enumerate(texts):
+        n = len(t)
+        cut = int(rng.integers(0, n // 2 - 2))
+        first, second = t[cut : cut + n // 4 + 2], t[cut + n // 4 + 4 : cut + n // 2 + 8]
+        text = ["x"] * 30 + first + ["y"] * 20 + second + ["z"] * 30
+        text = [f"w{rng.integers(0, 400)}" if rng.random() < 0.1 else w for w in text]
+        coded = np.array([known.word_id.get(w, 0) for w in text])
+        hit += i in {k for k, _ in known.candidates(coded)}
+    assert hit >= 57
 
 
 def test_leaks(spark):
