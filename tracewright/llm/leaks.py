@@ -4,8 +4,9 @@ Adjacent words are the features; pairs that few of all items have weigh more. An
 part lies far from the whole item, so an item gets a weighted 256-bit SimHash of each of many short
 pieces, and so do windows of the same size at all places of a document where a known pair begins. A
 multi-index over blocks of the fingerprint finds all pieces within the Hamming radius of a window;
-the exact weighted similarity of piece and window, then that of item and document, have to reach a
-floor, and the words of both are aligned to see whether enough of the item is there.
+the exact weighted similarity of piece and window has to reach a floor, the document has to have as
+many of the item's pairs as any alignment needs, and the words of both are aligned to see whether
+enough of the item is there.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +31,17 @@ BITS, BLOCKS = 256, 16
 RADIUS = 31
 #: Words of a piece: an eighth of the item within these limits; pieces begin at every second word of longer items.
 PIECE_SHARE, PIECE_LEAST, PIECE_MOST = 8, 2, 8
-#: Least weighted similarity of a piece and a window, and least weighted share of an item's features in a document.
-ALIKE, SHARE = 0.5, 0.12
+#: Least weighted similarity of a piece and a window.
+ALIKE = 0.5
 #: Least share of the item's words that its one or two stretches in the document span.
 PART = 0.5
 #: Alignment: a changed, added or dropped word costs this many matching ones; longest gap of such words.
 EDIT, REACH = 3.0, 4
 #: Least alignment score of a stretch for each word it spans: about 15 words in 100 edited. Shortest stretch, for items of 16 words and more.
 DENSITY, STRETCH = 0.4, 4
+#: Pairs of words, for each word of its stretches, that an item keeps at least, but for one in each stretch: an edit
+#: costs a match and ``EDIT`` more, so no more than this share of a stretch's words is edited, and breaks two pairs.
+NEEDED = 1 - 2 * (1 - DENSITY) / (EDIT + 1)
 #: Features of a text whose windows are worked out together.
 STRIDE = 4096
 #: Most characters of item text sent to every task at once; more items are taken in several blocks.
@@ -120,6 +125,7 @@ class Items:
     texts: list[list[str]]
     counts: list[np.ndarray] | None = None
     total: int = 0
+    share: float = PART
 
     def __post_init__(self) -> None:
         vocabulary = sorted({w for t in self.texts for w in t})
@@ -138,8 +144,8 @@ class Items:
         with np.errstate(over="ignore"):
             self.feature_hash = mix(hashes[self.pairs // self.base] * np.uint64(0x9E3779B97F4A7C15) + hashes[self.pairs % self.base])
         self.lengths = np.array([len(t) for t in self.texts])
-        self.features = [np.unique(np.searchsorted(self.pairs, p)) for p in pairs]
-        self.whole = np.array([self.weight[f].sum() for f in self.features])
+        self.features = [np.searchsorted(self.pairs, p) for p in pairs]
+        self.held = np.zeros(len(self.pairs), bool)
         self.single = {int(t[0]): [] for t in self.coded if len(t) == 1}
         for i, t in enumerate(self.coded):
             if len(t) == 1:
@@ -149,7 +155,7 @@ class Items:
         for i, p in enumerate(pairs):
             n = len(p) + 1
             size = min(PIECE_MOST, max(PIECE_LEAST, n // PIECE_SHARE))
-            at = np.searchsorted(self.pairs, p)
+            at = self.features[i]
             last = n - size
             for start in sorted({*range(0, last + 1, 2 if size > 2 else 1), last}) if n > 1 else ():
                 found.setdefault(size, []).append((i, np.unique(at[start : start + size - 1])))
@@ -171,7 +177,7 @@ class Items:
             self.of_word.append(at)
 
     def __getstate__(self) -> dict:
-        return {"ids": self.ids, "texts": self.texts, "counts": self.counts, "total": self.total}  # the tables are built again where they are used
+        return {"ids": self.ids, "texts": self.texts, "counts": self.counts, "total": self.total, "share": self.share}  # the tables are built again where they are used
 
     def __setstate__(self, state: dict) -> None:
         self.__init__(**state)
@@ -188,8 +194,8 @@ class Items:
         return np.packbits(sums > 1e-4, axis=-1, bitorder="little").view(np.uint64)
 
     def candidates(self, coded: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """Items of which a window of the text is like a piece and whose features weigh enough in it,
-        with the places of the item's features in the text."""
+        """Items of which a window of the text is like a piece and whose pairs are enough in it, with the
+        places of the item's pairs in the text."""
         lone = [(i, np.flatnonzero(coded == w)) for w in set(coded.tolist()) & self.single.keys() for i in self.single[w]]
         if not len(self.pairs) or len(coded) < 2:
             return lone
@@ -198,13 +204,14 @@ class Items:
         at[at == len(self.pairs)] = 0
         place = np.flatnonzero((self.pairs[at] == both) & (coded[:-1] > 0))
         feature = at[place]
-        held = np.unique(feature)
         found: set[int] = set()
         for first in range(0, len(place), STRIDE):  # long texts in stretches that overlap by a window
             last = min(first + STRIDE, len(place))
             end = int(np.searchsorted(place, place[last - 1] + self.most))
             self._windows(place[first:end], feature[first:end], last - first, found)
-        near = [i for i in sorted(found) if self.weight[np.intersect1d(held, self.features[i])].sum() >= SHARE * self.whole[i]]
+        self.held[feature] = True
+        near = [i for i in sorted(found) if self.held[self.features[i]].sum() >= NEEDED * self.share * self.lengths[i] - 2]
+        self.held[feature] = False
         return lone + [(i, place[np.isin(feature, self.features[i])]) for i in near]
 
     def _windows(self, place: np.ndarray, feature: np.ndarray, anchors: int, found: set[int]) -> None:
@@ -284,7 +291,7 @@ def _search(documents: DataFrame, items: Items) -> DataFrame:
             for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                 if not text:
                     continue
-                coded = np.array([known.get(w, 0) for w in words(text)], np.int64)
+                coded = np.array(list(map(known.get, words(text), repeat(0))), np.int64)
                 for item, places in items.candidates(coded):
                     docs.append(doc)
                     hits.append(items.ids[item])
@@ -327,7 +334,7 @@ def leaks(documents: DataFrame, items: DataFrame, part: float = PART) -> DataFra
     def take() -> None:
         nonlocal found, block, size
         ids, texts, counts = (list(x) for x in zip(*block)) if block else ([], [], [])
-        hits = _search(documents, Items(ids, texts, counts, total))
+        hits = _search(documents, Items(ids, texts, counts, total, part))
         found = hits if found is None else found.unionByName(hits)
         block, size = [], 0
 
