@@ -9,23 +9,72 @@ from pyspark.sql import functions as F
 from tracewright.llm import packing
 from tracewright.llm.languages import LANGUAGES, fit, label_code, mislabelled, pieces_of, segments
 from tracewright.llm.leaks import RADIUS, HammingIndex, Items, item_words, leaks, words
-from tracewright.llm.packing import containers, crossover, evolve
+from tracewright.llm.packing import containers, crossover
 
 
-def test_evolve_reaches_the_bound_that_best_fit_misses():
-    sizes = [6, 6, 5, 5, 4, 4, 3, 3] * 4 + [2] * 12  # capacity 15: 24 * 8 = 168 + 24
-    groups = evolve(sizes, 15, 1, generations=200)
-    assert sorted(i for g in groups for i in g) == list(range(len(sizes)))
-    assert all(sum(sizes[i] for i in g) <= 15 for g in groups)
-    assert len(groups) <= -(-sum(sizes) // 15) + 1
+def thirds(rng, bins=20):
+    """Sizes that fill bins of 128 three by three, which best fit in decreasing order misses."""
+    sizes = []
+    for _ in range(bins):
+        a = rng.randrange(33, 60)
+        b = rng.randrange(33, min(62, 94 - a))
+        sizes += [a, b, 128 - a - b]
+    rng.shuffle(sizes)
+    return sizes
+
+
+def best_fit_decreasing(sizes, capacity):
+    bins = packing.Bins(sizes, capacity)
+    bins.best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]))
+    return bins
+
+
+def test_evolution_beats_its_best_seed():
+    rng = random.Random(3)
+    for _ in range(3):
+        sizes = thirds(rng)
+        first = packing.seeds(sizes, 128, rng)
+        best = packing.evolve(first, sizes, 128, rng, generations=300, stall=300)[0]
+        assert sorted(i for g in best.groups() for i in g) == list(range(len(sizes)))
+        assert max(best.fill.values()) <= 128 and len(best.fill) < min(len(b.fill) for b in first)
+
+
+def test_islands_beat_best_fit_decreasing(spark):
+    sizes = thirds(random.Random(7), 24)
+    docs = spark.createDataFrame([(i, " ".join(["word"] * n)) for i, n in enumerate(sizes)], "doc_id long, text string")
+    out = containers(docs, capacity=128).toPandas()
+    assert out.sort_values("doc_id").tokens.tolist() == sizes
+    assert out.container.nunique() < len(best_fit_decreasing(sizes, 128).fill)
+
+
+def test_elites_move_to_the_next_island():
+    import pyarrow as pa
+
+    sizes = thirds(random.Random(9), 4)
+    items = [{"doc_id": i, "piece": 0, "tokens": n} for i, n in enumerate(sizes)]
+    batch = pa.RecordBatch.from_pylist([{"shard": 3, "island": 0, "items": items, "crowd": []}], schema=packing._STATE)
+    rows = [r for b in packing._epoch(128, 0, 0)(iter([batch])) for r in b.to_pylist()]
+    assert [(r["shard"], r["island"], r["items"] is None) for r in rows] == [(3, 0, False), (3, 1, True)] and rows[1]["crowd"] == rows[0]["crowd"][:1]
+    held = list(packing._islands(iter([pa.RecordBatch.from_pylist([rows[0], {**rows[1], "island": 0}], schema=packing._STATE)])))
+    assert len(held) == 1 and len(held[0][3]) == len(rows[0]["crowd"]) + 1
+
+
+def test_no_shard_outgrows_its_bound(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 50)
+    seen = []
+    real = packing.pack
+    monkeypatch.setattr(packing, "pack", lambda items, shards, capacity, level=0: seen.append((items.count(), shards)) or real(items, shards, capacity, level))
+    # No two of these fit together, so no bin is ever full: packing ends instead of gathering them in one task.
+    docs = spark.createDataFrame([(i, "word " * (70 + i % 9)) for i in range(400)], "doc_id long, text string")
+    out = containers(docs, capacity=128).toPandas()
+    assert out.container.nunique() == 400 and len(seen) == 1 and all(n / k <= 50 for n, k in seen)
 
 
 def test_crossover_keeps_every_item_once():
     rng = random.Random(3)
     sizes = [rng.randrange(1, 60) for _ in range(120)]
-    one, two = evolve(sizes, 100, 1, generations=0), evolve(sizes, 100, 2, generations=0)
-    two = [g for g in two[::-1]]
-    child = crossover(one, two, sizes, 100, rng)
+    one, two = (b.groups() for b in packing.seeds(sizes, 100, rng)[:2])
+    child = crossover(one, two[::-1], sizes, 100, rng)
     assert sorted(i for g in child.groups() for i in g) == list(range(120))
     assert all(child.fill[b] == sum(sizes[i] for i in g) <= 100 for b, g in child.items.items())
 

@@ -3,8 +3,9 @@
 A grouping genetic algorithm: a solution is a set of bins; crossover injects whole well-filled bins
 of one parent into the other, drops the bins that would hold an item twice, and best-fits what that
 displaces. Items are dealt into shards of bounded size; each shard is evolved on several islands,
-whose elites migrate to the next island between epochs. Bins that end up short of full are opened
-again and their items packed anew, with those of other shards, in fewer and fewer shards.
+each a row of its own, and between epochs the elite of an island moves on to the next one. Bins
+that end up short of full are opened again and their items packed anew, with those of other
+shards, as long as that fills bins.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 from random import Random
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,14 +25,16 @@ from ..session import cut_lineage
 CAPACITY = 4096
 #: Vocabulary file of a public tokenizer; a bare name is looked up in the installed collection.
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Items of one shard, the most that one task packs together.
-SHARD = 2000
-ISLANDS = 2
-POPULATION, GENERATIONS = 6, 24
-#: Bins at least this full are final before the last level.
+#: Items of one shard, about the most that one task packs together.
+SHARD = 600
+#: Populations that evolve a shard apart from each other; epochs, between which their elites move on.
+ISLANDS, EPOCHS = 2, 3
+#: Solutions of a population; children of one epoch, and after how many without a gain it ends.
+POPULATION, GENERATIONS, STALL = 6, 40, 14
+#: Bins at least this full are final.
 FULL = 0.9985
-#: Levels of repacking divide the shards by this.
-FAN = 8
+#: Packing anew goes on while at least this share of the items in open bins gets into full ones.
+GAIN = 0.1
 
 _encoders: dict[str, object] = {}
 
@@ -143,95 +145,148 @@ def mutate(bins: Bins, random: Random) -> None:
     chosen = order[:1] + random.sample(order[1:], min(2, len(order) - 1))
     loose = [i for b in chosen for i in bins.drop_bin(b)]
     random.shuffle(loose)
+    loose.sort(key=lambda i: -bins.sizes[i] * random.uniform(0.7, 1.3))
     bins.best_fit(loose)
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, start: list[list[list[int]]] = (), population: int = POPULATION, generations: int = GENERATIONS) -> list[list[int]]:
-    """Best grouping found. Stops at the lower bound of the number of bins."""
-    random = Random(seed)
-    bound = -(-sum(sizes) // capacity)
+def rank(bins: Bins) -> tuple[int, float]:
+    """Smaller is better: fewer bins, then fuller ones."""
+    return len(bins.fill), -bins.fitness()
+
+
+def finished(bins: Bins) -> bool:
+    """No grouping can be better: all bins but the last are full to the token."""
+    return sum(f < bins.capacity for f in bins.fill.values()) <= 1
+
+
+def seeds(sizes: list[int], capacity: int, random: Random, population: int = POPULATION) -> list[Bins]:
+    """First solutions: best fit in decreasing, in disturbed decreasing and in random order."""
     falling = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    crowd = [_from(g, sizes, capacity) for g in start]
-    first = Bins(sizes, capacity)
-    first.best_fit(falling)
-    crowd.append(first)
-    if min(len(b.fill) for b in crowd) > bound:
-        while len(crowd) < population:
-            bins, order = Bins(sizes, capacity), falling[:]
-            # Decreasing order, disturbed: neighbours within a window swap places.
+    crowd = []
+    for k in range(population):
+        order = falling[:]
+        if k >= population // 2:
+            random.shuffle(order)
+        elif k:
             order.sort(key=lambda i: -sizes[i] * random.uniform(0.8, 1.2))
-            bins.best_fit(order)
-            crowd.append(bins)
-        for _ in range(generations):
-            crowd.sort(key=lambda b: (len(b.fill), -b.fitness()))
-            if len(crowd[0].fill) <= bound:
-                break
-            one, two = random.sample(crowd[: max(2, population // 2)], 2)
-            child = crossover(one.groups(), two.groups(), sizes, capacity, random)
-            mutate(child, random)
+        bins = Bins(sizes, capacity)
+        bins.best_fit(order)
+        crowd.append(bins)
+    return crowd
+
+
+def evolve(crowd: list[Bins], sizes: list[int], capacity: int, random: Random, generations: int = GENERATIONS, stall: int = STALL) -> list[Bins]:
+    """The population after an epoch, best first. The worst makes room for each child that is better."""
+    crowd = sorted(crowd, key=rank)
+    idle = 0
+    for _ in range(generations):
+        if finished(crowd[0]) or idle >= stall or len(crowd) < 2:
+            break
+        one, two = random.sample(crowd[: max(2, len(crowd) * 2 // 3)], 2)
+        child = crossover(one.groups(), two.groups(), sizes, capacity, random)
+        mutate(child, random)
+        mine = rank(child)
+        idle = 0 if mine < rank(crowd[0]) else idle + 1
+        if mine < rank(crowd[-1]) and all(mine != rank(b) for b in crowd):
             crowd[-1] = child
-    return min(crowd, key=lambda b: (len(b.fill), -b.fitness())).groups()
+            crowd.sort(key=rank)
+    return crowd
 
 
-def _island(capacity: int, level: int):
-    """One epoch on the rows of one (shard, island); columns ``own`` and ``guest`` hold start groupings."""
+_ITEMS = pa.list_(pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("tokens", pa.int64())]))
+_STATE = pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("items", _ITEMS), ("crowd", pa.list_(pa.list_(pa.int32())))])
+STATE = "shard bigint, island int, items array<struct<doc_id:bigint,piece:int,tokens:bigint>>, crowd array<array<int>>"
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["shard", "island", "doc_id", "piece", "tokens", "bin"]
-        held: pa.Table | None = None
-
-        def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            key = t.column("shard").to_numpy() * ISLANDS + t.column("island").to_numpy()
-            borders = np.flatnonzero(np.concatenate([[True], np.diff(key) != 0, [True]]))
-            for lo, hi in zip(borders[:-1], borders[1:]):
-                c = t.slice(lo, hi - lo).sort_by([("doc_id", "ascending"), ("piece", "ascending")])
-                sizes = c.column("tokens").to_pylist()
-                start = []
-                for name in ("own", "guest"):
-                    groups: dict[int, list[int]] = {}
-                    for i, b in enumerate(c.column(name).to_pylist()):
-                        if b is not None:
-                            groups.setdefault(b, []).append(i)
-                    if groups:
-                        start.append(list(groups.values()))
-                shard, island = c.column("shard")[0].as_py(), c.column("island")[0].as_py()
-                best = evolve(sizes, capacity, (shard * 31 + island) * 31 + level * 7 + len(start), start)
-                bins = np.zeros(len(sizes), np.int32)
-                for b, group in enumerate(best):
-                    bins[group] = b
-                yield pa.RecordBatch.from_arrays([*(c.column(x).combine_chunks() for x in names[:-1]), pa.array(bins)], names)
 
-        for part in parts:
-            t = pa.Table.from_batches([part])
-            held = t if held is None else pa.concat_tables([held, t])
-            key = held.column("shard").to_numpy() * ISLANDS + held.column("island").to_numpy()
-            whole = int(np.searchsorted(key, key[-1], side="left")) if len(key) else 0
-            if whole:
-                yield from flush(held.slice(0, whole))
-                held = held.slice(whole)
-        if held is not None and held.num_rows:
-            yield from flush(held)
+def _numbered(bins: Bins) -> list[int]:
+    """The bin of each item."""
+    out = [0] * len(bins.sizes)
+    for b, group in enumerate(bins.items.values()):
+        for i in group:
+            out[i] = b
+    return out
+
+
+def _grouped(numbers: list[int], sizes: list[int], capacity: int) -> Bins:
+    groups: dict[int, list[int]] = {}
+    for i, b in enumerate(numbers):
+        groups.setdefault(b, []).append(i)
+    return _from(list(groups.values()), sizes, capacity)
+
+
+def _islands(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[dict], list[list[int]]]]:
+    """shard, island, items and solutions of each island of a sorted partition; what has moved in is among the solutions."""
+    held: tuple | None = None
+    for part in parts:
+        for row in part.to_pylist():
+            if held and held[:2] == (row["shard"], row["island"]):
+                held = (*held[:2], held[2] or row["items"], held[3] + row["crowd"])
+            else:
+                if held:
+                    yield held
+                held = row["shard"], row["island"], row["items"], row["crowd"]
+    if held:
+        yield held
+
+
+def _epoch(capacity: int, level: int, epoch: int):
+    """Evolve every island; its row stays, and a row with its elite goes to the next one."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, island, items, crowd in _islands(parts):
+            sizes = [i["tokens"] for i in items]
+            random = Random(((shard * ISLANDS + island) * 64 + level) * EPOCHS + epoch)
+            first = [_grouped(c, sizes, capacity) for c in crowd] if crowd else seeds(sizes, capacity, random)
+            best = evolve(first, sizes, capacity, random)[:POPULATION]
+            solved = [_numbered(b) for b in best]
+            rows = [(shard, island, items, solved), (shard, (island + 1) % ISLANDS, None, solved[:1])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _STATE)], schema=_STATE)
 
     return run
 
 
-def _epoch(rows: DataFrame, capacity: int, level: int) -> DataFrame:
-    kept = rows.repartition("shard", "island").sortWithinPartitions("shard", "island").select("shard", "island", "doc_id", "piece", "tokens", "own", "guest")
-    return kept.mapInArrow(_island(capacity, level), "shard bigint, island int, doc_id bigint, piece int, tokens bigint, bin int")
+def _pick(capacity: int):
+    """The items of every shard with their bins in the best solution of all islands, and the bins' fill."""
+    names = ["shard", "bin", "doc_id", "piece", "tokens", "fill"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: tuple | None = None
+
+        def rows() -> pa.RecordBatch:
+            _, shard, items, bins = best
+            fill = {i: sum(bins.sizes[k] for k in g) for i, g in enumerate(bins.items.values())}
+            out = [(shard, b, i["doc_id"], i["piece"], i["tokens"], fill[b]) for i, b in zip(items, _numbered(bins))]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+        for shard, _, items, crowd in _islands(parts):
+            sizes = [i["tokens"] for i in items]
+            mine = min((_grouped(c, sizes, capacity) for c in crowd), key=rank)
+            if best and best[1] != shard:
+                yield rows()
+                best = None
+            if not best or rank(mine) < best[0]:
+                best = rank(mine), shard, items, mine
+        if best:
+            yield rows()
+
+    return run
 
 
-def _pack(items: DataFrame, shards: int, capacity: int, level: int) -> DataFrame:
-    """shard, bin, doc_id, piece, tokens: the best of all islands after migration."""
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(shards)))
-    islands = dealt.withColumn("island", F.explode(F.array(*(F.lit(i) for i in range(ISLANDS)))))
-    first = cut_lineage(_epoch(islands.withColumns({"own": F.lit(None).cast("int"), "guest": F.lit(None).cast("int")}), capacity, level))
-    # The elite of each island moves on to the next one.
-    guest = first.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"), "doc_id", "piece", F.col("bin").alias("guest"))
-    second = cut_lineage(_epoch(first.withColumnRenamed("bin", "own").join(guest, ["shard", "island", "doc_id", "piece"]), capacity, level + 1))
-    fill = second.groupBy("shard", "island", "bin").agg(F.sum("tokens").alias("fill"))
-    score = fill.groupBy("shard", "island").agg(F.count(F.lit(1)).alias("bins"), F.avg(F.pow(F.col("fill") / capacity, 2)).alias("fitness"))
-    best = score.groupBy("shard").agg(F.min(F.struct("bins", (-F.col("fitness")).alias("f"), "island"))["island"].alias("island"))
-    return second.join(best, ["shard", "island"]).select("shard", "bin", "doc_id", "piece", "tokens")
+def pack(items: DataFrame, shards: int, capacity: int, level: int = 0) -> DataFrame:
+    """shard, bin, doc_id, piece, tokens, fill: items (doc_id, piece, tokens) packed shard by shard.
+
+    A shard is one row on each of its islands, so an epoch moves a row for each island and one for
+    its elite; nothing is joined, and no row outgrows a shard.
+    """
+    width = min(shards * ISLANDS, max(items.sparkSession.sparkContext.defaultParallelism, shards * ISLANDS // 8))
+    dealt = items.groupBy(F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(shards)).alias("shard"))
+    rows = dealt.agg(F.array_sort(F.collect_list(F.struct("doc_id", "piece", "tokens"))).alias("items"))  # about SHARD items
+    state = rows.select("shard", F.explode(F.array(*(F.lit(i) for i in range(ISLANDS)))).alias("island"), "items", F.array().cast("array<array<int>>").alias("crowd"))
+    for epoch in range(EPOCHS):
+        state = state.repartition(width, "shard", "island").sortWithinPartitions("shard", "island", F.col("items").isNull()).mapInArrow(_epoch(capacity, level, epoch), STATE)
+    last = state.repartition(width, "shard").sortWithinPartitions("shard", "island", F.col("items").isNull())
+    return last.mapInArrow(_pick(capacity), "shard bigint, bin int, doc_id bigint, piece int, tokens bigint, fill bigint")
 
 
 def containers(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -244,24 +299,21 @@ def containers(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str =
     sizes = cut_lineage(token_counts(documents, vocabulary).groupBy("doc_id").agg(F.max("tokens").alias("tokens")).where("tokens > 0"))
     whole = F.floor(F.col("tokens") / capacity).cast("int")
     rest = F.col("tokens") - whole * capacity
-    full = sizes.where(whole > 0).select("doc_id", F.explode(F.sequence(F.lit(0), whole - 1)).alias("piece")).select(F.concat(F.lit("f-"), F.col("doc_id"), F.lit("-"), F.col("piece")).alias("container"), "doc_id", "piece", F.lit(capacity).cast("bigint").alias("tokens"))
-    left = sizes.where(rest > 0).select("doc_id", whole.alias("piece"), rest.alias("tokens"))
-    done, level = [full], 0
-    shards = max(1, -(-left.count() // SHARD))
-    while True:
-        packed = cut_lineage(_pack(left, shards, capacity, level))
-        named = packed.withColumn("container", F.concat_ws("-", F.lit(f"l{level}"), "shard", "bin"))
-        if shards == 1:
-            done.append(named.select("container", "doc_id", "piece", "tokens"))
+    full = F.lit(capacity).cast("bigint")
+    cut = sizes.where(whole > 0).select("doc_id", F.explode(F.sequence(F.lit(0), whole - 1)).alias("piece"))
+    rows = cut.select(F.concat(F.lit("f-"), F.col("doc_id"), F.lit("-"), F.col("piece")).alias("container"), "doc_id", "piece", full.alias("tokens"), full.alias("container_tokens"))
+    left, level = sizes.where(rest > 0).select("doc_id", whole.alias("piece"), rest.alias("tokens")), 0
+    count = left.count()
+    while count:
+        shards = -(-count // SHARD)  # a shard never outgrows its bound, however many items stay in open bins
+        packed = cut_lineage(pack(left, shards, capacity, level))
+        named = packed.select(F.concat_ws("-", F.lit(f"l{level}"), "shard", "bin").alias("container"), "doc_id", "piece", "tokens", F.col("fill").alias("container_tokens"))
+        is_open = F.col("container_tokens") < F.lit(FULL * capacity)
+        still = named.where(is_open).count()
+        if shards == 1 or still > (1 - GAIN) * count:
+            rows = rows.unionByName(named)
             break
-        fill = named.groupBy("container").agg(F.sum("tokens").alias("t"))
-        full_enough = fill.where(F.col("t") >= F.lit(FULL * capacity)).select("container")
-        done.append(named.join(full_enough, "container").select("container", "doc_id", "piece", "tokens"))
-        left = named.join(full_enough, "container", "left_anti").select("doc_id", "piece", "tokens")
-        shards, level = max(1, min(-(-shards // FAN), -(-left.count() // SHARD))), level + 2
-    rows = done[0]
-    for d in done[1:]:
-        rows = rows.unionByName(d)
-    total = rows.groupBy("container").agg(F.sum("tokens").alias("container_tokens"))
+        rows = rows.unionByName(named.where(~is_open))
+        left, level, count = named.where(is_open).select("doc_id", "piece", "tokens"), level + 1, still
     start = (F.col("piece") * capacity).cast("bigint").alias("token_start")
-    return rows.join(total, "container").select("container", "doc_id", "piece", start, "tokens", "container_tokens", F.round(F.col("container_tokens") / capacity, 6).alias("fill"))
+    return rows.select("container", "doc_id", "piece", start, "tokens", "container_tokens", F.round(F.col("container_tokens") / capacity, 6).alias("fill"))
