@@ -214,33 +214,38 @@ def _grouped(numbers: list[int], sizes: list[int], capacity: int) -> Bins:
     return _from(list(groups.values()), sizes, capacity)
 
 
-def _islands(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[dict], list[list[int]]]]:
-    """shard, island, items and solutions of each island of a sorted partition; what has moved in is among the solutions."""
+def _islands(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.ListArray, list[list[int]]]]:
+    """shard, island, items (a list array of one row) and solutions of each island of a sorted partition; what has moved in is among the solutions."""
     held: tuple | None = None
     for part in parts:
-        for row in part.to_pylist():
-            if held and held[:2] == (row["shard"], row["island"]):
-                held = (*held[:2], held[2] or row["items"], held[3] + row["crowd"])
+        items = part.column("items")
+        for k, (shard, island, crowd) in enumerate(zip(*(part.column(c).to_pylist() for c in ("shard", "island", "crowd")))):
+            if held and held[:2] == (shard, island):
+                held = (*held[:3], held[3] + crowd)  # the island's own row comes first
             else:
                 if held:
                     yield held
-                held = row["shard"], row["island"], row["items"], row["crowd"]
+                held = shard, island, items.slice(k, 1), crowd
     if held:
         yield held
 
 
+def _sizes(items: pa.ListArray) -> list[int]:
+    return items.flatten().field("tokens").to_pylist()
+
+
 def _epoch(capacity: int, level: int, epoch: int):
     """Evolve every island; its row stays, and a row with its elite goes to the next one."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, island, items, crowd in _islands(parts):
-            sizes = [i["tokens"] for i in items]
+            sizes = _sizes(items)
             random = Random(((shard * ISLANDS + island) * 64 + level) * EPOCHS + epoch)
             first = [_grouped(c, sizes, capacity) for c in crowd] if crowd else seeds(sizes, capacity, random)
             best = evolve(first, sizes, capacity, random)[:POPULATION]
             solved = [_numbered(b) for b in best]
-            rows = [(shard, island, items, solved), (shard, (island + 1) % ISLANDS, None, solved[:1])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _STATE)], schema=_STATE)
+            both = [pa.array([shard, shard]), pa.array([island, (island + 1) % ISLANDS], pa.int32()), pa.concat_arrays([items.cast(_ITEMS), pa.nulls(1, _ITEMS)]), pa.array([solved, solved[:1]], _STATE.field("crowd").type)]
+            yield pa.RecordBatch.from_arrays(both, schema=_STATE)
 
     return run
 
@@ -248,19 +253,20 @@ def _epoch(capacity: int, level: int, epoch: int):
 def _pick(capacity: int):
     """The items of every shard with their bins in the best solution of all islands, and the bins' fill."""
     names = ["shard", "bin", "doc_id", "piece", "tokens", "fill"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: tuple | None = None
 
         def rows() -> pa.RecordBatch:
             _, shard, items, bins = best
-            fill = {i: sum(bins.sizes[k] for k in g) for i, g in enumerate(bins.items.values())}
-            out = [(shard, b, i["doc_id"], i["piece"], i["tokens"], fill[b]) for i, b in zip(items, _numbered(bins))]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+            fill = [sum(bins.sizes[k] for k in g) for g in bins.items.values()]
+            mine = _numbered(bins)
+            each = items.flatten()
+            columns = [pa.array([shard] * len(mine)), pa.array(mine, pa.int32()), *(each.field(c) for c in names[2:5]), pa.array([fill[b] for b in mine], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names)
 
         for shard, _, items, crowd in _islands(parts):
-            sizes = [i["tokens"] for i in items]
+            sizes = _sizes(items)
             mine = min((_grouped(c, sizes, capacity) for c in crowd), key=rank)
             if best and best[1] != shard:
                 yield rows()
