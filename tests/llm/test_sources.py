@@ -182,18 +182,37 @@ def test_similar_files_equal_brute_force(spark):
     assert similar_files(index.limit(0), files).count() == 0
 
 
-def test_tiles_of_a_large_block_lose_nothing(spark, monkeypatch):
+def test_blocks_and_bands_find_the_same_pairs(spark, monkeypatch):
     from tracewright.llm import near_duplicates as nd
 
-    monkeypatch.setattr(nd, "SMALL", 3)
-    monkeypatch.setattr(nd, "TILE", 4)
     base = code(5, 50).split("\n")
     rows = [(i, "p", f"{i}.c", "\n".join(base[i % 9 :] + code(40 + i, 4).split("\n")).encode(), 0, "k", 1) for i in range(1, 25)]
     files = spark.createDataFrame(rows, FILES)
-    small = {tuple(r) for r in nd.similar_files(files, files).collect()}
-    monkeypatch.setattr(nd, "SMALL", 1000)
-    monkeypatch.setattr(nd, "TILE", 1000)
-    assert small == {tuple(r) for r in nd.similar_files(files, files).collect()} and len(small) > 50
+    whole = {tuple(r) for r in nd.similar_files(files, files).collect()}
+    sk = nd.sketches(files, banded=True).cache()
+    exact, banded = ({tuple(r) for r in nd.candidate_pairs(sk, 0.6, b).collect()} for b in (False, True))
+    assert whole <= banded <= exact
+    monkeypatch.setattr(nd, "BLOCK", 4)
+    assert exact == {tuple(r) for r in nd.candidate_pairs(sk, 0.6).collect()}
+    assert whole == {tuple(r) for r in nd.similar_files(files, files).collect()} and len(whole) > 50
+
+
+def test_tile_pairs_far_apart_are_skipped_and_no_pair_is_lost():
+    from tracewright.llm.near_duplicates import compare
+
+    rng = np.random.default_rng(4)
+    sets = []
+    for size in [*rng.integers(3, 3000, 500), *[400] * 300]:
+        s = rng.integers(0, 1 << 62, size).astype(np.uint64)
+        sets += [s, np.concatenate([s[: int(size * rng.uniform(0.6, 1))], rng.integers(0, 1 << 62, 2).astype(np.uint64)])]
+    sizes, bits = np.array([len(s) for s in sets]), [odd_sketch(s).tobytes() for s in sets]
+    near = {(k, k + 1) for k in range(0, len(sets), 2) if len(np.intersect1d(sets[k], sets[k + 1])) >= 0.6 * len(np.union1d(sets[k], sets[k + 1]))}
+    i, j, tiles, skipped = compare(sizes, bits, sizes, bits, 0.6, own=True)
+    got = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())}
+    assert len(got) == len(i) and near <= got and len(near) > 700 and all(a != b for a, b in got)
+    assert skipped > tiles / 2  # by their ranges alone
+    i, j, _, _ = compare(sizes[:900], bits[:900], sizes[900:], bits[900:], 0.6)
+    assert {(a, b + 900) for a, b in zip(i.tolist(), j.tolist())} == {(a, b) for a, b in got if a < 900 <= b}
 
 
 def test_copies_between_the_ends_of_a_band_meet_their_home(spark, monkeypatch):

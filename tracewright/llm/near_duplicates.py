@@ -3,9 +3,11 @@
 Every file gets an odd sketch: a bit vector in which each distinct shingle flips one bit. The
 exclusive-or of two sketches is the sketch of the symmetric difference, so its bit count never
 exceeds the size of that difference, and the bit counts of the two differ by no more than that.
-A Jaccard of at least t bounds the difference by (1-t)/(1+t) of the two sizes together; comparing
-sketches within that radius therefore loses no pair. Sketches are compared tile against tile with
-numpy, inside blocks of files that share a MinHash band, and what remains is verified exactly.
+A Jaccard of at least t bounds the difference by (1-t)/(1+t) of the two sizes together, and each
+size by 1/t of the other. All sketches are put in order of size and bit count and cut into tiles;
+tile pairs whose ranges lie further apart are skipped, the others compared in full with numpy. No
+pair is lost, and what remains is verified exactly. The work is quadratic in the files of like
+size; ``banded`` compares only files that share a MinHash band, which is linear but may lose pairs.
 """
 
 from __future__ import annotations
@@ -25,12 +27,10 @@ from .source_text import binary_column
 
 #: Least Jaccard of the distinct five-token shingles of whole texts.
 SIMILARITY = 0.6
+#: Rows of sketches that one task holds for each side of a tile pair (a power of two); rows of the small tiles in it.
+BLOCK, TILE = 4096, 64
 #: 42 bands of 3 MinHash values: a pair at 0.6 meets in one with probability 0.99996, at 0.8 with 1 - 3e-14.
 ROWS, BANDS = 3, 42
-#: Files of one tile; a block of more files is split into tiles that meet pairwise in different tasks.
-TILE = 512
-#: Blocks up to this size are merged when different bands give the same members.
-SMALL = 32
 
 
 def _radius(similarity: float, a, b):
@@ -52,126 +52,154 @@ def fold(sketch: np.ndarray, words: int) -> np.ndarray:
     return sketch
 
 
-def sketches(files: DataFrame) -> DataFrame:
-    """file_id, size (distinct shingles), identity of the set, band keys, odd sketch."""
+def sketches(files: DataFrame, banded: bool = False) -> DataFrame:
+    """file_id, size (distinct shingles), ones (bits set), identity of the set, odd sketch, band keys if they are wanted."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            size, one, two, keys, bits = [], [], [], [], []
+            size, ones, one, two, keys, bits = [], [], [], [], [], []
             for tokens in token_lists(binary_column(part, "bytes")):
                 s = np.unique(windows(tokens, WIDTH))
                 with np.errstate(over="ignore"):
                     one.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
                     two.append(int(mix(s + np.uint64(99)).sum(dtype=np.uint64).view(np.int64)))
                 size.append(len(s))
-                keys.append(bands(minhash(s, ROWS * BANDS), ROWS).tolist() if len(s) else [])
-                bits.append(odd_sketch(s).tobytes())
-            arrays = [part.column("file_id"), pa.array(size, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["file_id", "size", "one", "two", "keys", "sketch"])
+                keys.append(bands(minhash(s, ROWS * BANDS), ROWS).tolist() if banded and len(s) else [])
+                sketch = odd_sketch(s)
+                ones.append(int(np.bitwise_count(sketch).sum()))
+                bits.append(sketch.tobytes())
+            arrays = [part.column("file_id"), pa.array(size, pa.int32()), pa.array(ones, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["file_id", "size", "ones", "one", "two", "keys", "sketch"])
 
-    return files.select("file_id", "bytes").where("file_id is not null").mapInArrow(run, "file_id bigint, size int, one bigint, two bigint, keys array<bigint>, sketch binary")
+    return files.select("file_id", "bytes").where("file_id is not null").mapInArrow(run, "file_id bigint, size int, ones int, one bigint, two bigint, keys array<bigint>, sketch binary")
 
 
-def _pairs_in(group: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i < j of rows of equal group (rows sorted by group, then side).
+class Sketches:
+    """Sketches of one width, in order of bit count, and the ranges of their tiles."""
 
-    In groups with sides 1 and 2 only pairs across the sides count; side 0 meets its own.
-    """
-    borders = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
-    counts = np.diff(borders)
-    ahead = np.repeat(borders[1:], counts) - np.arange(len(group)) - 1
-    i = np.repeat(np.arange(len(group)), ahead)
-    first = np.concatenate([[0], np.cumsum(ahead)[:-1]]) if len(ahead) else np.zeros(0, np.int64)
-    j = np.arange(len(i)) - np.repeat(first, ahead) + i + 1
-    keep = (side[i] == 0) | (side[i] != side[j])
-    return i[keep], j[keep]
-
-
-def _close(ids: np.ndarray, sizes: np.ndarray, bits: list[bytes], i: np.ndarray, j: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Those of the index pairs whose sketches lie within the radius."""
+    def __init__(self, at: np.ndarray, sizes: np.ndarray, table: np.ndarray):
+        ones = np.bitwise_count(table).sum(axis=1, dtype=np.int64)
+        order = np.lexsort((sizes, ones))
+        self.at, self.sizes, self.ones = at[order], sizes[order], ones[order]
+        self.words = np.ascontiguousarray(table[order].T)
+        self.starts = np.arange(0, len(order), TILE)
+        if len(order):
+            self.least, self.most = (f.reduceat(self.ones, self.starts) for f in (np.minimum, np.maximum))
+            self.small, self.large = (f.reduceat(self.sizes, self.starts) for f in (np.minimum, np.maximum))
+
+
+def _by_width(sizes: np.ndarray, bits: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     words = np.fromiter((len(b) // 8 for b in bits), np.int64, len(bits))
-    count = np.fromiter((int.from_bytes(b, "little").bit_count() for b in bits), np.int64, len(bits))
-    lo, hi = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-    order = np.lexsort((hi, lo))
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (np.diff(lo[order]) != 0) | (np.diff(hi[order]) != 0)
-    order = order[fresh]
-    i, j = i[order], j[order]
-    radius = np.floor(_radius(similarity, sizes[i], sizes[j]) + 1e-9)
-    ratio = np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]) - 1e-9
-    near = (ids[i] != ids[j]) & ratio & ((words[i] != words[j]) | (np.abs(count[i] - count[j]) <= radius))
-    i, j, radius = i[near], j[near], radius[near]
-    width = np.minimum(words[i], words[j])
-    good = np.zeros(len(i), bool)
-    for w in np.unique(width):
-        at = np.flatnonzero(width == w)
-        rows, where = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
-        table = np.empty((len(rows), w), np.uint64)
-        for k, r in enumerate(rows):
-            table[k] = fold(np.frombuffer(bits[r], np.uint64), w)
-        left, right = where[: len(at)], where[len(at) :]
-        step = max(1, (4 << 20) // (8 * int(w)))
-        for s in range(0, len(at), step):
-            apart = np.bitwise_count(table[left[s : s + step]] ^ table[right[s : s + step]]).sum(axis=1)
-            good[at[s : s + step]] = apart <= radius[at[s : s + step]]
-    return i[good], j[good]
-
-
-def _compare_tiles(similarity: float):
+    out = {}
+    for w in np.unique(words).tolist():
+        at = np.flatnonzero(words == w)
+        out[w] = at, sizes[at], np.frombuffer(b"".join(bits[k] for k in at), np.uint64).reshape(len(at), w)
+    return out
+
+
+def compare(sizes_a: np.ndarray, bits_a: list[bytes], sizes_b: np.ndarray, bits_b: list[bytes], similarity: float, own: bool = False) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Index pairs within the radius; then how many tile pairs there were and how many were skipped by their ranges.
+
+    ``own``: both sides are the same rows, and each pair counts once.
+    """
+    left, right = _by_width(sizes_a, bits_a), _by_width(sizes_b, bits_b)
+    found_i, found_j, tiles, skipped = [], [], 0, 0
+    eps = 1e-9
+    for wa, (at_a, size_a, table_a) in left.items():
+        for wb, (at_b, size_b, table_b) in right.items():
+            if own and wa > wb:
+                continue
+            w = min(wa, wb)
+            a, b = Sketches(at_a, size_a, fold(table_a, w)), Sketches(at_b, size_b, fold(table_b, w))
+            for x in range(len(a.starts)):
+                apart = np.maximum(0, np.maximum(a.least[x] - b.most, b.least - a.most[x]))
+                close = apart <= _radius(similarity, a.large[x], b.large) + eps
+                close &= (a.large[x] >= similarity * b.small - eps) & (b.large >= similarity * a.small[x] - eps)
+                if own and wa == wb:
+                    close[:x] = False
+                    tiles += len(b.starts) - x
+                else:
+                    tiles += len(b.starts)
+                skipped += int((~close).sum()) - (x if own and wa == wb else 0)
+                i = slice(a.starts[x], a.starts[x] + TILE)
+                for y in np.flatnonzero(close).tolist():
+                    j = slice(b.starts[y], b.starts[y] + TILE)
+                    radius = np.floor(_radius(similarity, a.sizes[i][:, None], b.sizes[j][None]) + eps).astype(np.int32)
+                    distance = np.zeros(radius.shape, np.int32)
+                    for k in range(w):
+                        distance += np.bitwise_count(a.words[k, i][:, None] ^ b.words[k, j][None])
+                        if k % 8 == 7 and k + 1 < w and (distance > radius).all():
+                            break
+                    p, q = np.nonzero(distance <= radius)
+                    if own and wa == wb and x == y:
+                        p, q = p[p < q], q[p < q]
+                    sp, sq = a.sizes[i][p], b.sizes[j][q]
+                    fit = np.minimum(sp, sq) >= similarity * np.maximum(sp, sq) - eps
+                    found_i.append(a.at[i][p[fit]])
+                    found_j.append(b.at[j][q[fit]])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([*found_i, none]), np.concatenate([*found_j, none]), tiles, skipped
+
+
+def _compare_blocks(similarity: float):
+    """Candidate pairs of each pair of blocks, whose rows are successive in a partition."""
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def flush(t: pa.Table) -> pa.RecordBatch:
-            group = t.column("tile").to_numpy()
-            i, j = _pairs_in(group, t.column("side").to_numpy())
-            ids, sizes = t.column("file_id").to_numpy(), t.column("size").to_numpy().astype(np.int64)
-            i, j = _close(ids, sizes, t.column("sketch").to_pylist(), i, j, similarity)
-            a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        for part in parts:  # tiles are whole only where the next one has begun
-            t = pa.Table.from_batches([part])
-            held = t if held is None else pa.concat_tables([held, t])
-            group = held.column("tile").to_numpy()
-            last = int(np.searchsorted(-(group != group[-1]).astype(np.int8), 0)) if len(group) else 0
-            if last:
-                yield flush(held.slice(0, last))
-                held = held.slice(last)
-        if held is not None and held.num_rows:
-            yield flush(held)
+        held: list[pa.RecordBatch] = []
+        pair = None
+
+        def flush() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            side, ids, sizes, bits = t.column("side").to_numpy(), t.column("file_id").to_numpy(), t.column("size").to_numpy().astype(np.int64), t.column("sketch").to_pylist()
+            left, right = np.flatnonzero(side < 2), np.flatnonzero(side != 1)
+            i, j, _, _ = compare(sizes[left], [bits[k] for k in left], sizes[right], [bits[k] for k in right], similarity, own=bool((side == 0).any()))
+            a, b = ids[left[i]], ids[right[j]]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        for part in parts:
+            numbers = part.column("pair").to_numpy()
+            borders = np.flatnonzero(np.concatenate([[True], np.diff(numbers) != 0, [True]])) if len(numbers) else []
+            for lo, hi in zip(borders[:-1], borders[1:]):
+                if held and pair != numbers[lo]:
+                    yield flush()
+                    held.clear()
+                pair = numbers[lo]
+                held.append(part.slice(lo, hi - lo))
+        if held:
+            yield flush()
 
     return run
 
 
-def candidate_pairs(sk: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs a < b of rows of ``sketches`` that share a band and lie within the radius."""
-    keyed = sk.where("size > 0").select("file_id", "size", F.explode("keys").alias("key"))
-    crowds = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    member = keyed.join(crowds, "key")
-    small = (
-        member.where(F.col("n") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list("file_id")).alias("ids"))
-        .groupBy("ids").agg(F.min("key").alias("key"))
-        .select(F.xxhash64("key").alias("tile"), F.lit(0).alias("side"), F.explode("ids").alias("file_id"))
-    )
-    # A large block: tiles by size class and hash; similar files differ by one class at most.
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    level = F.floor(F.log(F.col("size")) / F.lit(-np.log(similarity))).cast("int")
-    spot = F.pmod(F.xxhash64("file_id"), tiles).cast("int")
-    every = F.sequence(F.lit(0), tiles - 1)
-    own = F.transform(every, lambda u: F.struct(F.col("level").alias("l1"), F.least("spot", u).alias("t1"), F.col("level").alias("l2"), F.greatest("spot", u).alias("t2"), F.when(u == F.col("spot"), 0).when(F.col("spot") < u, 1).otherwise(2).alias("side")))
-    up = F.transform(every, lambda u: F.struct(F.col("level").alias("l1"), F.col("spot").alias("t1"), (F.col("level") + 1).alias("l2"), u.alias("t2"), F.lit(1).alias("side")))
-    down = F.transform(every, lambda u: F.struct((F.col("level") - 1).alias("l1"), u.alias("t1"), F.col("level").alias("l2"), F.col("spot").alias("t2"), F.lit(2).alias("side")))
-    large = (
-        member.where(F.col("n") > SMALL).select("file_id", "key", "n", level.alias("level"), spot.alias("spot"))
-        .select("file_id", "key", F.explode(F.concat(own, up, down)).alias("x"))
-        .select(F.xxhash64("key", "x.l1", "x.t1", "x.l2", "x.t2").alias("tile"), F.col("x.side").alias("side"), "file_id")
-    )
-    placed = small.unionByName(large).join(sk.select("file_id", "size", "sketch"), "file_id")
-    ordered = placed.repartition("tile").sortWithinPartitions("tile", "side").select("tile", "side", "file_id", "size", "sketch")
-    return ordered.mapInArrow(_compare_tiles(similarity), "a bigint, b bigint").distinct()
-
-
-def near_duplicates(index: DataFrame, files: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def candidate_pairs(sk: DataFrame, similarity: float = SIMILARITY, banded: bool = False) -> DataFrame:
+    """Pairs a < b of rows of ``sketches`` within the radius: all of them, or those that share a band.
+
+    Rows in order of size and bit count are cut into blocks. Block pairs whose sizes lie further
+    apart than the similarity allows are skipped; so are, in the others, the rows that fit no row
+    of the other side, before anything moves.
+    """
+    group = F.explode("keys").alias("group") if banded else F.lit(0).cast("bigint").alias("group")
+    rows = sk.where("size > 0").select(group, "size", "ones", "file_id", "sketch")
+    count = rows.count() if not banded else sk.count() * BANDS
+    order = ["group", "size", "ones", "file_id"]
+    ranged = rows.repartitionByRange(-(-count // BLOCK) or 1, *order).sortWithinPartitions(*order)
+    placed = cut_lineage(ranged.withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK)))
+    heads = placed.groupBy("group", "block").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.count(F.lit(1)).alias("n"))
+    level = lambda c: F.floor(F.log(c) / F.lit(-np.log(similarity)) + 1e-9).cast("int")
+    a = heads.select("group", F.col("block").alias("a"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"), "n", F.explode(F.sequence(level(F.col("lo")), level(F.col("hi")))).alias("level"))
+    b = heads.select("group", F.col("block").alias("b"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"), F.explode(F.sequence(level(F.col("lo")) - 2, level(F.col("hi")))).alias("level"))
+    met = a.join(b, ["group", "level"]).where("a < b or a = b and n > 1").where(F.col("a_hi") >= F.lit(similarity) * F.col("b_lo") - 1e-9)
+    pairs = cut_lineage(met.drop("level", "n").distinct().withColumn("pair", F.monotonically_increasing_id()))
+    fits = (F.col("size") >= F.lit(similarity) * F.col("other_lo") - 1e-9) & (F.col("other_hi") >= F.lit(similarity) * F.col("size") - 1e-9)
+    left = pairs.select("group", F.col("a").alias("block"), F.col("b_lo").alias("other_lo"), F.col("b_hi").alias("other_hi"), "pair", F.when(F.col("a") == F.col("b"), 0).otherwise(1).alias("side"))
+    right = pairs.where("a <> b").select("group", F.col("b").alias("block"), F.col("a_lo").alias("other_lo"), F.col("a_hi").alias("other_hi"), "pair", F.lit(2).alias("side"))
+    moved = placed.join(left.unionByName(right), ["group", "block"]).where(fits).select("pair", "side", "file_id", "size", "sketch")
+    ordered = moved.repartition(max(2 * sk.sparkSession.sparkContext.defaultParallelism, count // BLOCK), "pair").sortWithinPartitions("pair", "side")
+    found = ordered.mapInArrow(_compare_blocks(similarity), "a bigint, b bigint")
+    return found.distinct() if banded else found
+
+
+def near_duplicates(index: DataFrame, files: DataFrame, similarity: float = SIMILARITY, banded: bool = False) -> tuple[DataFrame, DataFrame]:
     """Class pairs (a, b, jaccard) between representatives, and membership (file_id, class).
 
     ``index`` tells by file_id which of ``files`` count. Files with the same shingle set are one
@@ -179,11 +207,11 @@ def near_duplicates(index: DataFrame, files: DataFrame, similarity: float = SIMI
     Repeated rows count once and extra columns are ignored.
     """
     wanted = index.select("file_id").distinct()
-    sk = cut_lineage(sketches(files).dropDuplicates(["file_id"]).join(wanted, "file_id", "left_semi").where("size > 0"))
+    sk = cut_lineage(sketches(files, banded).dropDuplicates(["file_id"]).join(wanted, "file_id", "left_semi").where("size > 0"))
     classes = sk.groupBy("size", "one", "two").agg(F.min("file_id").alias("class"))
     membership = sk.join(classes, ["size", "one", "two"]).select("file_id", "class")
     heads = sk.join(classes.select(F.col("class").alias("file_id")), "file_id", "left_semi")
-    pairs = cut_lineage(candidate_pairs(heads, similarity))
+    pairs = cut_lineage(candidate_pairs(heads, similarity, banded))
     return verified_pairs(pairs, files, similarity), membership
 
 

@@ -79,6 +79,15 @@ def _clean(column: str) -> str:
     return f"regexp_replace(regexp_replace({plain}, '/[^/]+/\\.\\./', '/', 'g'), '/[^/]+/\\.\\./', '/', 'g')"
 
 
+_P5_RUNS = """WITH f AS (SELECT DISTINCT file_id, winnow_hashes AS h, winnow_positions AS p FROM files), w AS (SELECT file_id, unnest(range(1, len(h) - 28)) AS i, h, p FROM f WHERE len(h) >= 30),
+        g AS (SELECT file_id, i, md5(array_to_string(h[i:i+29], ',')) AS seed FROM w), s AS (SELECT seed FROM g GROUP BY seed HAVING count(DISTINCT file_id) > 1),
+        r AS (SELECT file_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY file_id ORDER BY i) <= 30 THEN 0 ELSE 1 END AS new FROM g WHERE seed IN (FROM s)),
+        n AS (SELECT file_id, i, sum(new) OVER (PARTITION BY file_id ORDER BY i) AS run FROM r), b AS (SELECT file_id, min(i) AS a, max(i) + 29 AS z FROM n GROUP BY file_id, run)"""
+_P6_SETS = f"""c AS (SELECT DISTINCT file_id, {ASCII} AS text FROM corpus_files WHERE file_id IN (SELECT file_id FROM files)), t AS (SELECT file_id, {TOKENS} AS t FROM c),
+        s AS (SELECT DISTINCT file_id, unnest(list_transform(range(1, greatest(len(t) - 4, 1) + 1), lambda i: md5(array_to_string(t[i:i+4], ' ')))) AS s FROM t WHERE len(t) > 0), n AS (SELECT file_id, count(*) AS n FROM s GROUP BY file_id),
+        m AS (SELECT a.file_id AS x, b.file_id AS y, count(*) AS common FROM s a JOIN s b ON a.s = b.s AND a.file_id < b.file_id GROUP BY 1, 2),
+        e AS (SELECT x, y, common = a.n AND common = b.n AS same FROM m JOIN n a ON a.file_id = x JOIN n b ON b.file_id = y WHERE common >= 0.6 * (a.n + b.n - common))"""
+
 #: SQL for the problems that it can express; the others are tested against brute force.
 SQL = {
     "p4_found": f"""WITH RECURSIVE k AS (SELECT DISTINCT finding_id, 'o' || {_clean('gcc_path')} AS key FROM downstream_findings WHERE trim(gcc_path) <> ''
@@ -86,13 +95,11 @@ SQL = {
         h AS (SELECT key, min(finding_id) AS head FROM k GROUP BY key), e AS (SELECT DISTINCT finding_id AS a, head AS b FROM k JOIN h USING (key) WHERE finding_id <> head),
         twoway AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT a AS node, b AS other FROM twoway UNION SELECT node, b FROM reach JOIN twoway ON a = other)
         SELECT node AS finding_id, least(node, min(other)) AS group_id FROM reach GROUP BY node""",
-    "p5_found": """WITH f AS (SELECT DISTINCT file_id, winnow_hashes AS h, winnow_positions AS p FROM files), w AS (SELECT file_id, unnest(range(1, len(h) - 28)) AS i, h, p FROM f WHERE len(h) >= 30),
-        g AS (SELECT file_id, i, md5(array_to_string(h[i:i+29], ',')) AS seed FROM w), s AS (SELECT seed FROM g GROUP BY seed HAVING count(DISTINCT file_id) > 1),
-        r AS (SELECT file_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY file_id ORDER BY i) <= 30 THEN 0 ELSE 1 END AS new FROM g WHERE seed IN (FROM s)),
-        n AS (SELECT file_id, i, sum(new) OVER (PARTITION BY file_id ORDER BY i) AS run FROM r), b AS (SELECT file_id, min(i) AS a, max(i) + 29 AS z FROM n GROUP BY file_id, run)
-        SELECT file_id, p[a] AS first_pos, p[z] AS last_pos FROM b JOIN f USING (file_id)""",
-    "p6_found": f"""WITH c AS (SELECT DISTINCT file_id, {ASCII} AS text FROM corpus_files WHERE file_id IN (SELECT file_id FROM files)), t AS (SELECT file_id, {TOKENS} AS t FROM c),
-        s AS (SELECT DISTINCT file_id, unnest(list_transform(range(1, greatest(len(t) - 4, 1) + 1), lambda i: md5(array_to_string(t[i:i+4], ' ')))) AS s FROM t WHERE len(t) > 0), n AS (SELECT file_id, count(*) AS n FROM s GROUP BY file_id),
-        m AS (SELECT a.file_id AS x, b.file_id AS y, count(*) AS common FROM s a JOIN s b ON a.s = b.s AND a.file_id < b.file_id GROUP BY 1, 2)
-        SELECT x AS file_id_a, y AS file_id_b FROM m JOIN n a ON a.file_id = x JOIN n b ON b.file_id = y WHERE common >= 0.6 * (a.n + b.n - common)""",
+    "p5_found": f"{_P5_RUNS} SELECT file_id, p[a] AS first_pos, p[z] AS last_pos FROM b JOIN f USING (file_id)",
+    "p5_shares": f"""{_P5_RUNS}, t AS (SELECT file_id, sum(z - a + 1) AS shared, max(z - a + 1) AS longest FROM b GROUP BY file_id)
+        SELECT f.file_id, len(h)::INTEGER AS entries, coalesce(shared, 0)::BIGINT AS shared_entries, CASE WHEN len(h) > 0 THEN round(coalesce(shared, 0) / len(h), 6) ELSE 0 END AS shared_share, coalesce(longest, 0)::INTEGER AS longest_run
+        FROM f LEFT JOIN t ON t.file_id = f.file_id""",
+    "p6_found": f"WITH {_P6_SETS} SELECT x AS file_id_a, y AS file_id_b FROM e",
+    "p6_groups": f"""WITH RECURSIVE {_P6_SETS}, twoway AS (SELECT x AS a, y AS b FROM e UNION SELECT y, x FROM e), reach AS (SELECT a AS node, b AS other FROM twoway UNION SELECT node, b FROM reach JOIN twoway ON a = other)
+        SELECT n.file_id, least(n.file_id, (SELECT min(x) FROM e WHERE same AND y = n.file_id)) AS class, least(n.file_id, (SELECT min(other) FROM reach WHERE node = n.file_id)) AS group_id FROM n""",
 }
