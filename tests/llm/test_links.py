@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tracewright.llm.components import clean_path, components, finding_groups
-from tracewright.llm.shared_spans import chain, passages, shared_shares, spans
+from tracewright.llm.shared_spans import chain, chained_runs, common, shared_shares, spans
 
 FILES = "file_id long, project string, winnow_hashes array<long>, winnow_positions array<int>, at int, seed string"
 
@@ -101,7 +101,6 @@ def test_spans_equal_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == brute(files)
     share = {r.file_id: r for r in shared_shares(df).collect()}
     assert share[60].entries == 0 and share[60].shared_share == 0.0 and 0 < share[1].shared_share <= 1
-    assert passages(df).where("exact_share > 1.0 or runs < 1").count() == 0
     assert spans(df.limit(0)).count() == 0
 
 
@@ -151,8 +150,50 @@ def test_all_files_share_one_stretch(spark):
     rows = [(i, "p", [10_000 * i + k for k in range(i % 7)] + common + [-i - 1], list(range(46 + i % 7)), 0, "s") for i in range(1, 301)]
     got = spans(spark.createDataFrame(rows, FILES)).collect()
     assert {(r.file_id, r.first_pos, r.last_pos) for r in got} == {(i, i % 7, i % 7 + 44) for i in range(1, 301)}
-    links_ = passages(spark.createDataFrame(rows, FILES))
-    assert links_.count() == 300  # linear in the files, not a row for each pair
+    assert chained_runs(spark.createDataFrame(rows, FILES)).count() == 300  # linear in the files, not a row for each pair
+
+
+def test_hot_seeds_are_dealt_over_tasks(spark, monkeypatch):
+    from tracewright.llm import shared_spans as module
+
+    common_ = list(range(500, 545))
+    rows = [(i, "p", [10_000 * i + k for k in range(i % 7)] + common_ + [-i - 1], list(range(46 + i % 7)), 0, "s") for i in range(1, 60)]
+    df = spark.createDataFrame(rows, FILES)
+    want = {tuple(r) for r in spans(df).collect()}
+    monkeypatch.setattr(module, "HOT", 0.05)
+    assert {tuple(r) for r in spans(df).collect()} == want and len(want) == 59
+
+
+def test_null_entries_are_like_no_other(spark):
+    h = list(range(100, 120)) + [None] + list(range(120, 140))
+    rows = [(1, "p", h, list(range(41)), 0, "s"), (2, "p", h, list(range(41)), 0, "s"), (3, "p", [None] * 40 + list(range(30)), list(range(70)), 0, "s"), (4, "p", [None] * 40 + list(range(30)), list(range(70)), 0, "s")]
+    assert {(r.file_id, r.first_pos, r.last_pos) for r in spans(spark.createDataFrame(rows, FILES)).collect()} == {(3, 40, 69), (4, 40, 69)}
+
+
+def test_common_equals_the_longest_common_subsequence():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        x, y = rng.integers(0, 6, int(rng.integers(0, 40))), rng.integers(0, 6, int(rng.integers(0, 40)))
+        table = np.zeros((len(x) + 1, len(y) + 1), int)
+        for i in range(len(x)):
+            for j in range(len(y)):
+                table[i + 1, j + 1] = table[i, j] + 1 if x[i] == y[j] else max(table[i, j + 1], table[i + 1, j])
+        assert common(x, y) == table[-1, -1]
+
+
+def test_chaining_is_near_linear():
+    import time
+
+    def crossing(n):
+        x0 = np.arange(n) * 40
+        return x0, x0 + 9, x0[::-1].copy(), x0[::-1] + 9, np.full(n, 40.0)
+
+    took = []
+    for n in (1000, 8000):
+        began = time.process_time()
+        assert len(set(chain(*crossing(n), 0.1).tolist())) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * max(took[0], 0.02)  # eight times the runs; quadratic would be 64
 
 
 def test_every_pair_that_shares_a_stretch_has_its_passages(spark, monkeypatch):
@@ -166,9 +207,22 @@ def test_every_pair_that_shares_a_stretch_has_its_passages(spark, monkeypatch):
     rows += [rows[0], (8, "p", common, [1], 0, "s"), (None, "p", common, list(range(45)), 0, "s"), (9, "p", None, None, 0, "s")]
     df = spark.createDataFrame(rows, FILES)
     got = module.pair_passages(df).collect()
-    assert {(r.file_id, r.partner) for r in got} == {(a, b) for a in range(1, 7) for b in range(1, 7) if a != b}
-    of = lambda a, b: sorted((r.first_pos, r.last_pos, r.partner_first, r.partner_last, r.runs, r.exact_entries) for r in got if (r.file_id, r.partner) == (a, b))
-    assert of(2, 3) == [(30, 890, 0, 85, 2, 85)] and of(3, 2) == of(5, 2) == [(0, 850, 3, 89, 2, 85)]
-    assert of(3, 5) == of(5, 3) == [(0, 850, 0, 85, 1, 86)]
-    assert of(4, 6) == [(10, 400, 0, 39, 1, 40), (10, 400, 42, 81, 1, 40)]
-    assert all(0 < r.exact_share <= 1 for r in got) and module.pair_passages(df.limit(0)).count() == 0
+    # 3 and 5 are one class, whose two files share all with each other.
+    assert {(r.file_id, r.partner) for r in got} == {(a, b) for a in (1, 2, 3, 4, 6) for b in (1, 2, 3, 4, 6) if a != b} | {(3, 3)}
+    of = lambda a, b: sorted((r.first_pos, r.last_pos, r.partner_first, r.partner_last, r.runs, r.exact_entries, r.matched_entries) for r in got if (r.file_id, r.partner) == (a, b))
+    assert of(2, 3) == [(30, 890, 0, 85, 2, 85, 85)] and of(3, 2) == [(0, 850, 3, 89, 2, 85, 85)]
+    assert of(3, 3) == [(0, 850, 0, 85, 1, 86, 86)]
+    assert of(4, 6) == [(10, 400, 0, 39, 1, 40, 40), (10, 400, 42, 81, 1, 40, 40)]
+    assert all(0 < r.similarity <= 1 for r in got) and module.pair_passages(df.limit(0)).count() == 0
+    assert {(r["file_id"], r["class"], r.copies) for r in module.list_classes(df).collect()} >= {(3, 3, 2), (5, 3, 2), (1, 1, 1)}
+
+
+def test_what_lies_between_runs_is_aligned(spark):
+    from tracewright.llm.shared_spans import pair_passages
+
+    one = list(range(100, 140)) + [1, 2, 3, 4, 5] + list(range(200, 240))
+    two = list(range(100, 140)) + [1, 9, 3, 5] + list(range(200, 240))
+    rows = [(1, "p", one, list(range(85)), 0, "s"), (2, "p", two, list(range(84)), 0, "s")]
+    got = {r.file_id: r for r in pair_passages(spark.createDataFrame(rows, FILES)).collect()}
+    assert (got[1].runs, got[1].exact_entries, got[1].matched_entries, got[1].similarity) == (2, 82, 83, round(83 / 85, 6))
+    assert got[2].matched_entries == 83

@@ -13,7 +13,7 @@ from .leaks import leaks
 from .licenses import licenses
 from .near_duplicates import similar_files, similar_groups
 from .packing import containers
-from .shared_spans import pair_passages, shared_shares, spans
+from .shared_spans import list_classes, pair_passages, shared_shares, spans
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,6 +40,10 @@ def p5_passages(spark: SparkSession, sf: str) -> DataFrame:
     return pair_passages(table(spark, sf, "files"))
 
 
+def p5_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return list_classes(table(spark, sf, "files"))
+
+
 def p5_shares(spark: SparkSession, sf: str) -> DataFrame:
     return shared_shares(table(spark, sf, "files"))
 
@@ -70,7 +74,7 @@ def p9_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_kinds, p2_found, p4_found, p5_found, p5_passages, p5_shares, p6_found, p6_groups, p7_containers, p8_found, p9_found, p9_segments)
+    for f in (p1_found, p1_kinds, p2_found, p4_found, p5_found, p5_passages, p5_classes, p5_shares, p6_found, p6_groups, p7_containers, p8_found, p9_found, p9_segments)
 }
 
 def _clean(column: str) -> str:
@@ -99,6 +103,8 @@ SQL = {
     "p5_shares": f"""{_P5_RUNS}, t AS (SELECT file_id, sum(z - a + 1) AS shared, max(z - a + 1) AS longest FROM b GROUP BY file_id)
         SELECT f.file_id, len(h)::INTEGER AS entries, coalesce(shared, 0)::BIGINT AS shared_entries, CASE WHEN len(h) > 0 THEN round(coalesce(shared, 0) / len(h), 6) ELSE 0 END AS shared_share, coalesce(longest, 0)::INTEGER AS longest_run
         FROM f LEFT JOIN t ON t.file_id = f.file_id""",
+    "p5_classes": """WITH f AS (SELECT DISTINCT file_id, array_to_string(winnow_hashes, ',') AS list FROM files WHERE len(winnow_hashes) >= 30 AND len(winnow_hashes) = len(winnow_positions))
+        SELECT file_id, min(file_id) OVER (PARTITION BY list) AS class, count(*) OVER (PARTITION BY list) AS copies FROM f""",
     "p6_found": f"WITH {_P6_SETS} SELECT x AS file_id_a, y AS file_id_b FROM e",
     "p6_groups": f"""WITH RECURSIVE {_P6_SETS}, twoway AS (SELECT x AS a, y AS b FROM e UNION SELECT y, x FROM e), reach AS (SELECT a AS node, b AS other FROM twoway UNION SELECT node, b FROM reach JOIN twoway ON a = other)
         SELECT n.file_id, least(n.file_id, (SELECT min(x) FROM e WHERE same AND y = n.file_id)) AS class, least(n.file_id, (SELECT min(other) FROM reach WHERE node = n.file_id)) AS group_id FROM n""",
