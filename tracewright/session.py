@@ -90,13 +90,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shuffle_parts(df: DataFrame, times: float = 1.0, each: int = 48 << 20) -> int:
+def shuffle_parts(df: DataFrame, times: float = 1.0, each: int = 24 << 20, most: int = 20_000) -> int:
     """Partitions for a shuffle of ``times`` the size of a scan, so that none outgrows ``each`` bytes as
-    tables grow; the session's own number where the size isn't known."""
+    tables grow, up to ``most``; the session's own number where the size isn't known."""
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = spark.sparkContext.defaultParallelism
-    return max(least, int(size * times) // each + 1) if size < 1 << 55 else max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, min(most, int(size * times) // each + 1)) if size < 1 << 55 else max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def drop_stored(df: DataFrame) -> None:
