@@ -39,9 +39,23 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat.fill_null(0).to_numpy(zero_copy_only=False), flat.is_null().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
 
 
-def seeds(files: DataFrame, length: int = LENGTH) -> DataFrame:
-    """seed, file_id, at (index from 0) of every stretch of ``length`` entries; a null entry is like no other."""
-    names = ["seed", "file_id", "at"]
+def _ends(seed: np.ndarray, file: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Of each distinct seed the smallest and the greatest (file, at), and how many there are."""
+    order = np.lexsort((at, file, seed))
+    seed, file, at = seed[order], file[order], at[order]
+    first = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))
+    first = first[: len(seed)]
+    last = np.append(first, len(seed))[1:] - 1
+    return [seed[first], file[first], at[first], file[last], at[last], last - first + 1]
+
+
+def seeds(files: DataFrame, length: int = LENGTH, combined: bool = False) -> DataFrame:
+    """seed, file_id, at (index from 0) of every stretch of ``length`` entries; a null entry is like no other.
+
+    ``combined``: seed, lo_file, lo_at, hi_file, hi_at, n of each distinct seed of some 100,000 stretches,
+    so that what repeats is counted before it moves.
+    """
+    names = ["seed", "lo_file", "lo_at", "hi_file", "hi_at", "n"] if combined else ["seed", "file_id", "at"]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -52,6 +66,11 @@ def seeds(files: DataFrame, length: int = LENGTH) -> DataFrame:
             usable = part.column("usable").to_numpy(zero_copy_only=False)
             out: list[tuple] = []
             size = 0
+
+            def batch() -> pa.RecordBatch:
+                columns = [np.concatenate(c) for c in zip(*out)]
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in (_ends(*columns) if combined else columns)], names)
+
             for k, file in enumerate(ids):
                 lo, hi = borders[k], borders[k + 1]
                 n = hi - lo - length + 1
@@ -61,13 +80,13 @@ def seeds(files: DataFrame, length: int = LENGTH) -> DataFrame:
                 out.append((windows(hashes[lo:hi], length).view(np.int64)[at], np.full(len(at), file), at))
                 size += n
                 if size > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
+                    yield batch()
                     out, size = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
+                yield batch()
 
     usable = F.coalesce(F.size("winnow_hashes") == F.size("winnow_positions"), F.lit(False)).alias("usable")
-    return files.where("file_id is not null").select("file_id", "winnow_hashes", usable).mapInArrow(run, "seed bigint, file_id bigint, at int")
+    return files.where("file_id is not null").select("file_id", "winnow_hashes", usable).mapInArrow(run, "seed bigint, lo_file bigint, lo_at int, hi_file bigint, hi_at int, n bigint" if combined else "seed bigint, file_id bigint, at int")
 
 
 def links(files: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -80,11 +99,9 @@ def links(files: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     width = shuffle_parts(files, 3)
     placed = seeds(files, length)
-    ends = cut_lineage(
-        placed.groupBy("seed")
-        .agg(F.min(F.struct("file_id", "at")).alias("lo"), F.max(F.struct("file_id", "at")).alias("hi"), F.count(F.lit(1)).alias("n"))
-        .where("lo.file_id < hi.file_id")
-    )
+    lo, hi = (F.struct(F.col(f"{x}_file").alias("file_id"), F.col(f"{x}_at").alias("at")) for x in ("lo", "hi"))
+    counted = seeds(files, length, combined=True).repartition(width, "seed").groupBy("seed").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"), F.sum("n").alias("n"))
+    ends = cut_lineage(counted.where("lo.file_id < hi.file_id"))
     limit = max(1.0, HOT * (ends.agg(F.sum("n")).first()[0] or 0))
     hot = F.broadcast(ends.where(F.col("n") > limit).select("seed", F.lit(True).alias("hot")))  # fewer than 1 / HOT
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("file_id", "at"), F.lit(SALTS)).cast("int")).otherwise(0)
