@@ -188,10 +188,23 @@ def test_forward_sums_all_segmentations():
     p = model.prob[:, 0]
     k = model.index
     total = p[k["▁ab"]] + p[k["▁a"]] * p[k["b"]] + p[k["▁"]] * p[k["a"]] * p[k["b"]]
-    assert abs(model.forward(model.lattice("ab"))[-1, 0] - total) < 1e-12
+    assert abs(model.forward(model.lattice("ab"))[0][-1, 0] - total) < 1e-12
     assert len(pieces_of("piece_bpe_32k.model")) > 10_000
 
 
+def test_long_words_are_read_to_their_end():
+    counts = {"a": np.array([9.0, 1.0]), "b": np.array([1.0, 9.0]), "c": np.array([1e-3, 1e-3])}
+    model = fit(counts, [], steps=2)
+    assert model.score("c" * 99 + "a").argmax() == 0 and model.score("c" * 99 + "b").argmax() == 1
+    alpha, scale = model.forward(model.lattice("c" * 3000 + "ab"))
+    assert scale[-1] < -1000 and (alpha[-1] > 0).all()  # far below what a double holds
+    short, _ = model.forward(model.lattice("cab"))
+    step = np.log(model.prob[model.index["c"]]) * 2999
+    assert np.allclose(np.log(alpha[-1]) + scale[-1], np.log(short[-1]) + step)
+    fit({"c" * 3000 + "a": np.array([1.0, 1.0])}, [], steps=2)
+    assert max(map(len, pieces_of("piece_bpe_32k.model"))) > 12
+
+
 SAYING = {
     "en": "The loop is never used although the warning points to the wrong column.",
     "de": "Die Schleife wird nicht verwendet, obwohl die Warnung auf die falsche Spalte zeigt.",
@@ -280,3 +293,9 @@ def test_a_semicolon_makes_no_code_of_prose(labelled):
     for r in segments(docs, size=1000).where("doc_id >= 950").orderBy("seg_no").collect():
         got.setdefault(r.doc_id, []).append(r.lang)
     assert got == {950: ["fr", "en"], 951: ["de"]}
+
+
+def test_a_short_segment_is_not_lost(labelled):
+    rows = [(960, SAYING["fr"] + "\n\nЦикл никогда.\n\n" + SAYING["fr"], "fr", "x", 1)]
+    docs = labelled.unionByName(labelled.sparkSession.createDataFrame(rows, labelled.schema))
+    assert [r.lang for r in segments(docs, size=1000).where("doc_id = 960").orderBy("seg_no").collect()] == ["fr", "ru", "fr"]

@@ -28,8 +28,8 @@ VOCABULARY = "piece_bpe_32k.model"
 SAMPLE = 2000
 #: Rounds of relabelling the sample's sentences and fitting again; rounds of maximisation in each.
 ROUNDS, STEPS = 3, 2
-#: Longest piece used, in characters.
-PIECE = 12
+#: Probabilities below this are scaled up; words that a task remembers with their scores.
+TINY, WORDS = 1e-200, 500_000
 #: Log-odds against a change of language between sentences of a paragraph, and between paragraphs.
 SWITCH, SWITCH_PARAGRAPH = 3.0, 1.5
 #: Words sharing no piece with a language are not more than this unlikely there, against the best.
@@ -59,8 +59,8 @@ _MARKED = frozenset(" \t>*/#+|!-;")
 _CODE_CHAR = re.compile(r"[{}=;(&|+>:]|^\s*[)\]}]")
 _CODE_MARK = re.compile(r"[{}=;]|::|->|\+\+|&&|\|\||\w\(|\w \(\w*[,)&]|^\s*[)\]}]")
 _LOG_LINE = re.compile(r"\s*(?:(?:X?FAIL|X?PASS|KFAIL|UNRESOLVED|UNTESTED|UNSUPPORTED|ERROR|WARNING|WARN|INFO|DEBUG|TRACE): \S+[./]|\S+:\d+(?::\d+)?:\s)")
-#: Sentences of fewer words tell no language where a text has longer ones.
-LEAST_WORDS = 3
+#: What a sentence of fewer words says of its language counts in proportion to its words.
+FULL_WORDS = 3
 #: A paragraph is code if its words are likeliest in the code class, with the lead in log-probability
 #: or without it where this share of its lines have marks of code. Before the first fit, marks alone decide.
 CODE_LINES, CODE_LEAD = 0.3, 2.0
@@ -106,7 +106,7 @@ def pieces_of(vocabulary: str) -> list[str]:
         path = public_tokenizers.path(vocabulary)
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     folded = {("▁" if p.startswith("▁") else "") + fold(p.lstrip("▁")) for p in (model.id_to_piece(i) for i in range(model.vocab_size())) if not p.startswith("<")}
-    return sorted(p for p in folded if p and len(p) <= PIECE and all(c.isalpha() or c in "▁'-" for c in p))
+    return sorted(p for p in folded if p and all(c.isalpha() or c in "▁'-" for c in p))
 
 
 @dataclass
@@ -117,34 +117,51 @@ class Model:
     prob: np.ndarray  # pieces x classes
     cache: dict[str, np.ndarray] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        self.longest = max(map(len, self.index), default=1)
+
     def __getstate__(self) -> dict:
-        return {"index": self.index, "prob": self.prob, "cache": {}}
+        return {"index": self.index, "prob": self.prob, "cache": {}, "longest": self.longest}
 
     def lattice(self, word: str) -> list[list[tuple[int, int]]]:
         """For every end in the marked word, the (begin, piece) that end there."""
         text = "▁" + word
         out: list[list[tuple[int, int]]] = [[] for _ in range(len(text) + 1)]
         for end in range(1, len(text) + 1):
-            for begin in range(max(0, end - PIECE), end):
+            for begin in range(max(0, end - self.longest), end):
                 k = self.index.get(text[begin:end])
                 if k is not None:
                     out[end].append((begin, k))
         return out
 
-    def forward(self, lattice: list[list[tuple[int, int]]]) -> np.ndarray:
+    def forward(self, lattice: list[list[tuple[int, int]]]) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of everything up to each place, and the logarithm of what that was divided by, so
+        that words of any length keep their digits."""
         alpha = np.zeros((len(lattice), self.prob.shape[1]))
         alpha[0] = 1.0
+        scale = np.zeros(len(lattice))
+        scaled = False
         for end in range(1, len(lattice)):
-            for begin, k in lattice[end]:
-                alpha[end] += alpha[begin] * self.prob[k]
-        return alpha
+            if scaled and lattice[end]:
+                scale[end] = max(scale[begin] for begin, _ in lattice[end])
+                for begin, k in lattice[end]:
+                    alpha[end] += alpha[begin] * self.prob[k] * np.exp(scale[begin] - scale[end])
+            else:
+                for begin, k in lattice[end]:
+                    alpha[end] += alpha[begin] * self.prob[k]
+            top = alpha[end].max()
+            if 0 < top < TINY:
+                alpha[end] /= top
+                scale[end] += np.log(top)
+                scaled = True
+        return alpha, scale
 
     def score(self, word: str) -> np.ndarray:
         """Log-probability of the word in every class, cut off at ``FLOOR`` below the best."""
         found = self.cache.get(word)
         if found is None:
             with np.errstate(divide="ignore"):
-                raw = np.log(self.forward(self.lattice(word[:64]))[-1])
+                raw = np.log(self.forward(self.lattice(word))[0][-1])
             best = raw.max()
             found = np.maximum(raw - best, FLOOR) if np.isfinite(best) else np.zeros(len(raw))
             self.cache[word] = found
@@ -157,18 +174,20 @@ def fit(counts: dict[str, np.ndarray], vocabulary: list[str], steps: int = STEPS
     index = {p: k for k, p in enumerate(sorted({*vocabulary, *letters}))}
     classes = len(next(iter(counts.values())))
     model = Model(index, np.full((len(index), classes), 1.0 / len(index)))
-    lattices = {w: model.lattice(w[:64]) for w in counts}
+    lattices = {w: model.lattice(w) for w in counts}
     for step in range(steps):
         expected = np.full((len(index), classes), 1e-4)
         for word, n in counts.items():
             lattice = lattices[word]
-            alpha = model.forward(lattice)
+            alpha, scale = model.forward(lattice)
+            scaled = scale.any()
             beta = np.zeros_like(alpha)
             beta[-1] = 1.0
             weight = np.where(alpha[-1] > 0, n / np.maximum(alpha[-1], 1e-300), 0.0)
             for end in range(len(lattice) - 1, 0, -1):
                 for begin, k in lattice[end]:
-                    step_prob = model.prob[k] * beta[end]
+                    # Beta is kept in the units in which alpha is divided, so their product is whole.
+                    step_prob = model.prob[k] * beta[end] * (np.exp(scale[begin] - scale[end]) if scaled else 1.0)
                     beta[begin] += step_prob
                     expected[k] += weight * alpha[begin] * step_prob
         model.prob = expected / expected.sum(axis=0)
@@ -337,10 +356,11 @@ def segment(reader: Reader, scores: Scores, text: str) -> list[tuple[int, float,
         return []
     total = _sums(values, ends)[:, :CODE]
     size = _sums((rows > 0).astype(np.int64), ends)
-    told = size >= (LEAST_WORDS if (size >= LEAST_WORDS).any() else 1)
+    told = size > 0
     if not told.any():
         return []
     total, size, paragraph = total[told], size[told], paragraph[told]
+    total = total * np.minimum(1.0, size / FULL_WORDS)[:, None] if (size >= FULL_WORDS).any() else total
     n = len(total)
     if (total.argmax(axis=1) == total[0].argmax()).all():
         path = [int(total[0].argmax())] * n
@@ -395,6 +415,10 @@ def segments(documents: DataFrame, vocabulary: str = VOCABULARY, size: int = SAM
         scores = Scores(model, reader) if model is not None else None
         for part in parts:
             out: list[tuple] = []
+            if scores is not None and len(reader.words) > WORDS:  # what is remembered stays bounded
+                reader = Reader()
+                model.cache.clear()
+                scores = Scores(model, reader)
             for doc, text, label in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "lang"))):
                 if text and scores is not None:
                     found = segment(reader, scores, text)
