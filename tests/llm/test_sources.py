@@ -224,11 +224,11 @@ def test_copies_between_the_ends_of_a_band_meet_their_home(spark, monkeypatch):
     rows = [(1, "mmm", "a.c", "/* This file is part of mmm. */\n" + own), (5, "mmm", "b.c", "/* This file is part of mmm. */\n" + edited)]
     rows += [(k, p, "x/a.c", own) for k, p in ((2, "aaa"), (3, "nnn"), (4, "zzz"))]
     rows += [(k, p, "x/b.c", changed(k)) for k, p in ((6, "aaa"), (7, "nnn"), (8, "zzz"), (9, "mmm"))]
-    # Without a self-named home none of two like files is a copy; with a foreign one, that one is.
+    # Where none names a home, equal bodies are copies of the largest project's; with a foreign one, that one is.
     rows += [(k, p, "x/c.c", code(23)) for k, p in ((10, "aaa"), (11, "nnn"), (12, "zzz"))]
     rows += [(13, "aaa", "x/d.c", code(24)), (14, "ppp", "vendor/mmm/d.c", code(24)), (15, "zzz", "x/d.c", code(24)), (16, "ppp", "vendor/mmm/e.c", code(25))]
     files = spark.createDataFrame([(i, p, path, text.encode(), 0, "k", 1) for i, p, path, text in rows], FILES)
-    assert {r.file_id: r.kind for r in not_handwritten(files).collect()} == dict.fromkeys((2, 3, 4, 6, 7, 8, 14), "copy")
+    assert {r.file_id: r.kind for r in not_handwritten(files).collect()} == dict.fromkeys((2, 3, 4, 6, 7, 8, 11, 12, 14), "copy")
 
 
 def test_a_short_member_belongs_to_its_generated_family(spark):
@@ -236,3 +236,38 @@ def test_a_short_member_belongs_to_its_generated_family(spark):
     texts = {k: "".join(record(100 * k + c) for c in range(60)) for k in (1, 2)} | {3: record(301) + record(302), 4: code(31)}
     files = spark.createDataFrame([(k, "p", f"gen/w{k}.c", t.encode(), 0, "k", 1) for k, t in texts.items()], FILES)
     assert {r.file_id: r.kind for r in not_handwritten(files).collect()} == dict.fromkeys((1, 2, 3), "generated")
+
+
+def skeleton(seed, pattern=99, lines=40):
+    """One text for all seeds but for its names."""
+    rng, names = np.random.default_rng(pattern), np.random.default_rng(seed)
+    shape = ["int {0} = {1} ({2}, {3});", "if ({0} < {1}) return {2};", "for ({0} = {1}; {0} < {2}; {0}++) {3} ({0});", "{0}->{1} = {2} * {3} - {0};", "while ({0}) {{ {1} ({2} [{3}]); {0}--; }}", "{0} ({1}, {2}) ; {3} &= {0};", "case {0}: {1} = {2}; break;", "{0}.{1} ({2} + {3});"]
+    return "\n".join(shape[k].format(*(f"name_{names.integers(0, 1 << 40)}" for _ in range(4))) for k in rng.integers(0, len(shape), lines))
+
+
+def test_families_decide_where_measures_do_not(spark):
+    rows = [(k, "p", f"out/s{k}.c", skeleton(k)) for k in (1, 2, 3)]  # one skeleton, three times in one repository
+    rows += [(k, f"q{k}", "s.c", skeleton(k, 5)) for k in (11, 12)]  # only twice, in two
+    variant = skeleton(5, 17)
+    rows += [(k, "r", f"v{k}.c", variant + f"\nint more_{k};") for k in (21, 22, 23, 24)]  # one text with its names, many times
+    table = lambda part: spark.createDataFrame([(i, p, path, t.encode(), 0, "k", 1) for i, p, path, t in part], FILES)
+    assert {r.file_id: r.kind for r in not_handwritten(table(rows)).collect()} == dict.fromkeys((1, 2, 3), "generated")
+    assert not_handwritten(table(rows[:1])).count() == 0  # the same file alone
+
+
+def test_families_equal_brute_force(spark):
+    """Recall of the bands over all pairs of the files of a small table: members of a family that are found."""
+    from tracewright.llm.handwritten import FAMILY, UNLIKE, families, file_traits
+
+    df = spark.read.parquet("/root/testdata/sf0.01/corpus_files.parquet")
+    traits = file_traits(df).cache()
+    found = {r.file_id for r in families(traits).select("file_id").distinct().collect()}
+    rows = [(r.file_id, np.array(r.masked, np.int64), np.array(r.plain_signature), max(r.repeat, r.literal - 0.05)) for r in traits.collect() if r.masked]
+    want = set()
+    for k, (i, a, x, m) in enumerate(rows):
+        for j, b, y, n in rows[k + 1 :]:
+            if min(len(a), len(b)) >= FAMILY * max(len(a), len(b)) and (x == y).mean() < UNLIKE:
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                if common >= FAMILY * (len(a) + len(b) - common):
+                    want |= {i, j}
+    assert len(want) > 30 and len(found & want) >= 0.97 * len(want) and found <= want
