@@ -262,11 +262,11 @@ def test_families_equal_brute_force(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/corpus_files.parquet")
     traits = file_traits(df).cache()
     found = {r.file_id for r in families(traits).select("file_id").distinct().collect()}
-    rows = [(r.file_id, np.array(r.masked, np.int64), np.array(r.plain_signature), max(r.repeat, r.literal - 0.05)) for r in traits.collect() if r.masked]
+    rows = [(r.file_id, np.array(r.masked, np.int64), [x >> k & 15 for x in r.plain_signature for k in range(0, 64, 4)]) for r in traits.collect() if r.masked]
     want = set()
-    for k, (i, a, x, m) in enumerate(rows):
-        for j, b, y, n in rows[k + 1 :]:
-            if min(len(a), len(b)) >= FAMILY * max(len(a), len(b)) and (x == y).mean() < UNLIKE:
+    for k, (i, a, x) in enumerate(rows):
+        for j, b, y in rows[k + 1 :]:
+            if min(len(a), len(b)) >= FAMILY * max(len(a), len(b)) and 1 - sum(p != q for p, q in zip(x, y)) * 16 / 15 / len(x) < UNLIKE:
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 if common >= FAMILY * (len(a) + len(b) - common):
                     want |= {i, j}
