@@ -148,12 +148,22 @@ def windows(values: np.ndarray, width: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         if n < width:
             return mix(np.array([(values * (_STEPS[:n] | U64(1))).sum(dtype=U64) + U64(n)], U64))
+        if width > 8:  # a polynomial over the whole list, of which each window is a difference
+            powers, inverses = _tables(n + 1)
+            prefix = np.concatenate([np.zeros(1, U64), np.cumsum(mix(values) * powers[:n], dtype=U64)])
+            return mix((prefix[width:] - prefix[:-width]) * inverses[: n - width + 1])
         out = np.zeros(n - width + 1, U64)
         for j in range(width):
             out += values[j : n - width + 1 + j] * (_STEPS[j] | U64(1))
         return mix(out)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The values in order, each once."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])[: len(values)]]
+
+
 def minhash(values: np.ndarray, permutations: int) -> np.ndarray:
     """Smallest value under each of ``permutations`` mixings; all ones for an empty set."""
     if not len(values):
@@ -165,11 +175,11 @@ def minhash(values: np.ndarray, permutations: int) -> np.ndarray:
 
 
 def bands(signature: np.ndarray, rows: int, salt: int = 0) -> np.ndarray:
-    """One signed 64-bit key for each band of ``rows`` successive signature values."""
-    count = len(signature) // rows
-    block = signature[: count * rows].astype(U64).reshape(count, rows)
+    """One signed 64-bit key for each band of ``rows`` successive values of a signature, or of each row of signatures."""
+    count = signature.shape[-1] // rows
+    block = signature[..., : count * rows].astype(U64).reshape(*signature.shape[:-1], count, rows)
     with np.errstate(over="ignore"):
         key = np.arange(count, dtype=U64) * U64(0x9E3779B1) + U64(salt)
         for j in range(rows):
-            key = mix(key + block[:, j] * (_STEPS[j] | U64(1)))
+            key = mix(key + block[..., j] * (_STEPS[j] | U64(1)))
         return key.view(np.int64)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .components import components
-from .lexing import bands, minhash, mix, windows
+from .lexing import bands, distinct, minhash, mix, windows
 from .shingles import WIDTH, token_lists, verified_pairs
 from .source_text import binary_column
 
@@ -59,7 +59,7 @@ def sketches(files: DataFrame, banded: bool = False) -> DataFrame:
         for part in parts:
             size, ones, one, two, keys, bits = [], [], [], [], [], []
             for tokens in token_lists(binary_column(part, "bytes")):
-                s = np.unique(windows(tokens, WIDTH))
+                s = distinct(windows(tokens, WIDTH))
                 with np.errstate(over="ignore"):
                     one.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
                     two.append(int(mix(s + np.uint64(99)).sum(dtype=np.uint64).view(np.int64)))

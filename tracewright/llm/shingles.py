@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .lexing import tokenize, windows
+from .lexing import distinct, tokenize, windows
 from .source_text import batches, binary_column, opening_comment, suffix
 
 WIDTH = 5
@@ -40,7 +40,7 @@ def shingle_sets(files: DataFrame, width: int = WIDTH, bodies: bool = False) ->
             texts = binary_column(part, "bytes")
             if bodies:
                 texts = [body(t, p) for t, p in zip(texts, part.column("relpath").to_pylist())]
-            sets = [np.unique(windows(t, width)).view(np.int64) for t in token_lists(texts)]
+            sets = [distinct(windows(t, width)).view(np.int64) for t in token_lists(texts)]
             lengths = np.concatenate([[0], np.cumsum([len(s) for s in sets], dtype=np.int64)]).astype(np.int32)
             values = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([part.column("file_id"), pa.ListArray.from_arrays(lengths, values)], ["file_id", "shingles"])
