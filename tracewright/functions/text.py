@@ -46,6 +46,11 @@ def portable_hash(text: Column) -> Column:
     return F.substring(F.md5(text), 1, 16)
 
 
+def hashed(texts: Column) -> Column:
+    """64-bit hashes of the elements of an array, for sets that move."""
+    return F.transform(texts, lambda t: F.xxhash64(t))
+
+
 def stripped_lines(text: Column) -> Column:
     """Distinct lines without surrounding white space, blank ones left out."""
     return F.array_distinct(F.filter(F.transform(F.split(text, "\n"), lambda l: F.regexp_replace(l, r"^[ \t\r\f\x0b]+|[ \t\r\f\x0b]+$", "")), lambda l: l != ""))

@@ -2,33 +2,64 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import KGRAM, WINDOW, portable_hash, runs_of
 from ..session import cut_lineage
 
 
 def kgrams(tokenised: DataFrame, key: str, k: int = KGRAM) -> DataFrame:
-    """key, pos, hash, n of every k-gram of a column ``tokens``; texts without tokens give none.
+    """key, hashes: the hashes of all k-grams of a column ``tokens``, in order; texts without tokens give none."""
+    return tokenised.where(F.size("tokens") > 0).select(key, F.transform(runs_of(F.col("tokens"), k), portable_hash).alias("hashes"))
+
+
+def hex_values(texts: pa.StringArray) -> np.ndarray:
+    """The numbers that texts of 16 hexadecimal digits stand for; they order alike."""
+    if not len(texts):
+        return np.zeros(0, ">u8")
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + 1]
+    digits = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[0] + 16 * len(texts)].reshape(-1, 16)
+    digits = digits - np.where(digits > 57, 87, 48).astype(np.uint8)
+    return np.ascontiguousarray(digits[:, 0::2] << 4 | digits[:, 1::2]).view(">u8").ravel().astype(np.uint64)
 
-    The outer generator keeps the optimizer from pushing a filter on the hashes below the
-    projection, where it would tokenise once for each k-gram.
-    """
-    hashes = F.transform(runs_of(F.col("tokens"), k), portable_hash)
-    count = F.greatest(F.size("tokens") - (k - 1), F.lit(1))
-    return tokenised.where(F.size("tokens") > 0).select(key, count.alias("n"), F.posexplode_outer(hashes).alias("pos", "hash"))
+
+def least_of_windows(ranks: np.ndarray, window: int) -> np.ndarray:
+    """Places of the least value of each window, the rightmost of equals; of no more values than the window, the leftmost."""
+    n = len(ranks)
+    if n <= window:
+        return np.array([int(np.argmin(ranks))] if n else [], np.int64)
+    best = np.arange(n - window + 1)
+    for j in range(1, window):
+        at = np.arange(j, n - window + 1 + j)
+        best = np.where(ranks[at] <= ranks[best], at, best)
+    return np.unique(best)
 
 
 def winnow(grams: DataFrame, key: str, window: int = WINDOW) -> DataFrame:
-    """key, pos, hash of the winnowed k-grams: the least of each window, the rightmost of equals.
+    """key, pos, hash of the winnowed k-grams (``kgrams``): the least of each window, the rightmost of equals.
 
-    A text of no more k-grams than the window has one, the leftmost of the least.
+    A text of no more k-grams than the window has one, the leftmost of the least. A text is one row,
+    so nothing is moved.
     """
-    rows = Window.partitionBy(key).orderBy("pos").rowsBetween(0, window - 1)
-    long_ = grams.where(F.col("n") > window).withColumn("m", F.min(F.struct("hash", (-F.col("pos")).alias("back"))).over(rows)).where(F.col("pos") <= F.col("n") - window).select(key, (-F.col("m.back")).alias("pos"), F.col("m.hash").alias("hash")).distinct()
-    short = grams.where(F.col("n") <= window).groupBy(key).agg(F.min(F.struct("hash", "pos")).alias("m")).select(key, F.col("m.pos").alias("pos"), F.col("m.hash").alias("hash"))
-    return long_.unionByName(short)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            column = part.column("hashes")
+            values, lengths = column.flatten(), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            borders = np.concatenate([[0], np.cumsum(lengths)])
+            ranks = hex_values(values)
+            places = [least_of_windows(ranks[lo:hi], window) for lo, hi in zip(borders[:-1], borders[1:])]
+            rows = np.repeat(np.arange(len(places)), [len(p) for p in places])
+            pos = np.concatenate([*places, np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(pos, pa.int32()), values.take(pa.array(borders[rows] + pos))], [key, "pos", "hash"])
+
+    return grams.select(key, "hashes").mapInArrow(run, f"{key} {dict(grams.dtypes)[key]}, pos int, hash string")
 
 
 def one_row_a_file(files: DataFrame) -> DataFrame:
@@ -70,17 +101,29 @@ def winnow_density(a: Column, b: Column) -> Column:
 
 
 def longest_run(pairs: DataFrame, key: str, reach: int = 3) -> DataFrame:
-    """key, longest_run of pairs (key, hashes, positions, other): the most successive shared entries.
+    """key, longest_run of pairs (key, hashes, positions, other; hashes are numbers): the most successive shared entries.
 
     An entry is a hit if the other file has its hash; a hit at most ``reach`` places behind the
     last one goes on with its run, a miss ends it.
     """
-    entry = pairs.select(key, F.posexplode(F.arrays_zip(F.col("hashes").alias("h"), F.col("positions").alias("p"))).alias("at", "e"), "other").select(key, "at", F.col("e.p").alias("pos"), F.array_contains("other", F.col("e.h")).alias("hit"))
-    order = Window.partitionBy(key).orderBy("at")
-    new = (~F.coalesce(F.lag("hit").over(order), F.lit(False))) | (F.col("pos") - F.lag("pos").over(order) > reach)
-    island = entry.withColumn("new", (new | ~F.col("hit")).cast("int")).withColumn("island", F.sum("new").over(order))
-    runs = island.where("hit").groupBy(key, "island").agg(F.count(F.lit(1)).alias("run"))
-    return runs.groupBy(key).agg(F.max("run").alias("longest_run"))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            rows, lengths = [], []
+            for k, (h, p, o) in enumerate(zip(part.column("h"), part.column("p"), part.column("o"))):
+                if h.values is None or p.values is None or o.values is None or not len(h.values) or not len(o.values):
+                    continue
+                hit = np.isin(h.values.to_numpy(zero_copy_only=False), o.values.to_numpy(zero_copy_only=False))
+                pos = p.values.to_numpy(zero_copy_only=False)
+                if hit.any():
+                    new = ~hit
+                    new[1:] |= ~hit[:-1] | (np.diff(pos) > reach)
+                    rows.append(k)
+                    lengths.append(int(np.bincount(np.cumsum(new)[hit]).max()))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(lengths, pa.int64())], [key, "longest_run"])
+
+    schema = T.StructType([pairs.schema[key], T.StructField("longest_run", T.LongType())])
+    return pairs.select(key, F.col("hashes").alias("h"), F.col("positions").alias("p"), F.col("other").alias("o")).mapInArrow(run, schema)
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:

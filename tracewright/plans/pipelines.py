@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.headers import evidence
-from ..functions.text import SHINGLE, first_lines, jaccard, runs_of, strip_leading_comment, stripped_lines, tokens
+from ..functions.text import SHINGLE, first_lines, hashed, jaccard, runs_of, strip_leading_comment, stripped_lines, tokens
 from ..operators.scoring import classify_source
 from ..operators.similarity import kgrams, longest_run, top_k, winnow
 from ..session import cut_lineage, table
@@ -39,10 +39,10 @@ def scan_sources(files: DataFrame, queries: DataFrame, keep: int = KEEP, candida
 
     used = cut_lineage(pairs.select(F.col("query_id").alias("file_id")).union(pairs.select("file_id")).union(queries.select("file_id")).distinct())
     texts = files.join(used, "file_id", "left_semi")
-    plain = cut_lineage(texts.select("file_id", tokens(F.col("text")).alias("t"), stripped_lines(F.col("text")).alias("lines"), (F.size(evidence(first_lines(F.col("text"), 80))) == 0).alias("silent")))
+    plain = cut_lineage(texts.select("file_id", tokens(F.col("text")).alias("t"), hashed(stripped_lines(F.col("text"))).alias("lines"), (F.size(evidence(first_lines(F.col("text"), 80))) == 0).alias("silent")))
     entry = prints.join(used, "file_id", "left_semi").groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("pos", "hash"))).alias("e"))  # no larger than a file
     sets = cut_lineage(
-        plain.join(entry, "file_id", "left").select("file_id", "silent", "lines", F.array_distinct(runs_of(F.col("t"), SHINGLE)).alias("shingles"), F.col("e.hash").alias("hashes"), F.col("e.pos").alias("positions"))
+        plain.join(entry, "file_id", "left").select("file_id", "silent", "lines", F.array_distinct(hashed(runs_of(F.col("t"), SHINGLE))).alias("shingles"), hashed(F.col("e.hash")).alias("hashes"), F.col("e.pos").alias("positions"))
     )
     a = sets.select(F.col("file_id").alias("query_id"), *(F.col(c).alias(f"{c}_a") for c in ("shingles", "lines", "hashes", "positions")))
     b = sets.select("file_id", *(F.col(c).alias(f"{c}_b") for c in ("shingles", "lines", "hashes")))

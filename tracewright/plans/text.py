@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.headers import EXTERNAL_MARKERS, GNU, HOLDER, HOST_SITES, INLINE_LICENSES, INTERNAL, ORIGIN, ORIGIN_POINTS, SPDX, CANONICAL, URL_TAIL, attributed, clone_language, evidence, header_score, snippet_quality
-from ..functions.text import KGRAM, SHINGLE, WINDOW, ascii_text, first_lines, jaccard, runs_of, strip_leading_comment, stripped_lines, tlsh_distance, tokens
+from ..functions.text import KGRAM, SHINGLE, WINDOW, ascii_text, first_lines, hashed, jaccard, runs_of, strip_leading_comment, stripped_lines, tlsh_distance, tokens
 from ..operators.similarity import kgrams, longest_run, once, one_row_a_file, posting_matches, top_k, winnow, winnow_density
 from ..session import cut_lineage, table
 from .common import ASCII, CORPUS, TOKENS, jaccard_sql, runs_sql
@@ -30,7 +30,7 @@ def _tokenised(spark, sf):
 
 def x3_kgrams(spark, sf):
     g = kgrams(_tokenised(spark, sf), "file_id")
-    return g.groupBy("file_id").agg(F.count(F.lit(1)).alias("kgrams"), F.countDistinct("hash").alias("distinct_kgrams"), F.min("hash").alias("least"))
+    return g.select("file_id", F.size("hashes").cast("bigint").alias("kgrams"), F.size(F.array_distinct("hashes")).cast("bigint").alias("distinct_kgrams"), F.array_min("hashes").alias("least"))
 
 
 def x4_shingles(spark, sf):
@@ -98,8 +98,8 @@ def a1_pair_similarity(spark, sf):
     """Shingle and line similarity, recomputed, of every match of a finding."""
     pairs = _claimed(spark, sf)
     text = _used(pairs, table(spark, sf, "corpus_files", ["file_id", "bytes"])).select("file_id", ascii_text(F.col("bytes")).alias("text"))
-    tokenised = cut_lineage(text.select("file_id", tokens(F.col("text")).alias("t"), stripped_lines(F.col("text")).alias("lines")))
-    sets = tokenised.select("file_id", "lines", F.array_distinct(runs_of(F.col("t"), SHINGLE)).alias("shingles"))
+    tokenised = cut_lineage(text.select("file_id", tokens(F.col("text")).alias("t"), hashed(stripped_lines(F.col("text"))).alias("lines")))
+    sets = cut_lineage(tokenised.select("file_id", "lines", F.array_distinct(hashed(runs_of(F.col("t"), SHINGLE))).alias("shingles")))
     both = _with_both(pairs, sets, ["shingles", "lines"])
     return both.select("finding_id", "place", F.round(jaccard(F.col("shingles_a"), F.col("shingles_b")), 6).alias("shingle"), F.round(jaccard(F.col("lines_a"), F.col("lines_b")), 6).alias("line"))
 
