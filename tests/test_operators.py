@@ -179,6 +179,13 @@ def test_readers(spark, tmp_path):
     assert [r.id for r in sources.bug_search(spark, str(tmp_path / "b.json")).collect()] == [5]
     (tmp_path / "c.txt").write_text("# note\nABCDEF12 subject\nxyz\nabcdef12\n1234567\n")
     assert {r.sha for r in sources.commit_list(spark, str(tmp_path / "c.txt")).collect()} == {"abcdef12", "1234567"}
+    (tmp_path / "t.txt").write_text('a/b.c\n"q r.c"\na/b.c\n\n')
+    assert {r.path for r in sources.tracked_files(spark, str(tmp_path / "t.txt")).collect()} == {"a/b.c", "q r.c"}
+    (tmp_path / "s.toml").write_text('[[include]]\npath_prefix = "lib/"\n[[exclude]]\npath = "lib/x"\nreason = "r"\n[[exclude]]\npath = "lib/y.c"\n[[entry]]\npath = "lib/z.c"\n')
+    include, exclude = sources.scope(spark, str(tmp_path / "s.toml"))
+    files = spark.createDataFrame([("lib/a.c",), ("lib/x/b.c",), ("lib/y.c",), ("libz/a.c",), ("c.c",), (None,)], "path string")
+    assert [r.path for r in sources.in_scope(files, include, exclude).collect()] == ["lib/a.c"]
+    assert [r.path for r in sources.reviewed_paths(spark, str(tmp_path / "s.toml")).collect()] == ["lib/z.c"]
     (tmp_path / "m.txt").write_text("\u001f".join("abcdef") + "\nshort\n")
     assert sources.commit_metadata(spark, str(tmp_path / "m.txt")).first().subject == "e"
     (tmp_path / "n.txt").write_text("M\ta.c\nR100\told\tnew\nx\n")

@@ -117,7 +117,7 @@ def test_evidence(spark):
         "SPDX-License-Identifier: X", "adapted from somewhere", "see https://www.gnu.org/licenses/", "see https://a.example/x", "Copyright (C) 2001 Free Software Foundation",
         "Copyright 2001 Acme Inc.", "", "Redistribution and use in source and binary forms", "the canonical source of this file is maintained with the library",
     ]
-    assert column(spark, heads, lambda c: F.array_join(evidence(c), "|")) == ["SPDX", "origin-phrase", "", "external-url", "", "copyright:2001 Acme Inc.", "", "inline-license", "canonical-source"]
+    assert column(spark, heads, lambda c: F.array_join(evidence(c), "|")) == ["SPDX", "origin-phrase", "", "external-url", "", "copyright:2001 Acme Inc.", "", "inline-license:redistribution and use i", "canonical-source"]
 
 
 def test_postings(spark):
@@ -137,3 +137,49 @@ def test_digest_distance(spark):
     got = [r[0] for r in spark.createDataFrame(rows, "a string, b string").select(tlsh_distance(F.col("a"), F.col("b"))).collect()]
     # length 0x12 to 0x0F differs by 3; ratios 3 to 9 by 6 and 7 to 5 by 2; checksum; four times two codes from 0 to 3
     assert got == [0, 3 * 12 + 5 * 12 + 1 * 12 + 1 + 4 * 12, -1, -1, got[1]]
+
+
+def test_evidence_names_every_marker(spark):
+    from tracewright.functions.headers import DOWNSTREAM_ATTRIBUTIONS, attributed, evidence
+
+    heads = [
+        "/* This file is part of the GNU MP Library. */", "/* This file is part of the GCC runtime library. */", "// Copyright 2011 The Go Authors.", "// uses lapack", "// Copyright (C) Free Software Foundation\n// see http://www.gnu.org/licenses/",
+        "/* permission to use, copy, modify, and distribute this thing */", "/* copyright\n   Someone Else */", "", "// SPDX-License-Identifier: X\n// derived from http://host.example/x",
+    ]
+    assert column(spark, heads, evidence) == [
+        ["part-of:GNU MP"], [], ["external-marker:The Go Authors", "copyright:2011 The Go Authors."], ["external-marker:LAPACK"], [], ["inline-license:permission to use, copy,"], ["copyright:Someone Else */"], [],
+        ["SPDX", "origin-phrase", "external-url"],
+    ]
+    texts = ["as in libgomp", "libatomic only", "libstdc++x", "GCCX", "kept in sync  with libgcc", "nothing"]
+    assert column(spark, texts, attributed) == [True, True, True, False, True, False]
+    assert column(spark, texts, lambda t: attributed(t, DOWNSTREAM_ATTRIBUTIONS)) == [True, False, True, False, True, False]
+
+
+def test_header_points_carry_reasons(spark):
+    from tracewright.functions.headers import header_points
+
+    rows = [
+        ("// SPDX-License-Identifier: X\n// All rights reserved.", False, False, None, False), ("/* Copyright Foo */", False, False, None, True), ("/* redistribution and use in source and binary forms */", True, True, None, False),
+        ("x", False, False, "false_positive", False), ("// copied from ../a.c, BSD-style", False, True, None, False),
+    ]
+    df = spark.createDataFrame(rows, "h string, near boolean, tree boolean, kind string, local boolean")
+    got = [[(p.points, p.reason) for p in r[0]] for r in df.select(header_points(*map(F.col, df.columns))).collect()]
+    assert got == [
+        [(-35, "spdx"), (-10, "rights-with-trail")], [(70, "holder"), (20, "local")], [(-20, "licence-near"), (-1000, "inherited")], [(-20, "reviewed"), (-1000, "false-positive")],
+        [(-15, "licence-in-tree"), (-35, "origin-inside"), (-20, "bsd-with-trail")],
+    ]
+
+
+def test_minhash_estimates_and_band_table(spark, tmp_path):
+    from tracewright.operators.minhash import bands, read_bands, signatures, write_bands
+
+    words = [f"w{k}" for k in range(400)]
+    df = spark.createDataFrame([(1, words), (2, words[:380] + ["x"] * 20), (3, [f"v{k}" for k in range(400)]), (4, []), (5, None)], "id long, tokens array<string>")
+    signed = signatures(kgrams(df, "id"), "id")
+    got = {r.id: r.signature for r in signed.collect()}
+    same = lambda a, b: sum(x == y for x, y in zip(got[a], got[b])) / 128
+    assert set(got) == {1, 2, 3} and same(1, 2) > 0.75 and same(1, 3) < 0.15
+    write_bands(bands(signed, "id"), str(tmp_path / "bands"), 2)
+    stored = read_bands(spark, str(tmp_path / "bands"), "id")
+    pairs = stored.alias("a").join(stored.alias("b"), ["band", "value"]).where("a.id < b.id").select("a.id", "b.id").distinct().collect()
+    assert stored.count() == 3 * 64 and [tuple(r) for r in pairs] == [(1, 2)]

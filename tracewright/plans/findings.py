@@ -93,17 +93,18 @@ def a13_first_by_path(spark, sf):
 
 
 def j4_reviewed_globs(spark, sf):
-    """Files that a glob of the review registry covers, with the glob; registries are small tables."""
-    registry = spark.createDataFrame([(g, glob_pattern(g)) for g in REVIEWED], "pattern_text string, pattern string")
-    files = table(spark, sf, "corpus_files", ["file_id", "project", "relpath"]).distinct().withColumn("path", F.concat_ws("/", "project", "relpath"))
-    return files.join(F.broadcast(registry), F.expr("path rlike pattern")).select("file_id", "pattern_text")
+    """Files that a glob of the review registry covers, with the glob. The registry is part of the plan, so nothing is joined."""
+    path = F.concat_ws("/", "project", "relpath")
+    hits = F.array_compact(F.array(*(F.when(path.rlike(glob_pattern(g)), g) for g in REVIEWED)))
+    return table(spark, sf, "corpus_files", ["file_id", "project", "relpath"]).distinct().select("file_id", F.explode(hits).alias("pattern_text"))
 
 
 def j6_rule_suppression(spark, sf):
-    """Pairs that no false-positive rule covers: an anti join on two patterns of a small table."""
-    rules = spark.createDataFrame(list(FALSE_PAIRS), "theirs string, ours string")
-    p = pairs(spark, sf, "gcc_path", "upstream_relpath")
-    return p.join(F.broadcast(rules), F.expr("upstream_relpath rlike theirs and gcc_path rlike ours"), "left_anti").select("finding_id")
+    """Pairs that no false-positive rule, a pattern for each side, covers."""
+    covered = F.lit(False)
+    for theirs, ours in FALSE_PAIRS:
+        covered = covered | F.coalesce(F.col("upstream_relpath").rlike(theirs) & F.col("gcc_path").rlike(ours), F.lit(False))
+    return pairs(spark, sf, "gcc_path", "upstream_relpath").where(~covered).select("finding_id")
 
 
 def j7_new_paths(spark, sf):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of this package that hold QUERIES and SQL.
-MODULES: tuple[str, ...] = ("scan", "text", "findings", "bugs", "status", "pipelines")
+MODULES: tuple[str, ...] = ("scan", "text", "findings", "bugs", "status", "upkeep", "pipelines")
 
 
 def core_queries() -> dict[str, Query]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.headers import CANDIDATE_MARKERS, has_candidate_marker, is_text_candidate
+from ..functions.headers import CANDIDATE_MARKERS, HEADER_LIKE, SCRAPED, SECRETS, STATUS_LIKE, TOOL_MENTION, has_candidate_marker, is_text_candidate
 from ..functions.text import ascii_text, file_name, first_lines, glob_pattern
 from ..operators.similarity import first_of, once, one_row_a_file
 from ..session import table
@@ -68,11 +68,12 @@ def s7_header_read(spark, sf):
 
 
 def s10_header_rename(spark, sf):
-    """Extensionless files that begin like C++ headers get a suffix; here judged by all file names without one."""
-    looks = F.substring("text", 1, 4096).rlike(r"(?m)^\s*(#|//|/\*|namespace|template|class|struct|inline|constexpr|typedef|using|enum)")
+    """Extensionless files below include/ or inc/ that begin like C++ headers get a suffix."""
+    looks = F.substring("text", 1, 4096).rlike(HEADER_LIKE)
+    below = F.col("relpath").rlike("(^|/)(include|inc)/")
     bare = ~file_name(F.col("relpath")).contains(".")
     keep = ~file_name(F.col("relpath")).rlike(r"(?i)^(license|copying|copyright|readme|authors|news|makefile)")
-    return corpus(spark, sf).select("file_id", F.when(bare & keep & looks, F.concat("relpath", F.lit(".hpp"))).otherwise(F.col("relpath")).alias("name")).distinct()
+    return corpus(spark, sf).select("file_id", F.when(below & bare & keep & looks, F.concat("relpath", F.lit(".hpp"))).otherwise(F.col("relpath")).alias("name")).distinct()
 
 
 def s11_index_read(spark, sf):
@@ -164,19 +165,19 @@ def f14_expectations(spark, sf):
 
 def f15_status_like(spark, sf):
     rows = table(spark, sf, "documents", ["doc_id", "text", "source"])
-    return rows.where(F.col("text").rlike(r"(?i)(unexpected failures|has been merged|not reproduced)") & ~F.col("source").rlike("^(wiki|mirror)-")).select("doc_id")
+    return rows.where(F.col("text").rlike(STATUS_LIKE) & ~F.col("source").rlike("^(wiki|mirror)-")).select("doc_id")
 
 
 def f16_secrets(spark, sf):
     rows = table(spark, sf, "documents", ["doc_id", "text"])
-    return rows.where(F.col("text").rlike(r"(?i)(api[_-]?key|api[_-]?token|secret[_-]?key|password\s*=|BEGIN (RSA|OPENSSH|PGP|EC) PRIVATE|ghp_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,})")).select("doc_id")
+    return rows.where(F.col("text").rlike(SECRETS)).select("doc_id")
 
 
 def f18_message_policy(spark, sf):
-    """Messages that name no address or run over fifteen lines."""
+    """Messages that name no address, run over fifteen lines or don't say that a tool helped."""
     rows = table(spark, sf, "documents", ["doc_id", "text", "kind"]).where("kind = 'commit_message'")
     lines = F.size(F.split("text", "\n"))
-    return rows.select("doc_id", F.col("text").rlike("https?://").alias("has_url"), (lines <= 15).alias("short")).where("not (has_url and short)")
+    return rows.select("doc_id", F.col("text").rlike("https?://").alias("has_url"), (lines <= 15).alias("short"), F.col("text").rlike(TOOL_MENTION).alias("says_tool")).where("not (has_url and short and says_tool)")
 
 
 def x13_path_rewrite(spark, sf):
@@ -207,7 +208,7 @@ def j14_sparse_paths(spark, sf):
 def f17_scraped_links(spark, sf):
     """Texts with links that only a scraped page has, not counting mirrors."""
     rows = table(spark, sf, "documents", ["doc_id", "text", "source"])
-    return rows.where(F.col("text").rlike(r"(?i)(attachment\.cgi\?id=[0-9]+|logout\?token=|login\.cgi)") & ~F.col("source").rlike("^mirror-")).select("doc_id")
+    return rows.where(F.col("text").rlike(SCRAPED) & ~F.col("source").rlike("^mirror-")).select("doc_id")
 
 
 QUERIES = {
@@ -231,9 +232,9 @@ SQL = {
         SELECT project, relpath, state FROM (SELECT project, relpath, CASE WHEN sha256 IS NULL THEN 'new' WHEN sha IS NULL THEN 'gone' WHEN sha <> sha256 THEN 'changed' END AS state FROM now FULL JOIN old USING (project, relpath)) WHERE state IS NOT NULL""",
     "s7_header_read": f"WITH {CORPUS} SELECT file_id, length({_HEAD.format(n=80)})::BIGINT AS chars, md5({_HEAD.format(n=80)}) AS digest FROM corpus",
     "s9_kept_paths": f"SELECT project, count(*) FILTER (k)::BIGINT AS kept, count(*) FILTER (NOT k)::BIGINT AS dropped FROM (SELECT DISTINCT file_id, project, regexp_matches(relpath, '{KEPT}') AS k FROM corpus_files) GROUP BY project",
-    "f17_scraped_links": r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(attachment\.cgi\?id=[0-9]+|logout\?token=|login\.cgi)') AND NOT regexp_matches(source, '^mirror-')",
+    "f17_scraped_links": rf"SELECT DISTINCT doc_id FROM documents WHERE regexp_matches(text, '{SCRAPED}') AND NOT regexp_matches(source, '^mirror-')",
     "j14_sparse_paths": "SELECT DISTINCT file_id, sparse_path FROM corpus_files JOIN (SELECT DISTINCT project, unnest(sparse_paths) AS sparse_path FROM corpus_sources) USING (project) WHERE starts_with(relpath, sparse_path || '/')",
-    "s10_header_rename": rf"WITH {CORPUS} SELECT file_id, CASE WHEN NOT contains({NAME}, '.') AND NOT regexp_matches({NAME}, '(?i)^(license|copying|copyright|readme|authors|news|makefile)') AND regexp_matches(text[1:4096], '(?m)^\s*(#|//|/\*|namespace|template|class|struct|inline|constexpr|typedef|using|enum)') THEN relpath || '.hpp' ELSE relpath END AS name FROM corpus",
+    "s10_header_rename": rf"WITH {CORPUS} SELECT file_id, CASE WHEN regexp_matches(relpath, '(^|/)(include|inc)/') AND NOT contains({NAME}, '.') AND NOT regexp_matches({NAME}, '(?i)^(license|copying|copyright|readme|authors|news|makefile)') AND regexp_matches(text[1:4096], '{HEADER_LIKE}') THEN relpath || '.hpp' ELSE relpath END AS name FROM corpus",
     "s11_index_read": f"SELECT file_id, project, relpath, tokens, kgrams FROM {_ONE_FILE} JOIN (SELECT DISTINCT m.project, m.relpath FROM (SELECT unnest(matches) AS m FROM source_findings)) USING (project, relpath)",
     "s13_report_matches": """SELECT finding_id, place - 1 AS place, m.project AS project, m.relpath AS relpath, m.tokens::BIGINT AS tokens, round(m.winnow_density, 6) AS density, round(m.shingle_jaccard, 6) AS shingle
         FROM (SELECT finding_id, unnest(matches) AS m, unnest(range(1, len(matches) + 1)) AS place FROM (SELECT DISTINCT ON (finding_id) * FROM source_findings)) WHERE m IS NOT NULL""",
@@ -249,8 +250,8 @@ SQL = {
     "f10_marker_gate": "SELECT severity, count(*)::BIGINT AS findings FROM (SELECT DISTINCT finding_id, upstream_has_gcc_marker, severity FROM downstream_findings) WHERE NOT upstream_has_gcc_marker GROUP BY severity",
     "f11_open_bugs": f"SELECT DISTINCT bug_id, component FROM bug_history WHERE status IN ({quoted(('UNCONFIRMED', 'NEW', 'ASSIGNED', 'SUSPENDED', 'WAITING', 'REOPENED'))}) AND contains(lower(summary), 'loop')",
     "f14_expectations": "SELECT DISTINCT doc_id FROM documents WHERE (contains(text, 'regression') OR contains(text, 'crash')) AND contains(text, 'the ') AND contains(text, 'branch') AND NOT (contains(text, 'FAIL:') OR contains(text, 'XPASS:'))",
-    "f15_status_like": "SELECT DISTINCT doc_id FROM documents WHERE regexp_matches(text, '(?i)(unexpected failures|has been merged|not reproduced)') AND NOT regexp_matches(source, '^(wiki|mirror)-')",
-    "f16_secrets": r"SELECT DISTINCT doc_id FROM documents WHERE regexp_matches(text, '(?i)(api[_-]?key|api[_-]?token|secret[_-]?key|password\s*=|BEGIN (RSA|OPENSSH|PGP|EC) PRIVATE|ghp_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,})')",
-    "f18_message_policy": "SELECT * FROM (SELECT DISTINCT doc_id, regexp_matches(text, 'https?://') AS has_url, len(string_split(text, chr(10))) <= 15 AS short FROM documents WHERE kind = 'commit_message') WHERE NOT (has_url AND short)",
+    "f15_status_like": f"SELECT DISTINCT doc_id FROM documents WHERE regexp_matches(text, '{STATUS_LIKE}') AND NOT regexp_matches(source, '^(wiki|mirror)-')",
+    "f16_secrets": f"SELECT DISTINCT doc_id FROM documents WHERE regexp_matches(text, '{SECRETS}')",
+    "f18_message_policy": f"SELECT * FROM (SELECT DISTINCT doc_id, regexp_matches(text, 'https?://') AS has_url, len(string_split(text, chr(10))) <= 15 AS short, regexp_matches(text, '{TOOL_MENTION}') AS says_tool FROM documents WHERE kind = 'commit_message') WHERE NOT (has_url AND short AND says_tool)",
     "x13_path_rewrite": "SELECT file_id, regexp_replace(url, '/+$', '') || '/' || regexp_replace(relpath, '^/+', '') AS address FROM (SELECT DISTINCT file_id, project, relpath FROM corpus_files) JOIN (SELECT project, min(url) AS url FROM corpus_sources GROUP BY project) USING (project)",
 }

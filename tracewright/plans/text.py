@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.headers import EXTERNAL_MARKERS, GNU, HOLDER, HOST_SITES, INLINE_LICENSES, INTERNAL, ORIGIN, ORIGIN_POINTS, SPDX, CANONICAL, URL_TAIL, attributed, clone_language, evidence, header_score, snippet_quality
-from ..functions.text import KGRAM, SHINGLE, WINDOW, ascii_text, first_lines, hashed, jaccard, runs_of, strip_leading_comment, stripped_lines, tlsh_distance, tokens
+from ..functions.headers import ATTRIBUTIONS, CANONICAL, DOWNSTREAM_ATTRIBUTIONS, EXTERNAL_MARKERS, GNU, HOLDER, HOST_SITES, HOST_TERMS, INLINE_LICENSES, INTERNAL, ORIGIN, ORIGIN_POINTS, PART_OF, SPDX, SUPPRESSING, URL_TAIL, attributed, clone_language, evidence, header_points, snippet_quality
+from ..functions.text import KGRAM, SHINGLE, WINDOW, ascii_text, first_lines, glob_pattern, hashed, jaccard, runs_of, strip_leading_comment, stripped_lines, tlsh_distance, tokens
 from ..operators.similarity import kgrams, longest_run, once, one_row_a_file, posting_matches, top_k, winnow, winnow_density
 from ..session import cut_lineage, table
 from .common import ASCII, CORPUS, TOKENS, jaccard_sql, runs_sql
@@ -48,7 +48,9 @@ def x5_evidence(spark, sf):
 
 
 def x6_attributed(spark, sf):
-    return corpus(spark, sf).select("file_id", attributed(F.col("text")).alias("attributed")).distinct()
+    """Whether a file names the host project, by the mentions that count upstream and by those that count downstream."""
+    t = F.col("text")
+    return corpus(spark, sf).select("file_id", attributed(t).alias("attributed"), attributed(t, DOWNSTREAM_ATTRIBUTIONS).alias("downstream")).distinct()
 
 
 def x12_snippets(spark, sf):
@@ -162,12 +164,25 @@ def j1_band_candidates(spark, sf):
     return top_k(hits, ["query_id"], [F.col("bands").desc(), F.col("file_id")], 10).select("query_id", "file_id", "bands", F.col("rank").cast("bigint").alias("rank"))
 
 
+#: Review entries of the score: globs over project/relpath with their kinds; the first that matches counts.
+REVIEW = (
+    ("*/node_modules/*", "false_positive"), ("*/third_party/*", "accepted_external"), ("*/vendor/*", "needs_local_license"), ("larkcc/p00/testsuite/*", "project_policy"),
+)
+#: Files of this project are added here.
+OWN = "larkcc"
+
+
 def x10_header_scores(spark, sf):
-    """Points of every source file's first 80 lines and of the licence files around it."""
-    around = j18_ancestor_licenses(spark, sf)
-    head = corpus(spark, sf).select("file_id", first_lines(F.col("text"), 80).alias("head"))
-    score = header_score(F.col("head"), F.col("licences") > 0, F.coalesce(F.col("root"), F.lit(False)))
-    return head.join(around.withColumn("root", F.col("nearest").isNotNull() & (F.col("nearest") == "")), "file_id").select("file_id", score.cast("bigint").alias("score")).distinct()
+    """Points of every source file's first 80 lines, of the licence files around it and of its review entry, with the reasons."""
+    around = j18_ancestor_licenses(spark, sf).withColumn("root", F.col("nearest").isNotNull() & (F.col("nearest") == ""))
+    path = F.concat_ws("/", "project", "relpath")
+    kind = F.lit(None).cast("string")
+    for g, k in reversed(REVIEW):
+        kind = F.when(path.rlike(glob_pattern(g)), k).otherwise(kind)
+    head = corpus(spark, sf).select("file_id", first_lines(F.col("text"), 80).alias("head"), kind.alias("kind"), (F.col("project") == OWN).alias("local"))
+    found = head.join(around, "file_id").select("file_id", header_points(F.col("head"), F.col("licences") > 0, F.coalesce("root", F.lit(False)), F.col("kind"), F.coalesce("local", F.lit(False))).alias("p"))
+    score = F.aggregate("p", F.lit(0), lambda acc, x: acc + x["points"])
+    return found.select("file_id", score.cast("bigint").alias("score"), F.array_join(F.col("p.reason"), "|").alias("reasons"), F.arrays_overlap(F.col("p.reason"), F.array(*map(F.lit, SUPPRESSING))).alias("suppressed")).distinct()
 
 
 def m0_near_duplicates(spark, sf):
@@ -195,21 +210,19 @@ _DENSITY = f"""{_CLAIMED}, density AS (SELECT finding_id, place, len(list_inters
     round(len(list_intersect(a.winnow_hashes, b.winnow_hashes))::DOUBLE / len(list_distinct(a.winnow_hashes)), 6) AS density FROM claimed JOIN one_file a ON a.file_id = own JOIN one_file b ON b.file_id = other)"""
 _HEAD80 = "array_to_string(string_split(text, chr(10))[1:80], chr(10))"
 _AROUND = _FINDING_SQL["j18_ancestor_licenses"]
-_INLINE = "(" + " OR ".join("contains(lower(h), '" + p.replace("'", "''") + "')" for p in INLINE_LICENSES) + ")"
-_HOLDERS = "list_filter(regexp_extract_all(h, '" + HOLDER + "', 1), lambda x: trim(x) <> '' AND NOT contains(lower(x), 'free software foundation') {more})"
-_ANY_MARKER = "(" + " OR ".join(f"contains(low, '{m}')" for m in EXTERNAL_MARKERS) + ")"
-_POINTS = " + ".join(
-    [
-        "CASE WHEN spdx THEN -35 ELSE 0 END", "CASE WHEN gnu THEN -30 ELSE 0 END", "CASE WHEN nearby THEN -20 WHEN tree THEN -15 ELSE 0 END",
-        f"CASE WHEN regexp_matches(h, '{ORIGIN}') THEN CASE WHEN regexp_matches(h, '" + INTERNAL.replace("'", "''") + "') THEN -35 ELSE 55 END ELSE 0 END",
-        *(f"CASE WHEN contains(low, '{m}') THEN {n} ELSE 0 END" for m, n in ORIGIN_POINTS.items()),
-        "CASE WHEN contains(low, 'license that can be found in the license file') THEN CASE WHEN tree THEN -35 ELSE 35 END ELSE 0 END",
-        "CASE WHEN contains(low, 'all rights reserved') THEN CASE WHEN trail THEN -10 ELSE 20 END ELSE 0 END",
-        "CASE WHEN contains(low, 'bsd-style') THEN CASE WHEN tree THEN -20 ELSE 20 END ELSE 0 END",
-        f"CASE WHEN len({_HOLDERS.format(more='')}) > 0 THEN CASE WHEN trail THEN 20 ELSE 70 END ELSE 0 END",
-        f"CASE WHEN {_ANY_MARKER} THEN CASE WHEN tree THEN -20 WHEN NOT nearby THEN 15 ELSE 0 END ELSE 0 END",
-    ]
-)
+_Q = lambda p: p.replace("'", "''")
+_HOLDERS = "list_filter(regexp_extract_all(h, '" + HOLDER + "', 1), lambda x: trim(x) <> '' AND NOT contains(lower(x), 'free software foundation') AND NOT (contains(lower(x), 'gnu') AND contains(lower(x), 'org')))"
+_CASES = lambda names: "CASE " + " ".join(f"WHEN contains(lower(h), '{_Q(p)}') THEN '{_Q(n)}'" for p, n in names) + " END"
+_PART = f"trim(regexp_extract(h, '{PART_OF}', 1))"
+_ANY = lambda phrases: "(" + " OR ".join(f"contains(low, '{_Q(p)}')" for p in phrases) + ")"
+#: Reason, points and condition of each term of the score, in order.
+_TERMS = [
+    ("reviewed", -20, "kind IS NOT NULL"), ("false-positive", -1000, "kind = 'false_positive'"), ("accepted-inherited", -1000, "kind = 'accepted_external' AND NOT own"), ("accepted", -60, "kind = 'accepted_external'"),
+    ("policy", -1000, "kind = 'project_policy'"), ("needs-license", 15, "kind = 'needs_local_license'"), ("spdx", -35, "spdx"), ("gnu-header", -30, "gnu"), ("licence-near", -20, "nearby"), ("licence-in-tree", -15, "tree AND NOT nearby"),
+    ("origin-inside", -35, "origin AND inside"), ("origin-outside", 55, "origin AND NOT inside"), *((f"marker:{m}", n, f"contains(low, '{m}')") for m, n in ORIGIN_POINTS.items()),
+    ("licence-file-there", -35, "lic AND tree"), ("licence-file-missing", 35, "lic AND NOT tree"), ("rights-with-trail", -10, "rights AND trail"), ("rights-reserved", 20, "rights AND NOT trail"), ("bsd-with-trail", -20, "bsd AND tree"), ("bsd-style", 20, "bsd AND NOT tree"),
+    ("holder-with-trail", 20, "holder AND trail"), ("holder", 70, "holder AND NOT trail"), ("external-with-trail", -20, "marker AND tree"), ("external", 15, "marker AND NOT tree AND NOT nearby"),
+]
 _SNIP = (
     "CASE WHEN length(line) < 24 OR length(line) > 180 OR length(regexp_replace(line, '[^A-Za-z]', '', 'g')) < 12 OR "
     + " OR ".join(f"starts_with(bare, '{b}')" for b in ("/*", "*", "//", "#", "! { dg-"))
@@ -227,15 +240,20 @@ SQL = {
         SELECT DISTINCT file_id, (-m.b)::BIGINT AS pos, m.h AS hash FROM w WHERE pos <= n - {WINDOW} UNION ALL SELECT file_id, min({{'h': hash, 'p': pos}}).p::BIGINT, min(hash) FROM grams WHERE n <= {WINDOW} GROUP BY file_id""",
     "x5_evidence": f"""WITH {CORPUS}, h AS (SELECT file_id, {_HEAD80} AS h FROM corpus), e AS (SELECT file_id, list_filter([CASE WHEN regexp_matches(h, '{SPDX}') THEN 'SPDX' END, CASE WHEN regexp_matches(h, '{ORIGIN}') THEN 'origin-phrase' END,
         CASE WHEN regexp_matches(h, '{CANONICAL}') THEN 'canonical-source' END, CASE WHEN len(list_filter(regexp_extract_all(h, '{URL_TAIL}'), lambda u: NOT regexp_matches(u, '{HOST_SITES}'))) > 0 THEN 'external-url' END,
-        CASE WHEN {_INLINE} THEN 'inline-license' END, 'copyright:' || trim(substr(trim({_HOLDERS.format(more="AND NOT (contains(lower(x), 'gnu') AND contains(lower(x), 'org'))")}[1]), 1, 40))], lambda x: x IS NOT NULL) AS e FROM h)
+        {_CASES([(p, 'inline-license:' + p[:24]) for p in INLINE_LICENSES])}, {_CASES([(m.lower(), 'external-marker:' + m) for m in EXTERNAL_MARKERS])}, 'copyright:' || trim(substr(trim({_HOLDERS}[1]), 1, 40)),
+        CASE WHEN {_PART} <> '' AND NOT ({" OR ".join(f"contains(lower({_PART}), '{t}')" for t in HOST_TERMS)}) THEN 'part-of:' || substr({_PART}, 1, 48) END], lambda x: x IS NOT NULL) AS e FROM h)
         SELECT file_id, array_to_string(e, '|') AS evidence, CASE WHEN len(e) > 0 THEN 'marked' ELSE 'silent' END AS header_class FROM e""",
-    "x10_header_scores": f"""WITH {CORPUS}, around AS ({_AROUND}), h AS (SELECT file_id, {_HEAD80} AS h, licences > 0 AS nearby, coalesce(nearest = '', false) AS tree FROM corpus JOIN around USING (file_id)),
-        f AS (SELECT *, lower(h) AS low, regexp_matches(h, '{SPDX}') AS spdx, regexp_matches(h, '{GNU}') AS gnu, regexp_matches(h, '{SPDX}') OR regexp_matches(h, '{GNU}') OR nearby OR tree AS trail FROM h)
-        SELECT file_id, ({_POINTS})::BIGINT AS score FROM f""",
+    "x10_header_scores": f"""WITH {CORPUS}, around AS ({_AROUND}), h AS (SELECT file_id, {_HEAD80} AS h, licences > 0 AS nearby, coalesce(nearest = '', false) AS tree, coalesce(project = '{OWN}', false) AS own,
+            CASE {" ".join(f"WHEN project || '/' || relpath GLOB '{g}' THEN '{k}'" for g, k in REVIEW)} END AS kind FROM corpus JOIN around USING (file_id)),
+        f AS (SELECT *, lower(h) AS low, regexp_matches(h, '{SPDX}') AS spdx, regexp_matches(h, '{GNU}') AS gnu, regexp_matches(h, '{ORIGIN}') AS origin, regexp_matches(h, '{_Q(INTERNAL)}') AS inside, len({_HOLDERS}) > 0 AS holder FROM h),
+        g AS (SELECT *, spdx OR gnu OR contains(low, 'license') OR nearby OR tree AS trail, contains(low, 'license that can be found in the license file') AS lic, contains(low, 'all rights reserved') AS rights, contains(low, 'bsd-style') AS bsd, {_ANY([m.lower() for m in EXTERNAL_MARKERS])} AS marker, {_ANY(INLINE_LICENSES)} AS inline FROM f),
+        p AS (SELECT *, list_filter([{", ".join(f"CASE WHEN {c} THEN '{r}' END" for r, _, c in _TERMS)}], lambda x: x IS NOT NULL) AS r, {" + ".join(f"CASE WHEN {c} THEN {n} ELSE 0 END" for _, n, c in _TERMS)} AS s FROM g),
+        q AS (SELECT file_id, list_concat(r, list_filter([CASE WHEN own AND s > 0 THEN 'local' END, CASE WHEN NOT own AND trail AND inline THEN 'inherited' END], lambda x: x IS NOT NULL)) AS r, s + CASE WHEN own AND s > 0 THEN 20 ELSE 0 END + CASE WHEN NOT own AND trail AND inline THEN -1000 ELSE 0 END AS s FROM p)
+        SELECT file_id, s::BIGINT AS score, array_to_string(r, '|') AS reasons, list_has_any(r, {list(SUPPRESSING)}) AS suppressed FROM q""",
     "j1_band_candidates": f"""WITH o AS {_ONE_FILE}, k AS (SELECT file_id, b, minhash[2 * b + 1] AS x, minhash[2 * b + 2] AS y FROM (SELECT file_id, minhash, unnest(range(0, {BANDS})) AS b FROM o)),
         h AS (SELECT q.file_id AS query_id, k.file_id, count(*)::BIGINT AS bands FROM k q JOIN k USING (b, x, y) WHERE q.file_id % 100 = 0 AND q.file_id <> k.file_id GROUP BY 1, 2)
         SELECT query_id, file_id, bands, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bands DESC, file_id) AS rank FROM h) WHERE rank <= 10""",
-    "x6_attributed": rf"WITH {CORPUS} SELECT file_id, regexp_matches(text, '(?:^|[^A-Za-z0-9_])GCC(?:$|[^A-Za-z0-9_])') OR regexp_matches(text, '(?i)GNU\s+Compiler\s+Collection|Free\s+Software\s+Foundation|Runtime\s+Library\s+Exception|gcc\.gnu\.org|sourceware\.org/gcc') AS attributed FROM corpus",
+    "x6_attributed": f"WITH {CORPUS} SELECT file_id, {' OR '.join(f"regexp_matches(text, '{p}')" for p in ATTRIBUTIONS)} AS attributed, {' OR '.join(f"regexp_matches(text, '{p}')" for p in DOWNSTREAM_ATTRIBUTIONS)} AS downstream FROM corpus",
     "x12_snippets": rf"""WITH {CORPUS}, lines AS (SELECT DISTINCT file_id, replace(unnest(string_split(text, chr(10))), chr(13), '') AS line FROM corpus), scored AS (SELECT file_id, line, ({_SNIP})::BIGINT AS quality FROM (SELECT *, trim(line) AS bare FROM lines))
         SELECT file_id, rank, quality, md5(line) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY quality DESC, line) AS rank FROM scored WHERE quality >= 0) WHERE rank <= 3""",
     "x14_languages": r"SELECT CASE WHEN s = 'rs' THEN 'rust' WHEN s = 'go' THEN 'go' WHEN s = 'py' THEN 'python' WHEN s IN ('f', 'f90', 'f95', 'f03', 'f08', 'for', 'fpp') THEN 'fortran' ELSE 'cpp' END AS language, count(*)::BIGINT AS files FROM (SELECT DISTINCT file_id, lower(regexp_extract(relpath, '\.([^./]*)$', 1)) AS s FROM corpus_files) GROUP BY 1",

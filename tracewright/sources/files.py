@@ -78,11 +78,43 @@ def bug_search(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BUGS).json(path, multiLine=True).select(F.explode("bugs").alias("b")).select("b.*").where("id is not null")
 
 
-def commit_list(spark: SparkSession, path: str) -> DataFrame:
-    """sha of every line that begins with one; comments and other lines are skipped, repeats kept out."""
-    line = spark.read.text(path)
+def shas_of(lines: DataFrame) -> DataFrame:
+    """sha of every line (column ``value``) that begins with one; comments and other lines are skipped, repeats kept out."""
     sha = F.regexp_extract(F.trim("value"), r"^([0-9a-fA-F]{7,40})(?:\s|$)", 1)
-    return line.select(F.lower(sha).alias("sha")).where("sha <> ''").distinct()
+    return lines.select(F.lower(sha).alias("sha")).where("sha <> ''").distinct()
+
+
+def commit_list(spark: SparkSession, path: str) -> DataFrame:
+    """sha of the lines of a commit list."""
+    return shas_of(spark.read.text(path))
+
+
+def tracked_files(spark: SparkSession, path: str) -> DataFrame:
+    """path of every line of a listing of tracked files; quoted names lose their quotes, repeats are kept out."""
+    name = F.regexp_replace(F.regexp_replace("value", "\r$", ""), '^"(.*)"$', "$1")
+    return spark.read.text(path).select(name.alias("path")).where("path <> ''").distinct()
+
+
+def scope(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Included prefixes, and excluded paths with their reasons."""
+    return toml_rows(spark, path, "include", "path_prefix string", "path_prefix"), toml_rows(spark, path, "exclude", "path string, reason string", "path")
+
+
+def reviewed_paths(spark: SparkSession, path: str) -> DataFrame:
+    """Paths that a registry of reviewed files names."""
+    return toml_rows(spark, path, "entry", "path string", "path").distinct()
+
+
+def in_scope(files: DataFrame, include: DataFrame, exclude: DataFrame) -> DataFrame:
+    """Files (path) below an included prefix that no exclusion names or covers as a folder. A file looks
+    its own ancestors up, so neither list is compared with every file."""
+    steps = F.split("path", "/")
+    ups = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/"))
+    above = files.select("path", F.explode(ups).alias("up"))
+    clean = lambda c: F.regexp_replace(c, "/+$", "").alias("up")
+    inside = above.join(include.select(clean("path_prefix")).distinct(), "up", "left_semi").select("path").distinct()
+    outside = above.join(exclude.select(clean("path")).distinct(), "up", "left_semi").select("path").distinct()
+    return files.join(inside, "path", "left_semi").join(outside, "path", "left_anti")
 
 
 def commit_metadata(spark: SparkSession, path: str) -> DataFrame:
