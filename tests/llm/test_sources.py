@@ -95,6 +95,26 @@ def test_statements():
     assert verdict([["MIT", "Zlib"], ["MIT"]]) == "MIT" and verdict([["MIT"], ["Zlib"]]) == "conflict" and verdict([]) == "unknown"
 
 
+def test_a_new_licence_needs_no_code():
+    """A row that was never thought of is known by notice, body, id and title, in usual spellings."""
+    row = ("QPL-4.2-or-later", "Quokka Public License, version 4.2 or later", "Marsupials may hop over this file whenever the moon is full and its keeper has been asked", "Every hop over the work is counted by its keeper and no hop may be sold without the moon")
+    refs = Reader([*((a, b, c or "", d or "") for a, b, c, d in REFS), row])
+    said_ = lambda text, f=False: sorted(sorted(x) for x in refs.statements(text, f))
+    for text in (
+        "SPDX-License-Identifier: qpl-4.2+", "Terms: QPLv4.2+", "This file is distributed under the Quokka Public Licence, 4.2 or any later version.", "Released under the quokka licence.",
+        "MARSUPIALS MAY HOP OVER THIS FILE WHENEVER THE MOON IS FULL AND ITS KEEPER HAS BEEN ASKED", "SPDX-License-Identifier: QPL-4.2-or-later OR GPL-2.0-or-later",
+    ):
+        assert said_(text) == [["QPL-4.2-or-later"]], text
+    assert said_("Quokka Public License, version 4.2 or later", True) == [["QPL-4.2-or-later"]] and said_(row[3], True) == [["QPL-4.2-or-later"]]
+    for text in ("License: QPL-4.2-only", "License: QPL-3.0", "License: MIT-0", "License: GPL-2.0-or-later", "License: GPL-3.0"):
+        assert said_(text) == [], text
+
+
+def test_names_of_a_choice_far_from_its_lead():
+    lead = "This tree may be used under either of the licences which stand here " + "and nowhere else in this long and winding paragraph " * 12
+    assert said(lead + ":\n * The MIT License\n * zlib License", True) == [["MIT", "Zlib"]]
+
+
 def test_licenses_of_files_and_projects(spark):
     rows = [
         (1, "p", "a/b/x.c", b"/* SPDX-License-Identifier: MIT OR Zlib */", 1, "k", 1),

@@ -1,9 +1,10 @@
 """Licences of source files and projects (problem 2).
 
 A text states a licence by a tag (``SPDX-License-Identifier:``, ``License:``, ``Terms:``), by a
-granting sentence that names it, or by its wording. Wording is compared with the templates of a
-reference table by the Dice coefficient of word-bigram sets; the best template at or above the
-threshold counts, else the wording states nothing.
+granting sentence that names it, or by its wording. Both are compared with the reference table by
+the Dice coefficient of word-bigram sets: wording with the table's notices and bodies, and the words
+behind a tag or a grant with the names that its ids and titles give rise to. The best match at or
+above the threshold counts, else nothing is stated.
 """
 
 from __future__ import annotations
@@ -27,37 +28,23 @@ DICE = 0.6
 #: Most bytes of template text that are sent to every task; a larger table is refused.
 TEMPLATE_BYTES = 4 << 20
 
-# Usual spellings, as patterns over lower-case text. The id in front is that of the
-# reference table. Patterns that name another edition of a licence are in UNLISTED.
-_V2, _V3 = r"(?:2(?:\.0)?|two|second)", r"(?:3(?:\.0)?|three|third)"
-_PLUS = r"(?:\s*\+|[\s,-]*(?:or|and)[\s-]+(?:any[\s-]+)?(?:later|newer|higher)(?:[\s-]+(?:version|edition|one))?)"
-_ONLY = r"(?:[\s,-]*only|[\s,]*and\s+no\s+other)"
-_GPL = r"(?:gnu[\s-]+)?(?:gpl|general\s+public\s+licen[sc]e)"
-_LGPL = r"(?:gnu[\s-]+)?(?:lgpl|(?:lesser|library)\s+(?:gpl|general\s+public\s+licen[sc]e))"
-_VERSION = r"[\s,-]*(?:\(?\s*version\s*|v\.?\s*)?"
-UNLISTED = (
-    rf"{_LGPL}{_VERSION}(?:{_V3}|2\.0|two|second){_PLUS}?",
-    rf"{_LGPL}{_VERSION}2\.1{_ONLY}",
-    rf"{_GPL}{_VERSION}{_V2}(?:\s+version)?{_PLUS}",
-    rf"{_GPL}\s*\(>=\s*{_V2}\)",
-    rf"{_GPL}{_VERSION}{_V3}(?:\s+version)?{_ONLY}",
-    r"bsd[\s-]*(?:2|4|0)(?:[\s-]*clause)?(?:[\s-]+licen[sc]e)?|(?:two|2|four|4|zero|0)[\s-]*clause\s+bsd(?:[\s-]+licen[sc]e)?|simplified\s+bsd",
-    r"(?:mpl|mozilla\s+public\s+licen[sc]e)[\s,-]*(?:version\s*|v)?1(?:\.[01])?",
-    r"(?:apache(?:\s+(?:software\s+)?licen[sc]e)?|asl|alv?)[\s,-]*(?:version\s*|v)?1(?:\.[01])?",
-)
-SPELLINGS = (
-    ("LGPL-2.1-or-later", rf"{_LGPL}(?:{_VERSION}2(?:\.1)?)?{_PLUS}?"),
-    ("GPL-3.0-or-later", rf"{_GPL}(?:\s*\(>=\s*{_V3}\)|{_VERSION}{_V3}(?:\s+(?:version|edition))?{_PLUS}?)"),
-    ("GPL-2.0-only", rf"{_GPL}{_VERSION}{_V2}(?:\s+(?:version|edition))?{_ONLY}?"),
-    ("MPL-2.0", r"(?:mpl|mozilla\s+public\s+licen[sc]e)(?:[\s,-]*(?:version\s*|v\.?\s*)?(?:2(?:\.0)?|two))?"),
-    ("Apache-2.0", r"(?:apache(?:\s+(?:software\s+)?licen[sc]e)?(?:[\s,-]*(?:version\s*|v\.?\s*)?(?:2(?:\.0)?|two))?|(?:asl|al)[\s-]*v?2(?:\.0)?)"),
-    ("BSD-3-Clause", r"(?:(?:three|3)[\s-]*clause\s+bsd|(?:new|modified|revised)\s+bsd|bsd[\s-]*3(?:[\s-]*clause)?|bsd)(?:[\s-]+licen[sc]e)?"),
-    ("BSL-1.0", r"(?:bsl|boost(?:\s+software\s+licen[sc]e)?)(?:[\s,-]*(?:version\s*|v\.?\s*)?1(?:\.0)?)?"),
-    ("MIT", r"(?:mit[\s]*/[\s]*x11|mit|expat|x11)(?:[\s-]+licen[sc]e)?"),
-    ("Zlib", r"zlib(?:\s*/\s*(?:lib)?png)?(?:[\s-]+licen[sc]e)?"),
-)
-_END = r"(?![\w+]|-\w|\.\d)"
-_ARTICLE = re.compile(r"\(?\s*(?:the\s+)?(?:terms\s+of\s+(?:the\s+)?)?", re.I)
+#: Least Dice coefficient of a name, whose bigrams are few; most words that a name is read from.
+NAME_DICE, NAME_WORDS = 0.8, 14
+
+# Names by which licences go besides their ids and titles; None is one that isn't in any table.
+ALIASES = (
+    ("expat", "MIT"), ("x11", "MIT"), ("mit x11", "MIT"), ("new bsd", "BSD-3-Clause"), ("modified bsd", "BSD-3-Clause"), ("revised bsd", "BSD-3-Clause"), ("simplified bsd", None),
+    ("al", "Apache-2.0"), ("asl", "Apache-2.0"), ("zlib png", "Zlib"), ("zlib libpng", "Zlib"),
+)
+# Words that name nothing, words for one another, and words for numbers.
+FILLERS = frozenset("the a of terms under license licence licenses version edition clause software v".split())
+SAME_WORDS = {"library": "lesser"}
+NUMBERS = {"zero": "0", "two": "2", "three": "3", "four": "4", "second": "2", "third": "3", "first": "1"}
+_PLUS_WORDS = re.compile(r"\+|[\s,-]*\b(?:or|and)[\s-]+(?:any[\s-]+)?(?:later|newer|higher)\b(?:[\s-]+(?:version|edition|one)\b)?|\(>=\s*(?=\w)", re.I)
+_ONLY_WORDS = re.compile(r"[\s,-]*\bonly\b|[\s,]*\band\s+no\s+other\b|[\s,]*\balone\b", re.I)
+_NAME_WORD = re.compile(r"[A-Za-z]+|\d+(?:\.\d+)*|\+|>=")
+_BETWEEN = re.compile(r"[\s,/()-]*")
+_EDGE = re.compile(r"(?![\w+]|-\w|\.\d)")
 _TAG = re.compile(r"\bspdx-licen[sc]e-identifier\s*:\s*|(?<![\w-])licen[sc]e\s*:\s*|(?<![\w-])terms\s*:\s*", re.I)
 _GRANT = re.compile(
     r"\b(?:distributed|released|licen[sc]ed|governed|covered|available|provided|supplied|offered|used|published|redistributed|"
@@ -65,7 +52,7 @@ _GRANT = re.compile(
     re.I,
 )
 _UNDER = re.compile(r"\b(?:under|by)\s+(?=\S)", re.I)
-_EITHER = re.compile(r"\bunder\s+(?:either|any|one)\s+of\b[^:]{0,120}:\s*", re.I)
+_EITHER = re.compile(r"\bunder\s+(?:either|any|one)\s+of\b[^:]*:\s*", re.I)
 _NO_GRANT = re.compile(
     r"not\s+to\s+be\s+confused|grants?\s+nothing|nothing\s+was\s+decided|\bdraft\b|\bnot\s+(?:under|covered|licen[sc]ed|distributed)|"
     r"\bno\s+longer\b|\bformerly\b|\bunlike\b|\bpreviously\b",
@@ -81,22 +68,98 @@ _OWNER_LINE = re.compile(r"^\W*(?:copyright\b|\(c\)|©).*$", re.I | re.M)
 Choice = frozenset
 
 
+@dataclass(frozen=True)
+class Name:
+    """A licence's name: the words of its family, its version and whether later ones are meant ('plus'), or no other ('only')."""
+
+    words: tuple[str, ...]
+    version: str = ""
+    scope: str = ""
+
+
+def name_of(text: str) -> Name | None:
+    """The parts of a name, in whatever order and spelling; None if it holds two versions or contradicts itself."""
+    plus, only = bool(_PLUS_WORDS.search(text)), bool(_ONLY_WORDS.search(text))
+    rest = _ONLY_WORDS.sub(" ", _PLUS_WORDS.sub(" ", text)).lower()
+    words: list[str] = []
+    versions: set[str] = set()
+    for m in _NAME_WORD.finditer(rest):
+        word = m[0]
+        if word.endswith("v") and len(word) > 1 and rest[m.end() : m.end() + 1].isdigit():
+            word = word[:-1]  # as in GPLv2
+        if word == "x" and rest[m.end() : m.end() + 2] == "11":
+            word = "x11"
+        word = SAME_WORDS.get(word, word)
+        number = NUMBERS.get(word, word)
+        if number[0].isdigit():
+            if not (number == "11" and words[-1:] == ["x11"]):
+                versions.add(number)
+        elif word not in FILLERS:
+            words.append(word)
+    if len(versions) > 1 or plus and only:
+        return None
+    return Name(tuple(words), versions.pop() if versions else "", "plus" if plus else "only" if only else "")
+
+
+def _pairs(words: tuple[str, ...]) -> frozenset:
+    return frozenset(zip(("", *words), (*words, "")))
+
+
+def dice(one: frozenset, other: frozenset) -> float:
+    return 2 * len(one & other) / (len(one) + len(other)) if one or other else 0.0
+
+
+def _same_version(said: str, meant: str) -> bool:
+    """A version said without its minor number means any."""
+    bare = lambda v: v.removesuffix(".0")
+    return bare(said) == bare(meant) or "." not in said and said == meant.split(".")[0]
+
+
+def known_names(rows: list[tuple[str, str, str, str]]) -> list[tuple[str | None, Name]]:
+    """(licence id, name) of all names that the ids and titles of a reference table give rise to.
+
+    A title's words may be shortened to the id's letters where these are its initials (of another row
+    too: GNU Lesser GPL), lose the maker in front, or shrink to their first where no other row begins
+    so. Of an edition that the table has only with, or only without, later ones the other scope is a
+    name of no listed licence.
+    """
+    parsed = [(i, name_of(i), name_of(t)) for i, t, *_ in rows]
+    parsed = [(i, a or Name(()), b or Name(())) for i, a, b in parsed]
+    short = {a.words[0]: b.words for _, a, b in parsed if len(a.words) == 1 and len(b.words) > 1}
+    tails = {k: next((w[n:] for n in range(len(w)) if "".join(x[0] for x in w[n:]) + "l" == k), None) for k, w in short.items()}
+    out: list[tuple[str | None, Name]] = []
+    for license_id, by_id, by_title in parsed:
+        version, scope = by_id.version or by_title.version, by_id.scope or by_title.scope
+        families = {by_id.words, by_title.words}
+        for k, tail in tails.items():
+            if tail and by_title.words[-len(tail) :] == tail:
+                families.add((*by_title.words[: -len(tail)], k))
+        families |= {f[1:] for f in families if len(f) > 1 and sum(f[:1] == b.words[:1] for _, _, b in parsed) > 1}
+        first = by_title.words[:1]
+        if sum(first == b.words[:1] for _, _, b in parsed) == 1:
+            families.add(first)
+        families |= {name_of(alias).words for alias, i in ALIASES if i == license_id}
+        for family in filter(None, families):
+            out.append((license_id, Name(family, version, scope)))
+            if scope:
+                out.append((None, Name(family, version, "only" if scope == "plus" else "plus")))
+    listed = {(n.words, n.version, n.scope) for i, n in out if i}
+    out = [(i, n) for i, n in out if i or (n.words, n.version, n.scope) not in listed]
+    return out + [(None, name_of(alias)) for alias, i in ALIASES if i is None]
+
+
 @dataclass
 class Reader:
     """Finds the statements of a text. Built from (license_id, title, notice, body) rows."""
 
     rows: list[tuple[str, str, str, str]]
     dice: float = DICE
-    names: list[tuple[str | None, re.Pattern]] = field(default_factory=list)
+    names: list[tuple[str | None, Name, frozenset]] = field(default_factory=list)
     templates: list[tuple[str, int, frozenset]] = field(default_factory=list)
     of_bigram: dict[tuple[str, str], list[int]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        ids = {r[0] for r in self.rows}
-        exact = [(i, re.escape(x)) for i, title, *_ in self.rows for x in (i, title) if x]
-        exact.sort(key=lambda x: -len(x[1]))
-        wanted = [*exact, *((None, p) for p in UNLISTED), *((i, p) for i, p in SPELLINGS if i in ids)]
-        self.names = [(i, re.compile(rf"(?:{p}){_END}", re.I)) for i, p in wanted]
+        self.names = [(i, n, _pairs(n.words)) for i, n in known_names(self.rows)]
         for license_id, _, *texts in self.rows:
             for text in texts:
                 words = _WORD.findall((text or "").lower())
@@ -107,23 +170,54 @@ class Reader:
                     self.templates.append((license_id, len(words), pairs))
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "statements"}  # the cache stays at home
+        return {k: v for k, v in self.__dict__.items() if k not in ("statements", "named")}  # the caches stay at home
 
     def __getattr__(self, name: str):
-        if name != "statements":
+        if name not in ("statements", "named"):
             raise AttributeError(name)
-        self.statements = lru_cache(maxsize=20_000)(self._statements)
-        return self.statements
+        setattr(self, name, lru_cache(maxsize=20_000)(getattr(self, f"_{name}")))
+        return self.__dict__[name]
+
+    def _named(self, phrase: str) -> tuple[str | None, float]:
+        """The licence whose name a phrase comes nearest to, and their Dice coefficient; None if that isn't a listed one.
+
+        A version or scope that is said has to be the licence's; one that isn't said has to leave a
+        single licence.
+        """
+        said = name_of(phrase)
+        if said is None or not said.words:
+            return None, 0.0
+        own = _pairs(said.words)
+        best, found = 0.0, set()
+        for license_id, name, pairs in self.names:
+            if said.version and (not name.version or not _same_version(said.version, name.version)) or said.scope and said.scope != name.scope:
+                continue
+            score = dice(own, pairs)
+            if score >= NAME_DICE and score >= best:
+                if score > best:
+                    best, found = score, set()
+                if license_id or said.scope:
+                    found.add(license_id)
+                elif not name.scope:
+                    found.add(None)
+        return (next(iter(found)) if len(found) == 1 else None), best
 
     def name_at(self, text: str, at: int) -> tuple[str | None, int] | None:
         """The licence named at a place: its id (None if it isn't listed) and where the name ends."""
-        best: tuple[str | None, int] | None = None
-        for start in {at, _ARTICLE.match(text, at).end()}:
-            for license_id, pattern in self.names:
-                m = pattern.match(text, start)
-                if m and (best is None or m.end() > best[1]):
-                    best = license_id, m.end()
-        return best
+        best: tuple[float, int, str | None] | None = None
+        begin = at = _BETWEEN.match(text, at).end()
+        for _ in range(NAME_WORDS):
+            m = _NAME_WORD.match(text, at)
+            if not m:
+                break
+            at = m.end()
+            if _EDGE.match(text, at) and m[0].lower() not in ("the", "a", "of", "under"):
+                close = at + (text[begin:at].count("(") > text[begin:at].count(")") and text[at : at + 1] == ")")
+                license_id, score = self.named(text[begin:close])
+                if score and (best is None or (score, close) > best[:2]):
+                    best = score, close, license_id
+            at = _BETWEEN.match(text, at).end()
+        return (best[2], best[1]) if best else None
 
     def _choice_at(self, text: str, at: int, joint: re.Pattern = _OR) -> tuple[Choice, int] | None:
         found, ids = self.name_at(text, at), []
@@ -202,7 +296,7 @@ def verdict(statements: list[list[str]]) -> str:
 
 def reader(license_refs: DataFrame, dice: float = DICE) -> Reader:
     """Reader from the reference table, which must be small: its size is checked first."""
-    size = license_refs.agg(F.sum(F.length("notice") + F.length("body"))).first()[0] or 0
+    size = license_refs.agg(F.sum(sum(F.coalesce(F.length(c), F.lit(0)) for c in ("license_id", "title", "notice", "body")))).first()[0] or 0
     if size > TEMPLATE_BYTES:
         raise ValueError(f"licence templates of {size} characters; at most {TEMPLATE_BYTES} are sent to every task")
     rows = license_refs.select("license_id", "title", "notice", "body").where("license_id is not null").distinct().collect()
