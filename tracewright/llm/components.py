@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, drop_stored
 
 
+def _stored(df: DataFrame, counted: Column) -> tuple[DataFrame, int]:
+    """A stored copy of ``df``, and a count of its rows that is taken while they are written."""
+    seen = Observation()
+    copy = cut_lineage(df.observe(seen, F.coalesce(F.sum(counted.cast("bigint")), F.lit(0)).alias("n")))
+    return copy, seen.get["n"]
+
+
 def _roots(parent: DataFrame) -> DataFrame:
     """(node, root) from (node, parent) trees whose roots are their own parents, by pointer doubling."""
-    current = cut_lineage(parent)
-    while True:
+    current, moved = cut_lineage(parent), 1
+    while moved:
         up = current.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-        jumped = cut_lineage(current.join(up, "parent").select("node", F.col("above").alias("parent"), (F.col("above") != F.col("parent")).alias("moved")))
-        done = jumped.where("moved").limit(1).count() == 0
+        step = current.join(up, "parent").select("node", F.col("above").alias("parent"), (F.col("above") != F.col("parent")).alias("moved"))
+        jumped, moved = _stored(step, F.col("moved"))
         drop_stored(current)
         current = jumped.select("node", "parent")
-        if done:
-            return current.withColumnRenamed("parent", "root")
+    return current.withColumnRenamed("parent", "root")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,29 +37,27 @@ def components(edges: DataFrame) -> DataFrame:
     no other link has no row); repeated edges count once.
     """
     edges = edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    left = cut_lineage(edges.distinct())
+    left, some = _stored(edges.distinct(), F.lit(1))
     member: DataFrame | None = None
-    while left.limit(1).count():
+    while some:
         ends = left.select(F.col("a").alias("node"), F.struct("a", "b").alias("edge")).unionByName(left.select(F.col("b").alias("node"), F.struct("a", "b").alias("edge")))
         chosen = ends.groupBy("node").agg(F.min("edge").alias("edge"))
-        # The far end is the parent. An edge chosen from both sides makes its smaller end a root.
-        far = F.when(F.col("node") == F.col("edge.a"), F.col("edge.b")).otherwise(F.col("edge.a"))
-        pick = cut_lineage(chosen.select("node", far.alias("parent")))
-        other = pick.select(F.col("node").alias("parent"), F.col("parent").alias("back"))
-        mutual = (F.col("back") == F.col("node")) & (F.col("node") < F.col("parent"))
-        root = _roots(pick.join(other, "parent").select("node", F.when(mutual, F.col("node")).otherwise(F.col("parent")).alias("parent")))
+        # The far end is the parent. An edge chosen from both sides, twice at most, makes its smaller end a root.
+        twice = F.count(F.lit(1)).over(Window.partitionBy("edge")) > 1
+        far = F.when(F.col("node") == F.col("edge.a"), F.when(twice, F.col("node")).otherwise(F.col("edge.b"))).otherwise(F.col("edge.a"))
+        root = _roots(chosen.select("node", far.alias("parent")))
         a = root.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         b = root.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         merged = left.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        fresh = cut_lineage(merged)
+        fresh, some = _stored(merged, F.lit(1))
         if member is None:
-            moved = cut_lineage(root.select("node", F.col("root").alias("component")))
+            moved = root.select("node", F.col("root").alias("component"))  # the stored roots themselves
         else:
             step = root.select(F.col("node").alias("component"), "root")
             moved = cut_lineage(member.join(step, "component", "left").select("node", F.coalesce("root", "component").alias("component")))
             drop_stored(member)
-        for spent in (left, pick, root):
-            drop_stored(spent)
+            drop_stored(root)
+        drop_stored(left)
         left, member = fresh, moved
     if member is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
