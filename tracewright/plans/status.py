@@ -79,7 +79,31 @@ QUERIES = {
 }
 
 _S = "s AS (SELECT DISTINCT ON (status_id) * FROM pr_status)"
+#: The leaves of every record's backports with their steps: names, ordinals, whether they are elements; then the branches and notes.
+_BACKPORTS = r"""WITH RECURSIVE t AS (SELECT DISTINCT status_id AS r, backports AS x FROM pr_status WHERE status_id IS NOT NULL AND backports IS NOT NULL AND json_valid(backports)),
+        u AS (SELECT r, CASE WHEN json_type(x) = 'VARCHAR' THEN json_extract_string(x, '$') ELSE x END AS x FROM t),
+        n AS (SELECT u.r, j.key, j.id, j.parent, j.type, j.atom FROM (SELECT * FROM u WHERE json_valid(x)) u, json_tree(u.x::JSON) j),
+        k AS (SELECT n.*, coalesce(p.type = 'ARRAY', false) AS element, row_number() OVER (PARTITION BY n.r, n.parent ORDER BY n.id) AS place FROM n LEFT JOIN n p ON p.r = n.r AND p.id = n.parent),
+        w AS (SELECT r, id, type, atom, []::VARCHAR[] AS names, []::BIGINT[] AS nos, []::BOOLEAN[] AS els FROM k WHERE parent IS NULL
+            UNION ALL SELECT k.r, k.id, k.type, k.atom, w.names || CASE WHEN k.element THEN [''] WHEN regexp_matches(k.key, '[^.]\.[A-Za-z_][^.]*$') THEN [regexp_replace(k.key, '\.[^.]*$', ''), regexp_extract(k.key, '[^.]*$')] ELSE [k.key] END,
+                w.nos || CASE WHEN NOT k.element AND regexp_matches(k.key, '[^.]\.[A-Za-z_][^.]*$') THEN [k.place, k.place] WHEN NOT k.element AND regexp_full_match(k.key, '[0-9]{1,18}') THEN [k.key::BIGINT] ELSE [k.place] END,
+                w.els || CASE WHEN NOT k.element AND regexp_matches(k.key, '[^.]\.[A-Za-z_][^.]*$') THEN [false, false] ELSE [k.element] END FROM k JOIN w ON w.r = k.r AND w.id = k.parent),
+        l AS (SELECT *, list_position(list_transform(range(1, len(names) + 1), lambda i: els[i] OR names[i] NOT IN ('branches', 'open', 'closed')), true) AS top FROM w WHERE type NOT IN ('OBJECT', 'ARRAY') OR NOT EXISTS (SELECT 1 FROM k c WHERE c.r = w.r AND c.parent = w.id)),
+        m AS (SELECT *, list_max(list_filter(range(1, len(names) + 1), lambda i: els[i] OR regexp_full_match(names[i], '[0-9]+') OR i = top)) AS last FROM l WHERE top > 0),
+        o AS (SELECT r, nos[1:top] AS top_row, CASE WHEN NOT els[top] THEN names[top] END AS top_key, nos[1:last] AS row, last = top AS own, names[top + 1] AS member, array_to_string(names[last + 1:], '.') AS field, CASE WHEN type = 'VARCHAR' THEN atom ->> '$' END AS v FROM m),
+        b AS (SELECT r, top_row, coalesce(max(CASE WHEN own AND field = 'branch' THEN trim(v) END), max(top_key)) AS branch, coalesce(max(CASE WHEN own AND field IN ('branch_commit', 'branch_commit.sha') THEN trim(v) END), '') AS commit FROM o GROUP BY r, top_row),
+        x AS (SELECT r, top_row, row, max(v) AS note FROM o WHERE (own AND field IN ('notes', 'notes.text') OR NOT own AND member = 'notes' AND field IN ('', 'text')) AND trim(v) <> '' GROUP BY r, top_row, row)"""
+_BRANCHES = ", ".join(f"('{b}')" for b in BRANCHES)
+
 SQL = {
+    "p3_notes": f"{_BACKPORTS} SELECT r AS record_id, branch, row_number() OVER (PARTITION BY r, branch ORDER BY top_row, row) AS item_no, note FROM x JOIN b USING (r, top_row) WHERE branch IS NOT NULL",
+    "p3_found": f"""{_BACKPORTS}, y AS (SELECT r, branch, max(commit) AS commit FROM b WHERE branch IS NOT NULL GROUP BY r, branch), z AS (SELECT r, branch, row_number() OVER (PARTITION BY r, branch ORDER BY top_row, row) AS i FROM x JOIN b USING (r, top_row))
+        SELECT 'pr_status' AS record_table, r AS record_id, branch AS child_key, coalesce(i, 0) AS item_no, commit AS child_value FROM y LEFT JOIN z USING (r, branch)
+        UNION ALL SELECT 'source_findings', finding_id, m.project, i, m.relpath FROM (SELECT finding_id, unnest(matches) AS m, unnest(range(1, len(matches) + 1)) AS i FROM (SELECT DISTINCT ON (finding_id) finding_id, matches FROM source_findings WHERE finding_id IS NOT NULL)) WHERE m IS NOT NULL""",
+    "a11_branch_matrix": f"""{_BACKPORTS}, c AS (SELECT r, branch, count(note) AS n FROM b LEFT JOIN x USING (r, top_row) WHERE branch IS NOT NULL GROUP BY r, branch)
+        SELECT r AS record_id, {", ".join(f"max(CASE WHEN branch = '{b}' THEN n END)::BIGINT AS {b.replace('-', '_')}" for b in BRANCHES)}, sum(CASE WHEN branch NOT IN ({", ".join(f"'{b}'" for b in BRANCHES)}) THEN n END)::BIGINT AS others FROM c GROUP BY r""",
+    "o2_branch_fill": f"""{_BACKPORTS}, c AS (SELECT r, branch, max(commit) AS commit FROM b WHERE branch IS NOT NULL GROUP BY r, branch), e AS (SELECT DISTINCT status_id AS r, branch FROM pr_status, (VALUES {_BRANCHES}) v(branch) WHERE status_id IS NOT NULL)
+        SELECT coalesce(e.r, c.r) AS record_id, coalesce(e.branch, c.branch) AS branch, CASE WHEN commit IS NULL THEN 'absent' WHEN commit = '' THEN 'no-commit' ELSE 'committed' END AS state FROM e FULL JOIN c ON e.r = c.r AND e.branch = c.branch""",
     "s14_status_fields": f"WITH {_S} SELECT status_id, pr, fix_status, bugzilla.id AS bug, bugzilla.resolution AS resolution, len(bugzilla.keywords)::BIGINT AS keywords, lower(classification.severity) AS severity, trunk.commit_sha AS commit_sha FROM s",
     "o1_latest_status": f"WITH {_S} SELECT pr, status_id, fix_status FROM s WHERE pr IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pr ORDER BY updated_at DESC NULLS LAST, received_at DESC NULLS LAST, status_id DESC) = 1",
     "a11_status_pivot": f"WITH {_S} SELECT fix_status, " + ", ".join(f"count(*) FILTER (lower(classification.severity) = '{c}')::BIGINT AS {c.replace('-', '_')}" for c in ("ice-on-valid", "ice-on-invalid", "runtime-crash", "wrong-code")) + " FROM s GROUP BY fix_status",
