@@ -119,6 +119,20 @@ def test_a_cluster_without_a_shared_folder_is_refused():
     assert _shared_folder(made).startswith("file://") and "spark.checkpoint.dir" in conf
 
 
+def test_stored_tables_are_dropped(spark):
+    from pathlib import Path
+
+    from tracewright.session import cut_lineage, drop_all_stored, drop_stored
+
+    one, two = cut_lineage(spark.range(5)), cut_lineage(spark.range(3))
+    path = lambda df: Path(df.inputFiles()[0].removeprefix("file:").replace("///", "/")).parent
+    first, second = path(one), path(two)
+    drop_stored(one)
+    assert not first.exists() and second.exists() and two.count() == 3
+    drop_all_stored(spark)
+    assert not second.exists()
+
+
 def test_series(spark):
     day = lambda s: dt.datetime.fromisoformat(s + "T12:00:00+00:00")
     change = lambda f, a: [(f, a)]

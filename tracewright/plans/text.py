@@ -185,6 +185,21 @@ def x10_header_scores(spark, sf):
     return found.select("file_id", score.cast("bigint").alias("score"), F.array_join(F.col("p.reason"), "|").alias("reasons"), F.arrays_overlap(F.col("p.reason"), F.array(*map(F.lit, SUPPRESSING))).alias("suppressed")).distinct()
 
 
+def m0_document_pairs(spark, sf):
+    """For each document whose id is divisible by 100, the three that have most of its winnowed hashes, a quarter at least.
+
+    Documents are fingerprinted row by row; only hashes of the asking documents meet the postings.
+    """
+    docs = table(spark, sf, "documents", ["doc_id", "text"]).where("doc_id is not null")
+    prints = cut_lineage(winnow(kgrams(docs.select("doc_id", tokens(F.col("text")).alias("tokens")), "doc_id"), "doc_id").select("doc_id", "hash"))
+    asked = prints.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "hash").distinct()
+    size = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("hashes"))
+    hits = prints.join(asked, "hash").where("query_id <> doc_id").distinct().groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("matched"))
+    dense = hits.join(size, "query_id").withColumn("d", F.col("matched") / F.col("hashes")).where("d >= 0.25")
+    top = top_k(dense, ["query_id"], [F.col("d").desc(), F.col("doc_id")], 3)
+    return top.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "matched", F.round("d", 6).alias("density"))
+
+
 def m0_near_duplicates(spark, sf):
     """Every match of every finding with its recomputed density, best first within the finding."""
     d = a3_pair_density(spark, sf).where("density >= 0.25")
@@ -195,13 +210,16 @@ QUERIES = {
     f.__name__: f
     for f in (
         x1_tokens, x2_stripped, x3_kgrams, x4_shingles, w1_winnow, x5_evidence, x6_attributed, x12_snippets, x14_languages, x15_digests, x16_digest_distances,
-        a1_pair_similarity, a3_pair_density, a4_minhash_estimate, a5_file_sizes, w2_longest_run, j1_band_candidates, j2_posting_join, x10_header_scores, m0_near_duplicates,
+        a1_pair_similarity, a3_pair_density, a4_minhash_estimate, a5_file_sizes, w2_longest_run, j1_band_candidates, j2_posting_join, x10_header_scores, m0_document_pairs, m0_near_duplicates,
     )
 }
 
 _STRIP = r"regexp_replace(text, '\A[ \t\r\n]*(?:/\*(?s:.*?)\*/[ \t\r\n]*|//[^\n]*(?:\n|\z)(?:[ \t\r]*(?://[^\n]*)?(?:\n|\z))*|![^\n]*(?:\n|\z)(?:[ \t\r]*(?:![^\n]*)?(?:\n|\z))*)', '')"
 _TOKENISED = f"{CORPUS}, tokenised AS (SELECT file_id, {TOKENS} AS t FROM (SELECT file_id, {_STRIP} AS text FROM corpus))"
-_GRAMS = f"""{_TOKENISED}, grams AS (SELECT file_id, n, unnest(g) AS hash, unnest(range(0, len(g))) AS pos FROM (SELECT file_id, greatest(len(t) - {KGRAM - 1}, 1) AS n, list_transform({runs_sql('t', KGRAM)}, lambda s: substr(md5(s), 1, 16)) AS g FROM tokenised WHERE len(t) > 0))"""
+_GRAMS_OF = f"""grams AS (SELECT file_id, n, unnest(g) AS hash, unnest(range(0, len(g))) AS pos FROM (SELECT file_id, greatest(len(t) - {KGRAM - 1}, 1) AS n, list_transform({runs_sql('t', KGRAM)}, lambda s: substr(md5(s), 1, 16)) AS g FROM tokenised WHERE len(t) > 0))"""
+_GRAMS = f"{_TOKENISED}, {_GRAMS_OF}"
+_WINNOWED = f"""w AS (SELECT file_id, n, pos, min({{'h': hash, 'b': -pos}}) OVER (PARTITION BY file_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS m FROM grams WHERE n > {WINDOW}),
+        prints AS (SELECT DISTINCT file_id, m.h AS hash FROM w WHERE pos <= n - {WINDOW} UNION SELECT file_id, min(hash) FROM grams WHERE n <= {WINDOW} GROUP BY file_id)"""
 _CLAIMED = f"""named AS (SELECT finding_id, split_part(p, '/', 1) AS p, regexp_replace(p, '^[^/]+/', '') AS r, m, place - 1 AS place FROM (
     SELECT finding_id, regexp_replace(path, '^(\\./)+', '') AS p, unnest(matches) AS m, unnest(range(1, len(matches) + 1)) AS place FROM (SELECT DISTINCT ON (finding_id) * FROM source_findings)) WHERE m IS NOT NULL),
     one_file AS {_ONE_FILE}, f AS (SELECT DISTINCT file_id, project, relpath FROM files),
@@ -278,5 +296,9 @@ SQL = {
         SELECT finding_id, place, coalesce(run, 0)::BIGINT AS longest_run FROM claimed LEFT JOIN best USING (own, other)""",
     "j2_posting_join": """WITH p AS (SELECT DISTINCT file_id, unnest(winnow_hashes) AS hash FROM files), q AS (SELECT * FROM p WHERE file_id % 100 = 0), n AS (SELECT file_id AS query_id, count(*) AS n FROM q GROUP BY 1)
         SELECT query_id, file_id, matched, density FROM (SELECT query_id, h.file_id, matched::BIGINT AS matched, round(matched / n, 6) AS density, matched / n AS d FROM (SELECT q.file_id AS query_id, p.file_id, count(*) AS matched FROM q JOIN p USING (hash) WHERE q.file_id <> p.file_id GROUP BY 1, 2) h JOIN n USING (query_id)) WHERE d >= 0.10""",
+    "m0_document_pairs": f"""WITH tokenised AS (SELECT doc_id AS file_id, {TOKENS} AS t FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL)), {_GRAMS_OF}, {_WINNOWED},
+        q AS (SELECT * FROM prints WHERE file_id % 100 = 0), z AS (SELECT file_id AS query_id, count(*) AS z FROM q GROUP BY 1), h AS (SELECT q.file_id AS query_id, p.file_id AS doc_id, count(*) AS matched FROM q JOIN prints p USING (hash) WHERE q.file_id <> p.file_id GROUP BY 1, 2),
+        d AS (SELECT query_id, doc_id, matched, matched / z AS d FROM h JOIN z USING (query_id) WHERE matched / z >= 0.25)
+        SELECT query_id, rank, doc_id, matched, round(d, 6) AS density FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d DESC, doc_id) AS rank FROM d) WHERE rank <= 3""",
     "m0_near_duplicates": f"WITH {_DENSITY} SELECT finding_id, rank, place, density FROM (SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY density DESC, place) AS rank FROM density WHERE density >= 0.25) WHERE rank <= 3",
 }

@@ -85,7 +85,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     optimizer its size, so that joins with a small one need no shuffle of the large side.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/tracewright/{uuid.uuid4().hex}"
+    path = f"{_shared_folder(spark)}/tracewright/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -105,5 +105,12 @@ def drop_stored(df: DataFrame) -> None:
     jvm = spark.sparkContext._jvm
     for file in df.inputFiles()[:1]:
         folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if folder.getParent().getName() == "tracewright":
+        if folder.getParent().getParent().getName() == "tracewright":
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop_all_stored(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once no frame that was made with it is read any more."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{_shared_folder(spark)}/tracewright/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
