@@ -17,9 +17,8 @@ def test_query_equals_sql(spark, sf, name):
     assert difference(QUERIES[name](spark, sf), connect(sf), SQL[name]) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_other_queries_run(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() >= 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry(spark):
