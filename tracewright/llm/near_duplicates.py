@@ -110,6 +110,7 @@ def compare(sizes_a: np.ndarray, bits_a: list[bytes], sizes_b: np.ndarray, bits_
             if own and wa > wb:
                 continue
             w = min(wa, wb)
+            kind = np.uint16 if 64 * w < 1 << 16 else np.uint32
             a, b = Sketches(at_a, size_a, fold(table_a, w)), Sketches(at_b, size_b, fold(table_b, w))
             for x in range(len(a.starts)):
                 apart = np.maximum(0, np.maximum(a.least[x] - b.most, b.least - a.most[x]))
@@ -124,11 +125,11 @@ def compare(sizes_a: np.ndarray, bits_a: list[bytes], sizes_b: np.ndarray, bits_
                 i = slice(a.starts[x], a.starts[x] + TILE)
                 for y in np.flatnonzero(close).tolist():
                     j = slice(b.starts[y], b.starts[y] + TILE)
-                    radius = np.floor(_radius(similarity, a.sizes[i][:, None], b.sizes[j][None]) + eps).astype(np.int32)
-                    distance = np.zeros(radius.shape, np.int32)
+                    radius = np.minimum(np.floor(_radius(similarity, a.sizes[i][:, None], b.sizes[j][None]) + eps), 64 * w).astype(kind)
+                    distance = np.zeros(radius.shape, kind)
                     for k in range(w):
                         distance += np.bitwise_count(a.words[k, i][:, None] ^ b.words[k, j][None])
-                        if k % 8 == 7 and k + 1 < w and (distance > radius).all():
+                        if k % 4 == 3 and k + 1 < w and (distance > radius).all():
                             break
                     p, q = np.nonzero(distance <= radius)
                     if own and wa == wb and x == y:
