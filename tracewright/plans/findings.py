@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.headers import LICENSE_NAMES, is_text_candidate
 from ..functions.text import file_name, glob_pattern
+from ..operators.reports import json_lines
 from ..operators.scoring import FILE_RANK, SCAN_RANK, classify_pair, classify_source, directionality, rank, severity_of_score
 from ..operators.similarity import first_of, one_row_a_file, top_k
 from ..operators.upsert import changes
@@ -162,10 +163,11 @@ def k1_index_changes(spark, sf):
 
 
 def k4_report_rows(spark, sf):
-    """Findings as lines of a JSON report, by digest of the line."""
-    f = findings(spark, sf, "path", "severity", F.size(F.coalesce("matches", F.array().cast(dict(table(spark, sf, "source_findings").dtypes)["matches"]))).alias("n"))
-    line = F.concat(F.lit('{"path":"'), "path", F.lit('","severity":"'), "severity", F.lit('","matches":'), F.col("n").cast("string"), F.lit("}"))
-    return f.select("finding_id", F.md5(line).alias("digest"))
+    """Findings as lines of a JSON report, escaped, nulls left in, by digest of the line."""
+    n = F.size(F.coalesce("matches", F.array().cast(dict(table(spark, sf, "source_findings").dtypes)["matches"])))
+    f = findings(spark, sf, "path", "severity", "header_class", "header_excerpt", "score", n.alias("matches"))
+    line = json_lines(f)
+    return line.select(F.get_json_object("value", "$.finding_id").cast("bigint").alias("finding_id"), F.md5("value").alias("digest"))
 
 
 QUERIES = {
@@ -219,5 +221,5 @@ SQL = {
         SELECT s.file_id, coalesce(sum(n), 0)::BIGINT AS licences, max(up) AS nearest FROM s LEFT JOIN l ON l.project = s.project AND (up = '' OR up = folder OR starts_with(folder, up || '/')) GROUP BY s.file_id""",
     "k1_index_changes": f"""WITH now AS (SELECT DISTINCT project, relpath, sha256(bytes) AS sha FROM corpus_files WHERE {IS_TEXT}), old AS (SELECT project, relpath, sha256 FROM {_ONE_FILE})
         SELECT project, CASE WHEN sha256 IS NULL THEN 'insert' WHEN sha256 = sha THEN 'keep' ELSE 'update' END AS change, count(*)::BIGINT AS files FROM now LEFT JOIN old USING (project, relpath) GROUP BY ALL""",
-    "k4_report_rows": f"""WITH {_F} SELECT finding_id, md5('{{"path":"' || path || '","severity":"' || severity || '","matches":' || coalesce(len(matches), 0) || '}}') AS digest FROM f""",
+    "k4_report_rows": f"WITH {_F} SELECT finding_id, md5(to_json({{'finding_id': finding_id, 'header_class': header_class, 'header_excerpt': header_excerpt, 'matches': coalesce(len(matches), 0), 'path': path, 'score': score, 'severity': severity}})) AS digest FROM f",
 }

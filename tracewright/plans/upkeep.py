@@ -35,6 +35,12 @@ def s21_commit_union(spark, sf):
     return found.groupBy("commit_name").agg(F.min(F.struct("source", "doc_id", "place")).alias("f")).select("commit_name", F.col("f.source").cast("int").alias("source"), "f.doc_id", F.col("f.place").cast("bigint").alias("place"))
 
 
+def s23_all_paths(spark, sf):
+    """Paths named in texts of every kind (``s23_named_paths`` reads two kinds)."""
+    docs = table(spark, sf, "documents", ["doc_id", "text"])
+    return docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(PATH), F.lit(0)))).alias("path")).distinct()
+
+
 def s24_introductions(spark, sf):
     """The first commit message that names each path: the earliest, of equals the smallest id."""
     docs = table(spark, sf, "documents", ["doc_id", "text", "kind", "created_at"]).where("kind = 'commit_message'")
@@ -139,7 +145,7 @@ def o1_merged_status(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        s20_commit_list, s21_commit_union, s24_introductions, s26_patch_files, a9_patch_totals, s25_failing_tests, s27_first_dates, x13_prefix_map,
+        s20_commit_list, s21_commit_union, s23_all_paths, s24_introductions, s26_patch_files, a9_patch_totals, s25_failing_tests, s27_first_dates, x13_prefix_map,
         k1_index_after, k1_postings_after, a4_signatures, s12_band_sizes, o1_merged_status,
     )
 }
@@ -159,6 +165,7 @@ SQL = {
     "s21_commit_union": f"""WITH d AS (SELECT DISTINCT doc_id, text, kind FROM documents WHERE {_KIND}), f AS (SELECT list_position({list(SOURCES)}, kind) AS source, doc_id, regexp_extract_all(text, '{COMMIT}') AS n FROM d),
         e AS (SELECT source, doc_id, unnest(n) AS commit_name, unnest(range(0, len(n))) AS place FROM f)
         SELECT commit_name, source::INTEGER AS source, doc_id, place FROM e QUALIFY row_number() OVER (PARTITION BY commit_name ORDER BY source, doc_id, place) = 1""",
+    "s23_all_paths": f"SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{PATH}')) AS path FROM documents",
     "s24_introductions": f"SELECT path, doc_id FROM (SELECT DISTINCT doc_id, created_at, unnest(regexp_extract_all(text, '{PATH}')) AS path FROM documents WHERE kind = 'commit_message') QUALIFY row_number() OVER (PARTITION BY path ORDER BY created_at NULLS LAST, doc_id) = 1",
     "s26_patch_files": f"{_PATCH} SELECT patch, path, added, deleted, is_test FROM f",
     "a9_patch_totals": f"{_PATCH} SELECT patch, " + ", ".join(f"sum(CASE WHEN is_test = {t} THEN {c} ELSE 0 END)::BIGINT AS {'test' if t == 'true' else 'other'}_{c}" for t in ("false", "true") for c in ("added", "deleted")) + ", count(*) FILTER (is_test)::BIGINT AS test_files FROM f GROUP BY patch",
