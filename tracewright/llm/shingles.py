@@ -103,6 +103,6 @@ def verified_pairs(pairs: DataFrame, files: DataFrame, least: float, bodies: boo
     partners = pairs.select("a", "b", cell("b")).groupBy("a", "cell").agg(F.collect_list("b").alias("others"))  # no more than a cell has
     ask = partners.select(F.col("a").alias("file_id"), "cell", "others").join(sets, "file_id").select("cell", F.lit(1).alias("kind"), "file_id", "others", "shingles")
     hold = sets.join(pairs.select(F.col("b").alias("file_id")).distinct(), "file_id", "left_semi").select(cell("file_id"), F.lit(0).alias("kind"), "file_id", F.lit(None).cast("array<bigint>").alias("others"), "shingles")
-    width = max(files.sparkSession.sparkContext.defaultParallelism, min(cells, 20_000))  # a task holds a cell or two, however many there are
+    width = max(files.sparkSession.sparkContext.defaultParallelism, min(4 * cells, 20_000))  # a task has a cell or two, however many there are
     placed = hold.unionByName(ask).repartition(width, "cell").sortWithinPartitions("cell", "kind")
     return placed.mapInArrow(_verify(least), "a bigint, b bigint, jaccard double")
