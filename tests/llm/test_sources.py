@@ -291,3 +291,11 @@ def test_families_equal_brute_force(spark):
                 if common >= FAMILY * (len(a) + len(b) - common):
                     want |= {i, j}
     assert len(want) > 30 and len(found & want) >= 0.97 * len(want) and found <= want
+
+
+def test_members_of_a_family_meet_though_the_first_file_is_a_variant_of_each(spark):
+    lines = [skeleton(k, 61).split("\n") for k in (1, 2, 3, 4)]
+    one, two, three, four = lines
+    texts = {1: one, 2: one[:24] + two[24:], 3: three[:16] + one[16:], 4: four}  # 2 and 3 have most names of 1, hardly any of each other
+    files = spark.createDataFrame([(k, "p", f"s{k}.c", "\n".join(t).encode(), 0, "k", 1) for k, t in texts.items()], FILES)
+    assert {r.file_id: r.kind for r in not_handwritten(files).collect()} == dict.fromkeys((1, 2, 3, 4), "generated")

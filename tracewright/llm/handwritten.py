@@ -1,11 +1,11 @@
 """Source files that nobody of the project wrote by hand (problem 1).
 
 Tokens are masked: identifiers, numbers and strings each become one symbol. Files whose masked
-shingle sets agree while their unmasked ones don't (MinHash bands, then exact verification against
-the band's head) form a family: one skeleton filled in with other names. Three of one repository
-make a family of any measures generated; smaller families are generated, minified or, if they
-hold literals only, blobs when their members on average look it, and a file that is alone only
-when its own records are family enough. Variants of one text, alike with their names, form none.
+shingle sets agree while their unmasked ones don't (odd sketches of all, then exact verification)
+form a family: one skeleton filled in with other names. Three of one repository make a family of
+any measures generated; smaller families are generated, minified or, if they hold literals only,
+blobs when their members on average look it, and a file that is alone only when its own records
+are family enough. Variants of one text, alike with their names, form none.
 Files of different projects that meet in a band of masked and unmasked MinHash values, and whose
 unmasked shingles then agree, are a vendored copy and its home.
 """
@@ -21,9 +21,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import file_name
+from ..operators.similarity import once
 from ..session import cut_lineage
 from .lexing import DIGIT, LETTER, bands, distinct, minhash, mix, token_hash, tokenize, windows
-from .shingles import WIDTH, verified_pairs
+from .near_duplicates import candidate_pairs, odd_sketch
+from .shingles import WIDTH, cell_count, cell_of, compared, shingle_sets, verified_pairs
 from .source_text import LICENSE_FILE_NAMES, batches, binary_column, comment_text, opening_comment, suffix
 
 # Words that masking leaves as they are.
@@ -50,10 +52,9 @@ FAMILY_LITERAL, LITERAL = 0.55, 0.6
 #: Mean identifier length up to which, and share of white space below which, a file is minified.
 SHORT_NAME, DENSE = 3.5, 0.08
 STRETCH = 24
-MASKED_ROWS, MASKED_BANDS = 4, 16
 COPY_BANDS = 24
-#: Estimated masked similarity up to which a file and a head aren't verified: three deviations below ``FAMILY``.
-NEAR = 0.65
+#: Files of one family, or nearly so, whose texts' sets one task holds to compare others with.
+SHELF = 1024
 #: Least shingles of a body that, equal in several projects none of which is named as its home, is a copy of the largest one's.
 COMMON = 50
 #: Bodies of a copy band that one task holds against all others; a band with more is split over tasks.
@@ -142,6 +143,14 @@ def _features(texts: list[bytes]) -> Iterator[tuple[float, float, float, float,
             )
 
 
+def identity(shingles: np.ndarray) -> str | None:
+    """Size and two sums of a set, equal for equal sets; none for an empty one."""
+    if not len(shingles):
+        return None
+    with np.errstate(over="ignore"):
+        return f"{len(shingles)} {mix(shingles).sum(dtype=np.uint64)} {mix(shingles + np.uint64(99)).sum(dtype=np.uint64)}"
+
+
 def packed(signature: np.ndarray) -> np.ndarray:
     """Four bits of each MinHash value, sixteen values in a number."""
     with np.errstate(over="ignore"):
@@ -161,78 +170,104 @@ def estimate(a: str, b: str, values: int) -> Column:
 
 
 def file_traits(files: DataFrame) -> DataFrame:
-    """One row for each source file: measures of its body, band keys, names of possible homes, identity of its shingle set.
+    """One row for each source file: measures of its body, sketches, band keys, names of possible homes, identity of its shingle set.
 
     Any file may belong to a family, whatever its own measures are: its masked set is kept if it has one.
     """
     schema = (
         "file_id bigint, project string, repeat double, literal double, name_length double, space double, "
-        "family_keys array<bigint>, masked array<bigint>, copy_keys array<bigint>, origins array<string>, set string, shingles int, masked_signature array<bigint>, plain_signature array<bigint>"
+        "masked array<bigint>, copy_keys array<bigint>, origins array<string>, set string, shingles int, skeleton string, ones int, sketch binary, plain_signature array<bigint>"
     )
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
+            if not part.num_rows:
+                continue
             paths = [p or "" for p in part.column("relpath").to_pylist()]
             raw = binary_column(part, "bytes")
             heads = [opening_comment(t, suffix(p)) for t, p in zip(raw, paths)]
-            rows: list[list] = [[] for _ in range(8)]
+            rows: list[list] = [[] for _ in range(11)]
             masked_, plain_ = [], []
             for path, head, traits in zip(paths, heads, _features([t[h[1] :] for t, h in zip(raw, heads)])):
                 repeat, literal, name, space, masked, plain = traits
-                identity = None
-                if len(plain):
-                    with np.errstate(over="ignore"):
-                        identity = f"{len(plain)} {mix(plain).sum(dtype=np.uint64)} {mix(plain + np.uint64(99)).sum(dtype=np.uint64)}"
-                masked_.append(minhash(masked, MASKED_ROWS * MASKED_BANDS))
+                bits = odd_sketch(masked)
+                masked_.append(minhash(masked, 2 * COPY_BANDS))
                 plain_.append(minhash(plain, 2 * COPY_BANDS))
-                for column, value in zip(rows, (repeat, literal, name, space, masked.view(np.int64), origins(path, comment_text(head[0])), identity, len(plain))):
+                for column, value in zip(rows, (repeat, literal, name, space, masked.view(np.int64), origins(path, comment_text(head[0])), identity(plain), len(plain), identity(masked), int(np.bitwise_count(bits).sum()), bits.tobytes())):
                     column.append(value)
-            one = np.array(masked_, np.uint32).reshape(-1, MASKED_ROWS * MASKED_BANDS)
-            two = np.array(plain_, np.uint32).reshape(-1, 2 * COPY_BANDS)
-            some = [[len(s) > 0 for s in rows[4]], [n > 0 for n in rows[7]]]
-            both = np.stack([one[:, : 2 * COPY_BANDS].reshape(len(one), -1, 2), two.reshape(len(two), -1, 2)], axis=2).reshape(len(one), -1)
-            keys = [[k if x else [] for k, x in zip(bands(v, r, salt=t), s)] for v, r, t, s in ((one, MASKED_ROWS, 0, some[0]), (both, 4, 7, some[1]))]
-            signed = [[k if x else [] for k, x in zip(packed(v), s)] for v, s in zip((one, two), some)]
-            rows = [*rows[:4], keys[0], rows[4], keys[1], *rows[5:], *signed]
-            kinds = [pa.float64()] * 4 + [pa.list_(pa.int64())] * 3 + [pa.list_(pa.string()), pa.string(), pa.int32()] + [pa.list_(pa.int64())] * 2
+            one, two = (np.array(v, np.uint32).reshape(-1, COPY_BANDS, 2) for v in (masked_, plain_))
+            some = [n > 0 for n in rows[7]]
+            keys, signed = bands(np.stack([one, two], axis=2).reshape(len(one), -1), 4, salt=7), packed(two.reshape(len(two), -1))
+            rows = [*rows[:5], [k if x else [] for k, x in zip(keys, some)], *rows[5:], [k if x else [] for k, x in zip(signed, some)]]
+            kinds = [pa.float64()] * 4 + [pa.list_(pa.int64())] * 2 + [pa.list_(pa.string()), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
             columns = [part.column("file_id"), part.column("project"), *(pa.array(c, k) for c, k in zip(rows, kinds))]
             yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in schema.split(", ")])
 
     sources = files.select("file_id", "project", "relpath", "bytes").where("file_id is not null").where(~F.coalesce(file_name(F.col("relpath")), F.lit("")).isin(*LICENSE_FILE_NAMES))
-    return sources.mapInArrow(run, schema).dropDuplicates(["file_id"])
+    return once(sources, "file_id").mapInArrow(run, schema)
 
 
-def families(traits: DataFrame) -> DataFrame:
-    """file_id, family: the heads (smallest files of a band) whose skeleton a file shares and whose text it doesn't.
+def alike_skeletons(traits: DataFrame) -> DataFrame:
+    """a, b: all pairs of skeletons (each named by the smallest file that has it) whose masked sets are alike.
 
-    A file is in the family of every such head, so each head is in its own. Pairs whose sizes are too
-    different, or whose likeness as estimated from MinHash values is far off, are left out where they
-    meet; the likeness of the skeletons is then verified.
+    Odd sketches of all skeletons are compared as in problem 6, which loses no pair; the sets then decide.
     """
-    keyed = traits.where("size(family_keys) > 0").select("file_id", F.size("masked").alias("n"), F.col("masked_signature").alias("m"), F.col("plain_signature").alias("p"), F.explode("family_keys").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min(F.struct("file_id", "n", "m", "p")).alias("head"), F.count(F.lit(1)).alias("of")).where("of > 1")
-    met = keyed.join(heads, "key").where("head.file_id <> file_id").where(F.least("n", "head.n") >= F.lit(FAMILY) * F.greatest("n", "head.n"))
-    near = estimate("m", "head.m", MASKED_ROWS * MASKED_BANDS) > NEAR
-    unlike = estimate("p", "head.p", 2 * COPY_BANDS) < UNLIKE
-    close = met.where(near & unlike).select("file_id", F.col("head.file_id").alias("head")).distinct()
-    sets = traits.where("size(masked) > 0").select("file_id", "masked")
-    common = F.size(F.array_intersect("masked", "head_set"))
-    agree = cut_lineage(
-        cut_lineage(close).join(sets, "file_id").join(sets.select(F.col("file_id").alias("head"), F.col("masked").alias("head_set")), "head")
-        .where(common >= F.lit(FAMILY) * (F.size("masked") + F.size("head_set") - common))
-        .select("file_id", F.col("head").alias("family"))
-    )
-    return agree.unionByName(agree.select(F.col("family").alias("file_id"), "family").distinct())
+    one = traits.where("skeleton is not null").groupBy("skeleton").agg(F.min("file_id").alias("file_id")).select("file_id")
+    skeletons = cut_lineage(traits.select("file_id", F.size("masked").alias("size"), "ones", "sketch").join(one, "file_id", "left_semi"))
+    near = cut_lineage(candidate_pairs(skeletons, FAMILY))
+    members = cut_lineage(near.select(F.col("a").alias("file_id")).unionByName(near.select(F.col("b").alias("file_id"))).distinct())
+    cells = cell_count(members.count())
+    sets = traits.select("file_id", F.col("masked").alias("shingles")).join(members, "file_id", "left_semi")
+    partners = near.select("a", "b", cell_of("b", cells)).groupBy("a", "cell").agg(F.collect_list("b").alias("others"))
+    return compared(sets.withColumn("cell", cell_of("file_id", cells)), partners, sets, cells, FAMILY).select("a", "b")
+
+
+def unlike_pairs(traits: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """a, b: all pairs of files of one skeleton, or of two that are alike, whose texts are unlike.
+
+    The texts' shingle sets decide; without ``files`` they are estimated from MinHash values.
+    """
+    alike = cut_lineage(alike_skeletons(traits))
+    skeleton = traits.where("skeleton is not null").groupBy("skeleton").agg(F.min("file_id").alias("head"), F.count(F.lit(1)).alias("of"))
+    several = skeleton.where("of > 1").select(F.col("head").alias("a"), F.col("head").alias("b"))
+    near = cut_lineage(alike.unionByName(alike.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(several))
+    member = cut_lineage(traits.select("file_id", "skeleton").join(skeleton, "skeleton").select("file_id", "head").join(near.select(F.col("a").alias("head")).distinct(), "head", "left_semi"))
+    if files is None:
+        signed = member.join(traits.select("file_id", "plain_signature"), "file_id")
+        one = signed.select(F.col("head").alias("a"), F.col("file_id").alias("x"), F.col("plain_signature").alias("p"))
+        two = signed.select(F.col("head").alias("b"), F.col("file_id").alias("y"), F.col("plain_signature").alias("q"))
+        return near.join(one, "a").join(two, "b").where("x < y").where(estimate("p", "q", 2 * COPY_BANDS) < UNLIKE).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    # Skeletons that are alike have mostly the same first partner, so their files lie in few cells.
+    first = near.groupBy(F.col("a").alias("head")).agg(F.least("head", F.min("b")).alias("first"))
+    member = member.join(first, "head")
+    parts = member.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / SHELF).alias("parts"))
+    member = cut_lineage(member.join(parts, "first").select("file_id", "head", F.xxhash64("first", F.pmod(F.xxhash64("file_id"), "parts")).alias("cell")))
+    sets = cut_lineage(shingle_sets(once(files.join(member.select("file_id"), "file_id", "left_semi"), "file_id"), bodies=True))
+    shelf = member.groupBy(F.col("head").alias("b"), "cell").agg(F.collect_list("file_id").alias("files"))
+    partners = near.join(shelf, "b").groupBy("a", "cell").agg(F.flatten(F.collect_list("files")).alias("others"))
+    asked = member.select("file_id", F.col("head").alias("a")).join(partners, "a").select(F.col("file_id").alias("a"), "cell", F.filter("others", lambda x: x > F.col("file_id")).alias("others"))
+    hold = member.select("file_id", "cell").join(sets, "file_id")
+    return compared(hold, asked.where("size(others) > 0"), sets, cell_count(member.count()), 0.0, UNLIKE).select("a", "b")
+
+
+def families(traits: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """file_id, family: the files (heads) whose skeleton a file shares and whose text it doesn't.
+
+    Every file that has such partners is a head, with all of them and itself in its family.
+    """
+    pairs = cut_lineage(unlike_pairs(traits, files))
+    both = pairs.select(F.col("a").alias("file_id"), F.col("b").alias("family")).unionByName(pairs.select(F.col("b").alias("file_id"), F.col("a").alias("family")))
+    return both.unionByName(both.select("file_id", F.col("file_id").alias("family")).distinct())
 
 
-def family_kinds(traits: DataFrame) -> DataFrame:
+def family_kinds(traits: DataFrame, files: DataFrame) -> DataFrame:
     """file_id, family, family_size, kind (generated, minified, blob or null) by the spread and the measures of each family of a file.
 
     A file in no family has itself as family, and its own measures and stricter limits decide.
     """
     names = ("repeat", "literal", "name_length", "space")
     measures = traits.select("file_id", F.coalesce("project", F.lit("")).alias("project"), *names)
-    member = cut_lineage(families(traits))
+    member = cut_lineage(families(traits, files))
     local = member.join(measures, "file_id").groupBy("family", "project").agg(*(F.sum(c).alias(c) for c in names), F.count(F.lit(1)).alias("here"))
     mean = local.groupBy("family").agg(*((F.sum(c) / F.sum("here")).alias(c) for c in names), F.sum("here").alias("family_size"), F.max("here").alias("within"))
 
@@ -298,7 +333,7 @@ def not_handwritten(files: DataFrame) -> DataFrame:
     project is named as home are copies of the largest project's. Null ids give no row, empty or very short files are no cases, repeated rows count once, extra columns are ignored.
     """
     traits = cut_lineage(file_traits(files))
-    by_family = family_kinds(traits).where("kind is not null").select("file_id", "kind")
+    by_family = family_kinds(traits, files).where("kind is not null").select("file_id", "kind")
     named = traits.select("file_id", F.lower("project").alias("own"), "origins")
     homes = traits.select(F.lower("project").alias("home")).distinct()
     foreign = named.select("file_id", "own", F.explode("origins").alias("home")).where("home <> own").join(homes, "home", "left_semi").select("file_id").distinct().withColumn("foreign", F.lit(True))

@@ -170,8 +170,9 @@ def minhash(values: np.ndarray, permutations: int) -> np.ndarray:
         return np.full(permutations, np.iinfo(np.uint32).max, np.uint32)
     with np.errstate(over="ignore"):
         a = mix(np.arange(permutations, dtype=U64) + U64(0xA5A5)) | U64(1)
-        product = (values[None, :] ^ (a[:, None] >> U64(7))) * a[:, None]
-        return (product >> U64(32)).astype(np.uint32).min(axis=1)
+        product = values[None, :] ^ (a[:, None] >> U64(7))
+        product *= a[:, None]
+        return (product.min(axis=1) >> U64(32)).astype(np.uint32)
 
 
 def bands(signature: np.ndarray, rows: int, salt: int = 0) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -16,6 +16,8 @@ from .source_text import batches, binary_column, opening_comment, suffix
 WIDTH = 5
 #: Files whose sets one task holds while it verifies pairs.
 CELL = 256
+#: Partners in a cell from which a file meets them all at once, through an index of the cell's shingles.
+FEW = 6
 
 
 def token_lists(texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -57,33 +59,56 @@ def _shared(x: np.ndarray, y: np.ndarray) -> int:
     return int((large[at] == small).sum())
 
 
-def _verify(least: float):
+def _overlaps(own: np.ndarray, index: tuple[np.ndarray, np.ndarray], held: int) -> np.ndarray:
+    """How many values of a set each of the ``held`` sets has, by their sorted values and whose these are."""
+    values, owner = index
+    first = np.searchsorted(values, own)
+    count = np.searchsorted(values, own, side="right") - first
+    at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+    return np.bincount(owner[at], minlength=held)
+
+
+def _verify(least: float, below: float):
     """Compare each row of kind 1 with the sets of kind 0 that its cell began with."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, sets = None, {}
+        cell, sets, index = None, {}, None
         for part in parts:
             values = part.column("shingles").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             borders = np.concatenate([[0], np.cumsum(part.column("shingles").value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
-            out: list[tuple[int, int, float]] = []
-            rows = zip(part.column("cell").to_pylist(), part.column("kind").to_pylist(), part.column("file_id").to_pylist(), part.column("others").to_pylist())
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            rows = zip(part.column("cell").to_pylist(), part.column("kind").to_pylist(), part.column("file_id").to_pylist(), part.column("others"))
             for k, (where, kind, file, others) in enumerate(rows):
                 own = values[borders[k] : borders[k + 1]]
                 if where != cell:
-                    cell, sets = where, {}
+                    cell, sets, index = where, {}, None
                 if kind == 0:
                     sets[file] = own.copy()
                     continue
-                for other in others:
-                    found = sets.get(other)
-                    if found is not None:
-                        common = _shared(own, found)
-                        union = len(own) + len(found) - common
-                        jaccard = common / union if union else 0.0
-                        if jaccard >= least:
-                            out.append((file, other, jaccard))
-            columns = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["a", "b", "jaccard"])
+                asked = others.values.to_numpy(zero_copy_only=False)
+                if len(asked) < FEW:
+                    asked = np.array([x for x in asked.tolist() if x in sets], np.int64)
+                    sizes = np.array([len(sets[x]) for x in asked.tolist()], np.int64)
+                    common = np.array([_shared(own, sets[x]) for x in asked.tolist()], np.int64)
+                elif sets:
+                    if index is None:
+                        ids = np.array(sorted(sets), np.int64)
+                        held = np.array([len(sets[x]) for x in ids.tolist()], np.int64)
+                        flat = np.concatenate([sets[x] for x in ids.tolist()])
+                        order = np.argsort(flat, kind="stable")
+                        index = flat[order], np.repeat(np.arange(len(ids)), held)[order]
+                    at = np.minimum(np.searchsorted(ids, asked), len(ids) - 1)
+                    known = ids[at] == asked
+                    asked, at = asked[known], at[known]
+                    sizes, common = held[at], _overlaps(own, index, len(ids))[at]
+                else:
+                    continue
+                union = len(own) + sizes - common
+                jaccard = common / np.maximum(union, 1)
+                fits = (jaccard >= least) & (jaccard < below)
+                out.append((np.full(int(fits.sum()), file, np.int64), asked[fits], jaccard[fits]))
+            columns = [np.concatenate(c) for c in zip(*out)] or [np.zeros(0, t) for t in (np.int64, np.int64, np.float64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "jaccard"])
 
     return run
 
@@ -91,18 +116,35 @@ def _verify(least: float):
 def verified_pairs(pairs: DataFrame, files: DataFrame, least: float, bodies: bool = False) -> DataFrame:
     """Those of the distinct pairs (a, b) whose shingle Jaccard is at least ``least``, with the value.
 
-    Only files that occur in a pair are tokenised. Every b has a cell, with about ``CELL`` others, to
-    which its set goes once; the set of an a goes once to each cell that it has partners in, however
-    many. So a dense group moves its sets a few times, not once for each pair, and no task holds more
-    than one cell. A file without shingles is like none.
+    Only files that occur in a pair are tokenised. A file without shingles is like none.
     """
     members = cut_lineage(pairs.select(F.col("a").alias("file_id")).unionByName(pairs.select(F.col("b").alias("file_id"))).distinct())
-    cells = max(1, -(-members.count() // CELL))
-    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(cells)).alias("cell")
     sets = shingle_sets(files.join(members, "file_id", "left_semi"), bodies=bodies).dropDuplicates(["file_id"])
-    partners = pairs.select("a", "b", cell("b")).groupBy("a", "cell").agg(F.collect_list("b").alias("others"))  # no more than a cell has
+    cells = cell_count(members.count())
+    hold = sets.join(pairs.select(F.col("b").alias("file_id")).distinct(), "file_id", "left_semi").withColumn("cell", cell_of("file_id", cells))
+    partners = pairs.select("a", "b", cell_of("b", cells)).groupBy("a", "cell").agg(F.collect_list("b").alias("others"))  # no more than a cell has
+    return compared(hold, partners, sets, cells, least)
+
+
+def cell_count(members: int) -> int:
+    """Cells for so many files."""
+    return max(1, -(-members // CELL))
+
+
+def cell_of(file: str, cells: int) -> Column:
+    """The cell of a file, if any will do."""
+    return F.pmod(F.xxhash64(file), F.lit(cells)).alias("cell")
+
+
+def compared(hold: DataFrame, partners: DataFrame, sets: DataFrame, cells: int, least: float, below: float = 2.0) -> DataFrame:
+    """a, b, jaccard of the pairs of each a and its others that lies between ``least`` and ``below``.
+
+    Every held file has a cell, one of about so many ``cells``, to which its set goes once; the set of
+    an a goes once to each cell that it has partners in (a, cell, others), however many. So a dense
+    group moves its sets a few times, not once for each pair, and no task holds more than one cell.
+    """
     ask = partners.select(F.col("a").alias("file_id"), "cell", "others").join(sets, "file_id").select("cell", F.lit(1).alias("kind"), "file_id", "others", "shingles")
-    hold = sets.join(pairs.select(F.col("b").alias("file_id")).distinct(), "file_id", "left_semi").select(cell("file_id"), F.lit(0).alias("kind"), "file_id", F.lit(None).cast("array<bigint>").alias("others"), "shingles")
-    width = max(files.sparkSession.sparkContext.defaultParallelism, min(4 * cells, 20_000))  # a task has a cell or two, however many there are
-    placed = hold.unionByName(ask).repartition(width, "cell").sortWithinPartitions("cell", "kind")
-    return placed.mapInArrow(_verify(least), "a bigint, b bigint, jaccard double")
+    held = hold.select("cell", F.lit(0).alias("kind"), "file_id", F.lit(None).cast("array<bigint>").alias("others"), "shingles")
+    width = max(sets.sparkSession.sparkContext.defaultParallelism, min(4 * cells, 20_000))  # a task has a cell or two, however many there are
+    placed = held.unionByName(ask).repartition(width, "cell").sortWithinPartitions("cell", "kind")
+    return placed.mapInArrow(_verify(least, below), "a bigint, b bigint, jaccard double")
