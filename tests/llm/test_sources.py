@@ -299,3 +299,35 @@ def test_members_of_a_family_meet_though_the_first_file_is_a_variant_of_each(spa
     texts = {1: one, 2: one[:24] + two[24:], 3: three[:16] + one[16:], 4: four}  # 2 and 3 have most names of 1, hardly any of each other
     files = spark.createDataFrame([(k, "p", f"s{k}.c", "\n".join(t).encode(), 0, "k", 1) for k, t in texts.items()], FILES)
     assert {r.file_id: r.kind for r in not_handwritten(files).collect()} == dict.fromkeys((1, 2, 3, 4), "generated")
+
+
+def test_a_large_family_is_dealt_to_bounded_places_and_every_pair_meets_once(spark, monkeypatch):
+    from collections import Counter
+
+    from tracewright.llm import handwritten as module
+
+    texts = {k: skeleton(k, 71) for k in range(1, 41)}  # one skeleton with 40 sets of names
+    texts[41] = texts[40].replace("name_1", "nom_1")  # a variant of the last
+    files = spark.createDataFrame([(k, f"p{k % 3}", f"s{k}.c", t.encode(), 0, "k", 1) for k, t in texts.items()], FILES)
+    traits = module.file_traits(files).cache()
+    size = {r.file_id: r.shingles for r in traits.collect()}
+    whole = {(r.file_id, r.family) for r in module.families(traits, files).collect()}
+    assert len(whole) > 39 * 38
+    monkeypatch.setattr(module, "LOAD", 8 * max(size.values()))
+    places = {}
+    for r in module.placed(traits).collect():
+        places.setdefault((r.cell, r.tile), []).append(r)
+    assert max(sum(size[r.file_id] for r in rows) for rows in places.values()) <= 4 * module.LOAD < sum(size.values())
+    met = Counter((x.file_id, y.file_id) for rows in places.values() for x in rows if x.wanted for y in rows if y.held and y.head in x.wanted and x.file_id < y.file_id)
+    assert met == Counter((x, y) for x in texts for y in texts if x < y)
+    assert {(r.file_id, r.family) for r in module.families(traits, files).collect()} == whole
+
+
+def test_common_counts_equal_intersections():
+    from tracewright.llm.shingles import common_counts
+
+    rng = np.random.default_rng(3)
+    frequent = rng.integers(0, 1 << 63, 1500, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(frequent, n), rng.integers(0, 1 << 63, 30, dtype=np.uint64), np.arange(k, k + 3, dtype=np.uint64)])) for k, n in enumerate([0, 5, 900, 4000, 1200, 77, 2500] * 9)]
+    for asked, held in ((sets[:20], sets), (sets, sets[5:8]), (sets[:1] + [sets[0][:0]], sets[:2]), (sets, []), ([sets[0][:0]], sets)):
+        assert common_counts(asked, held).tolist() == [[len(np.intersect1d(a, b)) for b in held] for a in asked]

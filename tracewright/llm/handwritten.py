@@ -25,7 +25,7 @@ from ..operators.similarity import once
 from ..session import cut_lineage
 from .lexing import DIGIT, LETTER, bands, distinct, minhash, mix, token_hash, tokenize, windows
 from .near_duplicates import candidate_pairs, odd_sketch
-from .shingles import WIDTH, cell_count, cell_of, compared, shingle_sets, verified_pairs
+from .shingles import WIDTH, body, cell_count, cell_of, common_counts, compared, token_lists, verified_pairs
 from .source_text import LICENSE_FILE_NAMES, batches, binary_column, comment_text, opening_comment, suffix
 
 # Words that masking leaves as they are.
@@ -52,9 +52,11 @@ FAMILY_LITERAL, LITERAL = 0.55, 0.6
 #: Mean identifier length up to which, and share of white space below which, a file is minified.
 SHORT_NAME, DENSE = 3.5, 0.08
 STRETCH = 24
+MEASURES = ("repeat", "literal", "name_length", "space")
 COPY_BANDS = 24
-#: Files of one family, or nearly so, whose texts' sets one task holds to compare others with.
-SHELF = 1024
+#: Files of one family, or nearly so, and shingles of their texts, up to which they are one cell: a task
+#: holds so many on each side of a comparison, however large the family is.
+SHELF, LOAD = 1024, 1 << 20
 #: Least shingles of a body that, equal in several projects none of which is named as its home, is a copy of the largest one's.
 COMMON = 50
 #: Bodies of a copy band that one task holds against all others; a band with more is split over tasks.
@@ -222,63 +224,159 @@ def alike_skeletons(traits: DataFrame) -> DataFrame:
     return compared(sets.withColumn("cell", cell_of("file_id", cells)), partners, sets, cells, FAMILY).select("a", "b")
 
 
-def unlike_pairs(traits: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """a, b: all pairs of files of one skeleton, or of two that are alike, whose texts are unlike.
+def estimated_pairs(traits: DataFrame) -> DataFrame:
+    """a < b of the files whose skeletons are alike and whose texts, as MinHash values estimate them, are unlike."""
+    near, member = kindred(traits)
+    signed = member.join(traits.select("file_id", "plain_signature"), "file_id")
+    one = signed.select(F.col("head").alias("a"), F.col("file_id").alias("x"), F.col("plain_signature").alias("p"))
+    two = signed.select(F.col("head").alias("b"), F.col("file_id").alias("y"), F.col("plain_signature").alias("q"))
+    return near.join(one, "a").join(two, "b").where("x < y").where(estimate("p", "q", 2 * COPY_BANDS) < UNLIKE).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
-    The texts' shingle sets decide; without ``files`` they are estimated from MinHash values.
-    """
+
+def kindred(traits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b): skeletons that are alike, in both orders, and those that several files have, with themselves; (file_id, head): the files of these skeletons."""
     alike = cut_lineage(alike_skeletons(traits))
     skeleton = traits.where("skeleton is not null").groupBy("skeleton").agg(F.min("file_id").alias("head"), F.count(F.lit(1)).alias("of"))
     several = skeleton.where("of > 1").select(F.col("head").alias("a"), F.col("head").alias("b"))
     near = cut_lineage(alike.unionByName(alike.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(several))
     member = cut_lineage(traits.select("file_id", "skeleton").join(skeleton, "skeleton").select("file_id", "head").join(near.select(F.col("a").alias("head")).distinct(), "head", "left_semi"))
-    if files is None:
-        signed = member.join(traits.select("file_id", "plain_signature"), "file_id")
-        one = signed.select(F.col("head").alias("a"), F.col("file_id").alias("x"), F.col("plain_signature").alias("p"))
-        two = signed.select(F.col("head").alias("b"), F.col("file_id").alias("y"), F.col("plain_signature").alias("q"))
-        return near.join(one, "a").join(two, "b").where("x < y").where(estimate("p", "q", 2 * COPY_BANDS) < UNLIKE).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return near, member
+
+
+def placed(traits: DataFrame) -> DataFrame:
+    """file_id, head, cell, tile, held, wanted: where the files of alike skeletons are compared.
+
+    Every file is held in one cell, in all tiles of it, and asks in one tile of each cell that holds
+    a larger file of a skeleton which it wants. So every pair meets once, and no cell and no tile has
+    many more files and shingles than ``SHELF`` and ``LOAD``.
+    """
+    near, member = kindred(traits)
+    member = member.join(traits.select("file_id", "shingles"), "file_id")
+    parts = lambda c: F.ceil(F.greatest(F.count(F.lit(1)) / SHELF, F.sum(c) / LOAD)).alias("parts")
     # Skeletons that are alike have mostly the same first partner, so their files lie in few cells.
     first = near.groupBy(F.col("a").alias("head")).agg(F.least("head", F.min("b")).alias("first"))
     member = member.join(first, "head")
-    parts = member.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / SHELF).alias("parts"))
-    member = cut_lineage(member.join(parts, "first").select("file_id", "head", F.xxhash64("first", F.pmod(F.xxhash64("file_id"), "parts")).alias("cell")))
-    sets = cut_lineage(shingle_sets(once(files.join(member.select("file_id"), "file_id", "left_semi"), "file_id"), bodies=True))
-    shelf = member.groupBy(F.col("head").alias("b"), "cell").agg(F.collect_list("file_id").alias("files"))
-    partners = near.join(shelf, "b").groupBy("a", "cell").agg(F.flatten(F.collect_list("files")).alias("others"))
-    asked = member.select("file_id", F.col("head").alias("a")).join(partners, "a").select(F.col("file_id").alias("a"), "cell", F.filter("others", lambda x: x > F.col("file_id")).alias("others"))
-    hold = member.select("file_id", "cell").join(sets, "file_id")
-    return compared(hold, asked.where("size(others) > 0"), sets, cell_count(member.count()), 0.0, UNLIKE).select("a", "b")
+    split = member.join(member.groupBy("first").agg(parts("shingles")), "first")
+    member = cut_lineage(split.select("file_id", "head", "shingles", F.xxhash64("first", F.pmod(F.xxhash64("file_id"), "parts")).alias("own")))
+    shelf = member.groupBy(F.col("head").alias("b"), F.col("own").alias("cell")).agg(F.max("file_id").alias("top"))
+    # A skeleton of a single file has itself only to be placed.
+    alone = near.select("a").distinct().select("a", F.col("a").alias("b"), F.lit(None).cast("bigint").alias("want"))
+    partners = near.withColumn("want", F.col("b")).unionByName(alone).join(shelf, "b").groupBy("a", "cell").agg(F.collect_list("want").alias("wanted"), F.max(F.when(F.col("want").isNotNull(), F.col("top"))).alias("top"))
+    asked = member.join(partners.withColumnRenamed("a", "head"), "head")
+    asks, held = F.coalesce(F.col("file_id") < F.col("top"), F.lit(False)), F.col("own") == F.col("cell")
+    asked = cut_lineage(asked.select("file_id", "head", "shingles", "cell", held.alias("held"), F.when(asks, F.col("wanted")).otherwise(F.array().cast("array<bigint>")).alias("wanted")).where("held or size(wanted) > 0"))
+    tiles = asked.where("size(wanted) > 0").groupBy("cell").agg(parts("shingles").cast("int").alias("tiles"))
+    tile = F.pmod(F.xxhash64(F.lit(7), "file_id"), "tiles").cast("int")
+    spread = asked.join(tiles, "cell").withColumn("mine", tile).withColumn("tile", F.explode(F.when(F.col("held"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("mine"))))
+    return spread.select("file_id", "head", "shingles", "cell", "tile", "held", F.when(F.col("tile") == F.col("mine"), F.col("wanted")).otherwise(F.array().cast("array<bigint>")).alias("wanted"))
+
+
+def _compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files of each cell and tile, whose rows are successive, with those that they are unlike."""
+    held: list[pa.RecordBatch] = []
+    where = None
+
+    def flush() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        column = lambda name: t.column(name).to_numpy()
+        texts = [body(data or b"", path) for data, path in zip(t.column("bytes").to_pylist(), t.column("relpath").to_pylist())]
+        sets = [distinct(windows(tokens, WIDTH)) for tokens in token_lists(texts)]
+        ids, heads, projects, sizes = column("file_id"), column("head"), column("home"), np.array([len(s) for s in sets], np.int64)
+        measures = np.stack([column(c) for c in MEASURES], axis=1)
+        wanted = t.column("wanted").to_pylist()
+        x, y = np.array([k for k, w in enumerate(wanted) if w], np.int64), np.flatnonzero(column("held"))
+        common = common_counts([sets[k] for k in x], [sets[k] for k in y])
+        unlike = common < UNLIKE * (sizes[x][:, None] + sizes[y][None] - common)
+        unlike &= ids[x][:, None] < ids[y][None]
+        for row, k in zip(unlike, x):
+            row &= np.isin(heads[y], np.array(wanted[k], np.int64))
+        out: list[list[np.ndarray]] = []
+        for fits, one, other in ((unlike, x, y), (unlike.T, y, x)):
+            some = fits.any(axis=1)
+            fits, one = fits[some], one[some]
+            of = other[np.nonzero(fits)[1]]
+            out.append([ids[one], fits.sum(axis=1), ids[of], projects[of], fits @ measures[other]])
+        file, count, of, home, sums = (np.concatenate(c) for c in zip(*out))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (of, home)]
+        return pa.RecordBatch.from_arrays([pa.array(file), *lists, *(pa.array(np.ascontiguousarray(c)) for c in sums.T)], ["file_id", "others", "homes", *MEASURES])
+
+    for part in parts:
+        keys = part.column("cell").to_numpy(), part.column("tile").to_numpy()
+        borders = np.flatnonzero(np.concatenate([[True], (np.diff(keys[0]) != 0) | (np.diff(keys[1]) != 0), [True]])) if part.num_rows else []
+        for lo, hi in zip(borders[:-1], borders[1:]):
+            if held and where != (keys[0][lo], keys[1][lo]):
+                yield flush()
+                held.clear()
+            where = keys[0][lo], keys[1][lo]
+            held.append(part.slice(lo, hi - lo))
+    if held:
+        yield flush()
+
+
+def unlike_files(traits: DataFrame, files: DataFrame) -> DataFrame:
+    """file_id, others, homes (first files of the others' projects) and sums of the others' measures.
+
+    The others of a file are all files of its skeleton, or of one that is alike, whose text is unlike
+    by the exact shingle sets. A file has a row for each place that it meets some in. Texts move to the
+    places and are tokenised there, since they are a fraction of their sets.
+    """
+    home = traits.groupBy(F.coalesce("project", F.lit("")).alias("project")).agg(F.min("file_id").alias("home"))
+    measures = traits.select("file_id", F.coalesce("project", F.lit("")).alias("project"), *MEASURES).join(home, "project").drop("project")
+    rows = cut_lineage(placed(traits))
+    load = rows.agg(F.sum("shingles")).first()[0] or 0
+    texts = once(files.select("file_id", "relpath", "bytes").join(rows.select("file_id").distinct(), "file_id", "left_semi"), "file_id")
+    width = max(files.sparkSession.sparkContext.defaultParallelism, min(-(-4 * load // LOAD), 20_000))
+    met = rows.drop("shingles").join(measures, "file_id").join(texts, "file_id").repartition(width, "cell", "tile").sortWithinPartitions("cell", "tile")
+    return met.mapInArrow(_compare, "file_id bigint, others array<bigint>, homes array<bigint>, " + ", ".join(f"{c} double" for c in MEASURES))
 
 
 def families(traits: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """file_id, family: the files (heads) whose skeleton a file shares and whose text it doesn't.
 
-    Every file that has such partners is a head, with all of them and itself in its family.
+    Every file that has such partners is a head, with all of them and itself in its family. The
+    texts' shingle sets decide; without ``files`` they are estimated from MinHash values.
     """
-    pairs = cut_lineage(unlike_pairs(traits, files))
-    both = pairs.select(F.col("a").alias("file_id"), F.col("b").alias("family")).unionByName(pairs.select(F.col("b").alias("file_id"), F.col("a").alias("family")))
+    if files is None:
+        pairs = cut_lineage(estimated_pairs(traits))
+        both = pairs.select(F.col("a").alias("file_id"), F.col("b").alias("family")).unionByName(pairs.select(F.col("b").alias("file_id"), F.col("a").alias("family")))
+    else:
+        both = cut_lineage(unlike_files(traits, files).select(F.explode("others").alias("file_id"), F.col("file_id").alias("family")))
     return both.unionByName(both.select("file_id", F.col("file_id").alias("family")).distinct())
 
 
+def _most(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In place of the homes of each family's members, their number and the largest number with the same one."""
+    for part in parts:
+        homes, own = part.column("homes"), part.column("home").to_pylist()
+        counts = [np.unique(np.append(h.values.to_numpy(), o), return_counts=True)[1] for h, o in zip(homes, own)]
+        numbers = [pa.array([f(c) for c in counts], pa.int64()) for f in (lambda c: int(c.sum()), lambda c: int(c.max()))]
+        yield pa.RecordBatch.from_arrays([part.column("file_id"), *(part.column(c) for c in MEASURES), *numbers], ["file_id", *MEASURES, "family_size", "within"])
+
+
 def family_kinds(traits: DataFrame, files: DataFrame) -> DataFrame:
-    """file_id, family, family_size, kind (generated, minified, blob or null) by the spread and the measures of each family of a file.
+    """file_id, kind (generated, minified or blob) by the spread and the measures of each family of a file that has one.
 
     A file in no family has itself as family, and its own measures and stricter limits decide.
     """
-    names = ("repeat", "literal", "name_length", "space")
-    measures = traits.select("file_id", F.coalesce("project", F.lit("")).alias("project"), *names)
-    member = cut_lineage(families(traits, files))
-    local = member.join(measures, "file_id").groupBy("family", "project").agg(*(F.sum(c).alias(c) for c in names), F.count(F.lit(1)).alias("here"))
-    mean = local.groupBy("family").agg(*((F.sum(c) / F.sum("here")).alias(c) for c in names), F.sum("here").alias("family_size"), F.max("here").alias("within"))
+    home = traits.groupBy(F.coalesce("project", F.lit("")).alias("project")).agg(F.min("file_id").alias("home"))
+    own = traits.select("file_id", F.coalesce("project", F.lit("")).alias("project"), *(F.col(c).alias(f"own_{c}") for c in MEASURES)).join(home, "project").drop("project")
+    rows = cut_lineage(unlike_files(traits, files))
+    whole = rows.groupBy("file_id").agg(*(F.sum(c).alias(c) for c in MEASURES), F.flatten(F.collect_list("homes")).alias("homes")).join(own, "file_id")
+    summed = whole.select("file_id", *((F.col(c) + F.col(f"own_{c}")).alias(c) for c in MEASURES), "homes", "home")
+    counted = summed.mapInArrow(_most, "file_id bigint, " + ", ".join(f"{c} double" for c in MEASURES) + ", family_size bigint, within bigint")
+    mean = counted.select("file_id", *((F.col(c) / F.col("family_size")).alias(c) for c in MEASURES), "within")
 
     def kind(repeat, literal):
         dense = (F.col("name_length") <= SHORT_NAME) & (F.col("space") <= DENSE)
         return F.when(F.col("literal") >= literal, "blob").when(dense, "minified").when(repeat, "generated").alias("kind")
 
-    together = kind((F.col("within") >= WITHIN) | (F.col("repeat") >= FAMILY_REPEAT), FAMILY_LITERAL)
-    apart = traits.where("size(masked) > 0").join(member.select("file_id").distinct(), "file_id", "left_anti")
-    alone = apart.select("file_id", F.col("file_id").alias("family"), F.lit(1).cast("bigint").alias("family_size"), kind(F.col("repeat") >= REPEAT, LITERAL))
-    return member.join(mean, "family").select("file_id", "family", "family_size", together).unionByName(alone)
+    heads = cut_lineage(mean.select("file_id", kind((F.col("within") >= WITHIN) | (F.col("repeat") >= FAMILY_REPEAT), FAMILY_LITERAL)))
+    told = heads.where("kind is not null")
+    others = rows.select("file_id", "others").join(told, "file_id").select(F.explode("others").alias("file_id"), "kind")
+    apart = traits.where("size(masked) > 0").join(heads, "file_id", "left_anti")
+    alone = apart.select("file_id", kind(F.col("repeat") >= REPEAT, LITERAL)).where("kind is not null")
+    return told.unionByName(others).unionByName(alone)
 
 
 def copies(traits: DataFrame, sides: DataFrame, files: DataFrame) -> DataFrame:
@@ -333,7 +431,7 @@ def not_handwritten(files: DataFrame) -> DataFrame:
     project is named as home are copies of the largest project's. Null ids give no row, empty or very short files are no cases, repeated rows count once, extra columns are ignored.
     """
     traits = cut_lineage(file_traits(files))
-    by_family = family_kinds(traits, files).where("kind is not null").select("file_id", "kind")
+    by_family = family_kinds(traits, files)
     named = traits.select("file_id", F.lower("project").alias("own"), "origins")
     homes = traits.select(F.lower("project").alias("home")).distinct()
     foreign = named.select("file_id", "own", F.explode("origins").alias("home")).where("home <> own").join(homes, "home", "left_semi").select("file_id").distinct().withColumn("foreign", F.lit(True))

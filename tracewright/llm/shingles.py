@@ -18,6 +18,8 @@ WIDTH = 5
 CELL = 256
 #: Partners in a cell from which a file meets them all at once, through an index of the cell's shingles.
 FEW = 6
+#: Values (columns) of a 0/1 matrix, and how much cheaper a place in a matrix product is than a pair of postings.
+PIECE, DENSE_GAIN = 1024, 200
 
 
 def token_lists(texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -68,6 +70,45 @@ def _overlaps(own: np.ndarray, index: tuple[np.ndarray, np.ndarray], held: int)
     return np.bincount(owner[at], minlength=held)
 
 
+def common_counts(asked: list[np.ndarray], held: list[np.ndarray]) -> np.ndarray:
+    """How many values each of the sets on one side (rows) shares with each on the other (columns).
+
+    Values that many sets on both sides have are counted by products of 0/1 matrices, the others by
+    postings; both in pieces, so that memory stays within a few times that of the sets.
+    """
+    m, n = len(asked), len(held)
+    common = np.zeros((m, n), np.int64)
+    sides = [(np.concatenate([*sets, np.zeros(0, np.uint64)]).astype(np.uint64), np.repeat(np.arange(len(sets)), [len(s) for s in sets])) for sets in (asked, held)]
+    values, code = np.unique(sides[1][0], return_inverse=True)
+    if not len(values) or not len(sides[0][0]):
+        return common
+    at = np.minimum(np.searchsorted(values, sides[0][0]), len(values) - 1)
+    known = values[at] == sides[0][0]
+    at, asker, owner = at[known], sides[0][1][known], sides[1][1]
+    here, there = np.bincount(at, minlength=len(values)), np.bincount(code, minlength=len(values))
+    dense = here * there * DENSE_GAIN > m * n
+    columns = np.where(dense, np.cumsum(dense) - 1, -1)
+    x, y = columns[at], columns[code]
+    for lo in range(0, int(dense.sum()), PIECE):
+        matrices = []
+        for c, row, size in ((x, asker, m), (y, owner, n)):
+            inside = (c >= lo) & (c < lo + PIECE)
+            matrix = np.zeros((size, PIECE), np.float32)
+            matrix[row[inside], c[inside] - lo] = 1
+            matrices.append(matrix)
+        common += (matrices[0] @ matrices[1].T).astype(np.int64)  # no sum exceeds PIECE, so none is rounded
+    order = np.argsort(code, kind="stable")
+    owner, first = owner[order], np.cumsum(there) - there
+    at, asker = at[x < 0], asker[x < 0]
+    ends = np.cumsum(there[at])
+    cuts = np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, PIECE * PIECE))
+    for lo, hi in zip(cuts, [*cuts[1:], len(at)]):
+        count = there[at[lo:hi]]
+        place = np.repeat(first[at[lo:hi]] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        common += np.bincount(np.repeat(asker[lo:hi], count) * n + owner[place], minlength=m * n).reshape(m, n)
+    return common
+
+
 def _verify(least: float, below: float):
     """Compare each row of kind 1 with the sets of kind 0 that its cell began with."""
 
