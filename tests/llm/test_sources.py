@@ -331,3 +331,16 @@ def test_common_counts_equal_intersections():
     sets = [np.unique(np.concatenate([rng.choice(frequent, n), rng.integers(0, 1 << 63, 30, dtype=np.uint64), np.arange(k, k + 3, dtype=np.uint64)])) for k, n in enumerate([0, 5, 900, 4000, 1200, 77, 2500] * 9)]
     for asked, held in ((sets[:20], sets), (sets, sets[5:8]), (sets[:1] + [sets[0][:0]], sets[:2]), (sets, []), ([sets[0][:0]], sets)):
         assert common_counts(asked, held).tolist() == [[len(np.intersect1d(a, b)) for b in held] for a in asked]
+
+
+def test_dense_cells_give_the_pairs_of_others(spark):
+    from pyspark.sql import functions as F
+
+    from tracewright.llm.shingles import compared
+
+    rng = np.random.default_rng(5)
+    sets = spark.createDataFrame([(k, np.unique(rng.integers(0, 60, 40)).tolist()) for k in range(60)] + [(60, [])], "file_id long, shingles array<bigint>").cache()
+    hold = sets.withColumn("cell", F.col("file_id") % 3)
+    partners = sets.select(F.col("file_id").alias("a"), F.explode(F.array(*map(F.lit, range(3)))).alias("cell")).withColumn("others", F.expr("filter(sequence(0L, 70L), x -> x % 3 = cell and x > a)"))
+    got = [sorted(map(tuple, compared(hold, partners, sets, 3, 0.3, 0.5, dense=d).collect())) for d in (False, True)]
+    assert len(got[0]) > 100 and got[0] == got[1]

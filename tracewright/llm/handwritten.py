@@ -57,6 +57,8 @@ COPY_BANDS = 24
 #: Files of one family, or nearly so, and shingles of their texts, up to which they are one cell: a task
 #: holds so many on each side of a comparison, however large the family is.
 SHELF, LOAD = 1024, 1 << 20
+#: Bytes of small cells that a task compares at once.
+BUNCH = 1 << 20
 #: Least shingles of a body that, equal in several projects none of which is named as its home, is a copy of the largest one's.
 COMMON = 50
 #: Bodies of a copy band that one task holds against all others; a band with more is split over tasks.
@@ -221,7 +223,7 @@ def alike_skeletons(traits: DataFrame) -> DataFrame:
     cells = cell_count(members.count())
     sets = traits.select("file_id", F.col("masked").alias("shingles")).join(members, "file_id", "left_semi")
     partners = near.select("a", "b", cell_of("b", cells)).groupBy("a", "cell").agg(F.collect_list("b").alias("others"))
-    return compared(sets.withColumn("cell", cell_of("file_id", cells)), partners, sets, cells, FAMILY).select("a", "b")
+    return compared(sets.withColumn("cell", cell_of("file_id", cells)), partners, sets, cells, FAMILY, dense=True).select("a", "b")
 
 
 def estimated_pairs(traits: DataFrame) -> DataFrame:
@@ -272,9 +274,9 @@ def placed(traits: DataFrame) -> DataFrame:
 
 
 def _compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Files of each cell and tile, whose rows are successive, with those that they are unlike."""
+    """Files of each cell and tile, whose rows are successive, with those that they are unlike; small cells in bunches."""
     held: list[pa.RecordBatch] = []
-    where = None
+    where, size = None, 0
 
     def flush() -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
@@ -284,18 +286,24 @@ def _compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, heads, projects, sizes = column("file_id"), column("head"), column("home"), np.array([len(s) for s in sets], np.int64)
         measures = np.stack([column(c) for c in MEASURES], axis=1)
         wanted = t.column("wanted").to_pylist()
-        x, y = np.array([k for k, w in enumerate(wanted) if w], np.int64), np.flatnonzero(column("held"))
-        common = common_counts([sets[k] for k in x], [sets[k] for k in y])
-        unlike = common < UNLIKE * (sizes[x][:, None] + sizes[y][None] - common)
-        unlike &= ids[x][:, None] < ids[y][None]
-        for row, k in zip(unlike, x):
-            row &= np.isin(heads[y], np.array(wanted[k], np.int64))
-        out: list[list[np.ndarray]] = []
-        for fits, one, other in ((unlike, x, y), (unlike.T, y, x)):
-            some = fits.any(axis=1)
-            fits, one = fits[some], one[some]
-            of = other[np.nonzero(fits)[1]]
-            out.append([ids[one], fits.sum(axis=1), ids[of], projects[of], fits @ measures[other]])
+        where = np.stack([column("cell"), column("tile")])
+        borders = np.flatnonzero(np.concatenate([[True], (np.diff(where) != 0).any(axis=0), [True]]))
+        is_held, out = column("held"), []
+        for lo, hi in zip(borders[:-1].tolist(), borders[1:].tolist()):
+            x, y = np.array([k for k in range(lo, hi) if wanted[k]], np.int64), lo + np.flatnonzero(is_held[lo:hi])
+            if not len(x):
+                continue
+            common = common_counts([sets[k] for k in x], [sets[k] for k in y])
+            unlike = common < UNLIKE * (sizes[x][:, None] + sizes[y][None] - common)
+            unlike &= ids[x][:, None] < ids[y][None]
+            fitting = {k: np.isin(heads[y], np.array(wanted[at], np.int64)) for k, at in {int(heads[at]): at for at in x}.items()}
+            unlike &= np.stack([fitting[int(h)] for h in heads[x]])
+            for fits, one, other in ((unlike, x, y), (unlike.T, y, x)):
+                some = fits.any(axis=1)
+                fits, one = fits[some], one[some]
+                of = other[np.nonzero(fits)[1]]
+                out.append([ids[one], fits.sum(axis=1), ids[of], projects[of], fits @ measures[other]])
+        out = out or [[np.zeros(0, np.int64)] * 4 + [np.zeros((0, len(MEASURES)))]]
         file, count, of, home, sums = (np.concatenate(c) for c in zip(*out))
         offsets = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
         lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (of, home)]
@@ -305,11 +313,13 @@ def _compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = part.column("cell").to_numpy(), part.column("tile").to_numpy()
         borders = np.flatnonzero(np.concatenate([[True], (np.diff(keys[0]) != 0) | (np.diff(keys[1]) != 0), [True]])) if part.num_rows else []
         for lo, hi in zip(borders[:-1], borders[1:]):
-            if held and where != (keys[0][lo], keys[1][lo]):
+            if size >= BUNCH and where != (keys[0][lo], keys[1][lo]):
                 yield flush()
                 held.clear()
+                size = 0
             where = keys[0][lo], keys[1][lo]
             held.append(part.slice(lo, hi - lo))
+            size += held[-1].nbytes
     if held:
         yield flush()
 

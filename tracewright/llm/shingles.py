@@ -20,6 +20,8 @@ CELL = 256
 FEW = 6
 #: Values (columns) of a 0/1 matrix, and how much cheaper a place in a matrix product is than a pair of postings.
 PIECE, DENSE_GAIN = 1024, 200
+#: Pairs of sets up to which each is intersected by itself; files and shingles that ask a cell at once.
+PAIRS, ASKING, LOAD = 48, 1024, 1 << 20
 
 
 def token_lists(texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -77,6 +79,8 @@ def common_counts(asked: list[np.ndarray], held: list[np.ndarray]) -> np.ndarray
     postings; both in pieces, so that memory stays within a few times that of the sets.
     """
     m, n = len(asked), len(held)
+    if m * n <= PAIRS:
+        return np.array([[_shared(a, b) for b in held] for a in asked], np.int64).reshape(m, n)
     common = np.zeros((m, n), np.int64)
     sides = [(np.concatenate([*sets, np.zeros(0, np.uint64)]).astype(np.uint64), np.repeat(np.arange(len(sets)), [len(s) for s in sets])) for sets in (asked, held)]
     values, code = np.unique(sides[1][0], return_inverse=True)
@@ -154,6 +158,50 @@ def _verify(least: float, below: float):
     return run
 
 
+def _verify_dense(least: float, below: float):
+    """What ``_verify`` does, for cells most of whose sets are asked for by many: all that ask are counted together."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, asking, load = None, {}, [], 0
+
+        def flush() -> pa.RecordBatch:
+            ids = np.array(sorted(held), np.int64)
+            sets = [held[x] for x in ids.tolist()]
+            row, asked = np.repeat(np.arange(len(asking)), [len(o) for _, o, _ in asking]), np.concatenate([o for _, o, _ in asking])
+            at = np.minimum(np.searchsorted(ids, asked), len(ids) - 1)
+            known = ids[at] == asked
+            row, asked, at = row[known], asked[known], at[known]
+            common = common_counts([s for _, _, s in asking], sets)[row, at]
+            union = np.array([len(s) for _, _, s in asking], np.int64)[row] + np.array([len(s) for s in sets], np.int64)[at] - common
+            jaccard = common / np.maximum(union, 1)
+            fits = (jaccard >= least) & (jaccard < below)
+            return pa.RecordBatch.from_arrays([pa.array(c[fits]) for c in (np.array([f for f, _, _ in asking], np.int64)[row], asked, jaccard)], ["a", "b", "jaccard"])
+
+        for part in parts:
+            lists = []
+            for name in ("shingles", "others"):
+                column = part.column(name)
+                values = column.flatten().to_numpy(zero_copy_only=False)
+                ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                lists.append(np.split(values, ends[:-1]) if len(ends) else [])
+            for where, kind, file, own, others in zip(part.column("cell").to_pylist(), part.column("kind").to_pylist(), part.column("file_id").to_pylist(), *lists):
+                if asking and (where != cell or len(asking) >= ASKING or load >= LOAD):
+                    if held:
+                        yield flush()
+                    asking, load = [], 0
+                if where != cell:
+                    cell, held = where, {}
+                if kind == 0:
+                    held[file] = own.view(np.uint64).copy()
+                else:
+                    asking.append((file, others.copy(), own.view(np.uint64).copy()))
+                    load += len(own)
+        if asking and held:
+            yield flush()
+
+    return run
+
+
 def verified_pairs(pairs: DataFrame, files: DataFrame, least: float, bodies: bool = False) -> DataFrame:
     """Those of the distinct pairs (a, b) whose shingle Jaccard is at least ``least``, with the value.
 
@@ -177,15 +225,16 @@ def cell_of(file: str, cells: int) -> Column:
     return F.pmod(F.xxhash64(file), F.lit(cells)).alias("cell")
 
 
-def compared(hold: DataFrame, partners: DataFrame, sets: DataFrame, cells: int, least: float, below: float = 2.0) -> DataFrame:
+def compared(hold: DataFrame, partners: DataFrame, sets: DataFrame, cells: int, least: float, below: float = 2.0, dense: bool = False) -> DataFrame:
     """a, b, jaccard of the pairs of each a and its others that lies between ``least`` and ``below``.
 
     Every held file has a cell, one of about so many ``cells``, to which its set goes once; the set of
     an a goes once to each cell that it has partners in (a, cell, others), however many. So a dense
     group moves its sets a few times, not once for each pair, and no task holds more than one cell.
+    ``dense``: most sets of a cell are asked for by many.
     """
     ask = partners.select(F.col("a").alias("file_id"), "cell", "others").join(sets, "file_id").select("cell", F.lit(1).alias("kind"), "file_id", "others", "shingles")
     held = hold.select("cell", F.lit(0).alias("kind"), "file_id", F.lit(None).cast("array<bigint>").alias("others"), "shingles")
     width = max(sets.sparkSession.sparkContext.defaultParallelism, min(4 * cells, 20_000))  # a task has a cell or two, however many there are
     placed = held.unionByName(ask).repartition(width, "cell").sortWithinPartitions("cell", "kind")
-    return placed.mapInArrow(_verify(least, below), "a bigint, b bigint, jaccard double")
+    return placed.mapInArrow((_verify_dense if dense else _verify)(least, below), "a bigint, b bigint, jaccard double")
