@@ -344,3 +344,41 @@ def test_dense_cells_give_the_pairs_of_others(spark):
     partners = sets.select(F.col("file_id").alias("a"), F.explode(F.array(*map(F.lit, range(3)))).alias("cell")).withColumn("others", F.expr("filter(sequence(0L, 70L), x -> x % 3 = cell and x > a)"))
     got = [sorted(map(tuple, compared(hold, partners, sets, 3, 0.3, 0.5, dense=d).collect())) for d in (False, True)]
     assert len(got[0]) > 100 and got[0] == got[1]
+
+
+def test_lists_worked_on_together_give_what_each_gives():
+    from tracewright.llm import lexing as lx
+    from tracewright.llm.near_duplicates import odd_sketches
+
+    rng = np.random.default_rng(6)
+    for sizes in ([0, 1, 4, 5, 6, 0, 300, 2, 24, 25, 0], [3], [0, 0], []):
+        lists = [rng.integers(0, 40, n).astype(np.uint64) for n in sizes]
+        flat, borders = np.concatenate([*lists, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        cut = lambda values, at: [values[lo:hi].tolist() for lo, hi in zip(at, at[1:])]
+        for width in (5, 24):
+            assert cut(*lx.windows_each(flat, borders, width)) == [windows(x, width).tolist() for x in lists]
+        assert cut(*lx.distinct_each(flat, borders)) == [lx.distinct(x).tolist() for x in lists]
+        assert lx.sums_each(flat, borders).tolist() == [int(x.sum()) for x in lists]
+        assert lx.minhash_each(flat, borders, 7).tolist() == [minhash(x, 7).tolist() for x in lists]
+        sets = [lx.distinct(x) for x in lists]
+        assert odd_sketches(*lx.distinct_each(flat, borders)) == [odd_sketch(s).tobytes() for s in sets]
+
+
+def test_few_pairs_of_unlike_sketches_are_counted_in_full(monkeypatch):
+    """Whole sketches are read for the few pairs that shorter ones leave, though every tile has an alike pair."""
+    from tracewright.llm import near_duplicates as nd
+
+    rng, left, real = np.random.default_rng(7), [], getattr(nd, "_near", None)
+    sets = [rng.integers(0, 1 << 62, 300).astype(np.uint64) for _ in range(600)]
+    sets += [np.concatenate([s[:290], s[290:] + np.uint64(1)]) for s in sets]
+    sizes, bits = np.array([len(s) for s in sets]), [odd_sketch(s).tobytes() for s in sets]
+
+    def near(a, b, radius):
+        found = real(a, b, radius)
+        left.append((len(a), len(found[0])))
+        return found
+
+    monkeypatch.setattr(nd, "_near", near, raising=False)
+    i, j, _, _ = nd.compare(sizes, bits, sizes, bits, 0.8, own=True)
+    assert {(min(x), max(x)) for x in zip(i.tolist(), j.tolist())} == {(k, k + 600) for k in range(600)}
+    assert max(words for words, _ in left) < len(bits[0]) // 8 and 600 <= sum(n for _, n in left) < 0.02 * len(sets) ** 2

@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +25,9 @@ from pyspark.sql import functions as F
 from ..functions.text import file_name
 from ..operators.similarity import once
 from ..session import cut_lineage
-from .lexing import DIGIT, LETTER, bands, distinct, minhash, mix, token_hash, tokenize, windows
-from .near_duplicates import candidate_pairs, odd_sketch
-from .shingles import WIDTH, body, cell_count, cell_of, common_counts, compared, token_lists, verified_pairs
+from .lexing import DIGIT, LETTER, bands, distinct_each, minhash_each, mix, sorted_each, sums_each, token_hash, tokenize, windows_each
+from .near_duplicates import candidate_pairs, odd_sketches
+from .shingles import WIDTH, body, cell_count, cell_of, common_counts, compared, set_lists, verified_pairs
 from .source_text import LICENSE_FILE_NAMES, batches, binary_column, comment_text, opening_comment, suffix
 
 # Words that masking leaves as they are.
@@ -89,70 +91,81 @@ def origins(relpath: str, comment: str) -> list[str]:
     return sorted(found)
 
 
-def _features(texts: list[bytes]) -> Iterator[tuple[float, float, float, float, np.ndarray, np.ndarray]]:
-    """repeat, literal, mean name length, white space, masked and unmasked shingle sets of each body."""
+@dataclass
+class Features:
+    """Measures of some bodies, and their masked and unmasked shingle sets, one after the other, with borders."""
+
+    repeat: np.ndarray
+    literal: np.ndarray
+    name_length: np.ndarray
+    space: np.ndarray
+    masked: tuple[np.ndarray, np.ndarray]
+    plain: tuple[np.ndarray, np.ndarray]
+
+
+def _features(texts: list[bytes]) -> Iterator[Features]:
+    """Measures and shingle sets of the bodies, some bodies at a time."""
     for group in batches(texts):
         tokens, buf, offsets = tokenize(group)
         n = len(buf)
-        quoted = np.zeros(n + 1, np.int32)
-        for text, at in zip(group, offsets):
+        opened, closed = [], []
+        for text, at in zip(group, offsets.tolist()):
             for m in _STRING.finditer(text):
-                quoted[at + m.start()] += 1
-                quoted[at + m.end()] -= 1
-        quoted = np.cumsum(quoted)[:n] > 0
+                opened.append(at + m.start())
+                closed.append(at + m.end())
+        quoted = np.zeros(n + 1, np.int8)
+        quoted[opened] += 1  # no two strings begin or end in the same place
+        quoted[closed] -= 1
+        quoted = np.cumsum(quoted, dtype=np.int8)[:n] > 0
         space = (buf == 32) | ((buf >= 9) & (buf <= 13))
-        in_text = quoted[tokens.start] if len(tokens.start) else np.zeros(0, bool)
+        in_text = quoted[tokens.start]
         number = tokens.kind == DIGIT
-        code = buf[tokens.start].astype(np.int64) + 600 * (tokens.length == 2) * (tokens.kind == 3)
+        code = buf[tokens.start].astype(np.int64) + 600 * ((tokens.length == 2) & (tokens.kind == 3))
         name = (tokens.kind == LETTER) & ~tokens.glued
         code[name] = _NAME
         values, order = _keyword_table()
-        at = np.minimum(np.searchsorted(values, tokens.hash), len(values) - 1)
-        keyword = name & (values[at] == tokens.hash)
-        code[keyword] = _KEYWORD + order[at[keyword]]
+        named = np.flatnonzero(name)
+        at = np.minimum(np.searchsorted(values, tokens.hash[named]), len(values) - 1)
+        known = values[at] == tokens.hash[named]
+        code[named[known]] = _KEYWORD + order[at[known]]
+        plain_name = name & ~in_text
+        plain_name[named[known]] = False
         code[number] = _NUMBER
         code[in_text] = _TEXT
         # A string counts once; what is glued to a number belongs to it.
         follows = np.zeros(len(code), bool)
         follows[1:] = in_text[1:] & in_text[:-1] & (np.diff(tokens.start) > 0)
         keep = ~follows & ~(tokens.glued & ~in_text)
-        figure = np.zeros(n + 1, np.int32)
         lone = (number | tokens.glued) & ~in_text
-        np.add.at(figure, tokens.start[lone], 1)
-        np.add.at(figure, tokens.start[lone] + tokens.length[lone], -1)
+        figure = np.bincount(tokens.start[lone], minlength=n + 1) - np.bincount(tokens.start[lone] + tokens.length[lone], minlength=n + 1)
         literal = (np.cumsum(figure)[:n] > 0) | (quoted & ~space)
-        literal_sum = np.concatenate([[0], np.cumsum(literal)])
-        space_sum = np.concatenate([[0], np.cumsum(space)])
-        plain_name = name & ~keyword & ~in_text
         borders = tokens.split(len(group))
-        for i, text in enumerate(group):
-            lo, hi = borders[i], borders[i + 1]
-            start, end = offsets[i], offsets[i] + len(text)
-            blank = int(space_sum[end] - space_sum[start])
-            lit = int(literal_sum[end] - literal_sum[start])
-            names = tokens.length[lo:hi][plain_name[lo:hi]]
-            masked = _CODES[code[lo:hi][keep[lo:hi]] % 1023]
-            repeat = 0.0
-            if len(masked) > STRETCH:
-                stretch = np.sort(windows(masked, STRETCH))
-                same = stretch[1:] == stretch[:-1]
-                repeat = float((np.append(same, False) | np.append(False, same)).mean())
-            yield (
-                repeat,
-                lit / max(1, len(text) - blank),
-                float(names.mean()) if len(names) else 99.0,
-                blank / max(1, len(text)),
-                distinct(windows(masked, WIDTH)),
-                distinct(windows(tokens.hash[lo:hi], WIDTH)),
-            )
-
-
-def identity(shingles: np.ndarray) -> str | None:
-    """Size and two sums of a set, equal for equal sets; none for an empty one."""
-    if not len(shingles):
-        return None
+        sizes = np.fromiter((len(t) for t in group), np.int64, len(group))
+        ends = np.stack([offsets[:-1], offsets[:-1] + sizes])
+        count = lambda flags, at: np.diff(np.concatenate([[0], np.cumsum(flags)])[at], axis=0)
+        blank, lit = count(space, ends)[0], count(literal, ends)[0]
+        names, letters = count(plain_name, borders), sums_each(tokens.length * plain_name, borders)
+        masked, of = _CODES[code[keep] % 1023], np.concatenate([[0], np.cumsum(keep)])[borders]
+        # Stretches that occur again; a file of STRETCH tokens or less has none.
+        stretch, to = windows_each(masked, of, STRETCH)
+        _, again = sorted_each(stretch, to)
+        again[:-1] |= again[1:]
+        stretches, repeats = np.diff(to), count(again, to)
+        yield Features(
+            np.where(np.diff(of) > STRETCH, repeats / np.maximum(1, stretches), 0.0),
+            lit / np.maximum(1, sizes - blank),
+            np.where(names > 0, letters / np.maximum(1, names), 99.0),
+            blank / np.maximum(1, sizes),
+            distinct_each(*windows_each(masked, of, WIDTH)),
+            distinct_each(*windows_each(tokens.hash, borders, WIDTH)),
+        )
+
+
+def identities(shingles: np.ndarray, borders: np.ndarray) -> list[str | None]:
+    """Size and two sums of each of the sets between the borders, equal for equal sets; none for an empty one."""
     with np.errstate(over="ignore"):
-        return f"{len(shingles)} {mix(shingles).sum(dtype=np.uint64)} {mix(shingles + np.uint64(99)).sum(dtype=np.uint64)}"
+        sums = sums_each(mix(shingles), borders).tolist(), sums_each(mix(shingles + np.uint64(99)), borders).tolist()
+    return [f"{n} {one} {two}" if n else None for n, one, two in zip(np.diff(borders).tolist(), *sums)]
 
 
 def packed(signature: np.ndarray) -> np.ndarray:
@@ -190,21 +203,20 @@ def file_traits(files: DataFrame) -> DataFrame:
             paths = [p or "" for p in part.column("relpath").to_pylist()]
             raw = binary_column(part, "bytes")
             heads = [opening_comment(t, suffix(p)) for t, p in zip(raw, paths)]
-            rows: list[list] = [[] for _ in range(11)]
-            masked_, plain_ = [], []
-            for path, head, traits in zip(paths, heads, _features([t[h[1] :] for t, h in zip(raw, heads)])):
-                repeat, literal, name, space, masked, plain = traits
-                bits = odd_sketch(masked)
-                masked_.append(minhash(masked, 2 * COPY_BANDS))
-                plain_.append(minhash(plain, 2 * COPY_BANDS))
-                for column, value in zip(rows, (repeat, literal, name, space, masked.view(np.int64), origins(path, comment_text(head[0])), identity(plain), len(plain), identity(masked), int(np.bitwise_count(bits).sum()), bits.tobytes())):
-                    column.append(value)
-            one, two = (np.array(v, np.uint32).reshape(-1, COPY_BANDS, 2) for v in (masked_, plain_))
-            some = [n > 0 for n in rows[7]]
-            keys, signed = bands(np.stack([one, two], axis=2).reshape(len(one), -1), 4, salt=7), packed(two.reshape(len(two), -1))
-            rows = [*rows[:5], [k if x else [] for k, x in zip(keys, some)], *rows[5:], [k if x else [] for k, x in zip(signed, some)]]
-            kinds = [pa.float64()] * 4 + [pa.list_(pa.int64())] * 2 + [pa.list_(pa.string()), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
-            columns = [part.column("file_id"), part.column("project"), *(pa.array(c, k) for c, k in zip(rows, kinds))]
+            homes = [origins(path, comment_text(head[0])) for path, head in zip(paths, heads)]
+            groups: list[tuple] = []
+            for g in _features([t[h[1] :] for t, h in zip(raw, heads)]):
+                one, two = (minhash_each(*sets, 2 * COPY_BANDS).reshape(-1, COPY_BANDS, 2) for sets in (g.masked, g.plain))
+                keys, signed = bands(np.stack([one, two], axis=2).reshape(len(one), -1), 4, salt=7), packed(two.reshape(len(two), -1))
+                groups.append((*(getattr(g, c) for c in MEASURES), g.masked[0].view(np.int64), np.diff(g.masked[1]), np.diff(g.plain[1]), keys, signed, identities(*g.plain), identities(*g.masked), odd_sketches(*g.masked)))
+            *measures, values, masked, plain, keys, signed = (np.concatenate(c) for c in list(zip(*groups))[:-3])
+            sets, skeletons, bits = (list(chain.from_iterable(c)) for c in list(zip(*groups))[-3:])
+            lists = lambda flat, counts: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat))
+            # A file without tokens has no keys.
+            keys, signed = (lists(c[plain > 0].ravel(), (plain > 0) * c.shape[1]) for c in (keys, signed))
+            ones = [int.from_bytes(b, "little").bit_count() for b in bits]
+            told = zip((homes, sets, plain, skeletons, ones, bits), (pa.list_(pa.string()), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.binary()))
+            columns = [part.column("file_id"), part.column("project"), *map(pa.array, measures), lists(values, masked), keys, *(pa.array(c, k) for c, k in told), signed]
             yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in schema.split(", ")])
 
     sources = files.select("file_id", "project", "relpath", "bytes").where("file_id is not null").where(~F.coalesce(file_name(F.col("relpath")), F.lit("")).isin(*LICENSE_FILE_NAMES))
@@ -282,7 +294,7 @@ def _compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).combine_chunks()
         column = lambda name: t.column(name).to_numpy()
         texts = [body(data or b"", path) for data, path in zip(t.column("bytes").to_pylist(), t.column("relpath").to_pylist())]
-        sets = [distinct(windows(tokens, WIDTH)) for tokens in token_lists(texts)]
+        sets = [own for values, borders in set_lists(texts) for own in np.split(values, borders[1:-1])]
         ids, heads, projects, sizes = column("file_id"), column("head"), column("home"), np.array([len(s) for s in sets], np.int64)
         measures = np.stack([column(c) for c in MEASURES], axis=1)
         wanted = t.column("wanted").to_pylist()
@@ -418,7 +430,8 @@ def copies(traits: DataFrame, sides: DataFrame, files: DataFrame) -> DataFrame:
     asks = asking.where("not settled").groupBy("body").agg(
         by_role(F.min, "foreign").alias("f_lo"), by_role(F.max, "foreign").alias("f_hi"), by_role(F.min, "none").alias("n_lo"), by_role(F.max, "none").alias("n_hi")
     )
-    keyed = placed.select("body", F.explode("copy_keys").alias("key")).distinct().withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    # Moved once, by key: both the distinct rows and the window are of one key.
+    keyed = placed.select("body", F.explode("copy_keys").alias("key")).repartition("key").distinct().withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
     keyed = cut_lineage(keyed.where("n > 1").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).drop("n"))
     left = keyed.join(asks, "body").withColumn("tile", F.pmod(F.xxhash64("body"), "tiles").cast("int")).drop("tiles")
     right = keyed.join(answers, "body").select(F.col("body").alias("other"), "key", "any_lo", "any_hi", "home_lo", "home_hi", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))

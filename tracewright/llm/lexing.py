@@ -164,6 +164,67 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return values[np.concatenate([[True], values[1:] != values[:-1]])[: len(values)]]
 
 
+def windows_each(values: np.ndarray, borders: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """``windows`` of each of the lists that lie between the borders, one after the other, and their borders."""
+    sizes = np.diff(borders)
+    counts = np.where(sizes < width, sizes > 0, sizes - width + 1)
+    to = np.concatenate([[0], np.cumsum(counts)])
+    if len(values) >= width:
+        whole = windows(values, width)
+        whole = whole[np.arange(width, len(values) + 1) <= np.repeat(borders[1:], sizes)[: len(whole)]]
+    else:
+        whole = np.zeros(0, U64)
+    short = np.flatnonzero((sizes > 0) & (sizes < width))
+    if not len(short):
+        return whole, to
+    out = np.empty(to[-1], U64)
+    lone = np.zeros(to[-1], bool)
+    lone[to[short]] = True
+    out[~lone] = whole
+    for k in short.tolist():
+        out[to[k]] = windows(values[borders[k] : borders[k + 1]], width)[0]
+    return out, to
+
+
+def sorted_each(values: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists between the borders, each in order, and which values equal the one before in their list."""
+    values = values.copy()
+    at = borders.tolist()
+    for lo, hi in zip(at[:-1], at[1:]):
+        values[lo:hi].sort()
+    again = np.zeros(len(values), bool)
+    again[1:] = values[1:] == values[:-1]
+    again[borders[:-1][np.diff(borders) > 0]] = False
+    return values, again
+
+
+def distinct_each(values: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``distinct`` of each of the lists between the borders, and their borders."""
+    values, again = sorted_each(values, borders)
+    return values[~again], np.concatenate([[0], np.cumsum(~again)])[borders]
+
+
+def sums_each(values: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """The sum of each of the lists between the borders."""
+    total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values, dtype=values.dtype)])
+    with np.errstate(over="ignore"):
+        return total[borders[1:]] - total[borders[:-1]]
+
+
+def minhash_each(values: np.ndarray, borders: np.ndarray, permutations: int) -> np.ndarray:
+    """``minhash`` of each of the lists between the borders, one in a row."""
+    out = np.full((permutations, len(borders) - 1), np.iinfo(np.uint32).max, np.uint32)
+    some = np.flatnonzero(np.diff(borders) > 0)
+    if len(some):
+        first, product = borders[some], np.empty(len(values), U64)
+        with np.errstate(over="ignore"):
+            for row, a in zip(out, mix(np.arange(permutations, dtype=U64) + U64(0xA5A5)) | U64(1)):
+                np.bitwise_xor(values, a >> U64(7), out=product)
+                product *= a
+                row[some] = np.minimum.reduceat(product, first) >> U64(32)
+    return np.ascontiguousarray(out.T)
+
+
 def minhash(values: np.ndarray, permutations: int) -> np.ndarray:
     """Smallest value under each of ``permutations`` mixings; all ones for an empty set."""
     if not len(values):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .lexing import distinct, tokenize, windows
+from .lexing import distinct_each, tokenize, windows_each
 from .source_text import batches, binary_column, opening_comment, suffix
 
 WIDTH = 5
@@ -33,6 +33,13 @@ def token_lists(texts: list[bytes]) -> Iterator[np.ndarray]:
             yield tokens.hash[borders[i] : borders[i + 1]]
 
 
+def set_lists(texts: list[bytes], width: int = WIDTH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The distinct token shingles of each text, for some texts at a time one after the other, and their borders."""
+    for group in batches(texts):
+        tokens, _, _ = tokenize(group)
+        yield distinct_each(*windows_each(tokens.hash, tokens.split(len(group)), width))
+
+
 def body(data: bytes, relpath: str) -> bytes:
     """A source file without its opening comment."""
     return data[opening_comment(data, suffix(relpath or ""))[1] :]
@@ -46,9 +53,9 @@ def shingle_sets(files: DataFrame, width: int = WIDTH, bodies: bool = False) ->
             texts = binary_column(part, "bytes")
             if bodies:
                 texts = [body(t, p) for t, p in zip(texts, part.column("relpath").to_pylist())]
-            sets = [distinct(windows(t, width)).view(np.int64) for t in token_lists(texts)]
-            lengths = np.concatenate([[0], np.cumsum([len(s) for s in sets], dtype=np.int64)]).astype(np.int32)
-            values = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
+            sets = list(set_lists(texts, width))
+            lengths = np.cumsum(np.concatenate([[0], *(np.diff(b) for _, b in sets)])).astype(np.int32)
+            values = pa.array(np.concatenate([v for v, _ in sets]).view(np.int64) if sets else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([part.column("file_id"), pa.ListArray.from_arrays(lengths, values)], ["file_id", "shingles"])
 
     return files.select("file_id", "relpath", "bytes").mapInArrow(run, "file_id bigint, shingles array<bigint>")
@@ -86,26 +93,31 @@ def common_counts(asked: list[np.ndarray], held: list[np.ndarray]) -> np.ndarray
     values, code = np.unique(sides[1][0], return_inverse=True)
     if not len(values) or not len(sides[0][0]):
         return common
-    at = np.minimum(np.searchsorted(values, sides[0][0]), len(values) - 1)
-    known = values[at] == sides[0][0]
+    # Sets that are held as well need no search.
+    ends = np.cumsum([len(s) for s in held]).tolist()
+    own = {id(s): code[end - len(s) : end] for s, end in zip(held, ends)}
+    places = [own[id(s)] if id(s) in own else np.where(values[i := np.minimum(np.searchsorted(values, s), len(values) - 1)] == s, i, -1) for s in asked]
+    at = np.concatenate(places)
+    known = at >= 0
     at, asker, owner = at[known], sides[0][1][known], sides[1][1]
     here, there = np.bincount(at, minlength=len(values)), np.bincount(code, minlength=len(values))
     dense = here * there * DENSE_GAIN > m * n
     columns = np.where(dense, np.cumsum(dense) - 1, -1)
     x, y = columns[at], columns[code]
-    for lo in range(0, int(dense.sum()), PIECE):
+    width = int(dense.sum())
+    for lo in range(0, width, PIECE):
         matrices = []
         for c, row, size in ((x, asker, m), (y, owner, n)):
             inside = (c >= lo) & (c < lo + PIECE)
-            matrix = np.zeros((size, PIECE), np.float32)
+            matrix = np.zeros((size, min(PIECE, width - lo)), np.float32)
             matrix[row[inside], c[inside] - lo] = 1
             matrices.append(matrix)
         common += (matrices[0] @ matrices[1].T).astype(np.int64)  # no sum exceeds PIECE, so none is rounded
-    order = np.argsort(code, kind="stable")
-    owner, first = owner[order], np.cumsum(there) - there
+    rare = y < 0
+    owner, first = owner[rare][np.argsort(code[rare], kind="stable")], np.cumsum(there * ~dense) - there
     at, asker = at[x < 0], asker[x < 0]
     ends = np.cumsum(there[at])
-    cuts = np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, PIECE * PIECE))
+    cuts = np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, LOAD))
     for lo, hi in zip(cuts, [*cuts[1:], len(at)]):
         count = there[at[lo:hi]]
         place = np.repeat(first[at[lo:hi]] - np.cumsum(count) + count, count) + np.arange(count.sum())
